@@ -60,20 +60,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash for each word of the lower-cased text, in order. Words are what stands between white space."""
-    b = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
-    if not len(b):
-        return np.empty(0, np.uint64)
-    space = IS_SPACE[b]
-    edge = np.diff(space.astype(np.int8), prepend=1, append=1)
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+def word_spans(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end in a text's bytes. Words are what stands between white space."""
+    edge = np.diff(IS_SPACE[b].astype(np.int8), prepend=1, append=1)
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+def span_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span."""
     up, down = powers(len(b) + 1)
     total = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(BYTE[b] * up[: len(b)], out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash for each word of the lower-cased text, in order."""
+    b = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
+    return span_hashes(b, *word_spans(b)) if len(b) else np.empty(0, np.uint64)
+
+
 def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
     """The set of hashes of size words in a row, sorted. A text of fewer words has one shingle of all of them; an empty one has none."""
     if not len(words):
