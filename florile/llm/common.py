@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,3 +115,67 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         last = now
     nodes = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return nodes.unionByName(nodes.select(F.col("component").alias("id"), "component").distinct())
+
+
+def candidate_groups(entries: DataFrame, bucket: list[str], block: int, load: int) -> DataFrame:
+    """What to compare with what, from entries (the columns of bucket, of which the first is its rank; member; load).
+
+    Two members are to be compared in the lowest-ranked bucket that they share. Buckets of one member go; of buckets with the same
+    members only the lowest stays. A bucket of over block members, or over load in sum, is dealt into blocks, and each pair of
+    blocks (p, q) is a group of its own, so that no group is large. Returns the bucket, p, q, member and side (0 in block p, else 1).
+    """
+    code = F.xxhash64("member")
+    sizes = entries.groupBy(*bucket).agg(F.count("*").alias("n"), F.sum("load").alias("all"), F.bit_xor(code).alias("x"), F.bit_xor(F.xxhash64(code, F.lit(1))).alias("y"), F.min("member").alias("low")).where("n > 1")
+    chosen = sizes.groupBy("n", "x", "y", "low").agg(F.min(F.struct(*bucket)).alias("b"), F.max("all").alias("all"))
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("all") / load)).cast("int")
+    chosen = chosen.select("b.*", blocks.alias("blocks"))
+    rows = entries.join(chosen, bucket).withColumn("own", F.pmod(F.xxhash64("member", F.lit(5)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select(*bucket, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "member", (F.col("own") > F.col("other")).cast("int").alias("side"))
+
+
+def by_group(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """run(table of one group) for each group of the keys. A task holds one group at a time, and groups are streamed from its sorted rows."""
+
+    def stream(batches):
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            cols = [b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+            new = np.zeros(b.num_rows, bool)
+            for c in cols:
+                new[1:] |= c[1:] != c[:-1]
+            cuts = [0, *np.flatnonzero(new).tolist(), b.num_rows]
+            for i, j in zip(cuts, cuts[1:]):
+                if j > i:
+                    key = tuple(c[i] for c in cols)
+                    if held and key != last:
+                        yield from run(pa.Table.from_batches(held)).to_batches()
+                        held = []
+                    held.append(b.slice(i, j - i))
+                    last = key
+        if held:
+            yield from run(pa.Table.from_batches(held)).to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(stream, schema)
+
+
+LINKS = "id long, n_links long, root long"
+
+
+def linked(ids: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """Rows of LINKS for the pairs (a, b) of positions: how many rows each id links to here, and the smallest id it reaches here."""
+    n = np.zeros(len(ids), np.int64)
+    np.add.at(n, a, copies[b])
+    np.add.at(n, b, copies[a])
+    root = ids.copy()
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        if (new == root).all():
+            break
+        root = new
+    on = n > 0
+    return pa.Table.from_arrays([pa.array(ids[on]), pa.array(n[on]), pa.array(root[on])], names=["id", "n_links", "root"])
