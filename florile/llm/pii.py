@@ -96,7 +96,14 @@ def find_spans(docs: DataFrame) -> DataFrame:
 
     pairs = found.where("size(ctx) > 0").select("own_id", "digest", F.explode("ctx").alias("c")).select("own_id", "digest", "c.*")
     seen = pairs.groupBy("entity", "term", "digest").agg(F.count("*")).groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(f"n_both >= {SUPPORT}")
-    seen = scratch(seen, "pii-pairs")
+    # share >= DISCLOSES means n_term <= n_both * (n / n_entity) ** (1 - DISCLOSES). The texts that show a term in a context are a lower
+    # bound of n_term, which rules out common terms before the corpus is searched for them.
+    n = found.count()
+    entities = found.where("size(base) > 0").select("digest", F.explode("base.entity").alias("entity")).groupBy("entity", "digest").agg(F.count("*"))
+    n_entity = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    in_context = pairs.groupBy("term", "digest").agg(F.count("*")).groupBy("term").agg(F.count("*").alias("least"))
+    most = F.col("n_both") * F.pow(F.lit(float(n)) / F.col("n_entity"), F.lit(1 - DISCLOSES)) * (1 + 1e-9)
+    seen = scratch(seen.join(n_entity, "entity").join(in_context, "term").where(F.col("least") <= most), "pii-pairs")
     terms = seen.select("term").distinct()
     n_terms = terms.count()
     disclosing = seen.select("entity", "term", F.lit(0.0).alias("share")).limit(0)
@@ -104,12 +111,9 @@ def find_spans(docs: DataFrame) -> DataFrame:
         terms = F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms
         words = d.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}+"), F.lit(0)), lambda w: F.xxhash64(w)))).alias("term"))
         n_term = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-        entities = found.where("size(base) > 0").select("digest", F.explode("base.entity").alias("entity")).groupBy("entity", "digest").agg(F.count("*"))
-        n_entity = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
-        n = found.count()
         bits = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
         share = F.try_divide(bits, F.log2(F.lit(float(n)) / F.col("n_entity")))
-        disclosing = seen.join(n_term, "term").join(n_entity, "entity").select("entity", "term", share.alias("share")).where(f"share >= {DISCLOSES}")
+        disclosing = seen.join(n_term, "term").select("entity", "term", share.alias("share")).where(f"share >= {DISCLOSES}")
     extra = pairs.join(disclosing, ["entity", "term"]).groupBy("own_id", "digest", "s", "e").agg(F.max("share").alias("share"))
     extra = extra.groupBy("own_id", "digest").agg(F.sort_array(F.collect_list(F.struct("s", "e", (F.col("share") >= REVEALS).alias("removed")))).alias("extra"))
     none = F.array().cast("array<struct<s:int,e:int,removed:boolean>>")
