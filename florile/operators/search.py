@@ -102,9 +102,9 @@ def clause_condition(f: Field, c: Clause, compat: bool = False) -> Column:
         on = F.coalesce(f.column.cast("boolean"), F.lit(False))
         return on == F.lit(bool(c.value) != (c.negated and not compat))
     if f.kind == NUMBER and c.op in (">", "<", ">=", "<=") and isinstance(c.value, float):
-        # Straight on the column, so that it can be pushed to the scan; 0 counts as absent.
-        n, v = f.column, c.value
-        return F.coalesce((n != 0) & {">": n > v, "<": n < v, ">=": n >= v, "<=": n <= v}[c.op], F.lit(False))
+        # Straight on the column, so that it can be pushed to the scan; 0 counts as absent, and null filters like false.
+        n, v = f.column, int(c.value) if c.value == int(c.value) else c.value
+        return (n != 0) & {">": n > v, "<": n < v, ">=": n >= v, "<=": n <= v}[c.op]
     if f.kind in ("text", NUMBER):
         there = f.column.isNotNull() & (f.column != (0 if f.kind == NUMBER else ""))
         return F.coalesce(F.when(there, compare(f.column.cast("string"), c.op, c.value)).otherwise(c.op == "!="), F.lit(False))

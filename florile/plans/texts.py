@@ -174,10 +174,10 @@ ORACLE = {
 }
 ORACLE["format_values"] = """
 SELECT doc_id,
-  CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1024 ** 2 THEN CASE WHEN n / 1024 < 10 THEN printf('%.1f', n / 1024) ELSE floor(n / 1024 + 0.5)::BIGINT::VARCHAR END || ' KB'
-       WHEN n < 1024 ** 3 THEN CASE WHEN n / 1024 ** 2 < 10 THEN printf('%.1f', n / 1024 ** 2) ELSE floor(n / 1024 ** 2 + 0.5)::BIGINT::VARCHAR END || ' MB'
-       ELSE CASE WHEN n / 1024 ** 3 < 10 THEN printf('%.1f', n / 1024 ** 3) ELSE floor(n / 1024 ** 3 + 0.5)::BIGINT::VARCHAR END || ' GB' END AS bytes,
+  CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1024 ** 2 THEN CASE WHEN n / 1024 < 10 THEN printf('%.1f', floor((n / 1024) * 10 + 0.5) / 10) ELSE floor(n / 1024 + 0.5)::BIGINT::VARCHAR END || ' KB'
+       WHEN n < 1024 ** 3 THEN CASE WHEN n / 1024 ** 2 < 10 THEN printf('%.1f', floor((n / 1024 ** 2) * 10 + 0.5) / 10) ELSE floor(n / 1024 ** 2 + 0.5)::BIGINT::VARCHAR END || ' MB'
+       ELSE CASE WHEN n / 1024 ** 3 < 10 THEN printf('%.1f', floor((n / 1024 ** 3) * 10 + 0.5) / 10) ELSE floor(n / 1024 ** 3 + 0.5)::BIGINT::VARCHAR END || ' GB' END AS bytes,
   CASE WHEN c >= 3600 THEN c // 3600 || ':' || lpad((c % 3600 // 60)::VARCHAR, 2, '0') || ':' ELSE c // 60 || ':' END || lpad((c % 60)::VARCHAR, 2, '0') AS duration,
   CASE WHEN c > 0 THEN floor(c * 10 / 1000 + 0.5)::BIGINT || ' kbps' ELSE '—' END AS bitrate,
-  CASE WHEN c = 0 THEN '—' WHEN c * 100 % 1000 = 0 THEN c * 100 // 1000 || ' kHz' ELSE printf('%.1f', c * 100 / 1000) || ' kHz' END AS rate
+  CASE WHEN c = 0 THEN '—' WHEN c * 100 % 1000 = 0 THEN c * 100 // 1000 || ' kHz' ELSE printf('%.1f', floor((c * 100 / 1000) * 10 + 0.5) / 10) || ' kHz' END AS rate
 FROM (SELECT doc_id, n_chars AS c, n_chars * n_chars AS n FROM documents)"""

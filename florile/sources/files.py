@@ -23,7 +23,7 @@ def formats(spark: SparkSession) -> DataFrame:
 
 
 def scan(spark: SparkSession, path: str, extensions: list[str] | None = None) -> DataFrame:
-    """path, folder, name, extension, size, modified_ms and content of the files below path."""
+    """path, folder, name, extension, size, modified_ms and content of the files below path. Spark leaves out files of 0 bytes."""
     glob = "*.{" + ",".join(extensions or [f[0] for f in FORMATS]) + "}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
     return described(files)
