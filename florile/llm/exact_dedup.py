@@ -103,6 +103,7 @@ def exact_groups(docs: DataFrame, huge: int = HUGE, primes=PRIMES) -> DataFrame:
     groups = base.groupBy(*fp).agg(F.count("*").alias("n"), F.max("doc_id").alias("head")).where("n > 1")
     # Compare members with the head of their group chunk by chunk. A skewed group is split by the join.
     members = full.join(groups, fp).select(*fp, "doc_id", "head", "text_sha256", F.explode(_chunks("text", CHUNK)).alias("c")).select(*fp, "doc_id", "head", "text_sha256", "c.no", "c.chunk")
+    members = scratch(members, "members")  # what groups hold, so that texts are shuffled once
     heads = members.where(F.col("doc_id").eqNullSafe(F.col("head"))).groupBy(*fp, "no").agg(F.min_by("chunk", "text_sha256").alias("head_chunk"))
     checked = members.join(heads, [*fp, "no"], "left").groupBy(*fp, "doc_id", "text_sha256").agg(F.bool_and(F.coalesce(F.col("chunk") == F.col("head_chunk"), F.lit(False))).alias("same"))
     odd = checked.where(~F.col("same")).select(*fp, "doc_id", F.col("text_sha256").alias("class")).distinct()
