@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from .common import BASE, mix, span_hashes, word_spans
 
 BITS = 18
-#: Labelled rows of each class that the linear model is fitted to, at most.
-SAMPLE = 3000
+#: Labelled rows of each class that the linear model is fitted to, at most, and the features that one of them may have: together a
+#: bound of what comes to the driver (200 MB). Longer texts count in the ratios and are scored like others.
+SAMPLE, SAMPLE_FEATURES = 3000, 8192
 #: Rows of labels up to which they are broadcast (about 16 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 THRESHOLD = 0.3
@@ -142,7 +143,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
 
     def pick(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(t.as_py()).astype(np.int32).tobytes() for t in b.column(0)], pa.binary()), b.column(1), b.column(2)], ["f", "label", "doc_id"])
+            own = [features(t.as_py()).astype(np.int32) for t in b.column(0)]
+            cells = pa.array([x.tobytes() for x in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([cells, b.column(1), b.column(2)], ["f", "label", "doc_id"]).filter(pa.array([len(x) <= SAMPLE_FEATURES for x in own], pa.bool_()))
 
     got = plain.join(F.broadcast(chosen), "doc_id").select("text", "label", "doc_id").mapInArrow(pick, "f binary, label int, doc_id long").collect()
     got.sort(key=lambda r: (r["doc_id"], r["f"]))
