@@ -92,6 +92,27 @@ def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
     return np.unique(mix(total))
 
 
+class Kept(dict):
+    """A dictionary of bounded size: when it holds most keys it starts anew, and takes over from the one before what is asked for again,
+    so frequent keys stay."""
+
+    def __init__(self, most: int):
+        self.most, self.old = most, {}
+
+    def turn(self) -> None:
+        """Start anew if it is full."""
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+    def unknown(self, keys: set) -> set:
+        """The keys that are neither here nor in the one before. Those of the one before are here afterwards."""
+        new = keys - self.keys()
+        again = new & self.old.keys()
+        self.update((k, self.old[k]) for k in again)
+        return new - again
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of the edges (a, b): rows (id, component), component being the smallest id in it.
 

@@ -23,10 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Kept
+
 SIZE, END = 4096, 2
 GROUP_CHARS = 4_000_000
-#: Words whose ids a task keeps. When there are more, it starts anew.
-KEPT_WORDS = 400_000
+#: Words whose ids a process keeps (twice as many at most, about 150 bytes each).
+KEPT_WORDS = 500_000
 
 #: Fixed value: the split pattern of the public vocabulary file word_bpe_49k.json, for text in lower case.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -39,19 +41,27 @@ class Words:
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.t, self.known = Tokenizer.from_file(vocabulary), {}
-
-    def _learn(self, new: list[str]) -> None:
-        parts = [WORD.findall(w) for w in new]
-        flat = list({p for x in parts for p in x})
-        e = self.t.encode(" ".join(flat), add_special_tokens=False)
-        ids = np.array(e.ids, np.uint16).tobytes()
-        at = np.searchsorted(np.array([x for x in e.word_ids], np.int64), np.arange(len(flat) + 1)).tolist()
-        own = {w: ids[2 * at[i] : 2 * at[i + 1]] for i, w in enumerate(flat)}
-        for w, x in zip(new, parts):
-            self.known[w] = b"".join([own[p] for p in x])
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.t, self.known = Tokenizer.from_file(vocabulary), Kept(KEPT_WORDS)
+        # The same merges for words that are normalised and split already.
+        self.words = Tokenizer.from_file(vocabulary)
+        self.words.normalizer = normalizers.Sequence([])
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.t.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # each word has one piece, its last, that says so
+        self.ends[[i for p, i in vocab.items() if p.endswith("</w>")]] = True
+
+    def _learn(self, new: set[str]) -> None:
+        mixed = [(w, WORD.findall(w)) for w in new if not w.isalpha()]
+        flat = list(self.known.unknown({p for _, x in mixed for p in x}).union(filter(str.isalpha, new)))
+        ids = np.array(self.words.encode_batch_fast([" ".join(flat)], add_special_tokens=False)[0].ids, np.uint16)
+        at = (2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        ids = ids.tobytes()
+        self.known.update(zip(flat, map(ids.__getitem__, map(slice, [0, *at], at))))  # a word without its signs is met again with others
+        get = self.known.__getitem__
+        for w, x in mixed:
+            self.known[w] = b"".join(map(get, x))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian 16-bit numbers."""
@@ -61,15 +71,24 @@ class Words:
                 split.append(None)
                 continue
             split.append((t if unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)).lower().split())
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        new = set().union(*(x for x in split if x)) - self.known.keys()
-        if new:
-            self._learn(list(new))
+        self.known.turn()
+        asked = set().union(*(x for x in split if x))
+        if new := self.known.unknown(asked):
+            self._learn(new)
         get = self.known.__getitem__
         return [np.array(self.t.encode(t, add_special_tokens=False).ids, np.uint16).tobytes() if x is None else b"".join(map(get, x)) for t, x in zip(texts, split)]
 
 
+_words: dict[str, Words] = {}
+
+
+def words_of(vocabulary: str) -> Words:
+    """One for each worker process, so that tasks find the words of those before them."""
+    if vocabulary not in _words:
+        _words[vocabulary] = Words(vocabulary)
+    return _words[vocabulary]
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -146,7 +165,7 @@ def _cut(vocabulary: str, size: int, end: int):
     """Rows of full sequences (without ids) and of rests (with them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(vocabulary)
+        words = words_of(vocabulary)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1)
             for i in range(0, len(ids), 512):
