@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Kept
+
 MARK = "▁"
 LONG, KEPT_WORDS, BATCH_CHARS = 48, 400_000, 4_000_000
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -55,7 +57,7 @@ class Pieces:
         self.rank_of = np.zeros(n, np.int64)
         for _, i, s in self.usual:
             self.rank_of[i] = rank[s]
-        self.known: dict[str, bytes] = {}
+        self.known = Kept(KEPT_WORDS)
 
     def _edges(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Keys (position * 64 + length) of all occurrences of pieces, rising, and the pieces' ids."""
@@ -177,9 +179,8 @@ class Pieces:
                 words.append(WORD.findall(MARK + t.replace(" ", MARK)) if t else [])
             else:
                 words.append([MARK + w for w in t.split(" ")] if t else [])
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        new = sorted(set().union(*words) - self.known.keys())
+        self.known.turn()
+        new = sorted(self.known.unknown(set().union(*words)))
         for w in [w for w in new if "\0" in w]:
             self._with_zero(w)
             new.remove(w)
@@ -219,6 +220,16 @@ class Pieces:
         return text[1:] if text[:1] == " " else text
 
 
+_pieces: dict[str, Pieces] = {}
+
+
+def pieces_of(model_file: str) -> Pieces:
+    """One for each worker process, so that tasks find the words of those before them."""
+    if model_file not in _pieces:
+        _pieces[model_file] = Pieces(model_file)
+    return _pieces[model_file]
+
+
 def _with_column(df: DataFrame, name: str, kind: str, arrow, run) -> DataFrame:
     """df with a column more, made from batches by run(batch)."""
 
@@ -231,24 +242,16 @@ def _with_column(df: DataFrame, name: str, kind: str, arrow, run) -> DataFrame:
 
 def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with a column of piece ids."""
-    held: list[Pieces] = []
-
     def run(b: pa.RecordBatch):
-        if not held:
-            held.append(Pieces(model_file))
-        return held[0].encode(b.column(b.schema.get_field_index(text)).to_pylist())
+        return pieces_of(model_file).encode(b.column(b.schema.get_field_index(text)).to_pylist())
 
     return _with_column(docs.drop(ids), ids, "array<int>", pa.list_(pa.int32()), run)
 
 
 def decode(docs: DataFrame, model_file: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """docs with a column of the text that the ids stand for."""
-    held: list[Pieces] = []
-
     def run(b: pa.RecordBatch):
-        if not held:
-            held.append(Pieces(model_file))
-        lists = b.column(b.schema.get_field_index(ids))
-        return [held[0].decode(x.as_py() or ()) for x in lists]
+        own, lists = pieces_of(model_file), b.column(b.schema.get_field_index(ids))
+        return [own.decode(x.as_py() or ()) for x in lists]
 
     return _with_column(docs.drop(text), text, "string", pa.string(), run)
