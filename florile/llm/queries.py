@@ -80,3 +80,42 @@ FROM lines LEFT JOIN shared USING (k) GROUP BY doc_id""",
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
 }
+
+
+_REACH = """, reach(a, b) AS (SELECT id, id FROM nodes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+part AS (SELECT a AS id, min(b) AS low FROM reach GROUP BY 1), degree AS (SELECT a AS id, count(*) AS n FROM links GROUP BY 1)"""
+
+ORACLE["op1_ngram_jaccard_join"] = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x00-\\x20]+'), lambda w: w <> '') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, greatest(1, len(w) - 4)), lambda i: hash(w[i : i + 4]))) AS s FROM words WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE k >= 0.8 * (x.n + y.n - k)),
+nodes AS (SELECT doc_id AS id FROM documents){_REACH}
+SELECT id AS doc_id, low AS class_id, coalesce(n, 0)::BIGINT AS n_links, id = low AS kept FROM part LEFT JOIN degree USING (id)"""
+
+ORACLE["op7_embedding_dedup"] = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+nodes AS (SELECT vec_id AS id FROM embeddings){_REACH}
+SELECT id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, low AS component_id, id = low AS kept FROM part LEFT JOIN degree USING (id)"""
+
+_TEMPLATES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.TEMPLATES)
+_GRAMS = """CASE WHEN len(w) > 1 THEN list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END"""
+_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+ORACLE["op10_license_scan"] = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), runs AS (
+  SELECT *, sum((trim(x, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) = '')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM lines
+), paragraphs AS (
+  SELECT doc_id, min(i) AS i, count(*) AS n, string_agg(x, chr(10) ORDER BY i) AS x FROM runs WHERE trim(x, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) <> '' GROUP BY doc_id, g
+), units AS (
+  SELECT doc_id, i, x FROM lines WHERE x <> '' UNION ALL SELECT doc_id, i, x FROM paragraphs WHERE n > 1
+  UNION ALL SELECT doc_id, 0, text FROM documents WHERE doc_id IN (SELECT doc_id FROM paragraphs GROUP BY 1 HAVING count(*) > 1)
+), sets AS (SELECT doc_id, i, {_GRAMS} AS b FROM (SELECT *, {_WORDS.format('x')} AS w FROM units) WHERE len(w) >= 1),
+templates AS (SELECT name, {_GRAMS} AS t FROM (SELECT name, {_WORDS.format('body')} AS w FROM (VALUES {_TEMPLATES}) AS v(name, body))),
+found AS (SELECT doc_id, i, name, max(2.0::DOUBLE * len(list_intersect(b, t)) / (len(b) + len(t))) AS dice FROM sets JOIN templates ON len(b) BETWEEN 0.666 * len(t) AND 1.501 * len(t) GROUP BY doc_id, i, name, b)
+SELECT doc_id, name AS license_id, count(*) AS n_units, round(max(dice), 9) AS best_dice, arg_min(i, (-dice, i))::BIGINT AS best_line FROM found WHERE dice >= 0.8 GROUP BY 1, 2"""
