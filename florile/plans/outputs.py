@@ -139,7 +139,7 @@ _CELL = "CASE WHEN regexp_matches({0}, '[,\"\\n]') THEN '\"' || replace({0}, '\"
 _XML = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 _NAME = "p_name || ' <&>'"
 _C = "(SELECT * FROM conversations WHERE conv_id IS NOT NULL)"
-_FORMATS = ", ".join(f"('{a}', {str(b).lower()}, {str(c).lower()}, {i})" for i, (a, b, c) in enumerate(files.FORMATS))
+_FORMATS = ", ".join(f"('{f[0]}', {str(f[7]).lower()}, {str(f[2]).lower()}, {i})" for i, f in enumerate(files.FORMATS))
 ORACLE = {
     "csv_line": f"SELECT conv_id, turn, sha256(conv_id || ',' || {_CELL.format('role')} || ',' || {_CELL.format('text')}) AS line FROM {_C}",
     "export_flat": "SELECT p_partkey::VARCHAR AS p_partkey, replace(p_name, ' ', '; ') AS words, CASE WHEN p_size > 20 THEN '1' ELSE '' END AS large, p_brand AS custom_brand, '' AS custom_other FROM part",

@@ -9,17 +9,43 @@ from pyspark.sql import functions as F
 
 from ..functions.text import extension_of, folder_of, name_of
 
-#: Containers by extension, with whether the codec loses nothing and whether tags can be written.
+#: Containers, and whether tags can be read and written, images, chapters, lyrics and several values of a field be
+#: stored, and the codec loses nothing.
 FORMATS = (
-    ("mp3", False, True), ("aac", False, True), ("m4a", False, True), ("mp4", False, True), ("alac", True, True), ("flac", True, True), ("ogg", False, True), ("oga", False, True), ("opus", False, True),
-    ("spx", False, True), ("wav", True, True), ("aiff", True, False), ("aif", True, False), ("ape", True, True), ("mpc", False, True), ("wv", True, True), ("ofr", True, True), ("tak", True, True),
-    ("tta", True, True), ("wma", False, False), ("asf", False, False), ("dsf", True, False), ("dff", True, False), ("mka", False, False), ("ra", False, False),
-)
+    ("mp3", True, True, True, True, True, True, False),
+    ("aac", True, True, False, False, True, False, False),
+    ("m4a", True, True, True, True, True, True, False),
+    ("m4b", True, True, True, True, True, True, False),
+    ("mp4", True, True, True, True, True, True, False),
+    ("ogg", True, True, True, False, True, True, False),
+    ("opus", True, True, True, False, True, True, False),
+    ("spx", True, True, True, False, False, True, False),
+    ("flac", True, True, True, False, True, True, True),
+    ("alac", True, True, True, True, True, True, True),
+    ("wav", True, True, False, False, False, False, True),
+    ("aiff", True, False, False, False, False, False, True),
+    ("aif", True, False, False, False, False, False, True),
+    ("aifc", True, False, False, False, False, False, True),
+    ("ape", True, True, True, False, False, False, True),
+    ("wma", True, False, True, False, False, False, False),
+    ("mpc", True, True, True, False, False, True, False),
+    ("wv", True, True, True, False, False, True, True),
+    ("tta", True, True, True, False, False, True, True),
+    ("tak", True, False, True, False, False, False, True),
+    ("ofr", True, True, True, False, False, True, True),
+    ("ofs", True, True, True, False, False, True, True),
+    ("wvp", True, True, True, False, False, True, True),
+    ("mkv", False, False, False, True, False, False, False),
+    ("mka", False, False, False, False, False, False, False),
+    ("webm", False, False, False, False, False, False, False),
+    ("dsf", True, False, False, False, False, False, True),
+    ("dff", True, False, False, False, False, False, True),
+)
 
 
 def formats(spark: SparkSession) -> DataFrame:
-    """The dimension of formats: a fixed table of a few rows."""
-    return spark.createDataFrame(list(FORMATS), "format string, lossless boolean, writable boolean")
+    """The dimension of formats: a fixed table of 28 rows."""
+    return spark.createDataFrame(list(FORMATS), "format string, readable boolean, writable boolean, artwork boolean, chapters boolean, lyrics boolean, multi_value boolean, lossless boolean")
 
 
 def scan(spark: SparkSession, path: str, extensions: list[str] | None = None) -> DataFrame:
