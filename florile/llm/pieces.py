@@ -30,13 +30,15 @@ NONE = np.int64(1 << 40)
 
 
 def suffixes(code: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in the order of what follows them (depth symbols; 0 is below all), and those keys as byte strings."""
+    """Positions of letters in the order of what follows them (depth symbols; 0, which parts words, is below all), and those keys as byte strings."""
+    wide = code.dtype.itemsize
     padded = np.concatenate([code, np.zeros(depth, code.dtype)])
-    keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, depth)[: len(code)])
+    at = np.flatnonzero(code)
+    keys = np.lib.stride_tricks.sliding_window_view(padded, depth)[at]
     # Big-endian words sort like the bytes they are made of.
-    words = keys.astype(">u2").view(np.uint8).reshape(len(code), 2 * depth).view(">u8").astype(np.uint64)
-    order = np.lexsort(words.T[::-1])
-    return order, keys[order].astype(">u2").view(f"S{2 * depth}").ravel()
+    raw = keys.astype(f">u{wide}").view(np.uint8).reshape(len(at), wide * depth)
+    order = np.lexsort(raw.view(">u8").astype(np.uint64).T[::-1])
+    return at[order], raw[order].view(f"S{wide * depth}").ravel()
 
 
 class Pieces:
@@ -63,27 +65,29 @@ class Pieces:
         """Keys (position * 64 + length) of all occurrences of pieces, rising, and the pieces' ids."""
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         letters = np.unique(points[points != 0])
-        code = (np.searchsorted(letters, points) + 1).astype(np.uint16) if len(letters) < 65000 else np.zeros(len(points), np.uint16)
-        code[points == 0] = 0
+        wide = 1 if len(letters) < 255 else 2 if len(letters) < 65_535 else 4
+        table = np.zeros(int(letters[-1]) + 1 if len(letters) else 1, f"u{wide}")
+        table[letters] = np.arange(1, len(letters) + 1)
+        code = table[points]
         place = {chr(c): k + 1 for k, c in enumerate(letters) if not 0xD800 <= c < 0xE000}
         fits = [(p, i) for p, i, _ in self.usual if all(c in place for c in p)]
         if not fits:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         order, keys = suffixes(code, self.depth)
-        low = np.zeros((len(fits), self.depth), ">u2")
-        high = np.full((len(fits), self.depth), 0xFFFF, ">u2")
+        low = np.zeros((len(fits), self.depth), f">u{wide}")
+        high = np.full((len(fits), self.depth), 256**wide - 1, f">u{wide}")
         lens = np.array([len(p) for p, _ in fits])
-        flat = np.array([place[c] for p, _ in fits for c in p], np.uint16)
+        flat = np.array([place[c] for p, _ in fits for c in p])
         r = np.repeat(np.arange(len(fits)), lens)
         c = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
         low[r, c] = high[r, c] = flat
-        kind = f"S{2 * self.depth}"
+        kind = f"S{wide * self.depth}"
         first, last = np.searchsorted(keys, low.view(kind).ravel(), "left"), np.searchsorted(keys, high.view(kind).ravel(), "right")
         n = last - first
         which = np.repeat(np.arange(len(fits)), n)
         at = order[np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         key = at * 64 + lens[which]
-        rise = np.argsort(key, kind="stable")
+        rise = np.argsort(key)  # no two edges have the same place and length
         return key[rise], np.array([i for _, i in fits])[which[rise]]
 
     def _learn(self, new: list[str]) -> None:
@@ -136,14 +140,15 @@ class Pieces:
         own = owner[s]
         end = np.where(np.append(own[1:] == own[:-1], False), np.append(s[1:], 0), start[own] + sizes[own])
         got = look(s, end - s)
-        out: list[list[int]] = [[] for _ in new]
-        for w, i, a, b in zip(own.tolist(), got.tolist(), s.tolist(), end.tolist()):
-            if i >= 0:
-                out[w].append(i)
-            else:
-                out[w] += [self.byte.get(x, self.unknown) for x in text[a:b].encode("utf-8", "surrogatepass")]
-        for w, x in zip(new, out):
-            self.known[w] = np.array(x, np.int32).tobytes()
+        size = np.ones(len(got), np.int64)
+        odd = np.flatnonzero(got < 0)  # characters of no piece become bytes
+        spelt = [[self.byte.get(x, self.unknown) for x in text[s[i] : end[i]].encode("utf-8", "surrogatepass")] for i in odd]
+        size[odd] = [len(x) for x in spelt]
+        flat = np.repeat(got, size).astype(np.int32)
+        for i, x in zip((np.cumsum(size) - size)[odd], spelt):
+            flat[i : i + len(x)] = x
+        cut = (4 * np.cumsum(np.bincount(own, size, len(new)).astype(np.int64))).tolist()
+        self.known.update(zip(new, map(flat.tobytes().__getitem__, map(slice, [0, *cut], cut))))
 
     def _heap(self, start: int, size: int, begins: np.ndarray, look) -> None:
         """The same relaxation for one long word."""
@@ -180,10 +185,11 @@ class Pieces:
             else:
                 words.append([MARK + w for w in t.split(" ")] if t else [])
         self.known.turn()
-        new = sorted(self.known.unknown(set().union(*words)))
-        for w in [w for w in new if "\0" in w]:
+        asked = self.known.unknown(set().union(*words))
+        for w in [w for w in asked if "\0" in w]:
             self._with_zero(w)
-            new.remove(w)
+            asked.remove(w)
+        new = list(asked)
         part, size = [], 0
         for w in new:
             part.append(w)
