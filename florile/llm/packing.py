@@ -10,6 +10,7 @@ Defined results: a null text is an empty one, which is one piece of the end id a
 rows repeat or a doc_id is null; other columns are ignored; an empty table gives no pieces.
 """
 
+import json
 import os
 import re
 import unicodedata
@@ -41,12 +42,13 @@ class Words:
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.t, self.known = Tokenizer.from_file(vocabulary), Kept(KEPT_WORDS)
-        # The same merges for words that are normalised and split already.
-        self.words = Tokenizer.from_file(vocabulary)
-        self.words.normalizer = normalizers.Sequence([])
+        # The same merges for words that are normalised and split already; as each comes once, a cache there would only cost.
+        m = json.loads(self.t.to_str())["model"]
+        merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in m["merges"]]
+        self.words = Tokenizer(models.BPE(m["vocab"], merges, cache_capacity=0, end_of_word_suffix=m["end_of_word_suffix"]))
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.t.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # each word has one piece, its last, that says so
