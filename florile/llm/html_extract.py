@@ -34,10 +34,12 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 #: Words in a class, id or role that say an element is not the article.
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|"
-    r"comment|comments|commentlist|reply|replies|respond|disqus|discussion|sidebar|side|aside|rail|widget|widgets|menu|menus|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|foot|masthead|"
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertisements|advertising|adbox|adslot|adsense|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|privacy|disclaimer|announcement|paywall|notice|notices|notification|alert|alerts|popup|modal|overlay|toast|"
+    r"comment|comments|commentlist|usercomments|reply|replies|respond|responses|disqus|discussion|sidebar|side|aside|rail|widget|widgets|menu|menus|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|foot|masthead|"
     r"share|sharing|social|related|recommended|recommendations|teaser|newsletter|subscribe|subscription|signup|login|search|pagination|pager|tags|toolbar|hidden|contentinfo|complementary|site-header|page-header|topbar)(?:$|[\s_-])"
 )
+#: Names of layouts that say what stands beside the article, not what the element is.
+LAYOUT = re.compile(r"(?:has|with|no|without)[_-][\w-]+")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*+)>", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -121,8 +123,9 @@ def blocks(page: str) -> list[Block]:
             continue
         up = stack[-1] if stack else ("", False, False, False, False)
         named = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(m[3])).lower() if "=" in m[3] else ""
+        named = LAYOUT.sub(" ", named)
         article = up[3] or name in ("article", "main") or "articlebody" in named
-        around = up[2] or name in AROUND or (name == "header" and not up[3]) or (bool(named) and name not in ("html", "body") and NAMES.search(named) is not None)
+        around = up[2] or name in AROUND or (not up[3] and (name == "header" or "header" in named.split())) or (bool(named) and name not in ("html", "body") and NAMES.search(named) is not None)
         stack.append((name, up[1] or name in UNSEEN or HIDDEN.search(m[3]) is not None, around, article, up[4] or name == "a"))
     say(page[at:])
     pop(0)
