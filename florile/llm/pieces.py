@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import Kept
 
 MARK = "▁"
-LONG, KEPT_WORDS, BATCH_CHARS = 48, 400_000, 4_000_000
+#: Longest word that is relaxed in rounds; words that a process keeps (twice as many at most); characters that are encoded at once.
+LONG, KEPT_WORDS, BATCH_CHARS = 48, 200_000, 1_000_000
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 NONE = np.int64(1 << 40)
 
@@ -53,12 +54,13 @@ class Pieces:
         self.control = {i for i in range(n) if m.is_control(i)}
         self.unknown = m.unk_id()
         usual = [i for i in range(n) if not (m.is_byte(i) or i in self.control or m.is_unknown(i) or m.is_unused(i))]
-        self.usual = [(self.names[i], i, m.get_score(i)) for i in usual]
-        self.depth = -(-max(len(p) for p, _, _ in self.usual) // 4) * 4
-        rank = {s: k for k, s in enumerate(sorted({s for _, _, s in self.usual}, reverse=True))}
+        self.ids, self.lens = np.array(usual), np.array([len(self.names[i]) for i in usual])
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.points = np.frombuffer("".join(self.names[i] for i in usual).encode("utf-32-le"), np.uint32)
+        self.depth = -(-int(self.lens.max()) // 8) * 8
+        scores = np.array([m.get_score(i) for i in usual])
         self.rank_of = np.zeros(n, np.int64)
-        for _, i, s in self.usual:
-            self.rank_of[i] = rank[s]
+        self.rank_of[self.ids] = np.unique(-scores, return_inverse=True)[1]
         self.known = Kept(KEPT_WORDS)
 
     def _edges(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -69,26 +71,25 @@ class Pieces:
         table = np.zeros(int(letters[-1]) + 1 if len(letters) else 1, f"u{wide}")
         table[letters] = np.arange(1, len(letters) + 1)
         code = table[points]
-        place = {chr(c): k + 1 for k, c in enumerate(letters) if not 0xD800 <= c < 0xE000}
-        fits = [(p, i) for p, i, _ in self.usual if all(c in place for c in p)]
-        if not fits:
+        own = np.where(self.points < len(table), table[np.minimum(self.points, len(table) - 1)], 0)
+        fits = np.minimum.reduceat(own, self.starts) > 0
+        if not fits.any():
             return np.empty(0, np.int64), np.empty(0, np.int64)
         order, keys = suffixes(code, self.depth)
-        low = np.zeros((len(fits), self.depth), f">u{wide}")
-        high = np.full((len(fits), self.depth), 256**wide - 1, f">u{wide}")
-        lens = np.array([len(p) for p, _ in fits])
-        flat = np.array([place[c] for p, _ in fits for c in p])
-        r = np.repeat(np.arange(len(fits)), lens)
-        c = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
-        low[r, c] = high[r, c] = flat
+        lens, ids = self.lens[fits], self.ids[fits]
+        low = np.zeros((len(lens), self.depth), f">u{wide}")
+        high = np.full((len(lens), self.depth), 256**wide - 1, f">u{wide}")
+        r = np.repeat(np.arange(len(lens)), lens)
+        c = np.arange(len(r)) - np.repeat(np.cumsum(lens) - lens, lens)
+        low[r, c] = high[r, c] = own[np.repeat(fits, self.lens)]
         kind = f"S{wide * self.depth}"
         first, last = np.searchsorted(keys, low.view(kind).ravel(), "left"), np.searchsorted(keys, high.view(kind).ravel(), "right")
         n = last - first
-        which = np.repeat(np.arange(len(fits)), n)
+        which = np.repeat(np.arange(len(lens)), n)
         at = order[np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         key = at * 64 + lens[which]
         rise = np.argsort(key)  # no two edges have the same place and length
-        return key[rise], np.array([i for _, i in fits])[which[rise]]
+        return key[rise], ids[which[rise]]
 
     def _learn(self, new: list[str]) -> None:
         text = "\0".join(new) + "\0"
@@ -177,9 +178,18 @@ class Pieces:
                         heapq.heappush(heap, (int(self.rank_of[f]), a, m))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        out, part, size = [], [], 0
+        for t in texts:
+            part.append(t or "")
+            size += len(part[-1])
+            if size > BATCH_CHARS:
+                out += self._encode(part)
+                part, size = [], 0
+        return out + self._encode(part)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         words = []
         for t in texts:
-            t = t or ""
             if MARK in t or "\0" in t or "  " in t or t[:1] == " " or t[-1:] == " ":
                 words.append(WORD.findall(MARK + t.replace(" ", MARK)) if t else [])
             else:
@@ -189,9 +199,8 @@ class Pieces:
         for w in [w for w in asked if "\0" in w]:
             self._with_zero(w)
             asked.remove(w)
-        new = list(asked)
         part, size = [], 0
-        for w in new:
+        for w in asked:
             part.append(w)
             size += len(w) + 1
             if size > BATCH_CHARS:
