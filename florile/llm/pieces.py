@@ -52,6 +52,8 @@ class Pieces:
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.names) if m.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte.items()}
         self.control = {i for i in range(n) if m.is_control(i)}
+        self.is_byte = np.array([m.is_byte(i) for i in range(n)])
+        self.shown = ["" if i in self.control or self.is_byte[i] else p.replace(MARK, " ") for i, p in enumerate(self.names)]
         self.unknown = m.unk_id()
         usual = [i for i in range(n) if not (m.is_byte(i) or i in self.control or m.is_unknown(i) or m.is_unused(i))]
         self.ids, self.lens = np.array(usual), np.array([len(self.names[i]) for i in usual])
@@ -218,20 +220,12 @@ class Pieces:
         zero = np.array([self.byte.get(0, self.unknown)], np.int32).tobytes()
         self.known[word] = zero.join(self.known[p] if p else b"" for p in parts)
 
-    def decode(self, ids) -> str:
-        out, run = [], bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is not None:
-                run.append(b)
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run = bytearray()
-            if i not in self.control:
-                out.append(self.names[i])
-        out.append(run.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
+    def decode(self, ids: np.ndarray) -> str:
+        shown = list(map(self.shown.__getitem__, ids.tolist()))
+        at = np.flatnonzero(self.is_byte[ids])
+        for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else ():  # bytes in a row are one text
+            shown[run[0]] = bytes(self.byte_of[i] for i in ids[run].tolist()).decode("utf-8", "replace")
+        text = "".join(shown)
         return text[1:] if text[:1] == " " else text
 
 
@@ -267,6 +261,7 @@ def decode(docs: DataFrame, model_file: str, ids: str = "ids", text: str = "deco
     """docs with a column of the text that the ids stand for."""
     def run(b: pa.RecordBatch):
         own, lists = pieces_of(model_file), b.column(b.schema.get_field_index(ids))
-        return [own.decode(x.as_py() or ()) for x in lists]
+        values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+        return [own.decode(values[i:j]) for i, j in zip(offsets, offsets[1:])]
 
     return _with_column(docs.drop(text), text, "string", pa.string(), run)
