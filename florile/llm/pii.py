@@ -4,7 +4,7 @@ Patterns find protected entities (addresses of mail and hosts, card and phone nu
 WINDOW characters of an entity are its context. Over the whole corpus, the pointwise mutual information of a term and an entity,
 log(N * n(term, entity) / (n(term) * n(entity))), says how many of the log(N / n(entity)) bits that single the entity out the term
 gives away. Terms that give away DISCLOSES of them or more are generalised near that entity, those from REVEALS on are removed,
-if SUPPORT different texts or more show the pair (copies of a text are evidence once).
+if SUPPORT different texts or more show the pair. All four counts are of different texts: copies of a text are evidence once.
 
 Positions are code points. Each kind is matched leftmost and without overlaps; a match that fails its test is dropped. The patterns
 are written so that each start of a run is tried once and runs are not given back, so very long runs take linear time; the
@@ -98,7 +98,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     seen = pairs.groupBy("entity", "term", "digest").agg(F.count("*")).groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(f"n_both >= {SUPPORT}")
     # share >= DISCLOSES means n_term <= n_both * (n / n_entity) ** (1 - DISCLOSES). The texts that show a term in a context are a lower
     # bound of n_term, which rules out common terms before the corpus is searched for them.
-    n = found.count()
+    n = found.select("digest").distinct().count()
     entities = found.where("size(base) > 0").select("digest", F.explode("base.entity").alias("entity")).groupBy("entity", "digest").agg(F.count("*"))
     n_entity = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
     in_context = pairs.groupBy("term", "digest").agg(F.count("*")).groupBy("term").agg(F.count("*").alias("least"))
@@ -109,8 +109,8 @@ def find_spans(docs: DataFrame) -> DataFrame:
     disclosing = seen.select("entity", "term", F.lit(0.0).alias("share")).limit(0)
     if n_terms:
         terms = F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms
-        words = d.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}+"), F.lit(0)), lambda w: F.xxhash64(w)))).alias("term"))
-        n_term = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+        words = d.select("digest", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}+"), F.lit(0)), lambda w: F.xxhash64(w)))).alias("term"))
+        n_term = words.join(terms, "term", "left_semi").groupBy("term", "digest").agg(F.count("*")).groupBy("term").agg(F.count("*").alias("n_term"))
         bits = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
         share = F.try_divide(bits, F.log2(F.lit(float(n)) / F.col("n_entity")))
         disclosing = seen.join(n_term, "term").select("entity", "term", share.alias("share")).where(f"share >= {DISCLOSES}")

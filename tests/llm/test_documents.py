@@ -210,6 +210,17 @@ def test_pii_terms(spark):
     assert all(new[i]["text"] == t for i, t in rows[:300]) and new[1000]["n_chars"] == len(new[1000]["text"])
 
 
+def test_pii_counts_copies_once(spark):
+    """Copies of a text change nothing: not the count of texts, and not the count of a term."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 30)) for i in range(300)]
+    rows += [(1000 + i, f"{prose(rng, 12)} the Zanzibar of jo@example.org and {prose(rng, 12)}") for i in range(3)]
+    once = {r["doc_id"]: r["spans"] for r in pii.summary(documents(spark, rows)).collect()}
+    copies = pii.summary(documents(spark, rows + [(5000 + i, rows[300][1]) for i in range(200)])).collect()
+    assert "term" in once[1000] and {r["doc_id"]: r["spans"] for r in copies if r["doc_id"] < 5000} == once
+    assert all(r["spans"] == once[1000] for r in copies if r["doc_id"] >= 5000)
+
+
 def test_pii_stage(spark):
     out = pii.sanitise(documents(spark))
     assert out.columns == COLUMNS and out.count() == len(texts())
