@@ -1,10 +1,13 @@
 """PII by information-theoretic sanitisation, in DataFrame functions only.
 
-Patterns find protected entities (addresses of mail and hosts, card and phone numbers). The terms (runs of letters) that stand within
-WINDOW characters of an entity are its context. Over the whole corpus, the pointwise mutual information of a term and an entity,
-log(N * n(term, entity) / (n(term) * n(entity))), says how many of the log(N / n(entity)) bits that single the entity out the term
-gives away. Terms that give away DISCLOSES of them or more are generalised near that entity, those from REVEALS on are removed,
-if SUPPORT different texts or more show the pair. All four counts are of different texts: copies of a text are evidence once.
+Patterns find protected entities (addresses of mail and hosts, card and phone numbers). The terms (runs of three letters or more) of a
+text that holds an entity are its context. An entity counts as its exact value and as coarser values (mail domain and local name,
+networks of an address, leading digits of a number), so values that stand in one text each have evidence in common. Over the whole
+corpus, the pointwise mutual information of a term and a value, log(P(value | term) / P(value)), says how many of the
+log(N / n(value)) bits that single the value out the term gives away. P(value | term) is smoothed: PRIOR more texts with the
+term are assumed that hold the value as often as all texts do. Terms that give away DISCLOSES of the bits or more are generalised
+wherever they stand in a text with the value, those from REVEALS on are removed. All counts are of different texts: copies of a
+text are evidence once.
 
 Positions are code points. Each kind is matched leftmost and without overlaps; a match that fails its test is dropped. The patterns
 are written so that each start of a run is tried once and runs are not given back, so very long runs take linear time; the
@@ -14,12 +17,12 @@ Defined results: a null text is an empty one, without spans; rows that repeat do
 are one id; other columns stay; an empty table gives an empty result.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch
 
-WINDOW, SUPPORT, DISCLOSES, REVEALS = 64, 3, 0.8, 0.95
+PRIOR, DISCLOSES, REVEALS = 2.0, 0.8, 0.95
 #: Terms (8 bytes each) up to which candidates are broadcast to the count of terms; beyond, they are joined by a shuffle.
 BROADCAST_TERMS = 500_000
 
@@ -29,8 +32,7 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM_BEFORE = r"(?<=\P{L})\p{L}{3,}+"
-TERM_AFTER = r"(?<!\p{L})\p{L}{3,}+(?=\P{L})"
+TERM = r"\p{L}{3,}+"
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 
 
@@ -70,54 +72,77 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(of_kind(k, *test) for k, test in enumerate(tests))))
 
 
-def context(text: Column, spans: Column) -> Column:
-    """An array of (entity, term, s, e): the terms around each span that touch no span themselves."""
-    padded = F.concat(F.lit(" "), text, F.lit(" "))  # the text's place p is p + 1 here
+def levels(entity: Column) -> Column:
+    """Hashes of the values that an entity counts as: its own and coarser ones, each with the name of its level."""
+    kind, value = F.substring_index(entity, ":", 1), F.regexp_replace(entity, "^[a-z]+:", "")
+    part = lambda name, c: F.concat(F.lit(name), c)
+    coarse = F.when(kind == "email", F.array(part("domain:", F.substring_index(value, "@", -1)), part("local:", F.substring_index(value, "@", 1))))
+    coarse = coarse.when(kind == "ip", F.array(part("net3:", F.substring_index(value, ".", 3)), part("net2:", F.substring_index(value, ".", 2))))
+    coarse = coarse.otherwise(F.array(F.concat(kind, F.lit("4:"), F.substring(value, 1, 4)), F.concat(kind, F.lit("6:"), F.substring(value, 1, 6))))
+    return F.transform(F.concat(F.array(entity), coarse), lambda x: F.xxhash64(x))
 
-    def around(x: Column) -> Column:
-        low = F.greatest(x["s"] + 1 - WINDOW, F.lit(0))
-        before = F.transform(finds(F.substring(padded, low + 1, x["s"] + 1 - low), TERM_BEFORE), lambda y: F.struct(x["entity"].alias("entity"), F.xxhash64(F.lower(y["m"])).alias("term"), (low + y["s"] - 1).alias("s"), (low + y["e"] - 1).alias("e")))
-        after = F.transform(finds(F.substring(padded, x["e"] + 2, F.lit(WINDOW)), TERM_AFTER), lambda y: F.struct(x["entity"].alias("entity"), F.xxhash64(F.lower(y["m"])).alias("term"), (x["e"] + y["s"]).alias("s"), (x["e"] + y["e"]).alias("e")))
-        return F.filter(F.concat(before, after), lambda y: ~F.exists(spans, lambda z: (y["s"] < z["e"]) & (z["s"] < y["e"])))
 
-    return F.flatten(F.transform(spans, around))
+def terms_of(text: Column) -> Column:
+    """Hashes of the different terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(F.lower(w))))
+
+
+def places(texts: DataFrame) -> DataFrame:
+    """(digest, term, s, e) of each term of texts (digest, text), outside the spans of base. Rows, so that long texts take linear time."""
+    hits, gaps = F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.split("text", TERM, -1)
+    steps = F.zip_with(gaps, hits, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("len"), F.xxhash64(F.lower(m)).alias("term")))
+    rows = texts.select("digest", "base", F.posexplode(steps).alias("i", "x")).where("x.len IS NOT NULL")
+    before = Window.partitionBy("digest").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("e", F.sum(F.col("x.gap") + F.col("x.len")).over(before).cast("int"))
+    rows = rows.select("digest", "base", "x.term", (F.col("e") - F.col("x.len")).alias("s"), "e")
+    return rows.where(~F.exists("base", lambda z: (F.col("s") < z["e"]) & (z["s"] < F.col("e")))).drop("base")
 
 
 def _row_key(df: DataFrame) -> DataFrame:
     return df.withColumns({"own_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "digest": F.xxhash64("text")})
 
 
+def _most(n: int, n_both: Column, n_key: Column) -> Column:
+    """The number of texts up to which a term that n_both texts share with a value of n_key texts can have a share of DISCLOSES."""
+    return (n_both + PRIOR * n_key / max(n, 1)) * F.pow(F.lit(float(n)) / n_key, F.lit(1 - DISCLOSES)) * (1 + 1e-9) - PRIOR
+
+
 def find_spans(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, own_id, digest, base (as base_spans) and extra, an array of (s, e, removed) of disclosing terms."""
     d = _row_key(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     found = d.withColumn("base", base_spans(F.col("text")))
-    found = found.withColumn("ctx", F.when(F.size("base") > 0, context(F.col("text"), F.col("base"))))
-    found = scratch(found.select("doc_id", "own_id", "digest", "base", "ctx"), "pii")
+    found = scratch(found.select("doc_id", "own_id", "digest", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "pii")
 
-    pairs = found.where("size(ctx) > 0").select("own_id", "digest", F.explode("ctx").alias("c")).select("own_id", "digest", "c.*")
-    seen = pairs.groupBy("entity", "term", "digest").agg(F.count("*")).groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(f"n_both >= {SUPPORT}")
-    # share >= DISCLOSES means n_term <= n_both * (n / n_entity) ** (1 - DISCLOSES). The texts that show a term in a context are a lower
-    # bound of n_term, which rules out common terms before the corpus is searched for them.
     n = found.select("digest").distinct().count()
-    entities = found.where("size(base) > 0").select("digest", F.explode("base.entity").alias("entity")).groupBy("entity", "digest").agg(F.count("*"))
-    n_entity = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    in_context = pairs.groupBy("term", "digest").agg(F.count("*")).groupBy("term").agg(F.count("*").alias("least"))
-    most = F.col("n_both") * F.pow(F.lit(float(n)) / F.col("n_entity"), F.lit(1 - DISCLOSES)) * (1 + 1e-9)
-    seen = scratch(seen.join(n_entity, "entity").join(in_context, "term").where(F.col("least") <= most), "pii-pairs")
+    held = scratch(found.where("size(base) > 0").groupBy("digest").agg(F.first(F.struct("text", "base")).alias("x")).select("digest", "x.*"), "pii-texts")
+    keys = held.select("digest", F.explode(F.array_distinct(F.flatten(F.transform("base.entity", levels)))).alias("key"))
+    keys = keys.join(keys.groupBy("key").agg(F.count("*").alias("n_key")), "key")
+    keys = scratch(keys.withColumn("most", _most(n, F.col("n_key"), F.col("n_key"))), "pii-keys")
+    # A term reaches DISCLOSES only if few enough texts hold it. The texts with entities that hold it are a lower bound of their number,
+    # which rules out common terms before they meet values, and before the corpus is searched for the others.
+    most = keys.agg(F.max("most")).first()[0] or 0.0
+    context = places(held).select("digest", "term").distinct()
+    least = context.groupBy("term").agg(F.count("*").alias("least")).where(F.col("least") <= most)
+    pairs = context.join(least, "term").join(keys, "digest").where("least <= most").select("digest", "term", "key", "n_key", "least")
+    pairs = scratch(pairs, "pii-pairs")
+    seen = pairs.groupBy("key", "term").agg(F.count("*").alias("n_both"), F.first("n_key").alias("n_key"), F.first("least").alias("least"))
+    seen = scratch(seen.where(F.col("least") <= _most(n, F.col("n_both"), F.col("n_key"))), "pii-seen")
     terms = seen.select("term").distinct()
     n_terms = terms.count()
-    disclosing = seen.select("entity", "term", F.lit(0.0).alias("share")).limit(0)
+    disclosing = seen.select("key", "term", F.lit(0.0).alias("share")).limit(0)
     if n_terms:
         terms = F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms
-        words = d.select("digest", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}+"), F.lit(0)), lambda w: F.xxhash64(w)))).alias("term"))
+        words = d.select("digest", F.explode(terms_of(F.col("text"))).alias("term"))
         n_term = words.join(terms, "term", "left_semi").groupBy("term", "digest").agg(F.count("*")).groupBy("term").agg(F.count("*").alias("n_term"))
-        bits = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-        share = F.try_divide(bits, F.log2(F.lit(float(n)) / F.col("n_entity")))
-        disclosing = seen.join(n_term, "term").select("entity", "term", share.alias("share")).where(f"share >= {DISCLOSES}")
-    extra = pairs.join(disclosing, ["entity", "term"]).groupBy("own_id", "digest", "s", "e").agg(F.max("share").alias("share"))
-    extra = extra.groupBy("own_id", "digest").agg(F.sort_array(F.collect_list(F.struct("s", "e", (F.col("share") >= REVEALS).alias("removed")))).alias("extra"))
+        given = (F.col("n_both") + PRIOR * F.col("n_key") / n) / (F.col("n_term") + PRIOR)
+        share = F.try_divide(F.log2(given * n / F.col("n_key")), F.log2(F.lit(float(n)) / F.col("n_key")))
+        disclosing = seen.join(n_term, "term").select("key", "term", share.alias("share")).where(f"share >= {DISCLOSES}")
+    hidden = pairs.join(disclosing, ["key", "term"]).groupBy("digest", "term").agg(F.max("share").alias("share"))
+    texts = held.join(hidden.select("digest").distinct(), "digest", "left_semi")
+    extra = places(texts).join(hidden, ["digest", "term"])
+    extra = extra.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("s", "e", (F.col("share") >= REVEALS).alias("removed")))).alias("extra"))
     none = F.array().cast("array<struct<s:int,e:int,removed:boolean>>")
-    return found.drop("ctx").join(extra, ["own_id", "digest"], "left").withColumn("extra", F.coalesce("extra", none))
+    return found.drop("text").join(extra, "digest", "left").select("doc_id", "own_id", "digest", "base", "extra").withColumn("extra", F.coalesce("extra", none))
 
 
 def shown(spans: Column) -> Column:

@@ -210,6 +210,15 @@ def test_pii_terms(spark):
     assert all(new[i]["text"] == t for i, t in rows[:300]) and new[1000]["n_chars"] == len(new[1000]["text"])
 
 
+def test_pii_coarse_and_far(spark):
+    """Values that stand in one text each show a term by their domain, and a term counts however far away it stands."""
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 30)) for i in range(300)]
+    rows += [(1000 + i, f"Zanzibar {prose(rng, 40)} p{i}@rare.example {prose(rng, 12)}") for i in range(4)]
+    spans = {r["doc_id"]: r["spans"] for r in pii.summary(documents(spark, rows)).collect()}
+    assert all("term:0:8" in spans[1000 + i] for i in range(4)) and not any("term" in spans[i] for i in range(300))
+
+
 def test_pii_counts_copies_once(spark):
     """Copies of a text change nothing: not the count of texts, and not the count of a term."""
     rng = random.Random(8)
