@@ -32,6 +32,38 @@ def benchmark_best(spark, sf_dir):
     return both.groupBy("item_id").agg(F.count("*").alias("n"), F.round(F.max(s), 6).alias("best"))
 
 
+SHINGLE = 5
+
+
+def benchmark_passages(spark, sf_dir):
+    """For each document and item that share a run of 5 words: the best score of a passage of the item's count of words against the whole item.
+
+    Words are those of the comparison form of whole texts (of all of it, for items of fewer than 5 words). Each shared run says where the
+    item would begin; the passage there is scored as a whole, so a passage inside a sentence is found wherever it stands.
+    """
+    words = lambda c: F.split(similar_form(c), " ")
+
+    def runs(df, id, k=SHINGLE):
+        size = F.size("w")
+        at = F.posexplode(F.transform(F.sequence(F.lit(0), size - k), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, k), " "))))
+        return df.where(size >= k).select(id, at.alias("i", "run"))
+
+    b = tables.read(spark, sf_dir, "benchmark").select("item_id", similar_form(F.col("text")).alias("item")).where("item <> ''").withColumn("w", F.split("item", " "))
+    d = tables.read(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("w"))
+    found = None
+    for k in range(1, SHINGLE + 1):  # an item of fewer words is one run of all of them
+        own = runs(b if k == SHINGLE else b.where(F.size("w") == k), "item_id", k).withColumnRenamed("i", "j")
+        if k < SHINGLE and own.isEmpty():
+            continue
+        hits = runs(d, "doc_id", k).join(F.broadcast(own), "run").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("start")).distinct()
+        found = hits if found is None else found.unionByName(hits)
+    both = found.join(F.broadcast(b.select("item_id", "item", F.size("w").alias("n"))), "item_id").join(d, "doc_id")
+    low = F.greatest("start", F.lit(0))
+    passage = F.array_join(F.slice("w", low + 1, F.col("start") + F.col("n") - low), " ")
+    scored = both.select("doc_id", "item_id", F.contains(passage, F.col("item")).alias("whole"), F.round(similarity(passage, F.col("item"), normal=True), 6).alias("score"))
+    return scored.groupBy("doc_id", "item_id").agg(F.max("score").alias("best"), F.max("whole").alias("whole"))
+
+
 def _scored(spark, sf_dir):
     """Orders matched to customers: the customer's key and segment stand for codes, its balance for a number."""
     o = tables.read(spark, sf_dir, "orders")
@@ -78,7 +110,7 @@ def release_track_lookup(spark, sf_dir):
     return releases.select("l_orderkey", found["position"].alias("position"), found["seconds"].alias("seconds"))
 
 
-QUERIES = {f.__name__: f for f in (similarity_pairs, similarity_form, benchmark_best, match_confidence, album_rollup, match_candidates, release_track_lookup)}
+QUERIES = {f.__name__: f for f in (similarity_pairs, similarity_form, benchmark_best, benchmark_passages, match_confidence, album_rollup, match_candidates, release_track_lookup)}
 
 _SIM = """CASE WHEN x = '' OR y = '' THEN 0 WHEN x = y THEN 1 ELSE greatest(0.7 * j + 0.3 * (1 - levenshtein(x, y) / greatest(length(x), length(y))), j) END"""
 _J = "(len(list_intersect(string_split(x, ' '), string_split(y, ' '))) / len(list_distinct(list_concat(string_split(x, ' '), string_split(y, ' ')))))"
