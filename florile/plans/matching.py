@@ -17,6 +17,24 @@ def similarity_pairs(spark, sf_dir):
     return both.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.round(s, 6).alias("score")).where("score >= 0.4")
 
 
+def similar_names(spark, sf_dir):
+    """Pairs of different names in comparison form within a brand, of any type and size, with a score of 0.4 or more, and the parts that have them.
+
+    One row for each pair of names (a, b), or name alone (b is null) that several parts have, and part: name a or b has it. A score of 0.4 needs
+    a word in common, as it is at most 0.3 without, so names are blocked on words, and a pair is scored in the first word that it shares.
+    """
+    p = tables.read(spark, sf_dir, "part").select("p_partkey", "p_brand", similar_form(F.col("p_name")).alias("form"))
+    names = p.select("p_brand", "form").distinct().where("form <> ''").withColumn("words", F.array_sort(F.array_distinct(F.split("form", " "))))
+    blocks = names.withColumn("word", F.explode("words"))
+    a, b = blocks.alias("a"), blocks.alias("b")
+    met = a.join(b, ["p_brand", "word"]).where("a.form < b.form").where(F.array_min(F.array_intersect("a.words", "b.words")) == F.col("word"))
+    s = F.round(similarity(F.col("a.form"), F.col("b.form"), normal=True), 6)
+    pairs = met.select("p_brand", F.col("a.form").alias("a"), F.col("b.form").alias("b"), s.alias("score")).where("score >= 0.4")
+    same = p.where("form <> ''").groupBy("p_brand", "form").agg(F.count("*").alias("n")).where("n > 1").select("p_brand", F.col("form").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(1.0).alias("score"))
+    sides = pairs.withColumn("form", F.explode(F.array("a", "b"))).unionByName(same.withColumn("form", F.col("a")))
+    return sides.join(p, ["p_brand", "form"]).select("p_brand", "a", "b", "score", "form", "p_partkey")
+
+
 def similarity_form(spark, sf_dir):
     d = tables.read(spark, sf_dir, "documents")
     return d.select("doc_id", F.sha2(similar_form(F.regexp_replace("text", r"[^\x00-\x7f]", " ")), 256).alias("form"))
@@ -110,7 +128,7 @@ def release_track_lookup(spark, sf_dir):
     return releases.select("l_orderkey", found["position"].alias("position"), found["seconds"].alias("seconds"))
 
 
-QUERIES = {f.__name__: f for f in (similarity_pairs, similarity_form, benchmark_best, benchmark_passages, match_confidence, album_rollup, match_candidates, release_track_lookup)}
+QUERIES = {f.__name__: f for f in (similarity_pairs, similar_names, similarity_form, benchmark_best, benchmark_passages, match_confidence, album_rollup, match_candidates, release_track_lookup)}
 
 _SIM = """CASE WHEN x = '' OR y = '' THEN 0 WHEN x = y THEN 1 ELSE greatest(0.7 * j + 0.3 * (1 - levenshtein(x, y) / greatest(length(x), length(y))), j) END"""
 _J = "(len(list_intersect(string_split(x, ' '), string_split(y, ' '))) / len(list_distinct(list_concat(string_split(x, ' '), string_split(y, ' ')))))"
