@@ -3,13 +3,15 @@
 A text's units are its lines, its paragraphs of two or more lines, and the whole of it where it has several paragraphs. A unit is
 normalised (lower case, letters and digits only, one space between words) and has a set of word bigrams. A template can reach
 the threshold t only if its set is between t / (2 - t) and (2 - t) / t times as large, so a unit meets only templates within these
-bounds. The table of templates is fixed and small (about 20 rows), so it is part of the job.
+bounds. by_document also gives passages: stretches of words anywhere, over paragraphs or inside a line, that reach the threshold and
+whose lines no matching unit of the licence has. The table of templates is fixed and small (about 20 rows), so it is part of the job.
 
 Defined results: a null or empty text, and one without words, has no unit; a unit of one word has that word as its only "bigram"; rows of the
 same doc_id are one document; a null doc_id is an id like others; other columns are ignored; an empty table gives an empty result.
 """
 
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -113,18 +115,85 @@ class Templates:
                 yield name, d
 
 
+def passages(text: str, known: Templates):
+    """(first line, count of lines, name, Dice coefficient) of stretches of words, wherever they stand in the text, that reach the threshold.
+
+    A stretch that reaches the threshold still does without the words before its first and after its last bigram of the template that
+    count for it, so only stretches between two such bigrams are tried: all those within the bounds of size. Of a licence's stretches that
+    overlap, the best is given (the longest, then the first, of equals).
+    """
+    found = [(m.start(), m[0].lower()) for m in WORD.finditer(text)]
+    w = [x for _, x in found]
+    if len(w) < 2:
+        return
+    grams = [f"{a} {b}" for a, b in zip(w, w[1:])]
+    hits = [i for i, g in enumerate(grams) if g in known.first]
+    best: dict[str, list[tuple[float, int, int]]] = {}
+    for size, name, b in known.rows if hits else ():
+        if len(next(iter(b)).split()) < 2:
+            continue
+        at = [i for i in hits if grams[i] in b]
+        for x, i in enumerate(at):
+            own: set[str] = set()
+            both, last, top = 0, i, (0.0, 0, 0)
+            for y in range(x, len(at)):
+                j = at[y]
+                if y > x and grams[j] == grams[i]:
+                    break  # from here on, the stretch without its first bigram is as good or better
+                for g in grams[last : j + 1]:
+                    if g not in own:
+                        own.add(g)
+                        both += g in b
+                last = j + 1
+                if len(own) > known.high * size + 1e-9:
+                    break
+                top = max(top, (2 * both / (len(own) + size), j, i))
+            if top[0] >= known.t - 1e-12:
+                best.setdefault(name, []).append((top[0], i, top[1] + 1))
+    if not best:
+        return
+    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    line = lambda i: bisect_right(starts, found[i][0]) - 1
+    for name, all_ in best.items():
+        taken: list[tuple[int, int]] = []  # word places, sorted, apart from each other
+        for d, i, j in sorted(all_, key=lambda r: (-r[0], r[1] - r[2], r[1])):
+            k = bisect_right(taken, (i, j))
+            if (k == 0 or taken[k - 1][1] < i) and (k == len(taken) or j < taken[k][0]):
+                taken.insert(k, (i, j))
+                yield line(i), line(j) - line(i) + 1, name, d
+
+
+def whole_scan(text: str, known: Templates):
+    """(name, Dice coefficient, first line, count of lines) of the matching units, and of passages of lines that no matching unit of the licence has."""
+    seen: dict[str, list[tuple[int, int]]] = {}
+    for line, n, unit in units(text):
+        best: dict[str, float] = {}
+        for name, d in known.matches(unit):
+            best[name] = max(d, best.get(name, 0.0))
+        for name, d in best.items():
+            seen.setdefault(name, []).append((line, line + n))
+            yield name, d, line, n
+    for line, n, name, d in passages(text, known):
+        if not any(a < line + n and line < b for a, b in seen.get(name, ())):
+            yield name, d, line, n
+
+
 FOUND = "doc_id long, license_id string, dice double, first_line long, n_lines long"
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each unit and licence that match, with the best of the licence's templates."""
+def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, inside: bool = False) -> DataFrame:
+    """A row for each unit and licence that match, with the best of the licence's templates. inside: and for passages that are in no matching unit."""
 
     def run(batches):
         known = Templates(templates, threshold)
         for b in batches:
             rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                for line, n, unit in units(t.as_py() or ""):
+                text = t.as_py() or ""
+                if inside:
+                    rows += [(i, *x) for x in whole_scan(text, known)]
+                    continue
+                for line, n, unit in units(text):
                     best: dict[str, float] = {}
                     for name, d in known.matches(unit):
                         best[name] = max(d, best.get(name, 0.0))
@@ -136,6 +205,6 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
 
 
 def by_document(docs: DataFrame) -> DataFrame:
-    """A row for each document and licence: the count of matching units, the best coefficient and the first line that has it."""
+    """A row for each document and licence: the count of matching units and other passages, the best coefficient and the first line that has it."""
     best = F.min_by("first_line", F.struct(-F.col("dice"), "first_line"))
-    return scan(docs).groupBy("doc_id", "license_id").agg(F.count("*").alias("n_units"), F.round(F.max("dice"), 9).alias("best_dice"), best.alias("best_line"))
+    return scan(docs, inside=True).groupBy("doc_id", "license_id").agg(F.count("*").alias("n_units"), F.round(F.max("dice"), 9).alias("best_dice"), best.alias("best_line"))

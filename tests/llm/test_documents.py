@@ -370,3 +370,15 @@ def test_licenses(spark):
     assert sorted((low(r[0]), r[1], round(r[2], 9), r[3], r[4]) for r in got) == sorted(want)
     assert {(70, "Apache-2.0"), (71, "MIT"), (400, "MIT"), (401, "CC-BY-NC-4.0")} <= {(r[0], r[1]) for r in got} and 402 not in {r[0] for r in got}
     assert licenses.by_document(documents(spark, [])).count() == 0
+
+
+def test_licenses_inside(spark):
+    """A licence in three paragraphs amid other text, and notices inside a line, are found once each; a matching line counts as before."""
+    rng = random.Random(4)
+    mit = licenses.TEMPLATES[16][1]
+    a, b = mit.index("The above"), mit.index("THE SOFTWARE IS")
+    rows = [(1, f"{prose(rng, 150)}\n\n{mit[:a]}\n\n{mit[a:b]}\n\n{mit[b:]}\n\n{prose(rng, 150)}"), (2, "x\nThis text is licensed under CC BY 4.0."), (3, "Licensed under CC BY 4.0.")]
+    rows += [(4, f"{prose(rng, 30)} Licensed under CC BY 4.0. {prose(rng, 30)} Licensed under CC BY 4.0. {prose(rng, 9)}"), (5, prose(rng, 3000))]
+    got = {(r["doc_id"], r["license_id"]): (r["n_units"], r["best_dice"], r["best_line"]) for r in licenses.by_document(documents(spark, rows)).collect()}
+    assert got[1, "MIT"] == (1, 1.0, 2) and got[2, "CC-BY-4.0"][1:] == (1.0, 1) and got[3, "CC-BY-4.0"] == (1, 1.0, 0) and got[4, "CC-BY-4.0"] == (2, 1.0, 0)
+    assert set(got) == {(1, "MIT"), (2, "CC-BY-4.0"), (3, "CC-BY-4.0"), (4, "CC-BY-4.0")}
