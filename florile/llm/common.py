@@ -5,6 +5,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,18 @@ BYTE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[:33] = True
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes of a text that are hashed at once. Tables of powers have this length, whatever the length of a text.
+PART = 1 << 16
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """base**0 ... base**n modulo 2**64."""
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+UP, DOWN = _powers(BASE, PART), _powers(BASE_INV, PART)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,16 +56,6 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**0 ... and BASE**-0 ..., n at least of each, modulo 2**64."""
-    while len(_powers[0]) < n:
-        k = np.uint64(len(_powers[0]))
-        for i, b in enumerate((BASE, BASE_INV)):
-            step = np.uint64(pow(int(b), int(k), 1 << 64))
-            _powers[i] = np.concatenate([_powers[i], _powers[i] * step])
-    return _powers[0], _powers[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers whose bits all depend on all bits (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -68,11 +70,28 @@ def word_spans(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span."""
-    up, down = powers(len(b) + 1)
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(BYTE[b] * up[: len(b)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    """A 64-bit hash of the bytes of each span (in order, apart from each other). Spans within PART bytes are hashed together, longer
+    ones in parts, so what is held besides the text and the hashes does not grow with the text."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        low = int(start[i])
+        j = int(np.searchsorted(end, low + PART, "right"))
+        if j > i:
+            own = b[low : int(end[j - 1])]
+            total = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum(BYTE[own] * UP[: len(own)], out=total[1:])
+            out[i:j] = (total[end[i:j] - low] - total[start[i:j] - low]) * DOWN[start[i:j] - low]
+            i = j
+        else:
+            total, shift = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+            for k in range(low, int(end[i]), PART):
+                own = b[k : min(k + PART, int(end[i]))]
+                total += (BYTE[own] * UP[: len(own)]).sum(dtype=np.uint64) * shift
+                shift *= UP[PART]
+            out[i] = total[0]
+            i += 1
+    return mix(out + (end - start).astype(np.uint64))
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -93,24 +112,42 @@ def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
 
 
 class Kept(dict):
-    """A dictionary of bounded size: when it holds most keys it starts anew, and takes over from the one before what is asked for again,
-    so frequent keys stay."""
+    """A dictionary of bounded size: when its keys and values take most bytes it starts anew, and takes over from the one before what is
+    asked for again, so frequent keys stay."""
+
+    #: Bytes that an entry takes besides its characters, about.
+    ENTRY = 200
 
     def __init__(self, most: int):
-        self.most, self.old = most, {}
+        self.most, self.old, self.size = most, {}, 0
+
+    def put(self, keys: list, values: list) -> None:
+        self.update(zip(keys, values))
+        self.size += sum(map(len, keys)) + sum(map(len, values)) + self.ENTRY * len(keys)
 
     def turn(self) -> None:
-        """Start anew if it is full."""
-        if len(self) > self.most:
-            self.old = dict(self)
+        """Start anew if it is full. What takes more than all the room is not kept at all."""
+        if self.size > self.most:
+            self.old = dict(self) if self.size <= 2 * self.most else {}
             self.clear()
+            self.size = 0
 
     def unknown(self, keys: set) -> set:
         """The keys that are neither here nor in the one before. Those of the one before are here afterwards."""
-        new = keys - self.keys()
-        again = new & self.old.keys()
-        self.update((k, self.old[k]) for k in again)
-        return new - again
+        new = {k for k in keys if k not in self}
+        again = [k for k in new if k in self.old]
+        self.put(again, [self.old[k] for k in again])
+        return new.difference(again)
+
+
+def slices(b: pa.RecordBatch, column: str, most: int):
+    """The batch in slices whose texts, or lists, in the column take about most bytes or elements (a longer one stands alone)."""
+    c = b.column(b.schema.get_field_index(column))
+    sizes = pc.list_value_length(c) if pa.types.is_list(c.type) else pc.binary_length(c)
+    sizes = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+    for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+        yield b.slice(i, j - i)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

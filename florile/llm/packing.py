@@ -24,19 +24,31 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept
+from .common import Kept, slices
 
 SIZE, END = 4096, 2
-GROUP_CHARS = 4_000_000
-#: Words whose ids a process keeps (twice as many at most, about 150 bytes each).
-KEPT_WORDS = 500_000
+#: Characters of a group, and groups of a task: tasks grow in number with the input, not in size.
+GROUP_CHARS, GROUPS_A_TASK = 4_000_000, 32
+#: Bytes of words and ids that a process keeps (twice as many at most); bytes of texts and new words that are taken at once.
+KEPT_BYTES, BYTES_AT_ONCE, NEW_AT_ONCE = 24 << 20, 1 << 20, 4096
 
 #: Fixed value: the split pattern of the public vocabulary file word_bpe_49k.json, for text in lower case.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Signs of which the pattern takes a run in one piece, wherever they stand around a word (the apostrophe, which begins some, is not among them).
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Texts with anything else go through the tokenizer whole: special tokens, control characters, rare white space, other scripts.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-Ɂ‐-‧‰-⁞€]*")
 
 
+def split_word(w: str) -> list[str]:
+    """The pieces that WORD cuts a word into, without asking it where signs only surround letters."""
+    core = w.strip(SIGNS)
+    if not core.isalpha():
+        return WORD.findall(w)
+    i = w.index(core)
+    return [x for x in (w[:i], core, w[i + len(core) :]) if x]
+
+
 class Words:
     """Ids of texts. The vocabulary splits at white space, so ids of each stretch between white space are looked up or made once."""
 
@@ -44,29 +56,31 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, models, pre_tokenizers
 
-        self.t, self.known = Tokenizer.from_file(vocabulary), Kept(KEPT_WORDS)
+        self.t, self.known = Tokenizer.from_file(vocabulary), Kept(KEPT_BYTES)
         # The same merges for words that are normalised and split already; as each comes once, a cache there would only cost.
         m = json.loads(self.t.to_str())["model"]
         merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in m["merges"]]
         self.words = Tokenizer(models.BPE(m["vocab"], merges, cache_capacity=0, end_of_word_suffix=m["end_of_word_suffix"]))
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.t.get_vocab()
+        self.kind = np.uint16 if max(vocab.values()) < 1 << 16 else np.uint32
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # each word has one piece, its last, that says so
         self.ends[[i for p, i in vocab.items() if p.endswith("</w>")]] = True
 
     def _learn(self, new: set[str]) -> None:
-        mixed = [(w, WORD.findall(w)) for w in new if not w.isalpha()]
+        mixed = [(w, split_word(w)) for w in new if not w.isalpha()]
         flat = list(self.known.unknown({p for _, x in mixed for p in x}).union(filter(str.isalpha, new)))
-        ids = np.array(self.words.encode_batch_fast([" ".join(flat)], add_special_tokens=False)[0].ids, np.uint16)
-        at = (2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        ids = ids.tobytes()
-        self.known.update(zip(flat, map(ids.__getitem__, map(slice, [0, *at], at))))  # a word without its signs is met again with others
+        for i in range(0, len(flat), NEW_AT_ONCE):
+            part = flat[i : i + NEW_AT_ONCE]
+            ids = np.array(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            at = (ids.itemsize * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            ids = ids.tobytes()
+            self.known.put(part, list(map(ids.__getitem__, map(slice, [0, *at], at))))  # a word without its signs is met again with others
         get = self.known.__getitem__
-        for w, x in mixed:
-            self.known[w] = b"".join(map(get, x))
+        self.known.put([w for w, _ in mixed], [b"".join(map(get, x)) for _, x in mixed])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian 16-bit numbers."""
+        """The ids of each text, as little-endian numbers of self.kind."""
         split: list[list[str] | None] = []
         for t in texts:
             if "<|" in t or not PLAIN.fullmatch(t):
@@ -78,7 +92,7 @@ class Words:
         if new := self.known.unknown(asked):
             self._learn(new)
         get = self.known.__getitem__
-        return [np.array(self.t.encode(t, add_special_tokens=False).ids, np.uint16).tobytes() if x is None else b"".join(map(get, x)) for t, x in zip(texts, split)]
+        return [np.array(self.t.encode(t, add_special_tokens=False).ids, self.kind).tobytes() if x is None else b"".join(map(get, x)) for t, x in zip(texts, split)]
 
 
 _words: dict[str, Words] = {}
@@ -169,11 +183,10 @@ def _cut(vocabulary: str, size: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(vocabulary)
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1)
-            for i in range(0, len(ids), 512):
+            for part in slices(b, "text", BYTES_AT_ONCE):
                 rows = []
-                for doc, raw in zip(ids[i : i + 512], words.encode([t or "" for t in texts.slice(i, 512).to_pylist()])):
-                    own = np.append(np.frombuffer(raw, np.uint16), np.uint16(end))
+                for doc, raw in zip(part.column(0).to_pylist(), words.encode([t or "" for t in part.column(1).to_pylist()])):
+                    own = np.append(np.frombuffer(raw, words.kind), words.kind(end))
                     full = len(own) // size * size
                     rows += [(doc, s, size, crc(own[s : s + size]), len(own), None) for s in range(0, full, size)]
                     if full < len(own):
@@ -199,7 +212,7 @@ def _group(size: int):
             at = 0
             for item, s, n in pieces:
                 i = own[item]
-                rows.append((doc[i], start[i] + s, n, crc(np.frombuffer(ids[i], np.uint16)[s : s + n]), tokens[i], seq, at))
+                rows.append((doc[i], start[i] + s, n, crc(np.frombuffer(ids[i], f"u{len(ids[i]) // length[i]}")[s : s + n]), tokens[i], seq, at))
                 at += n
             seq += 1
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=[x.split()[0] for x in OUT.split(", ")])
@@ -213,5 +226,6 @@ def pack_documents(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int
     chars = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, round(chars / group_chars))
     pieces = d.mapInArrow(_cut(vocabulary, size, end), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "doc_tokens"), F.lit(groups)))
-    return dealt.groupBy("g").applyInArrow(_group(size), OUT)
+    dealt = pieces.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "doc_tokens", "ids"), F.lit(groups)))
+    tasks = max(-(-groups // GROUPS_A_TASK), min(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return dealt.repartition(tasks, "g").groupBy("g").applyInArrow(_group(size), OUT)

@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept
+from .common import Kept, slices
 
 MARK = "▁"
-#: Longest word that is relaxed in rounds; words that a process keeps (twice as many at most); characters that are encoded at once.
-LONG, KEPT_WORDS, BATCH_CHARS = 48, 200_000, 1_000_000
+#: Longest word that is relaxed in rounds; bytes of words and ids that a process keeps (twice as many at most); bytes of texts, and
+#: characters of new words, that are encoded at once.
+LONG, KEPT_BYTES, BATCH_BYTES, BATCH_CHARS = 48, 24 << 20, 1 << 20, 500_000
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 NONE = np.int64(1 << 40)
 
@@ -60,13 +61,14 @@ class Pieces:
         self.starts = np.cumsum(self.lens) - self.lens
         self.points = np.frombuffer("".join(self.names[i] for i in usual).encode("utf-32-le"), np.uint32)
         self.depth = -(-int(self.lens.max()) // 8) * 8
+        self.step = int(self.lens.max()) + 1  # of an edge's key, between places
         scores = np.array([m.get_score(i) for i in usual])
         self.rank_of = np.zeros(n, np.int64)
         self.rank_of[self.ids] = np.unique(-scores, return_inverse=True)[1]
-        self.known = Kept(KEPT_WORDS)
+        self.known = Kept(KEPT_BYTES)
 
     def _edges(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Keys (position * 64 + length) of all occurrences of pieces, rising, and the pieces' ids."""
+        """Keys (position * step + length) of all occurrences of pieces, rising, and the pieces' ids."""
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         letters = np.unique(points[points != 0])
         wide = 1 if len(letters) < 255 else 2 if len(letters) < 65_535 else 4
@@ -89,7 +91,7 @@ class Pieces:
         n = last - first
         which = np.repeat(np.arange(len(lens)), n)
         at = order[np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        key = at * 64 + lens[which]
+        key = at * self.step + lens[which]
         rise = np.argsort(key)  # no two edges have the same place and length
         return key[rise], ids[which[rise]]
 
@@ -100,9 +102,9 @@ class Pieces:
         start = np.cumsum(sizes + 1) - sizes - 1
 
         def look(at: np.ndarray, length: np.ndarray) -> np.ndarray:
-            want = at * 64 + np.minimum(length, 63)
+            want = at * self.step + np.minimum(length, self.step - 1)
             k = np.minimum(np.searchsorted(keys, want), max(0, len(keys) - 1))
-            return np.where((keys[k] == want) & (length < 64), ids[k], -1) if len(keys) else np.full(len(at), -1)
+            return np.where((keys[k] == want) & (length < self.step), ids[k], -1) if len(keys) else np.full(len(at), -1)
 
         begins = np.zeros(len(text) + 1, bool)
         chars = np.repeat(start, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -151,7 +153,7 @@ class Pieces:
         for i, x in zip((np.cumsum(size) - size)[odd], spelt):
             flat[i : i + len(x)] = x
         cut = (4 * np.cumsum(np.bincount(own, size, len(new)).astype(np.int64))).tolist()
-        self.known.update(zip(new, map(flat.tobytes().__getitem__, map(slice, [0, *cut], cut))))
+        self.known.put(new, list(map(flat.tobytes().__getitem__, map(slice, [0, *cut], cut))))
 
     def _heap(self, start: int, size: int, begins: np.ndarray, look) -> None:
         """The same relaxation for one long word."""
@@ -180,22 +182,14 @@ class Pieces:
                         heapq.heappush(heap, (int(self.rank_of[f]), a, m))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        out, part, size = [], [], 0
-        for t in texts:
-            part.append(t or "")
-            size += len(part[-1])
-            if size > BATCH_CHARS:
-                out += self._encode(part)
-                part, size = [], 0
-        return out + self._encode(part)
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         words = []
         for t in texts:
-            if MARK in t or "\0" in t or "  " in t or t[:1] == " " or t[-1:] == " ":
-                words.append(WORD.findall(MARK + t.replace(" ", MARK)) if t else [])
+            if not t:
+                words.append([])
+            elif MARK in t or "\0" in t or "  " in t or t[:1] == " " or t[-1:] == " ":
+                words.append(WORD.findall(MARK + t.replace(" ", MARK)))
             else:
-                words.append([MARK + w for w in t.split(" ")] if t else [])
+                words.append([MARK + w for w in t.split(" ")])
         self.known.turn()
         asked = self.known.unknown(set().union(*words))
         for w in [w for w in asked if "\0" in w]:
@@ -218,7 +212,7 @@ class Pieces:
         parts = word.split("\0")
         self._learn([p for p in parts if p])
         zero = np.array([self.byte.get(0, self.unknown)], np.int32).tobytes()
-        self.known[word] = zero.join(self.known[p] if p else b"" for p in parts)
+        self.known.put([word], [zero.join(self.known[p] if p else b"" for p in parts)])
 
     def decode(self, ids: np.ndarray) -> str:
         shown = list(map(self.shown.__getitem__, ids.tolist()))
@@ -239,29 +233,47 @@ def pieces_of(model_file: str) -> Pieces:
     return _pieces[model_file]
 
 
-def _with_column(df: DataFrame, name: str, kind: str, arrow, run) -> DataFrame:
-    """df with a column more, made from batches by run(batch)."""
+def _encoded(model_file: str, text: str):
+    def run(b: pa.RecordBatch) -> pa.Array:
+        own = pieces_of(model_file).encode(b.column(b.schema.get_field_index(text)).to_pylist())
+        ends = np.cumsum([0, *map(len, own)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *own])))
+
+    return run
+
+
+def _decoded(model_file: str, ids: str):
+    def run(b: pa.RecordBatch) -> pa.Array:
+        own, lists = pieces_of(model_file), b.column(b.schema.get_field_index(ids))
+        values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+        return pa.array([own.decode(values[i:j]) for i, j in zip(offsets, offsets[1:])], pa.string())
+
+    return run
+
+
+def _with_columns(df: DataFrame, by: str, *added) -> DataFrame:
+    """df with columns more (name, type, function of a batch), made one after the other within one pass over slices of bounded texts in by."""
 
     def go(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(run(b), arrow)], [*b.schema.names, name])
+        for whole in batches:
+            for b in slices(whole, by, BATCH_BYTES):
+                for name, _, run in added:
+                    b = pa.RecordBatch.from_arrays([*b.columns, run(b)], [*b.schema.names, name])
+                yield b
 
-    return df.mapInArrow(go, df.select("*", F.lit(None).cast(kind).alias(name)).schema)
+    return df.mapInArrow(go, df.select("*", *(F.lit(None).cast(kind).alias(name) for name, kind, _ in added)).schema)
 
 
 def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with a column of piece ids."""
-    def run(b: pa.RecordBatch):
-        return pieces_of(model_file).encode(b.column(b.schema.get_field_index(text)).to_pylist())
-
-    return _with_column(docs.drop(ids), ids, "array<int>", pa.list_(pa.int32()), run)
+    return _with_columns(docs.drop(ids), text, (ids, "array<int>", _encoded(model_file, text)))
 
 
 def decode(docs: DataFrame, model_file: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """docs with a column of the text that the ids stand for."""
-    def run(b: pa.RecordBatch):
-        own, lists = pieces_of(model_file), b.column(b.schema.get_field_index(ids))
-        values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-        return [own.decode(values[i:j]) for i, j in zip(offsets, offsets[1:])]
+    return _with_columns(docs.drop(text), ids, (text, "string", _decoded(model_file, ids)))
+
 
-    return _with_column(docs.drop(text), text, "string", pa.string(), run)
+def round_trip(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """docs with both columns, from one pass: what is encoded is decoded where it stands."""
+    return _with_columns(docs.drop(ids, decoded), text, (ids, "array<int>", _encoded(model_file, text)), (decoded, "string", _decoded(model_file, ids)))

@@ -27,7 +27,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every text, and whether they decode to it."""
     model = vocabulary("piece_bpe_32k.model")
     docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = pieces.decode(pieces.encode(docs, model), model)
+    out = pieces.round_trip(docs, model)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("same"))
 
 

@@ -277,6 +277,11 @@ def test_packing(spark):
     assert packing.pack_documents(documents(spark, []), vocabulary()).count() == 0
 
 
+def test_split_word():
+    for w in ["(river,", "river", "...", "'song'", "it's", "a-b", "x1.", "“quoted”", "été!!", "--a--b", "$5", "_a_", "o'clock."]:
+        assert packing.split_word(w) == packing.WORD.findall(w)
+
+
 def test_first_fit():
     rng = random.Random(0)
     for n in (1, 2, 7, 500):
