@@ -2,8 +2,10 @@
 
 The state is a table of references (key, doc_id, n): how often each document holds each line key. Inserting documents adds rows,
 deleting documents takes theirs away, so every decision can be reversed. From it come the exact reference counts of each key and,
-sharded by key, cuckoo filters of the keys that two or more documents share. A document's lines are looked up in the filters; only
-those that may be shared (few) meet the exact table, which has the last word, so false positives of a filter change nothing.
+sharded by key, cuckoo filters of the keys that two or more documents share. A document's lines are dealt out by shard and looked up
+in their shard's filter; only those that may be shared (few) meet the exact table, which has the last word, so false positives of a
+filter change nothing. A shard with many references has copies of its filter in several tasks, and the few keys that hold many lines
+are told apart before, so no task grows with a common line.
 
 Defined results: a null or empty text is one empty line; a null doc_id counts as the smallest id; rows with the same doc_id are one
 document; lines repeated within one document are not shared by that; an empty table gives an empty result; other columns stay.
@@ -21,8 +23,9 @@ from .common import scratch
 from .cuckoo import CuckooFilter, Full
 
 MIN_CHARS = 10
-#: Keys of one shard's filter, and bytes of all filters up to which they are broadcast. Beyond, lines meet the exact table unfiltered.
-SHARD_KEYS, BROADCAST_BYTES = 1 << 18, 32 << 20
+#: Keys of one shard's filter, and references that meet one copy of it. A key with a HOT_SHARE-th of all lines or more is known to be shared
+#: without a filter; there are HOT_SHARE of them at most, so they are broadcast.
+SHARD_KEYS, PROBE_REFS, HOT_SHARE = 1 << 18, 1 << 21, 10_000
 NO_ID = -(1 << 63)
 
 
@@ -121,26 +124,63 @@ def remove_keys(filters: DataFrame, keys: DataFrame, shards: int) -> DataFrame:
     return filters.groupBy("shard").cogroup(_with_shard(keys, shards).groupBy("shard")).applyInPandas(drop, FILTERS)
 
 
-def possible_hits(docs: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """(key, doc_id) of the lines that the filters don't rule out."""
-    refs = line_refs(docs).select("key", "doc_id", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"))
-    size = filters.agg(F.sum(F.octet_length("table"))).first()[0] or 0
-    if size > BROADCAST_BYTES:
-        return refs.select("key", "doc_id")
-    held = docs.sparkSession.sparkContext.broadcast({r["shard"]: (r["buckets"], r["table"]) for r in filters.toLocalIterator()})
+def add_keys(filters: DataFrame, keys: DataFrame, exact: DataFrame, shards: int) -> DataFrame:
+    """The filters after adding (distinct) keys that were not in them. exact: all shared keys by now, from which a shard whose filter is full is built anew."""
+
+    def add(state: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        h = _hash(new["key"].tolist())
+        if not len(state):
+            return pd.DataFrame({"shard": [int(new["shard"].iloc[0])], "buckets": [0], "table": [b""]})
+        shard, f = int(state["shard"].iloc[0]), CuckooFilter(int(state["buckets"].iloc[0]), state["table"].iloc[0])
+        try:
+            f.insert(h)
+        except Full:
+            return pd.DataFrame({"shard": [shard], "buckets": [0], "table": [b""]})
+        return pd.DataFrame({"shard": [shard], "buckets": [f.n], "table": [f.tobytes()]})
+
+    after = scratch(filters.groupBy("shard").cogroup(_with_shard(keys, shards).groupBy("shard")).applyInPandas(add, FILTERS), "line-filters")
+    again = _with_shard(exact, shards).join(F.broadcast(after.where("buckets = 0").select("shard")), "shard").select("key")
+    return after.where("buckets > 0").unionByName(build_filters(again, shards))
+
+
+HITS = "key binary, doc_id long, sure boolean"
+
+
+def possible_hits(refs: DataFrame, filters: DataFrame, shards: int, hot: DataFrame | None = None, n_refs: int = 0) -> DataFrame:
+    """(key, doc_id, sure) of the references that the filters don't rule out; sure where hot (few rows: key, first_doc) says that the line goes.
+
+    n_refs: about how many references there are. References are dealt out by shard and, beyond PROBE_REFS of them a shard, by document.
+    """
+    copies = max(1, -(-n_refs // (shards * PROBE_REFS)))
+    spark = refs.sparkSession
+    hot = hot if hot is not None else spark.createDataFrame([], "key binary, first_doc long")
+    own = refs.select("key", "doc_id").join(F.broadcast(hot.select("key", "first_doc")), "key", "left").where("first_doc IS NULL OR doc_id > first_doc")
+    spread = F.xxhash64("doc_id")
+    shard = F.when(F.col("first_doc").isNull(), F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).otherwise(-1 - F.pmod(spread, F.lit(shards * copies)).cast("int"))
+    own = own.select(shard.alias("shard"), F.pmod(F.xxhash64(spread), F.lit(copies)).cast("int").alias("copy"), F.lit(1).alias("kind"), "key", "doc_id", F.lit(None).cast("binary").alias("table"))
+    held = filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("key"), F.col("buckets").alias("doc_id"), "table")
+    tasks = max(-(-shards * copies // 4), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def probe(batches):
-        own = {k: CuckooFilter(*v) for k, v in held.value.items()}
+        at, f = None, None
         for b in batches:
-            h, shard = _hash(b.column(0).to_pylist()), b.column(2).to_numpy()
-            hit = np.zeros(len(h), bool)
-            order = np.argsort(shard, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                if len(part) and (f := own.get(int(shard[part[0]]))) is not None:
-                    hit[part] = f.contains(h[part])
-            yield b.select([0, 1]).filter(pa.array(hit))
-
-    return refs.mapInArrow(probe, "key binary, doc_id long")
+            shard, copy, kind = (b.column(i).to_numpy() for i in range(3))
+            hit = np.zeros(b.num_rows, bool)
+            cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(copy) != 0) | (kind[1:] == 0)) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+                if i == j:
+                    continue
+                if at != (shard[i], copy[i]):
+                    at, f = (shard[i], copy[i]), None
+                if kind[i] == 0:  # a shard's filter comes before its references
+                    f = CuckooFilter(b.column(4)[i].as_py(), b.column(5)[i].as_py())
+                    i += 1
+                if i < j:
+                    hit[i:j] = at[0] < 0 or (f is not None and f.contains(_hash(b.column(3).slice(i, j - i).to_pylist())))
+            keep = pa.array(hit)
+            yield pa.RecordBatch.from_arrays([b.column(3), b.column(4), pa.array(shard < 0)], ["key", "doc_id", "sure"]).filter(keep)
+
+    return own.unionByName(held).repartition(tasks, "shard", "copy").sortWithinPartitions("shard", "copy", "kind").mapInArrow(probe, HITS)
 
 
 def _rewrite(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
@@ -162,11 +202,15 @@ def _rewrite(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """docs with text replaced by what stays of it, and columns n_lines (before) and n_dropped."""
-    shared = scratch(shared_keys(reference_counts(line_refs(docs))), "shared-lines")
+    n_lines = docs.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+    refs = line_refs(docs)
+    shared = scratch(shared_keys(reference_counts(refs)), "shared-lines")
     shards = max(1, -(-shared.count() // SHARD_KEYS))
     filters = scratch(build_filters(shared, shards), "line-filters")
-    hits = possible_hits(docs, filters, shards)
-    drops = hits.join(shared, "key").where("doc_id > first_doc").groupBy("doc_id").agg(F.collect_set("key").alias("drops")).withColumnRenamed("doc_id", "drop_id")
+    hot = shared.where(F.col("n_lines") * HOT_SHARE >= n_lines)
+    hits = scratch(possible_hits(refs, filters, shards, hot, n_lines), "line-hits")
+    found = hits.where("NOT sure").join(shared, "key").where("doc_id > first_doc").select("doc_id", "key").unionByName(hits.where("sure").select("doc_id", "key"))
+    drops = found.groupBy("doc_id").agg(F.collect_set("key").alias("drops")).withColumnRenamed("doc_id", "drop_id")
     rewrite = F.pandas_udf(_rewrite, "text string, n_lines long, n_dropped long")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("own_id"))
     both = rows.join(drops, F.col("own_id") == F.col("drop_id"), "left").withColumn("new", rewrite("row.text", "drops"))

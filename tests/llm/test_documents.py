@@ -75,10 +75,12 @@ def line_model(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("limit", [line_dedup.BROADCAST_BYTES, 0])
-def test_lines(spark, monkeypatch, limit):
-    """With filters that are broadcast, and without."""
-    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", limit)
+@pytest.mark.parametrize("keys, refs, hot", [(line_dedup.SHARD_KEYS, line_dedup.PROBE_REFS, line_dedup.HOT_SHARE), (2, 3, 1), (2, 3, 8)])
+def test_lines(spark, monkeypatch, keys, refs, hot):
+    """With one filter, and with many of few keys and several copies each; with common lines told apart, and without."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", keys)
+    monkeypatch.setattr(line_dedup, "PROBE_REFS", refs)
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", hot)
     got = line_dedup.line_dedup(documents(spark))
     assert set(got.columns) == set(COLUMNS) | {"n_dropped"}
     assert sorted((low(r["doc_id"]), r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()) == line_model(texts())
@@ -98,8 +100,28 @@ def test_lines_are_reversible(spark):
     filters = line_dedup.build_filters(shared, 2)
     dropped = shared.join(still, "key", "left_anti")
     after = line_dedup.remove_keys(filters, dropped, 2)
-    hits = {r["key"] for r in line_dedup.possible_hits(kept, after, 2).collect()}
-    assert {r["key"] for r in still.collect()} <= hits
+    found = lambda f: {bytes(r["key"]) for r in line_dedup.possible_hits(refs, f, 2).collect()}
+    keys = lambda d: {bytes(r["key"]) for r in d.collect()}
+    assert keys(still) <= found(after) and not keys(dropped) & found(after)
+    again = line_dedup.add_keys(after, dropped, shared, 2)
+    assert found(again) == found(filters) == keys(shared)
+
+
+def test_line_filters_follow_single_documents(spark):
+    """Insert, delete, insert of one document after the other: the filters hold what the counts say, also when a filter gets full."""
+    rng = random.Random(4)
+    lines = [f"{prose(rng, 4)} line {i}" for i in range(40)]
+    docs = {i: "\n".join(rng.sample(lines, 12)) for i in range(4)}
+    refs, filters, before = line_dedup.line_refs(documents(spark, [(0, docs[0])])), line_dedup.build_filters(spark.createDataFrame([], "key binary"), 3), set()
+    for what, i in (("insert", 1), ("insert", 2), ("delete", 1), ("insert", 3), ("delete", 0), ("insert", 1)):
+        own = documents(spark, [(i, docs[i])])
+        refs = line_dedup.scratch(line_dedup.insert(refs, own) if what == "insert" else line_dedup.delete(refs, own.select("doc_id")), "refs")
+        shared = line_dedup.shared_keys(line_dedup.reference_counts(refs)).select("key")
+        now = {bytes(r["key"]) for r in shared.collect()}
+        rows = lambda x: spark.createDataFrame([(bytearray(k),) for k in x], "key binary")
+        filters = line_dedup.scratch(line_dedup.remove_keys(line_dedup.add_keys(filters, rows(now - before), shared, 3), rows(before - now), 3), "filters")
+        assert {bytes(r["key"]) for r in line_dedup.possible_hits(refs, filters, 3).collect()} == now
+        before = now
 
 
 def test_cuckoo():
