@@ -6,7 +6,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -140,6 +140,25 @@ class Kept(dict):
         return new.difference(again)
 
 
+#: A key that holds a HOT_SHARE-th of all rows, and HOT_ROWS at least, is hot. There are HOT_SHARE hot keys at most, so a row for each can be broadcast.
+HOT_SHARE, HOT_ROWS = 10_000, 1000
+
+
+def hot_parts(n: Column | str, total: int) -> Column:
+    """Into how many parts to deal a key of n rows, so that none is hot; 1 for most keys."""
+    return F.greatest(F.ceil(F.col(n) / max(total / HOT_SHARE, HOT_ROWS)), F.lit(1)).cast("int")
+
+
+def join_hot(rows: DataFrame, table: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """rows joined with table, which has one row for each key and says in column n how many of the total rows have it.
+
+    Hot keys are broadcast; the others, of few rows each, are shuffled. rows is read twice, so it should be a table.
+    """
+    is_hot = hot_parts(n, total) > 1
+    few = F.broadcast(table.where(is_hot))
+    return rows.join(few, on).unionByName(rows.join(few.select(*on), on, "left_anti").join(table.where(~is_hot), on))
+
+
 def slices(b: pa.RecordBatch, column: str, most: int):
     """The batch in slices whose texts, or lists, in the column take about most bytes or elements (a longer one stands alone)."""
     c = b.column(b.schema.get_field_index(column))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import hot_parts, join_hot, scratch
 
 #: Two primes below 2**31 and a base for each.
 PRIMES = ((2147483647, 911382323), (2147483629, 972663749))
@@ -74,10 +74,11 @@ def _shifted(primes):
 
 
 def _chunks(text: str, chunk: int):
-    """An array of (no, chunk) with each byte of the text once."""
-    data = F.encode(text, "UTF-8")
+    """An array of (no, chunk) with each byte of the text once. The text is encoded once: it is bound as the one element of an array."""
     last = F.greatest(F.ceil(F.octet_length(text) / chunk) - 1, F.lit(0))
-    return F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.struct(i.alias("no"), F.substring(data, (i * chunk + 1).cast("int"), F.lit(chunk)).alias("chunk")))
+    numbers = F.sequence(F.lit(0).cast("long"), last)
+    cut = lambda data: F.transform(numbers, lambda i: F.struct(i.alias("no"), F.substring(data, (i * chunk + 1).cast("int"), F.lit(chunk)).alias("chunk")))
+    return F.get(F.transform(F.array(F.encode(text, "UTF-8")), cut), 0)
 
 
 def fingerprints(docs: DataFrame, huge: int = HUGE, primes=PRIMES) -> DataFrame:
@@ -100,16 +101,27 @@ def exact_groups(docs: DataFrame, huge: int = HUGE, primes=PRIMES) -> DataFrame:
     fp = ["f1", "f2", "n_bytes"]
     full = fingerprints(docs, huge, primes)
     base = scratch(full.drop("text"), "fingerprints")
+    total = base.count()
     groups = base.groupBy(*fp).agg(F.count("*").alias("n"), F.max("doc_id").alias("head")).where("n > 1")
-    # Compare members with the head of their group chunk by chunk. A skewed group is split by the join.
-    members = full.join(groups, fp).select(*fp, "doc_id", "head", "text_sha256", F.explode(_chunks("text", CHUNK)).alias("c")).select(*fp, "doc_id", "head", "text_sha256", "c.no", "c.chunk")
+    groups = scratch(groups.withColumn("parts", hot_parts("n", total)), "groups")
+    # Members meet the head of their group, chunk by chunk. A large group is dealt into parts, and its head is given to each.
+    hot = F.broadcast(groups.where("parts > 1").select(*fp, "parts"))
+    part = F.pmod(F.xxhash64("doc_id", "text_sha256"), F.coalesce("parts", F.lit(1))).cast("int")
+    each = lambda df: df.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = full.join(hot, fp, "left").withColumn("part", part).drop("parts")
+    members = own.join(each(groups.drop("n")), [*fp, "part"]).select(*fp, "part", "parts", "doc_id", "head", "text_sha256", F.explode(_chunks("text", CHUNK)).alias("c")).select(*fp, "part", "parts", "doc_id", "head", "text_sha256", "c.no", "c.chunk")
     members = scratch(members, "members")  # what groups hold, so that texts are shuffled once
-    heads = members.where(F.col("doc_id").eqNullSafe(F.col("head"))).groupBy(*fp, "no").agg(F.min_by("chunk", "text_sha256").alias("head_chunk"))
-    checked = members.join(heads, [*fp, "no"], "left").groupBy(*fp, "doc_id", "text_sha256").agg(F.bool_and(F.coalesce(F.col("chunk") == F.col("head_chunk"), F.lit(False))).alias("same"))
+    heads = each(members.where(F.col("doc_id").eqNullSafe(F.col("head"))).groupBy(*fp, "no").agg(F.min_by("chunk", "text_sha256").alias("head_chunk"), F.max("parts").alias("parts"))).drop("parts")
+    checked = members.join(heads, [*fp, "no", "part"], "left").groupBy(*fp, "doc_id", "text_sha256").agg(F.bool_and(F.coalesce(F.col("chunk") == F.col("head_chunk"), F.lit(False))).alias("same"))
     odd = checked.where(~F.col("same")).select(*fp, "doc_id", F.col("text_sha256").alias("class")).distinct()
-    both = base.alias("l").join(odd.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*fp, "doc_id"]] + [F.col("l.text_sha256") == F.col("r.class")], "left").select("l.*", F.coalesce("r.class", F.lit("")).alias("class"))
+    odd = scratch(odd, "collisions")
+    if not odd.isEmpty():
+        on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*fp, "doc_id"]] + [F.col("l.text_sha256") == F.col("r.class")]
+        both = scratch(base.alias("l").join(odd.alias("r"), on, "left").select("l.*", F.coalesce("r.class", F.lit("")).alias("class")), "classes")
+    else:
+        both = base.withColumn("class", F.lit(""))
     sizes = both.groupBy(*fp, "class").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
-    out = both.join(sizes, [*fp, "class"])
+    out = join_hot(both, sizes, [*fp, "class"], "group_size", total)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import pytest
 from cases import COLUMNS, components, documents, prose, texts
 from pyspark.sql import functions as F
 
-from florile.llm import exact_dedup, licenses, line_dedup, near_dedup, packing, pieces, pii, quality
+from florile.llm import common, exact_dedup, licenses, line_dedup, near_dedup, packing, pieces, pii, quality
 from florile.llm.common import shingles, word_hashes
 from florile.llm.cuckoo import CuckooFilter
 from florile.llm.queries import vocabulary
@@ -40,6 +41,28 @@ def test_exact(spark, huge, primes):
     assert sorted((low(r["doc_id"]), low(r["keep_id"]), r["group_size"], r["kept"], r["text_sha256"]) for r in got) == want
 
 
+def test_exact_hot_groups(spark, monkeypatch):
+    """Groups that are dealt into parts, collisions among them."""
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_SHARE", 1_000_000)
+    for primes in (exact_dedup.PRIMES, ((3, 2), (2, 1))):
+        test_exact(spark, 1000, primes)
+
+
+def took(df):
+    """Seconds of a run, once warm."""
+    df.write.format("noop").mode("overwrite").save()
+    began = time.time()
+    df.write.format("noop").mode("overwrite").save()
+    return time.time() - began
+
+
+def test_exact_long(spark):
+    """Cutting a text into chunks takes time in proportion to it (with the text encoded for each chunk, it is quadratic)."""
+    cut = lambda mb: spark.range(1).select(F.repeat(F.lit("abcdefgh"), mb << 17).alias("text")).select(F.size(exact_dedup._chunks("text", 1 << 12)))
+    assert took(cut(16)) < 3 * max(took(cut(8)), 0.5)
+
+
 def test_fingerprints_compose():
     rng = np.random.default_rng(0)
     for p, b in exact_dedup.PRIMES:
