@@ -17,12 +17,16 @@ Defined results: a null text is an empty one, without spans; rows that repeat do
 are one id; other columns stay; an empty table gives an empty result.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch
 
 PRIOR, DISCLOSES, REVEALS = 2.0, 0.8, 0.95
+#: Matches that are folded together.
+BLOCK = 256
 #: Terms (8 bytes each) up to which candidates are broadcast to the count of terms; beyond, they are joined by a shuffle.
 BROADCAST_TERMS = 500_000
 
@@ -36,6 +40,23 @@ TERM = r"\p{L}{3,}+"
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _blocks(xs: Column) -> Column:
+    """The array cut into arrays of BLOCK elements. Folds that append are done block by block, so that long arrays take linear time."""
+    last = F.greatest(F.ceil(F.size(xs) / BLOCK), F.lit(1)).cast("int") - 1
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(xs, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _before(lengths: Column) -> Column:
+    """The sum of what stands before each element of an array of numbers."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(lengths, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+
 def finds(text: Column, pattern: str) -> Column:
     """An array of (s, e, m): where each match starts and ends, and what it is. What lies between matches gives the places."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -47,8 +68,15 @@ def finds(text: Column, pattern: str) -> Column:
         e = s + F.length(x["m"])
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
 
-    whole = F.aggregate(F.filter(steps, lambda x: x["m"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("out")), step)
-    return whole["out"]
+    def placed(xs: Column, at: Column) -> Column:
+        return F.aggregate(xs, F.struct(at.alias("at"), none.alias("out")), step)["out"]
+
+    def all_placed(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + x["gap"] + F.length(x["m"])))
+        return F.flatten(F.zip_with(blocks, _before(sizes), placed))
+
+    own = F.filter(steps, lambda x: x["m"].isNotNull())
+    return once(own, lambda xs: F.when(F.size(xs) <= BLOCK, placed(xs, F.lit(0))).otherwise(once(_blocks(xs), all_placed)))
 
 
 def _digits(m: Column) -> Column:
@@ -91,11 +119,17 @@ def places(texts: DataFrame) -> DataFrame:
     """(digest, term, s, e) of each term of texts (digest, text), outside the spans of base. Rows, so that long texts take linear time."""
     hits, gaps = F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.split("text", TERM, -1)
     steps = F.zip_with(gaps, hits, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("len"), F.xxhash64(F.lower(m)).alias("term")))
-    rows = texts.select("digest", "base", F.posexplode(steps).alias("i", "x")).where("x.len IS NOT NULL")
+    rows = texts.select("digest", F.posexplode(steps).alias("i", "x")).where("x.len IS NOT NULL")
     before = Window.partitionBy("digest").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("e", F.sum(F.col("x.gap") + F.col("x.len")).over(before).cast("int"))
-    rows = rows.select("digest", "base", "x.term", (F.col("e") - F.col("x.len")).alias("s"), "e")
-    return rows.where(~F.exists("base", lambda z: (F.col("s") < z["e"]) & (z["s"] < F.col("e")))).drop("base")
+    rows = rows.select("digest", "x.term", (F.col("e") - F.col("x.len")).alias("s"), "e", F.lit(1).alias("kind"))
+    spans = texts.select("digest", F.explode("base").alias("z")).select("digest", F.lit(None).cast("long").alias("term"), "z.s", "z.e", F.lit(0).alias("kind"))
+    # Terms don't overlap each other, so one that reaches into a span that starts later has it as the next row.
+    place = Window.partitionBy("digest").orderBy("s", "kind", "e")
+    until = F.max(F.when(F.col("kind") == 0, F.col("e"))).over(place.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.lead(F.when(F.col("kind") == 0, F.col("s"))).over(place)
+    rows = rows.unionByName(spans).withColumns({"until": until, "after": after})
+    return rows.where("kind = 1 AND (until IS NULL OR until <= s) AND (after IS NULL OR after >= e)").select("digest", "term", "s", "e")
 
 
 def _row_key(df: DataFrame) -> DataFrame:
@@ -141,6 +175,8 @@ def find_spans(docs: DataFrame) -> DataFrame:
     texts = held.join(hidden.select("digest").distinct(), "digest", "left_semi")
     extra = places(texts).join(hidden, ["digest", "term"])
     extra = extra.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("s", "e", (F.col("share") >= REVEALS).alias("removed")))).alias("extra"))
+    # As a table, the one row of each text with terms is not yet dealt out by digest, so that Spark can split the rows of a text with many copies.
+    extra = scratch(extra, "pii-extra")
     none = F.array().cast("array<struct<s:int,e:int,removed:boolean>>")
     return found.drop("text").join(extra, "digest", "left").select("doc_id", "own_id", "digest", "base", "extra").withColumn("extra", F.coalesce("extra", none))
 
@@ -168,11 +204,25 @@ def sanitise(docs: DataFrame) -> DataFrame:
     spans = F.array_sort(F.concat(F.transform("f.base", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.get(marks, x["k"]).alias("mark"))), F.transform("f.extra", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["removed"], "").otherwise("[TERM]").alias("mark")))))
     old = F.col("old")
 
-    def step(acc: Column, x: Column) -> Column:  # an overlapping span adds its mark, and no text twice
-        piece = F.concat(F.substring(old, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0))), x["mark"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
+    def written(text: Column, xs: Column, at: Column) -> Column:
+        """text, which begins at code point at, with its spans replaced. An overlapping span adds its mark, and no text twice."""
+
+        def step(acc: Column, x: Column) -> Column:
+            piece = F.concat(F.substring(text, acc["at"] - at + 1, F.greatest(x["s"] - acc["at"], F.lit(0))), x["mark"])
+            return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
+
+        return F.aggregate(xs, F.struct(at.alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] - at + 1, F.length(text))))
+
+    def by_block(blocks: Column) -> Column:
+        ends = F.transform(blocks, lambda xs: F.array_max(F.transform(xs, lambda x: x["e"])))
+        starts = once(ends, lambda es: F.transform(es, lambda e, i: F.when(i == 0, 0).otherwise(F.array_max(F.slice(es, F.lit(1), i)))))
+        return once(starts, lambda ss: F.array_join(F.zip_with(blocks, F.transform(ss, lambda s, i: F.struct(s.alias("s"), F.get(ss, i + 1).alias("e"))), part), ""))
+
+    def part(xs: Column, at: Column) -> Column:
+        text = F.substring(old, at["s"] + 1, F.coalesce(at["e"] - at["s"], F.length(old)))
+        return once(text, lambda t: written(t, xs, at["s"]))
 
-    end = F.aggregate(F.col("spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(old, acc["at"] + 1, F.length(old))))
-    both = both.withColumn("spans", spans).withColumn("new", F.when(F.size("spans") > 0, end).otherwise(old))
+    end = F.when(F.size("spans") <= BLOCK, written(old, F.col("spans"), F.lit(0))).otherwise(once(_blocks(F.col("spans")), by_block))
+    both = both.withColumn("spans", spans).withColumn("new", F.when(F.size("spans") > 0, end).otherwise(F.col("old")))
     keep = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
     return both.select(*[keep[c].alias(c) if c in keep else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

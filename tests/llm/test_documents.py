@@ -275,6 +275,25 @@ def test_pii_counts_copies_once(spark):
     assert all(r["spans"] == once[1000] for r in copies if r["doc_id"] >= 5000)
 
 
+def test_pii_many_matches(spark):
+    """More matches than are folded together, and texts of many matches in linear time."""
+    rng = random.Random(2)
+    t = "".join(rng.choice(["a@b.org ", "10.1.2.3, ", "12 34 x ", "é ", "+49 30 1234567; ", "4111 1111 1111 1111 "]) for _ in range(3000))
+    (r,) = pii.summary(documents(spark, [(1, t)])).collect()
+    spans = pii_model(t)
+    assert r["base_sha256"] == sha(",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in spans))
+    want, at = "", 0
+    marks = [f"[{k.upper()}]" for k in pii.KINDS]
+    extra = [(int(s), 9, int(e)) for k, s, e in (x.split(":") for x in r["spans"].split(",")) if k == "term"]
+    assert not extra
+    for s, k, e in sorted(spans):
+        want += t[at : max(at, s)] + marks[k]
+        at = max(at, e)
+    assert pii.sanitise(documents(spark, [(1, t)])).first()["text"] == want + t[at:]
+    text = lambda n: spark.range(1).select(F.repeat(F.lit("12 34 x "), n).alias("text")).select(F.size(pii.base_spans(F.col("text"))), F.size(pii.finds(F.col("text"), pii.CARD)))
+    assert took(text(250_000)) < 3 * max(took(text(125_000)), 0.7)
+
+
 def test_pii_stage(spark):
     out = pii.sanitise(documents(spark))
     assert out.columns == COLUMNS and out.count() == len(texts())
