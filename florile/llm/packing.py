@@ -30,7 +30,7 @@ SIZE, END = 4096, 2
 #: Characters of a group, and groups of a task: tasks grow in number with the input, not in size.
 GROUP_CHARS, GROUPS_A_TASK = 4_000_000, 32
 #: Bytes of words and ids that a process keeps (twice as many at most); bytes of texts and new words that are taken at once.
-KEPT_BYTES, BYTES_AT_ONCE, NEW_AT_ONCE = 24 << 20, 1 << 20, 4096
+KEPT_BYTES, BYTES_AT_ONCE, NEW_AT_ONCE = 48 << 20, 1 << 20, 4096
 
 #: Fixed value: the split pattern of the public vocabulary file word_bpe_49k.json, for text in lower case.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
