@@ -1,9 +1,14 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags. The first pass decides blocks by where they stand (menus, footers, forms, elements
-named like notices, adverts or comments), by link density, and by length together with the density of stop words. Short blocks and
-headings stay undecided. In the second pass they inherit the label of the nearest decided neighbours in their own part of the page
-(the article, or the page where it has none): if both sides agree, that; else the nearer one's, counted in characters.
+named like notices, adverts or comments), by link density, and by length together with the density of stop words, where the page's
+words show one of the languages whose stop words are known. Short blocks and headings stay undecided. In the second pass they inherit
+the label of the nearest decided neighbours in their own part of the page (the article, or the page where it has none): if both sides
+agree, that; else the nearer one's, counted in characters. Lists of links give their label to list items alone.
+
+Within the article, only a name that is furniture as a whole ("ad", "comment-list") decides; one that merely holds such a word
+("related-work", "side-note"), or has other meanings ("discussion"), counts only for blocks that don't read like text. Names of elements around the article say nothing about
+it, unless the page has another article without them.
 
 Defined results: null or empty html gives an empty text and 0; markup that is not closed ends with its page; each row gives a row;
 other columns are ignored; an empty table gives an empty result.
@@ -11,6 +16,7 @@ other columns are ignored; an empty table gives an empty result.
 
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,9 +46,14 @@ NAMES = re.compile(
 )
 #: Names of layouts that say what stands beside the article, not what the element is.
 LAYOUT = re.compile(r"(?:has|with|no|without)[_-][\w-]+")
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*+)>", re.S)
-ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+#: Quoted values and their number are bounded, so a stray quote doesn't search the page again at each tag.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,8192}+\"|'[^']{0,8192}+'){0,256}+|[^>]*+)>", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
+HIDE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Words that make up a name of page furniture together with one that is furniture itself.
+NEUTRAL = frozenset("a area bar body block bottom box boxes button buttons card cards container content entry feed form group header inner item items link links list lists main outer panel post posts row section slot story stories text thread title top unit widget wrap wrapper 1 2 3".split())
+#: Names of furniture that sections of articles have as well.
+DOUBTFUL = frozenset("alert alerts announcement announcements aside discussion disclaimer foot navigation notice notices overlay privacy promotion rail reply responses search side social subscription tags toast".split())
 WORD = re.compile(r"[^\W\d_]+")
 
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.08, 0.2, 0.5
@@ -50,54 +61,106 @@ GOOD, BAD, OPEN = 1, 0, None
 
 
 class Block:
-    def __init__(self, text: str, linked: int, around: bool, article: bool, heading: bool):
-        self.text, self.around, self.article, self.heading = text, around, article, heading
+    def __init__(self, text: str, linked: int, own: "Element"):
+        self.text, self.article, self.heading, self.item = text, own.article, own.heading, own.item
+        self.inside, self.outside, self.named, self.doubt = own.inside, own.outside, own.named, own.doubt
         self.links = linked / max(1, len(text))
         self.label = GOOD
 
+    @property
+    def around(self) -> bool:
+        return self.inside or self.outside or self.named
+
+
+class Element:
+    """An open element, with what it has from those that hold it."""
+
+    __slots__ = ("name", "unseen", "article", "link", "heading", "item", "inside", "outside", "named", "doubt", "block")
+
+    def __init__(self, name: str, up: "Element | None"):
+        self.name = name
+        for k in self.__slots__[1:]:
+            setattr(self, k, getattr(up, k) if up else False)
+
+    #: inside, outside: page furniture within the article, or by an element outside; named: by the name of an element outside.
+    #: doubt: by a name within the article that needs to be borne out; block: place of the nearest block-level element, itself included.
+
+
+def attributes(raw: str) -> dict[str, str]:
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)}
+
+
+def furniture(names: str) -> bool:
+    """Whether one of the names consists of furniture words and neutral ones alone, and not of one that has other meanings."""
+    for name in names.split():
+        parts = re.split("[_-]+", name)
+        own = [x for x in parts if NAMES.fullmatch(x)]
+        if own and all(x in own or x in NEUTRAL for x in parts) and not set(own) <= DOUBTFUL:
+            return True
+    return False
+
+
+def enter(name: str, raw: str, up: Element | None) -> Element:
+    own = Element(name, up)
+    a = attributes(raw) if raw.strip() else {}
+    named = LAYOUT.sub(" ", " ".join(a[k] for k in ("class", "id", "role") if k in a).lower()) if a else ""
+    own.unseen |= name in UNSEEN or ("hidden" in a and a["hidden"].lower() != "until-found") or a.get("aria-hidden", "").strip().lower() == "true" or HIDE.search(a.get("style", "")) is not None
+    own.link |= name == "a"
+    own.heading |= name in HEADINGS
+    own.item = name in ("li", "dt", "dd", "option") or (own.item and name not in BLOCKS)
+    begins = name in ("article", "main") or "articlebody" in named
+    if own.article or begins:
+        own.article = True
+        own.inside |= name in AROUND or (bool(named) and not (begins and name == "main") and furniture(named))
+        own.doubt |= bool(named) and not begins and NAMES.search(named) is not None
+    else:
+        own.outside |= name in AROUND or name == "header" or "header" in named.split()
+        own.named |= bool(named) and name not in ("html", "body") and NAMES.search(named) is not None
+    return own
+
 
 def blocks(page: str) -> list[Block]:
+    """The page's blocks. Each step looks at the top of the stack of open elements, or takes away what it looks at, so the time is linear also in deep markup."""
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # name, unseen, around, article, link: of the element or one that holds it
+    stack: list[Element] = []
+    open_: Counter[str] = Counter()
+    page_itself = Element("", None)
 
     def end() -> None:
         nonlocal parts, linked
-        text = " ".join("".join(parts).split())
+        text = " ".join("".join(parts).split()) if parts else ""
         if text:
-            top = stack[-1] if stack else ("", False, False, False, False)
-            out.append(Block(text, linked, top[2], top[3], any(x[0] in HEADINGS for x in stack)))
+            out.append(Block(text, linked, stack[-1] if stack else page_itself))
         parts, linked = [], 0
 
     def say(raw: str) -> None:
         nonlocal linked
-        if raw and not (stack and stack[-1][1]):
+        if raw and not (stack and stack[-1].unseen):
             text = html.unescape(raw)
             parts.append(text)
-            if stack and stack[-1][4]:
+            if stack and stack[-1].link:
                 linked += len(" ".join(text.split()))
 
     def pop(k: int) -> None:
-        if any(x[0] in BLOCKS for x in stack[k:]):
+        if any(x.name in BLOCKS for x in stack[k:]):
             end()
+        open_.subtract(x.name for x in stack[k:])
         del stack[k:]
 
-    at, lower = 0, None
-    while (m := TOKEN.search(page, at)) is not None:
+    at, lower, last = 0, None, page.rfind(">") + 1
+    while (m := TOKEN.search(page, at, last) or TOKEN.search(page, max(at, last))) is not None:
         say(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         name = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
-            else:
-                if name in BLOCKS:
-                    end()
+            if open_[name] > 0:
+                pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].name == name))
+            elif name in BLOCKS:
+                end()
             continue
         if name in RAW:
             lower = lower if lower is not None else page.lower()
@@ -106,27 +169,26 @@ def blocks(page: str) -> list[Block]:
                 close = c.start() if (c := re.compile(f"</{name}", re.I).search(page, at)) else len(page)
             at = close
             continue
-        if name == "body":
-            while stack and any(x[0] == "head" for x in stack):
-                pop(len(stack) - 1)
-        for k in range(len(stack) - 1, -1, -1):
-            if name in CLOSES.get(stack[k][0], ()):
+        if name == "body" and open_["head"] > 0:
+            pop(next(k for k in range(len(stack)) if stack[k].name == "head"))
+        k = stack[-1].block - 1 if stack else -1
+        while k >= 0:  # up to the nearest block-level element that is no paragraph
+            if name in CLOSES.get(stack[k].name, ()):
                 pop(k)
                 break
-            if stack[k][0] in BLOCKS and stack[k][0] != "p":
+            if stack[k].name != "p":
                 break
+            k = stack[k - 1].block - 1 if k else -1
         if name in BLOCKS:
             end()
         elif name == "br":
             parts.append(" ")
         if name in VOID or m[3].endswith("/"):
             continue
-        up = stack[-1] if stack else ("", False, False, False, False)
-        named = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(m[3])).lower() if "=" in m[3] else ""
-        named = LAYOUT.sub(" ", named)
-        article = up[3] or name in ("article", "main") or "articlebody" in named
-        around = up[2] or name in AROUND or (not up[3] and (name == "header" or "header" in named.split())) or (bool(named) and name not in ("html", "body") and NAMES.search(named) is not None)
-        stack.append((name, up[1] or name in UNSEEN or HIDDEN.search(m[3]) is not None, around, article, up[4] or name == "a"))
+        own = enter(name, m[3], stack[-1] if stack else None)
+        stack.append(own)
+        open_[name] += 1
+        own.block = len(stack) if name in BLOCKS else own.block  # 1 more than its place; 0 is none
     say(page[at:])
     pop(0)
     end()
@@ -134,20 +196,28 @@ def blocks(page: str) -> list[Block]:
 
 
 def first_pass(own: list[Block]) -> None:
+    if not any(b.article and not b.around for b in own):  # all articles are within something named: the name is then one of the page's layout
+        for b in own:
+            b.named &= not b.article
     whole = any(b.article and not b.around for b in own)
+    stops = []
     for b in own:
         words = WORD.findall(b.text.lower())
-        stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if b.around or (whole and not b.article):
+        stops.append((sum(w in STOP_WORDS for w in words), len(words)))
+    prose = [x for b, x in zip(own, stops) if not b.around and b.links <= LINKS and len(b.text) >= SHORT]
+    known = sum(x for x, _ in prose) >= STOP_LOW / 2 * sum(n for _, n in prose)
+    for b, (x, n) in zip(own, stops):
+        stop = x / max(1, n)
+        if b.around or (whole and not b.article) or (b.doubt and (b.links > LINKS / 2 or not b.heading and len(b.text) < SHORT and stop < STOP_LOW)):
             b.label = BAD
         elif b.links > LINKS:
             b.label = OPEN if b.heading else BAD
         elif b.heading or len(b.text) < SHORT:
             b.label = OPEN
-        elif stop >= STOP_HIGH or b.article and stop >= STOP_LOW:
+        elif known and (stop >= STOP_HIGH or b.article and stop >= STOP_LOW):
             b.label = GOOD
         elif len(b.text) >= LONG:
-            b.label = GOOD if b.article or stop >= STOP_LOW else BAD
+            b.label = GOOD if b.article or not known or stop >= STOP_LOW else BAD
         else:
             b.label = OPEN
 
@@ -158,10 +228,16 @@ def second_pass(own: list[Block]) -> None:
         sides = []
         for order in (range(len(part)), range(len(part) - 1, -1, -1)):
             seen: list[tuple[int | None, int]] = [(None, 0)] * len(part)
-            label, far = None, 0
+            near, text = (None, 0), (None, 0)  # the nearest decided block, and the nearest that is no list of links, with how far it is
             for i in order:
-                seen[i] = (label, far)
-                label, far = (part[i].label, 0) if part[i].label is not OPEN else (label, far + len(part[i].text))
+                b = part[i]
+                seen[i] = near if b.item else text
+                far = len(b.text)
+                near, text = ((label, d + far) for label, d in (near, text))
+                if b.label is not OPEN:
+                    near = (b.label, 0)
+                    if b.label is GOOD or b.links <= LINKS:
+                        text = (b.label, 0)
             sides.append(seen)
         new = []
         for b, (before, far_before), (after, far_after) in zip(part, *sides):

@@ -1,9 +1,13 @@
 """Operators over embeddings and pages, the connected components, and the pipeline."""
 
 import random
+import re
+import time
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from cases import COLUMNS, components, documents, prose
 
@@ -87,6 +91,12 @@ BODY = "<h1>The  title</h1><p>The text of the page is this and it is of a good l
         ("<article><p>a &lt;b&gt; &#233;<br>c", "a <b> é c"),
         ("plain text", "plain text"),
         ("<p>" * 2000 + "deep", "deep"),
+        ('<article><p title="a hidden gem">One</p><p hidden>no</p><p aria-hidden="true">no</p><p style="display: none">no</p></article>', "One"),
+        ('<article><p>The text of it is this.</p><section id="related-work"><p>The work of others is of use.</p></section><p class="side-note">A note of the side.</p></article>', "The text of it is this.\nThe work of others is of use.\nA note of the side."),
+        ('<article><p>A short one.</p><ul><li><a href="/a">One link</a></li><li><a href="/b">Two links</a></li></ul></article>', "A short one."),
+        ('<div class="site sidebar-right"><article class="post comments-open"><p>A short one.</p></article></div>', "A short one."),
+        ('<article><p>A short one.</p><div class="comment-list"><p>A reader says that this is the best of all of it.</p></div></article><div id="comments"><article class="comment"><p>The other reader says so too, and that is that.</p></article></div>', "A short one."),
+        ("<nav>меню</nav><div><p>" + "Довольно длинный абзац на другом языке. " * 8 + "</p></div>", ("Довольно длинный абзац на другом языке. " * 8).strip()),
         ("<article><p title='a > b'>x</p><p title=\"unclosed>y</p></article>", "x\ny"),
     ],
 )
@@ -94,6 +104,68 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize("piece", ["<div>", "<b>", "<p><b>", "<li>", '<a "', '<a ">', "</x>", "<div><p>"])
+def test_deep_markup(piece):
+    """Deep and broken markup takes time in proportion to its length."""
+
+    def took(n):
+        began = time.process_time()
+        html_extract.main_text(piece * n + "deep")
+        return time.process_time() - began
+
+    assert min(took(40_000) for _ in range(2)) < 3 * max(took(20_000), 0.2)
+
+
+class Plain(HTMLParser):
+    """The text of the article, by the parser of the standard library and a list of what the pages' furniture is called."""
+
+    BLOCKS = {"p", "div", "li", "ul", "h1", "h2", "h3", "article", "section", "aside", "form", "nav", "blockquote", "td", "tr", "table"}
+    OUT = {"nav", "aside", "footer", "form", "script", "style", "header", "title"}
+    NAMES = {"ad", "ads", "advert", "cookie", "notice", "comments", "comment", "sidebar", "share", "related", "newsletter"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.blocks, self.part = [], [], ""
+
+    def cut(self):
+        self.blocks.append(" ".join(self.part.split()))
+        self.part = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCKS:
+            self.cut()
+            while tag != "b" and self.stack and self.stack[-1][0] in ("p", "b"):
+                self.stack.pop()
+        if tag == "br":
+            self.part += " "
+        elif tag not in ("meta", "img", "link", "input", "hr"):
+            names = set(re.split(r"[\s_-]+", " ".join(v or "" for k, v in attrs if k in ("class", "id"))))
+            self.stack.append((tag, tag in self.OUT or bool(names & self.NAMES)))
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.cut()
+        if any(t == tag for t, _ in self.stack):
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.stack) and not any(out for _, out in self.stack):
+            self.part += data
+
+
+def test_pages_of_the_table():
+    """Every page of a table against a second implementation."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column(0).to_pylist()
+    for page in pages:
+        other = Plain()
+        other.feed(page or "")
+        other.close()
+        other.cut()
+        assert html_extract.main_text(page) == "\n".join(filter(None, other.blocks))
+    assert len(pages) > 100
+
+
 def test_pages(spark):
     rows = [(1, "u", None, "t", 3), (2, None, "<article>é😀</article>", None, 4), (2, None, "<article>é😀</article>", None, 4), (None, "v", "<p>" + "the word " * 30_000, "", 5)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
