@@ -386,6 +386,65 @@ def test_quality(spark):
     assert got[5022]["score"] == got[5023]["score"]  # null and empty
 
 
+def test_quality_against_brute_force(spark, monkeypatch):
+    """Ratios and the fitted model against plain counts and another solver; labels without a document and held-out rows count nowhere."""
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 25) if i % 3 else " ".join(rng.choice(["buy", "now", "cheap", "the", "stone"]) + rng.choice(["!", ""]) for _ in range(25))) for i in range(90)]
+    lab = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in rows] + [(5000 + i, 0) for i in range(50)], "doc_id long, quality int")
+    seen = {}
+
+    def spy(own, y, size, cost, **more):
+        out = solver(own, y, size, cost, **more)
+        seen[len(own)] = (own, y, cost, out)
+        return out
+
+    solver = quality.dual_descent
+    monkeypatch.setattr(quality, "dual_descent", spy)
+    model = quality.train(documents(spark, rows), lab)
+    train = [(t, int(i % 3 > 0)) for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    size = 1 << quality.BITS
+    n = np.zeros((2, size))
+    for t, y in train:
+        for k in set(quality.features(t).tolist()):
+            n[y, k] += 1
+    want = [np.log((n[y] + 1) / (n[y].sum() + size)) for y in (1, 0)]
+    assert np.allclose(model.ratio, want[0] - want[1], atol=1e-5)
+    own, y, cost, (w, bias, a) = seen[len(train)]
+    x = np.zeros((len(own), size + 1))
+    for i, (k, v) in enumerate(own):
+        x[i, k], x[i, size] = v, 1
+    q = (x @ x.T) * np.outer(y, y)
+    b = np.zeros(len(y))  # projected gradient on the dual
+    for _ in range(20_000):
+        b = np.clip(b - (q @ b - 1) / np.linalg.norm(q, 2), 0, cost)
+    loss = lambda z: z @ q @ z / 2 - z.sum()
+    assert loss(a) <= loss(b) + 1e-2 * abs(loss(b))
+    assert np.allclose(w, (a * y) @ x[:, :size], atol=1e-6) and abs(bias - (a * y).sum()) < 1e-6
+
+
+def test_quality_long_texts(spark, monkeypatch):
+    """Parts of a long text have the features of the whole; the sample is bounded in bytes by its number of rows, not by their length."""
+    rng = random.Random(7)
+    t = prose(rng, 3000) + " " + "again " * 50 + "x" * 700 + " " + prose(rng, 200)
+    whole = quality.features(t)
+    for n in (1, 7, 100, 1000):
+        monkeypatch.setattr(quality, "AT_ONCE", n)
+        assert (quality.features(t) == whole).all()
+    monkeypatch.setattr(quality, "AT_ONCE", 4 << 20)
+    monkeypatch.setattr(quality, "FIT_BYTES", 20_000)
+    rows = [(i, prose(rng, 900 if i % 2 else 30)) for i in range(100)]
+    lab = spark.createDataFrame([(i, int(i % 4 < 2)) for i, _ in rows], "doc_id long, quality int")
+    taken = []
+
+    def note(own, y, size, cost, **more):
+        taken.append([len(x[0]) for x in own])
+        return np.zeros(size), 0.0, np.zeros(len(own))
+
+    monkeypatch.setattr(quality, "dual_descent", note)
+    quality.train(documents(spark, rows), lab)
+    assert 0 < sum(taken[1]) * 4 <= 2 * 20_000 + 8000 and max(taken[1]) > 600 > 100 > min(taken[1])
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     docs = documents(spark)
