@@ -510,3 +510,31 @@ def test_licenses_inside(spark):
     got = {(r["doc_id"], r["license_id"]): (r["n_units"], r["best_dice"], r["best_line"]) for r in licenses.by_document(documents(spark, rows)).collect()}
     assert got[1, "MIT"] == (1, 1.0, 2) and got[2, "CC-BY-4.0"][1:] == (1.0, 1) and got[3, "CC-BY-4.0"] == (1, 1.0, 0) and got[4, "CC-BY-4.0"] == (2, 1.0, 0)
     assert set(got) == {(1, "MIT"), (2, "CC-BY-4.0"), (3, "CC-BY-4.0"), (4, "CC-BY-4.0")}
+
+
+def test_licenses_in_long_texts(spark, monkeypatch):
+    """Long texts, read word by word, give what short ones do; whole licences inside them are found, and templates can come from files."""
+    rng = random.Random(12)
+    names = {"BSD-2-Clause", "BSD-3-Clause", "MIT", "ISC", "Zlib", "BSL-1.0", "Apache-2.0", "Unlicense", "0BSD"}
+    known = licenses.Templates()
+    for name, body in licenses.TEMPLATES:
+        if name in names and len(body) > 150:
+            t = f"{prose(rng, 400)}\n\nCopyright (c) 2020 Someone\n{body}\n\n{prose(rng, 900)}"
+            want = list(licenses.whole_scan(t, known))
+            with monkeypatch.context() as m:
+                m.setattr(licenses, "AT_ONCE", 50)
+                assert list(licenses.whole_scan(t, known)) == want
+            assert name in {x[0] for x in want}
+    took_ = []
+    for n in (40_000, 80_000):
+        t, began = prose(rng, n), time.process_time()
+        assert not list(licenses.whole_scan(t, known))
+        took_.append(time.process_time() - began)
+    assert took_[1] < 3 * max(took_[0], 0.2)
+
+
+def test_licenses_from_files(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("You may do with this as you like, but tell nobody.")
+    own = licenses.templates_in(spark, str(tmp_path))
+    got = licenses.by_document(documents(spark, [(1, "x y z\nyou may do with this as you like, but tell nobody!")]), own).collect()
+    assert [(r["doc_id"], r["license_id"], r["best_line"]) for r in got] == [(1, "Own-1.0", 1)]
