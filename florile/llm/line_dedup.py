@@ -25,7 +25,7 @@ from .cuckoo import CuckooFilter, Full
 MIN_CHARS = 10
 #: Keys of one shard's filter, and references that meet one copy of it. A key with a HOT_SHARE-th of all lines or more is known to be shared
 #: without a filter; there are HOT_SHARE of them at most, so they are broadcast.
-SHARD_KEYS, PROBE_REFS, HOT_SHARE = 1 << 18, 1 << 21, 10_000
+SHARD_KEYS, PROBE_REFS, HOT_SHARE = 1 << 17, 1 << 18, 10_000
 NO_ID = -(1 << 63)
 
 
