@@ -34,10 +34,12 @@ UP, DOWN = _powers(BASE, PART), _powers(BASE_INV, PART)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new local one in local mode (tests); a cluster has to name one."""
     sc = spark.sparkContext
     place = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         if not (own := sc._jsc.sc().getCheckpointDir()).isDefined():
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="florile-"))
             own = sc._jsc.sc().getCheckpointDir()
@@ -177,25 +179,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     e = scratch(e, "edges")
-    last = None
-    while True:
+    last, total = None, 2 * e.count()
+    while total:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.greatest("v", "m").alias("x"), "m").where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        large = scratch(join_hot(both.where("v > u"), low, ["u"], "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_hot(large, low, ["u"], "n", total).select(F.greatest("v", "m").alias("x"), "m").where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v"))
         new = scratch(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         e = new
         if now == last or not now[0]:
             break
-        last = now
+        last, total = now, 2 * now[0]
     nodes = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return nodes.unionByName(nodes.select(F.col("component").alias("id"), "component").distinct())
 
 
-def candidate_groups(entries: DataFrame, bucket: list[str], block: int, load: int) -> DataFrame:
-    """What to compare with what, from entries (the columns of bucket, of which the first is its rank; member; load).
+def candidate_groups(entries: DataFrame, bucket: list[str], block: int, load: int, total: int) -> DataFrame:
+    """What to compare with what, from entries (the columns of bucket, of which the first is its rank; member; load), total in number.
 
     Two members are to be compared in the lowest-ranked bucket that they share. Buckets of one member go; of buckets with the same
     members only the lowest stays. A bucket of over block members, or over load in sum, is dealt into blocks, and each pair of
@@ -205,8 +207,8 @@ def candidate_groups(entries: DataFrame, bucket: list[str], block: int, load: in
     sizes = entries.groupBy(*bucket).agg(F.count("*").alias("n"), F.sum("load").alias("all"), F.bit_xor(code).alias("x"), F.bit_xor(F.xxhash64(code, F.lit(1))).alias("y"), F.min("member").alias("low")).where("n > 1")
     chosen = sizes.groupBy("n", "x", "y", "low").agg(F.min(F.struct(*bucket)).alias("b"), F.max("all").alias("all"))
     blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("all") / load)).cast("int")
-    chosen = chosen.select("b.*", blocks.alias("blocks"))
-    rows = entries.join(chosen, bucket).withColumn("own", F.pmod(F.xxhash64("member", F.lit(5)), F.col("blocks")).cast("int"))
+    chosen = scratch(chosen.select("b.*", "n", blocks.alias("blocks")), "buckets")
+    rows = join_hot(entries, chosen, bucket, "n", total).withColumn("own", F.pmod(F.xxhash64("member", F.lit(5)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.select(*bucket, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "member", (F.col("own") > F.col("other")).cast("int").alias("side"))
 

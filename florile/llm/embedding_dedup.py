@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LINKS, by_group, candidate_groups, components, linked, scratch
+from .common import LINKS, by_group, candidate_groups, components, join_hot, linked, scratch
 
 THRESHOLD, LISTED, LEAST = 0.98, 16, 6
 BLOCK = 1024
@@ -122,18 +122,19 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of vectors: vec_id, n_links, component_id, kept."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").alias("embedding"))
     valid = scratch(rows.mapInArrow(_prepare, "vec_id long, label long, dims int, key binary, unit binary"), "vectors")
-    words = 1 << max(4, min(14, round(np.log2(max(1, valid.count()) / 3) / 2)))
+    n_valid = valid.count()
+    words = 1 << max(4, min(14, round(np.log2(max(1, n_valid) / 3) / 2)))
     reps = valid.groupBy("label", "dims", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.any_value("unit").alias("unit"))
     reps = scratch(reps.mapInArrow(_decode(words), "label long, dims int, key binary, rep long, m long, unit binary, filters array<long>"), "directions")
     entries = reps.select(F.explode("filters").alias("filter"), "label", "dims", F.col("rep").alias("member"), F.lit(1).alias("load"))
     bucket = ["filter", "label", "dims"]
-    groups = candidate_groups(entries, bucket, BLOCK, BLOCK)
+    groups = candidate_groups(entries, bucket, BLOCK, BLOCK, LISTED * n_valid)
     groups = groups.join(reps.select("label", "dims", F.col("rep").alias("member"), "m", "unit", "filters"), ["label", "dims", "member"])
     links = scratch(by_group(groups.select(*bucket, "p", "q", "side", "member", "m", "unit", "filters"), [*bucket, "p", "q"], _compare(threshold), LINKS), "vector-links")
     parts = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("id").agg(F.sum("n_links").alias("n"))
     known = reps.select("label", "dims", "key", "rep", "m").join(counts, F.col("rep") == F.col("id"), "left").drop("id").join(parts, F.col("rep") == F.col("id"), "left")
-    known = known.select("label", "dims", "key", F.coalesce("component", "rep").alias("c"), (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    found = valid.select("vec_id", "label", "dims", "key").join(known, ["label", "dims", "key"]).groupBy("vec_id").agg(F.min("c").alias("c"), F.max("n_links").alias("n_links"))
+    known = scratch(known.select("label", "dims", "key", "m", F.coalesce("component", "rep").alias("c"), (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")), "parts")
+    found = join_hot(valid.select("vec_id", "label", "dims", "key"), known, ["label", "dims", "key"], "m", n_valid).groupBy("vec_id").agg(F.min("c").alias("c"), F.max("n_links").alias("n_links"))
     out = rows.select("vec_id").join(found, "vec_id", "left").withColumn("component_id", F.coalesce("c", "vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

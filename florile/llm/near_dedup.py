@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LINKS, by_group, candidate_groups, components, linked, mix, scratch, shingles, word_hashes
+from .common import LINKS, by_group, candidate_groups, components, join_hot, linked, mix, scratch, shingles, word_hashes
 
 SIZE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, WIDTH, STEP = 32, 4, 16
@@ -135,17 +135,18 @@ def near_groups(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD,
     reps = all_.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "digest")).alias("r"), F.count("*").alias("m"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"))
     reps = scratch(reps.select("key", F.col("r.doc_id").alias("rep"), F.col("r.digest").alias("digest"), "m", "n", "sig"), "shingle-sets")
     entries = reps.select(F.posexplode("sig").alias("band", "h"), F.col("rep").alias("member"), F.col("n").alias("load"))
-    groups = candidate_groups(entries, ["band", "h"], BLOCK, LOAD)
+    groups = candidate_groups(entries, ["band", "h"], BLOCK, LOAD, BANDS * reps.count())
     groups = groups.join(reps.select(F.col("rep").alias("member"), "digest", "m", "sig"), "member")
     groups = groups.join(d.select(F.col("doc_id").alias("member"), "digest", "text").dropDuplicates(["member", "digest"]), ["member", "digest"])
     links = scratch(by_group(groups.select("band", "h", "p", "q", "side", "member", "m", "sig", "text"), ["band", "h", "p", "q"], _compare(size, threshold, tolerance), LINKS), "links")
     classes = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("id").agg(F.sum("n_links").alias("n_links"))
     known = reps.select("key", "rep", "m").join(counts, F.col("rep") == F.col("id"), "left").drop("id").join(classes, F.col("rep") == F.col("id"), "left")
-    known = known.select("key", F.coalesce("component", "rep").alias("class_id"), (F.col("m") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
-    out = all_.select("doc_id", "key").join(known, "key", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    known = scratch(known.select("key", "m", F.coalesce("component", "rep").alias("class_id"), (F.col("m") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links")), "classes")
+    alone = all_.where("key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).alias("n_links"))
+    out = join_hot(all_.where("key IS NOT NULL").select("doc_id", "key"), known, ["key"], "m", all_.count()).select("doc_id", "class_id", "n_links").unionByName(alone)
     named = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return out.select(named("doc_id"), named("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return out.select(named("doc_id"), named("class_id"), F.col("n_links").cast("long").alias("n_links"), (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD) -> DataFrame:
