@@ -9,8 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: words that stay in lower case inside a title.
-SMALL_WORDS = frozenset("a an and as at but by for from in nor of on or so the to vs with yet".split())
-TITLE_WORD = re.compile(r"[^\W_][\w'’.\-]*")
+SMALL_WORDS = frozenset("a an and as at but by for in nor of on or per the to v via vs".split())
+TITLE_WORD = re.compile(r"(?<!\w)[^\W_](?:[^\W_]|['’.\-])*")
+LETTER = re.compile(r"[^\W\d_]")
 
 
 def _per_value(fn, c: Column) -> Column:
@@ -21,22 +22,22 @@ def _per_value(fn, c: Column) -> Column:
 
 
 def _title(text: str) -> str:
-    words = list(TITLE_WORD.finditer(text))
-
     def one(m: re.Match) -> str:
         w = m.group()
         if re.search("[A-Z]", w) and re.search("[a-z]", w):
             return w
         low = w.lower()
-        inner = m.start() != words[0].start() and m.start() != words[-1].start()
-        return low if inner and low in SMALL_WORDS else low[:1].upper() + low[1:]
+        if m.start() > 0 and m.end() < len(text) and low.replace(".", "") in SMALL_WORDS:
+            return low
+        return LETTER.sub(lambda x: x.group().upper(), low, count=1)
 
     return TITLE_WORD.sub(one, text)
 
 
 def nfc(c: Column) -> Column:
-    """Composed Unicode form."""
-    return _per_value(lambda t: unicodedata.normalize("NFC", t), c)
+    """Composed Unicode form. Texts of ASCII alone are in it already and stay in the JVM's hands."""
+    odd = c.rlike(r"[^\x00-\x7f]")
+    return F.when(odd, _per_value(lambda t: unicodedata.normalize("NFC", t), F.when(odd, c))).otherwise(c)
 
 
 def unescape(c: Column) -> Column:
@@ -45,5 +46,5 @@ def unescape(c: Column) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    """Words of mixed case stay; small words inside are lower case; others get a capital."""
+    """Words of mixed case stay; small words are lower case unless the text begins or ends with them; others get a capital as their first letter."""
     return _per_value(_title, c)

@@ -1,5 +1,6 @@
 """Text functions over columns: cleaning, dates, numbers, similarity, formats and quoting. All are expressions but those in arrow.py."""
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 #: White space as scripts on the web see it, as the inside of a character class.
 SPACE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: Characters without width that normalisation deletes.
 INVISIBLE = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]"
 #: Word boundaries by ASCII letters, digits and underscore.
@@ -23,8 +25,13 @@ def _quoted(text: str) -> str:
     return "".join("\\" + c if c in r"\.[]{}()*+-?^$|/" else c for c in text)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def collapse_spaces(c: Column) -> Column:
@@ -57,9 +64,10 @@ def punctuation(c: Column) -> Column:
 
 
 def collapse_separators(c: Column) -> Column:
-    """Doubled commas and semicolons become one; those at the ends go."""
-    once = F.regexp_replace(F.regexp_replace(c, f"([,;])(?:[{SPACE}]*\\1)+", "$1"), f"^[{SPACE},;]+", "")
-    return F.regexp_replace(once, f"[{SPACE},;]+$", "")
+    """A comma or semicolon before another, or before a full stop, goes; so do separators and blanks at the end. Each run of blanks is tried once."""
+    once_ = F.regexp_replace(c, f"[,;][{SPACE}]*+([,;.])", "$1")
+    pairs = F.regexp_replace(once_, f"(?<![{SPACE}])[{SPACE}]*+([,;])[{SPACE}]*+([,;])", "$1$2")
+    return F.regexp_replace(pairs, f"(?<![{SPACE},;:-])[{SPACE},;:-]++$", "")
 
 
 def sentence_case(c: Column) -> Column:
@@ -68,12 +76,10 @@ def sentence_case(c: Column) -> Column:
 
 
 def remove_prefixes(c: Column, prefixes: list[str]) -> Column:
-    """Strip the prefixes again and again, ignoring case, then what separated them. Without prefixes, nothing."""
+    """Strip the prefixes again and again, ignoring case, then separators and blanks at the start, and blanks at the end."""
     own = sorted({p.strip() for p in prefixes if p.strip()}, key=lambda p: (-len(p), p))
-    if not own:
-        return c
-    head = f"(?i)^(?:[{SPACE}]*(?:{'|'.join(map(_quoted, own))}))+"
-    return F.when(c.rlike(head), F.regexp_replace(F.regexp_replace(c, head, ""), f"^[-–—_:,{SPACE}]+", "")).otherwise(c)
+    left = F.regexp_replace(c, f"(?i)^(?:[{SPACE}]*(?:{'|'.join(map(_quoted, own))}))+", "") if own else c
+    return trim(F.regexp_replace(left, f"^[-–—_:,{SPACE}]+", ""))
 
 
 def featuring(c: Column, style: str = "feat.") -> Column:
@@ -96,17 +102,21 @@ def whole_number(c: Column) -> Column:
 
 
 def normal_date(c: Column, style: str = "auto") -> Column:
-    """YYYY[-MM[-DD]] of dates that begin with the year; one year amid noise becomes the year; else unchanged. Months aren't checked."""
-    t = trim(c)
-    sep = r"[-/. ]"
-    full, month = rf"^(\d{{4}}){sep}(\d{{1,2}}){sep}(\d{{1,2}})(?!\d)", rf"^(\d{{4}}){sep}(\d{{1,2}})(?!\d)"
-    part = lambda p, i: F.lpad(F.regexp_extract(t, p, i), 2, "0")
-    year = F.regexp_extract(t, r"(\d{4})", 1)
-    digits = F.regexp_replace(t, r"\D", "")
-    forms = {"year": (year, year), "year-month": (F.concat_ws("-", year, part(full, 2)), F.concat_ws("-", year, part(month, 2)))}
-    ymd, ym = forms.get(style, (F.concat_ws("-", year, part(full, 2), part(full, 3)), F.concat_ws("-", year, part(month, 2))))
-    alone = F.lit(style != "full") & (F.length(digits) == 4)
-    return F.when(~t.rlike(r"\d{4}"), c).when(t.rlike(full), ymd).when(t.rlike(month), ym).when(alone, year).otherwise(c)
+    """YYYY-MM-DD, YYYY-MM or YYYY of the first date that a text holds, year first; one year amid noise becomes the year; else the trimmed text. Months aren't checked."""
+    sep = f"[-/.{SPACE}]"
+    two = lambda x: F.lpad(x, 2, "0")
+
+    def written(m: Column, most: int) -> Column:
+        keep = {"year": 1, "year-month": 2}.get(style, most)
+        return once(F.split(m, sep), lambda p: F.concat_ws("-", F.get(p, 0), *(two(F.get(p, i)) for i in range(1, min(keep, most)))))
+
+    def of(t: Column) -> Column:
+        year = F.regexp_extract(t, r"^\D*+(\d{4})\D*+$", 1) if style != "full" else F.lit("")
+        alone = F.when(year != "", year).otherwise(t)
+        month = once(F.regexp_extract(t, rf"\d{{4}}{sep}\d{{1,2}}(?!\d)", 0), lambda m: F.when(m != "", written(m, 2)).otherwise(alone))
+        return once(F.regexp_extract(t, rf"\d{{4}}{sep}\d{{1,2}}{sep}\d{{1,2}}", 0), lambda m: F.when(m != "", written(m, 3)).otherwise(month))
+
+    return once(trim(c), of)
 
 
 def first_year(c: Column) -> Column:

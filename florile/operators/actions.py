@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import arrow, text
 from . import cleanup
 from .replace import replaced, strip_featured
 
@@ -74,10 +74,10 @@ def replace_text(fields: list[str], find: str, with_: str, lists: tuple[str, ...
 
 
 def clean_text(fields: list[str]) -> Patch:
-    """Trim, collapse spaces and drop what has no width."""
+    """Trim, collapse spaces, compose characters and drop what has no width."""
     out: Patch = {}
     for f in fields:
-        new = text.drop_invisible(text.collapse_spaces(text.trim(F.col(f))))
+        new = text.drop_invisible(arrow.nfc(text.collapse_spaces(text.trim(F.col(f)))))
         out[f] = (F.coalesce(new != F.col(f), F.lit(False)), new)
     return out
 

@@ -60,7 +60,7 @@ def split_values(c: Column, separators: str = ";/") -> Column:
 
 def strip_featured(c: Column) -> Column:
     """The artist without whom it features."""
-    return F.regexp_replace(c, r"(?i)\s*[(\[]?\s*(?:featuring|feat|ft)\.?\s.*$", "")
+    return F.regexp_replace(c, r"(?i)(?<!\s)\s*+[(\[]?\s*+(?:featuring|feat|ft|with)\.?\s.*$", "")
 
 
 def track_from_name(name: Column) -> Column:

@@ -77,6 +77,37 @@ def normalize_date(spark, sf_dir):
     return o.select("o_orderkey", text.normal_date(slashed).alias("iso"), text.normal_date(slashed, "year").alias("y"), text.normal_date(slashed, "year-month").alias("ym"), text.normal_date(noisy).alias("noisy"), text.first_year(noisy).alias("year"))
 
 
+def clean_title_case(spark, sf_dir):
+    p = tables.read(spark, sf_dir, "part")
+    raw = F.concat(F.lit("of the "), F.lower("p_brand"), F.lit(" via "), F.upper("p_type"), F.lit(" v. "), F.col("p_name"), F.lit(" iPod with"))
+    return p.select("p_partkey", arrow.title_case(raw).alias("title"))
+
+
+def clean_defaults(spark, sf_dir):
+    """The default operations in their order over a title, a list of artists, a track number and a date inside a text."""
+    p = tables.read(spark, sf_dir, "part")
+    raw = p.select("p_partkey", F.concat(F.lit("  - it´s "), "p_name", F.lit("   x \u200b ")).alias("title"), F.array(F.col("p_brand"), F.upper("p_brand"), F.lit("  "), F.concat("p_type", F.lit(" "))).alias("artists"), (F.col("p_retailprice") - 1000).alias("track"), F.concat(F.lit("ca. 1990/"), F.col("p_size") % 12 + 1, F.lit(" x")).alias("date"), F.lit(None).cast("int").alias("year"))
+    steps = cleanup.default_steps(("title", "artists"), ("title",), ("artists",), ("track",), ("date",))
+    out = cleanup.clean(raw, steps, "date", "year")
+    return out.select("p_partkey", "title", F.array_join("artists", "|").alias("artists"), "track", "date", "year", F.array_join("changes.field", ",").alias("changed"))
+
+
+def clean_genre_names(spark, sf_dir):
+    """Spellings of genres by the built-in tables."""
+    p = tables.read(spark, sf_dir, "part")
+    names = F.array(*map(F.lit, [" hip hop", "DNB", "rock & roll ", "techno", "SHOEGAZE", "no genre", "R & B"]))
+    return p.select("p_partkey", cleanup.genre(F.element_at(names, (F.col("p_partkey") % 7 + 1).cast("int"))).alias("genre"))
+
+
+def normalize_date_text(spark, sf_dir):
+    """Dates inside texts: whole ones, months, years amid noise, several numbers, and none."""
+    o = tables.read(spark, sf_dir, "orders")
+    slashed = F.date_format("o_orderdate", "yyyy/M/d")
+    texts = [F.concat(F.lit("Released "), slashed, F.lit(" (x)")), F.concat(F.lit(" in "), F.date_format("o_orderdate", "yyyy.M"), F.lit(" ")), F.concat(F.lit("about "), F.year("o_orderdate").cast("string")), F.concat(F.year("o_orderdate").cast("string"), F.lit(" or 2001")), F.lit("  nothing "), F.lit(None).cast("string")]
+    raw = F.element_at(F.array(*texts), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return o.select("o_orderkey", text.normal_date(raw).alias("auto"), text.normal_date(raw, "year").alias("y"), text.normal_date(raw, "full").alias("whole"))
+
+
 def number_prefix(spark, sf_dir):
     o = tables.read(spark, sf_dir, "orders")
     n, total = text.pair(F.concat(F.substring("o_orderpriority", 1, 1), F.lit("/"), F.lit("5")))
@@ -144,7 +175,7 @@ def title_parts(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (clean_whitespace, clean_quotes, clean_prefix, clean_separators, clean_featuring, clean_case, clean_html_named, clean_unicode, clean_empty, clean_distinct_values, clean_genre, clean_pipeline, normalize_date, number_prefix, duration_parse, replace_literal, replace_regex_groups, replace_hits, split_multi_edit, action_steps, path_split, format_values, content_hash, title_parts)
+    for f in (clean_whitespace, clean_quotes, clean_prefix, clean_separators, clean_featuring, clean_case, clean_html_named, clean_unicode, clean_empty, clean_distinct_values, clean_genre, clean_genre_names, clean_title_case, clean_defaults, clean_pipeline, normalize_date, normalize_date_text, number_prefix, duration_parse, replace_literal, replace_regex_groups, replace_hits, split_multi_edit, action_steps, path_split, format_values, content_hash, title_parts)
 }
 
 _SPACE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -172,6 +203,24 @@ ORACLE = {
     "content_hash": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "title_parts": "SELECT p_partkey, p_brand || ' - ' || p_name AS artist, p_type AS title FROM part",
 }
+_SEPARATED = f"regexp_replace(regexp_replace(regexp_replace(translate(text, '.' || chr(10), ',;'), '[,;][{_SPACE}]*([,;.])', '\\1', 'g'), '[{_SPACE}]*([,;])[{_SPACE}]*([,;])', '\\1\\2', 'g'), '[{_SPACE},;:-]+$', '')"
+ORACLE["clean_separators"] = f"SELECT doc_id, sha256({_SEPARATED}) AS cleaned FROM documents"
+ORACLE["clean_case"] = r"SELECT doc_id, sha256(CASE WHEN regexp_matches(lower(text), '^\p{L}') THEN upper(left(lower(text), 1)) || substr(lower(text), 2) ELSE lower(text) END) AS sentence, sha256(upper(source)) AS upper FROM documents"
+ORACLE["clean_title_case"] = r"""
+WITH w AS (
+  SELECT p_partkey, unnest(string_split('of the ' || lower(p_brand) || ' via ' || upper(p_type) || ' v. ' || p_name || ' iPod with', ' ')) AS w,
+    generate_subscripts(string_split('of the ' || lower(p_brand) || ' via ' || upper(p_type) || ' v. ' || p_name || ' iPod with', ' '), 1) AS i FROM part
+)
+SELECT p_partkey, string_agg(CASE WHEN i > 1 AND list_contains(['a', 'an', 'and', 'as', 'at', 'but', 'by', 'for', 'in', 'nor', 'of', 'on', 'or', 'per', 'the', 'to', 'v', 'via', 'vs'], replace(lower(w), '.', '')) THEN lower(w)
+  WHEN w = 'iPod' THEN w ELSE upper(left(w, 1)) || lower(substr(w, 2)) END, ' ' ORDER BY i) AS title FROM w GROUP BY 1"""
+ORACLE["clean_defaults"] = "SELECT p_partkey, 'it''s ' || p_name || ' x' AS title, p_brand || '|' || p_type AS artists, CASE WHEN p_retailprice >= 1000 THEN floor(p_retailprice - 1000)::INT END AS track, '1990-' || lpad((p_size % 12 + 1)::VARCHAR, 2, '0') AS date, 1990 AS year, 'title,artists,' || CASE WHEN p_retailprice < 1000 OR p_retailprice - 1000 <> floor(p_retailprice - 1000) THEN 'track,' ELSE '' END || 'date,year' AS changed FROM part"
+ORACLE["clean_genre_names"] = "SELECT p_partkey, ['Hip-Hop', 'Drum & Bass', 'Rock', 'Techno', 'Shoegaze', 'no genre', 'R&B'][p_partkey % 7 + 1] AS genre FROM part"
+ORACLE["normalize_date_text"] = """
+SELECT o_orderkey,
+  CASE k WHEN 0 THEN strftime(d, '%Y-%m-%d') WHEN 1 THEN strftime(d, '%Y-%m') WHEN 2 THEN year(d)::VARCHAR WHEN 3 THEN year(d) || ' or 2001' WHEN 4 THEN 'nothing' END AS auto,
+  CASE k WHEN 3 THEN year(d) || ' or 2001' WHEN 4 THEN 'nothing' WHEN 5 THEN NULL ELSE year(d)::VARCHAR END AS y,
+  CASE k WHEN 0 THEN strftime(d, '%Y-%m-%d') WHEN 1 THEN strftime(d, '%Y-%m') WHEN 2 THEN 'about ' || year(d) WHEN 3 THEN year(d) || ' or 2001' WHEN 4 THEN 'nothing' END AS whole
+FROM (SELECT o_orderkey, o_orderdate AS d, o_orderkey % 6 AS k FROM orders)"""
 ORACLE["format_values"] = """
 SELECT doc_id,
   CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1024 ** 2 THEN CASE WHEN n / 1024 < 10 THEN printf('%.1f', floor((n / 1024) * 10 + 0.5) / 10) ELSE floor(n / 1024 + 0.5)::BIGINT::VARCHAR END || ' KB'

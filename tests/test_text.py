@@ -25,8 +25,12 @@ def one(spark, fn, value):
         (text.apostrophes, "it’s `a", "it's 'a"),
         (text.sentence_case, "hELLO World", "Hello world"),
         (text.sentence_case, "1 UP", "1 up"),
-        (text.collapse_separators, ",a,, b;; c;", "a, b; c"),
+        (text.collapse_separators, ", lead", ", lead"),
+        (text.collapse_separators, "a, ; b", "a; b"),
+        (text.collapse_separators, "tail -:", "tail"),
+        (text.collapse_separators, "a,. b", "a. b"),
         (lambda c: text.remove_prefixes(c, []), "01 - Song", "01 - Song"),
+        (lambda c: text.remove_prefixes(c, ["x"]), "- Song ", "Song"),
         (lambda c: text.remove_prefixes(c, ["01", "02"]), "01 - Song", "Song"),
         (text.featuring, "A ft B", "A feat. B"),
         (text.featuring, "A (featuring B)", "A (feat. B)"),
@@ -34,7 +38,11 @@ def one(spark, fn, value):
         (text.normal_date, "1992/4/2", "1992-04-02"),
         (text.normal_date, "1992-4", "1992-04"),
         (text.normal_date, "1998 (Remastered)", "1998"),
-        (text.normal_date, "not a date", "not a date"),
+        (text.normal_date, "not a date ", "not a date"),
+        (text.normal_date, "Released 1998-05-03", "1998-05-03"),
+        (text.normal_date, "since 5.1998", "since 5.1998"),
+        (lambda c: text.normal_date(c, "full"), "1998 x", "1998 x"),
+        (lambda c: text.normal_date(c, "year-month"), "on 1998 5 3", "1998-05"),
         (text.normal_date, "1998 1999", "1998 1999"),
         (text.empty_if_blank, " ; ", ""),
         (text.empty_if_blank, "a b", "a b"),
@@ -53,6 +61,8 @@ def one(spark, fn, value):
         (arrow.title_case, "the iPhone song", "The iPhone Song"),
         (arrow.title_case, "a tale of two cities", "A Tale of Two Cities"),
         (arrow.title_case, "NAME", "Name"),
+        (arrow.title_case, "live via satellite", "Live via Satellite"),
+        (arrow.title_case, "of 1st with vs. of", "Of 1St With vs. Of"),
     ],
 )
 def test_function(spark, fn, before, after):
@@ -62,6 +72,21 @@ def test_function(spark, fn, before, after):
         assert one(spark, fn, before) == after
 
 
+def test_long_texts(spark):
+    """Long runs of blanks take time in proportion to their length."""
+    import time
+
+    def took(fn, n):
+        df = spark.createDataFrame([("y" + " " * n + "x",)], "t string").select(fn(F.col("t")))
+        df.collect()
+        began = time.time()
+        df.collect()
+        return time.time() - began
+
+    for fn in (text.trim, text.collapse_separators, replace.strip_featured, text.normal_date):
+        assert took(fn, 400_000) < 3 * max(took(fn, 200_000), 0.3)
+
+
 def test_numbers(spark):
     assert one(spark, text.leading_number, "12abc") == 12
     assert one(spark, text.leading_number, "abc") is None
