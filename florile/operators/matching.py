@@ -9,8 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import catalog_form, half_up, similarity
+from ..functions.text import catalog_form, half_up, similar_form, similarity
 
+#: Scores of years that are equal, one apart, further apart, and not on both sides.
+YEARS = (1.0, 0.6, 0.1, 0.5)
 #: Weights of the signals, cut-offs of the verdicts and the confidence from which a match is taken over.
 WEIGHT = {"artist": 3.0, "album": 2.5, "title": 2.5, "track": 2.0, "duration": 1.5, "trackCount": 1.0, "discCount": 1.0, "year": 1.5, "barcode": 6.0, "catalog": 4.0}
 VERDICTS = ((92, "certain"), (80, "likely"), (60, "possible"))
@@ -33,24 +35,63 @@ def near_number(a: Column, b: Column, tolerance: float) -> Column:
 
 
 def year_score(a: Column, b: Column) -> Column:
-    return F.when(a.isNull() | b.isNull(), 0.5).when(a == b, 1.0).when(F.abs(a - b) <= 1, 0.6).otherwise(0.1)
+    same, next_, far, unknown = YEARS
+    return F.when(a.isNull() | b.isNull(), unknown).when(a == b, same).when(F.abs(a - b) <= 1, next_).otherwise(far)
 
 
 def count_score(own: Column, other: Column) -> Column:
     return F.when(own.isNull(), 0.5).when(own == other, 1.0).otherwise(0.2)
 
 
+def disc_score(own: Column, other: Column) -> Column:
+    """For releases of several discs; a count that is absent is 1."""
+    return F.when(F.coalesce(own, F.lit(1)) == other, 1.0).otherwise(0.3)
+
+
+def barcode_score(own: Column, other: Column) -> Column:
+    """Barcodes have to be identical."""
+    return F.when((own != "") & (own == other), 1.0).otherwise(0.0)
+
+
 def code_score(own: Column, other: Column) -> Column:
     """Codes compared without case and signs."""
     return F.when(catalog_form(F.coalesce(own, F.lit(""))) == catalog_form(other), 1.0).otherwise(0.0)
 
 
-def blockers(own: Column, other: Column) -> Column:
-    """Barcodes that are both there and differ rule the match out of the top."""
-    differs = (own != "") & (other != "") & (catalog_form(own) != catalog_form(other))
+def blockers(own: Column, other: Column, identical: bool = False) -> Column:
+    """Barcodes that are both there and differ speak against the match. identical: as they stand, else without case and signs."""
+    form = (lambda c: c) if identical else catalog_form
+    differs = (own != "") & (other != "") & (form(own) != form(other))
     return F.when(differs, F.array(F.lit("barcode"))).otherwise(F.array().cast("array<string>"))
 
 
+def release_signals(file: dict[str, Column], release: dict[str, Column], normal: bool = False) -> list[Signal]:
+    """The ten signals of a file and a release, from columns artist, album, title, track, seconds, n_tracks, n_discs, year, barcode and catalog of either.
+
+    normal: artist, album and title are in similar_form already, made once for each row rather than for each pair.
+    """
+    f, r = file, release
+    text_ = lambda k: similarity(F.coalesce(f[k], F.lit("")), F.coalesce(r[k], F.lit("")), normal)
+    some = lambda c: c.isNotNull() & (c.cast("string") != "")
+    return [
+        Signal("artist", text_("artist")),
+        Signal("album", text_("album")),
+        Signal("title", text_("title")),
+        Signal("track", near_number(f["track"], r["track"], 0)),
+        Signal("duration", near_number(f["seconds"], r["seconds"], 3)),
+        Signal("trackCount", count_score(f["n_tracks"], r["n_tracks"]), r["n_tracks"].isNotNull()),
+        Signal("discCount", disc_score(f["n_discs"], r["n_discs"]), F.coalesce(r["n_discs"] > 1, F.lit(False))),
+        Signal("year", year_score(f["year"], r["year"]), F.coalesce(r["year"] != 0, F.lit(False))),
+        Signal("barcode", barcode_score(f["barcode"], r["barcode"]), some(r["barcode"])),
+        Signal("catalog", F.when(some(f["catalog"]), code_score(f["catalog"], r["catalog"])).otherwise(0.0), some(r["catalog"])),
+    ]
+
+
+def with_scores(pairs: DataFrame, signals: list[Signal]) -> tuple[DataFrame, list[Signal]]:
+    """pairs with a column for each score, and the signals that read them, so that what follows works none out twice."""
+    return pairs.withColumns({f"score_{s.name}": s.score for s in signals}), [Signal(s.name, F.col(f"score_{s.name}"), s.present) for s in signals]
+
+
 def confidence(signals: list[Signal]) -> Column:
     """The weighted mean of the signals that are present, in whole percent, halves up."""
     weight = [F.when(s.present, WEIGHT[s.name]).otherwise(0.0) if s.present is not None else F.lit(WEIGHT[s.name]) for s in signals]
@@ -61,14 +102,14 @@ def confidence(signals: list[Signal]) -> Column:
 
 def explained(signals: list[Signal]) -> Column:
     """The present signals by falling share in the score, as an array of (signal, score, weight)."""
-    each = F.array_compact(F.array(*[F.when(s.present if s.present is not None else F.lit(True), F.struct(F.lit(s.name).alias("signal"), s.score.alias("score"), F.lit(WEIGHT[s.name]).alias("weight"))) for s in signals]))
-    share = lambda x: x["score"] * x["weight"]
-    return F.array_sort(each, lambda a, b: F.when(share(a) > share(b), -1).when(share(a) < share(b), 1).otherwise(0))
+    each = [F.struct((-s.score * WEIGHT[s.name]).alias("share"), F.lit(i).alias("i"), F.lit(s.name).alias("signal"), s.score.alias("score"), F.lit(WEIGHT[s.name]).alias("weight")) for i, s in enumerate(signals)]
+    here = [F.when(s.present, x) if s.present is not None else x for s, x in zip(signals, each)]
+    return F.transform(F.array_sort(F.array_compact(F.array(*here))), lambda x: F.struct(x["signal"].alias("signal"), x["score"].alias("score"), x["weight"].alias("weight")))
 
 
-def verdict(c: Column, blocked: Column) -> Column:
-    """A blocked match is never certain."""
-    capped = F.when(blocked, F.least(c, F.lit(VERDICTS[0][0] - 1))).otherwise(c)
+def verdict(c: Column, blocked: Column | None = None) -> Column:
+    """By the confidence alone or, if blocked is given, never certain where that holds."""
+    capped = c if blocked is None else F.when(blocked, F.least(c, F.lit(VERDICTS[0][0] - 1))).otherwise(c)
     out = F.lit("unlikely")
     for least, name in reversed(VERDICTS):
         out = F.when(capped >= least, name).otherwise(out)
@@ -91,10 +132,11 @@ def _tag(name: str, values: Column) -> Column:
 
 
 def release_track(tracks: Column, number: Column, title: Column, least: float = 0.85) -> Column:
-    """The first track at the position, else the first whose title is more similar than least."""
-    by_number = F.get(F.filter(tracks, lambda t: t["position"] == number), F.lit(0))
-    by_title = F.get(F.filter(tracks, lambda t: similarity(t["title"], title) > least), F.lit(0))
-    return F.coalesce(by_number, by_title)
+    """The first track at the position, else the first whose title is more similar than least. Select it as one column and take its fields from that, so that it is found once."""
+    wanted = similar_form(title)
+    by_number = F.filter(tracks, lambda t: t["position"] == number)
+    by_title = lambda: F.filter(tracks, lambda t: similarity(similar_form(t["title"]), wanted, normal=True) > least)
+    return F.get(F.when(F.size(by_number) > 0, by_number).otherwise(by_title()), F.lit(0))
 
 
 def album_match(scored: DataFrame, by: list[str]) -> DataFrame:

@@ -125,13 +125,44 @@ def release_track_lookup(spark, sf_dir):
     track = F.struct(F.col("l_linenumber").cast("int").alias("position"), F.concat(F.lit("Line item "), F.col("l_linenumber").cast("string"), F.lit(" of it")).alias("title"), F.col("l_quantity").alias("seconds"))
     releases = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(track)).alias("tracks"))
     found = matching.release_track(F.col("tracks"), F.lit(3), F.lit("line item 1 of it"))
-    return releases.select("l_orderkey", found["position"].alias("position"), found["seconds"].alias("seconds"))
+    return releases.select("l_orderkey", found.alias("track")).select("l_orderkey", "track.position", "track.seconds")
 
 
-QUERIES = {f.__name__: f for f in (similarity_pairs, similar_names, similarity_form, benchmark_best, benchmark_passages, match_confidence, album_rollup, match_candidates, release_track_lookup)}
+def match_release(spark, sf_dir):
+    """Parts as files against the releases of their brand and type (the part of the smallest key, with a few values of its own), by blocking keys and all ten signals."""
+    p = tables.read(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    own = p.select(
+        key.alias("file_id"), F.concat("p_brand", F.lit(" the band")).alias("artist"), F.col("p_type").alias("album"), F.col("p_name").alias("title"), (F.col("p_size") % 10).alias("track"), (F.col("p_retailprice") % 50).alias("seconds"),
+        F.nullif(F.col("p_size") % 5, F.lit(0)).alias("n_tracks"), F.nullif(F.col("p_size") % 3, F.lit(0)).alias("n_discs"), (F.col("p_size") % 4 + 1990).alias("year"), F.nullif((key % 5).cast("string"), F.lit("0")).alias("barcode"), F.concat(F.lit("cat-"), key % 3).alias("catalog"), F.concat_ws("/", "p_brand", "p_type").alias("block"),
+    )
+    first = p.groupBy("p_brand", "p_type").agg(F.min(F.struct("p_partkey", "p_name", "p_size", "p_retailprice")).alias("x")).select("p_brand", "p_type", "x.*")
+    other = first.select(
+        key.alias("release_id"), F.concat(F.lit("The "), F.col("p_brand")).alias("artist"), F.col("p_type").alias("album"), F.col("p_name").alias("title"), (F.col("p_size") % 10).alias("track"), (F.col("p_retailprice") % 50).alias("seconds"),
+        F.nullif(F.col("p_size") % 5, F.lit(0)).alias("n_tracks"), (F.col("p_size") % 3 + 1).alias("n_discs"), (F.col("p_size") % 4 + 1990).alias("year"), F.nullif((key % 5).cast("string"), F.lit("0")).alias("barcode"), F.concat(F.lit("CAT "), key % 3).alias("catalog"), F.concat_ws("/", "p_brand", "p_type").alias("block"),
+    )
+    pairs = matching.candidates(own, other, {"line": (F.array("block"), F.array("block"))}, "file_id", "release_id")
+    forms = lambda df: df.withColumns({c: similar_form(F.col(c)) for c in ("artist", "album", "title")})
+    both = pairs.join(forms(own).alias("f"), "file_id").join(forms(other).alias("r"), "release_id")
+    side = lambda s: {c: F.col(f"{s}.{c}") for c in own.columns[1:-1]}
+    both, signals = matching.with_scores(both, matching.release_signals(side("f"), side("r"), normal=True))
+    blocked = F.size(matching.blockers(F.col("f.barcode"), F.col("r.barcode"), identical=True)) > 0
+    out = both.select("file_id", "release_id", matching.confidence(signals).alias("confidence"), blocked.alias("blocked"), matching.explained(signals).alias("why"))
+    return out.select("file_id", "release_id", "confidence", F.coalesce("blocked", F.lit(False)).alias("blocked"), matching.verdict(F.col("confidence")).alias("verdict"), F.size("why").alias("n_signals"), F.array_join("why.signal", ",").alias("signals"))
 
-_SIM = """CASE WHEN x = '' OR y = '' THEN 0 WHEN x = y THEN 1 ELSE greatest(0.7 * j + 0.3 * (1 - levenshtein(x, y) / greatest(length(x), length(y))), j) END"""
-_J = "(len(list_intersect(string_split(x, ' '), string_split(y, ' '))) / len(list_distinct(list_concat(string_split(x, ' '), string_split(y, ' ')))))"
+
+QUERIES = {f.__name__: f for f in (similarity_pairs, similar_names, similarity_form, benchmark_best, benchmark_passages, match_confidence, match_release, album_rollup, match_candidates, release_track_lookup)}
+
+
+def _sim(x: str = "x", y: str = "y", j: str = "j") -> str:
+    return f"CASE WHEN {x} = '' OR {y} = '' THEN 0 WHEN {x} = {y} THEN 1 ELSE greatest(0.7 * {j} + 0.3 * (1 - levenshtein({x}, {y}) / greatest(length({x}), length({y}))), {j}) END"
+
+
+def _jaccard(x: str = "x", y: str = "y") -> str:
+    return f"(len(list_intersect(string_split({x}, ' '), string_split({y}, ' '))) / len(list_distinct(list_concat(string_split({x}, ' '), string_split({y}, ' ')))))"
+
+
+_SIM, _J = _sim(), _jaccard()
 
 
 def _form(c: str) -> str:
@@ -163,3 +194,25 @@ ORACLE = {
     "match_candidates": "SELECT DISTINCT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND trunc(abs(c_acctbal) / 100) = trunc(abs(s_acctbal) / 100)",
     "release_track_lookup": "SELECT l_orderkey, CASE WHEN count(*) FILTER (WHERE l_linenumber = 3) > 0 THEN 3 WHEN count(*) FILTER (WHERE l_linenumber = 1) > 0 THEN 1 END AS position, coalesce(min(l_quantity) FILTER (WHERE l_linenumber = 3), min(l_quantity) FILTER (WHERE l_linenumber = 1)) AS seconds FROM lineitem GROUP BY 1",
 }
+
+_SIDE = """p_brand, p_type, p_name, p_size % 10 AS track, p_retailprice % 50 AS seconds, nullif(p_size % 5, 0) AS n_tracks, p_size % 4 AS year, nullif(p_partkey % 5, 0) AS barcode, p_partkey % 3 AS catalog, p_partkey AS id"""
+_RELEASED = " UNION ALL ".join(
+    f"SELECT file_id, release_id, {i} AS i, '{name}' AS signal, {weight}::DOUBLE AS w, ({score})::DOUBLE AS s FROM b WHERE {where}"
+    for i, (name, weight, score, where) in enumerate(
+        [
+            ("artist", 3, _sim("ax", "ay", "aj"), "true"), ("album", 2.5, "1", "true"), ("title", 2.5, _SIM, "true"),
+            *((n, w, f"CASE WHEN f_{c} IS NULL OR r_{c} IS NULL THEN 0.5 WHEN abs(f_{c} - r_{c}) <= {lo} THEN 1 WHEN abs(f_{c} - r_{c}) <= {hi} THEN 0.5 ELSE 0 END", "true") for n, w, c, (lo, hi) in (("track", 2, "track", (0, 4)), ("duration", 1.5, "seconds", (3, 12)))),
+            ("trackCount", 1, "CASE WHEN f_n_tracks IS NULL THEN 0.5 WHEN f_n_tracks = r_n_tracks THEN 1 ELSE 0.2 END", "r_n_tracks IS NOT NULL"), ("discCount", 1, "CASE WHEN coalesce(nullif(f_size % 3, 0), 1) = r_size % 3 + 1 THEN 1 ELSE 0.3 END", "r_size % 3 + 1 > 1"),
+            ("year", 1.5, "CASE WHEN f_year = r_year THEN 1 WHEN abs(f_year - r_year) <= 1 THEN 0.6 ELSE 0.1 END", "true"), ("barcode", 6, "CASE WHEN f_barcode = r_barcode THEN 1 ELSE 0 END", "r_barcode IS NOT NULL"), ("catalog", 4, "CASE WHEN f_catalog = r_catalog THEN 1 ELSE 0 END", "true"),
+        ]
+    )
+)
+ORACLE["match_release"] = f"""
+WITH f AS (SELECT {_SIDE}, p_size AS size FROM part), r AS (SELECT * FROM f WHERE id IN (SELECT min(p_partkey) FROM part GROUP BY p_brand, p_type)),
+p AS (
+  SELECT f.id AS file_id, r.id AS release_id, {_form('f.p_name')} AS x, {_form('r.p_name')} AS y, {_form("f.p_brand || ' the band'")} AS ax, {_form("'The ' || f.p_brand")} AS ay, {", ".join(f"{t}.{c} AS {t}_{c}" for t in "fr" for c in ("track", "seconds", "n_tracks", "year", "barcode", "catalog", "size"))}
+  FROM f JOIN r ON f.p_brand = r.p_brand AND f.p_type = r.p_type
+), b AS (SELECT *, {_J} AS j, {_jaccard("ax", "ay")} AS aj FROM p),
+s AS ({_RELEASED}),
+c AS (SELECT file_id, release_id, floor(100 * sum(s * w) / sum(w) + 0.5)::INT AS confidence, count(*)::INT AS n_signals, string_agg(signal, ',' ORDER BY s * w DESC, i) AS signals FROM s GROUP BY 1, 2)
+SELECT file_id, release_id, confidence, coalesce(f_barcode <> r_barcode, false) AS blocked, CASE WHEN confidence >= 92 THEN 'certain' WHEN confidence >= 80 THEN 'likely' WHEN confidence >= 60 THEN 'possible' ELSE 'unlikely' END AS verdict, n_signals, signals FROM c JOIN b USING (file_id, release_id)"""
