@@ -70,6 +70,69 @@ def xspf_list(spark, sf_dir):
     return out.select("conv_id", F.sha2("content", 256).alias("content"))
 
 
+def _orders(spark, sf_dir):
+    """Orders of each customer as tracks: some without artists, title, album, number or length."""
+    o = tables.read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    some = lambda n, c: F.when(k % n > 0, c)
+    t = playlists.Track(
+        F.concat(F.lit("/music/"), "o_orderpriority"), F.concat(k.cast("string"), F.lit(".mp3")), some(3, F.array(F.col("o_orderstatus"), F.lit("A & B"))), some(4, F.concat(F.lit(" t\n<"), k.cast("string"), F.lit("> "))),
+        some(5, F.col("o_orderpriority")), some(2, F.col("o_custkey")), some(7, F.floor(F.col("o_totalprice")) / 4), F.floor(F.col("o_totalprice")).cast("long"),
+    )
+    return o, t
+
+
+def _hashed(df, key="o_custkey"):
+    return df.select(key, F.sha2("content", 256).alias("content"))
+
+
+def m3u_lists(spark, sf_dir):
+    o, t = _orders(spark, sf_dir)
+    return _hashed(playlists.m3u_list(o, ["o_custkey"], [F.col("o_orderkey")], t))
+
+
+def m3u_plain(spark, sf_dir):
+    """Paths alone, relative to a base folder."""
+    o, t = _orders(spark, sf_dir)
+    return _hashed(playlists.m3u_list(o, ["o_custkey"], [F.col("o_orderkey")], t, absolute=False, base="../lists/", extended=False))
+
+
+def pls_lists(spark, sf_dir):
+    o, t = _orders(spark, sf_dir)
+    return _hashed(playlists.pls_list(o, ["o_custkey"], [F.col("o_orderkey")], t, absolute=False))
+
+
+def xspf_lists(spark, sf_dir):
+    o, t = _orders(spark, sf_dir)
+    return _hashed(playlists.xspf_document(o, ["o_custkey"], [F.col("o_orderkey")], t))
+
+
+def _fields(t):
+    name = {"filename": t.name, "title": t.title, "artist": F.array_join(t.artists, "; "), "album": t.album, "track": t.number, "year": F.year("o_orderdate"), "format": F.lit("mp3")}
+    return name | {"duration": F.floor(t.seconds + 0.5), "size": t.size, "folder": t.folder}
+
+
+def table_export(spark, sf_dir):
+    """Each order's line of the table of 27 columns, and of the table of 16."""
+    o, t = _orders(spark, sf_dir)
+    return o.select("o_orderkey", exports.table_line(_fields(t)).alias("line"), exports.table_line(_fields(t), technical=False, delimiter=";").alias("basic"))
+
+
+def export_documents(spark, sf_dir):
+    """Every built-in template over the orders of each customer."""
+    o, t = _orders(spark, sf_dir)
+    out = None
+    for name in ("csv-basic", *exports.TEMPLATES):
+        own = _hashed(exports.export(o, ["o_custkey"], [F.col("o_orderkey")], _fields(t), name, "2020-01-01 00:00:00", technical=False)).withColumn("template", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def manifest_totals(spark, sf_dir):
+    o, t = _orders(spark, sf_dir)
+    return exports.library_manifest(o, ["o_custkey"], [F.col("o_orderkey")], F.struct(F.col("o_orderkey").alias("key")), t.album, t.artists, t.size, "2020-01-01")
+
+
 def row_index(spark, sf_dir):
     o = tables.read(spark, sf_dir, "orders")
     return stats.numbered(o, ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")]).select("o_orderkey", F.col("index").cast("long").alias("index"))
@@ -133,7 +196,7 @@ def search_texts(spark, sf_dir):
     return p.select("p_partkey", releases.search_text({"artist": F.col("p_brand"), "release": F.concat("p_name", F.lit(" (x)")), "barcode": code}).alias("query"))
 
 
-QUERIES = {f.__name__: f for f in (csv_line, export_flat, export_totals, xml_text, template_rows, template_document, json_manifest, m3u_block, pls_index, xspf_list, row_index, sniff_bytes, trailer_tags, media_numbers, format_matrix, release_json, search_texts)}
+QUERIES = {f.__name__: f for f in (csv_line, export_flat, export_totals, xml_text, template_rows, template_document, json_manifest, m3u_block, m3u_lists, m3u_plain, pls_index, pls_lists, xspf_list, xspf_lists, table_export, export_documents, manifest_totals, row_index, sniff_bytes, trailer_tags, media_numbers, format_matrix, release_json, search_texts)}
 
 _CELL = "CASE WHEN regexp_matches({0}, '[,\"\\n]') THEN '\"' || replace({0}, '\"', '\"\"') || '\"' ELSE {0} END"
 _XML = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
@@ -159,3 +222,41 @@ ORACLE = {
     "release_json": "SELECT l_orderkey::VARCHAR AS id, CASE WHEN l_orderkey % 2 = 0 THEN 'A & B' ELSE 'C' END AS artists, CASE WHEN l_orderkey % 2 = 0 THEN 1998 ELSE 2001 END AS year, count(*) AS track_count, round(CASE WHEN l_orderkey % 2 = 0 THEN sum(l_quantity) ELSE sum(60 + l_linenumber) END, 3) AS seconds FROM lineitem GROUP BY l_orderkey",
     "search_texts": r"""SELECT p_partkey, CASE WHEN p_size > 25 THEN 'barcode:"' || p_partkey || '"' ELSE 'artist:"' || p_brand || '" AND release:"' || p_name || ' \(x\)"' END AS query FROM part""",
 }
+
+_T = """(SELECT *, o_orderkey AS k, o_orderkey || '.mp3' AS name, '/music/' || o_orderpriority AS folder, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus || ', A & B' END AS artist, CASE WHEN o_orderkey % 4 > 0 THEN ' t' || chr(10) || '<' || o_orderkey || '> ' END AS title,
+  CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS album, CASE WHEN o_orderkey % 2 > 0 THEN o_custkey END AS number, CASE WHEN o_orderkey % 7 > 0 THEN floor(o_totalprice) / 4 END AS seconds, floor(o_totalprice)::BIGINT AS size FROM orders)"""
+_LT = "trim(replace(coalesce(artist, 'Unknown Artist') || ' - ' || coalesce(title, k::VARCHAR), chr(10), ' '))"
+_S = "floor(seconds + 0.5)::BIGINT"
+ORACLE["m3u_lists"] = f"""SELECT o_custkey, sha256('#EXTM3U' || chr(10) || CASE WHEN arg_min(coalesce(artist, ''), k) = '' THEN '' ELSE '#PLAYLIST:' || arg_min(coalesce(artist, ''), k) || CASE WHEN arg_min(coalesce(album, ''), k) = '' THEN '' ELSE ' — ' || arg_min(coalesce(album, ''), k) END || chr(10) END || string_agg(e, chr(10) ORDER BY k) || chr(10)) AS content
+FROM (SELECT *, '#EXTINF:' || coalesce({_S}, -1) || ',' || {_LT} || chr(10) || coalesce('#EXTALB:' || album || chr(10), '') || coalesce('#EXTTRACK:' || number || chr(10), '') || CASE WHEN seconds IS NOT NULL THEN '#EXTBYT:' || size || chr(10) ELSE '' END || folder || '/' || name AS e FROM {_T}) GROUP BY 1"""
+ORACLE["m3u_plain"] = f"SELECT o_custkey, sha256(string_agg('../lists/' || name, chr(10) ORDER BY k) || chr(10)) AS content FROM {_T} GROUP BY 1"
+ORACLE["pls_lists"] = f"""SELECT o_custkey, sha256('[playlist]' || chr(10) || string_agg('File' || n || '=' || ltrim(folder, '/') || '/' || name || chr(10) || 'Title' || n || '=' || {_LT} || coalesce(chr(10) || 'Length' || n || '=' || {_S}, ''), chr(10) ORDER BY k) || chr(10) || 'NumberOfEntries=' || count(*) || chr(10) || 'Version=2' || chr(10)) AS content
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY k) AS n FROM {_T}) GROUP BY 1"""
+ORACLE["xspf_lists"] = f"""SELECT o_custkey, sha256('<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<playlist version="1" xmlns="http://xspf.org/ns/0/">' || chr(10) || '  <title>' || arg_min(coalesce(album, 'Playlist'), k) || '</title>' || chr(10) || '  <creator>' || arg_min(coalesce({_XML.format('artist')}, 'Playlist'), k) || '</creator>' || chr(10) || '  <trackList>' || chr(10)
+  || string_agg('    <track>' || chr(10) || '      <location>' || folder || '/' || name || '</location>' || chr(10) || coalesce('      <title>' || {_XML.format('title')} || '</title>' || chr(10), '') || coalesce('      <creator>' || {_XML.format('artist')} || '</creator>' || chr(10), '') || coalesce('      <album>' || album || '</album>' || chr(10), '')
+  || coalesce('      <trackNum>' || number || '</trackNum>' || chr(10), '') || coalesce('      <duration>' || floor(seconds * 1000 + 0.5)::BIGINT || '</duration>' || chr(10), '') || '    </track>', chr(10) ORDER BY k) || chr(10) || '  </trackList>' || chr(10) || '</playlist>' || chr(10)) AS content FROM {_T} GROUP BY 1"""
+_AR = "replace(coalesce(artist, ''), ', ', '; ')"
+_TC = "coalesce('\"' || title || '\"', '')"
+ORACLE["table_export"] = f"""SELECT o_orderkey, name || ',' || {_TC} || ',' || {_AR} || ',,' || coalesce(album, '') || ',' || coalesce(number::VARCHAR, '') || ',,,' || year(o_orderdate) || ',,,,,,mp3,' || coalesce({_S}::VARCHAR, '') || ',,,,,' || size || ',' || folder || ',,,,,' AS line,
+  name || ';' || {_TC} || ';' || CASE WHEN artist IS NULL THEN '' ELSE '"' || {_AR} || '"' END || ';;' || coalesce(album, '') || ';' || coalesce(number::VARCHAR, '') || ';;;' || year(o_orderdate) || ';;;;;;;' AS basic FROM {_T}"""
+_D = "o_custkey, count(*) AS n, {} AS body FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY k) AS i, replace(coalesce(artist, ''), ', ', '; ') AS a, coalesce(title, '') AS ti, coalesce(album, '') AS al, coalesce(number::VARCHAR, '') AS nu, coalesce(floor(seconds + 0.5)::BIGINT::VARCHAR, '') AS du FROM " + _T + ") GROUP BY 1"
+
+
+def _report(name: str, line: str) -> str:
+    """SQL of a built-in report: its template's head and tail with the count and the time put in, and the lines between."""
+    head, _, tail = (x.replace("'", "''").replace("{{exported}}", "2020-01-01 00:00:00").replace("{{count}}", "' || n || '") for x in exports.block_template(exports.TEMPLATES[name][1]))
+    return f"SELECT o_custkey, sha256('{head}' || body || '{tail}') AS content, '{name}' AS template FROM (SELECT {_D.format(line)})"
+
+
+_LINES = {
+    "xml-manifest": "string_agg('    <track>' || chr(10) || '      <title>' || {ti} || '</title>' || chr(10) || '      <artist>' || {a} || '</artist>' || chr(10) || '      <album>' || al || '</album>' || chr(10) || '      <track>' || nu || '</track>' || chr(10) || '      <year>' || year(o_orderdate) || '</year>' || chr(10) || '      <genre></genre>' || chr(10) || '      <duration>' || du || '</duration>' || chr(10) || '      <format>mp3</format>' || chr(10) || '    </track>' || chr(10), '' ORDER BY k)",
+    "html-report": "string_agg('<tr><td>' || i || '</td><td>' || {ti} || '</td><td>' || {a} || '</td><td>' || al || '</td><td>' || du || '</td><td>mp3</td></tr>' || chr(10), '' ORDER BY k)",
+    "markdown-report": "string_agg('| ' || i || ' | ' || ti || ' | ' || a || ' | ' || al || ' | ' || du || ' | mp3 |' || chr(10), '' ORDER BY k)",
+    "rtf-report": "string_agg(i || '. ' || a || ' — ' || ti || ' (' || du || ')\\par' || chr(10), '' ORDER BY k)",
+    "txt-report": "string_agg(a || ' — ' || ti || chr(10), '' ORDER BY k)",
+}
+ORACLE["export_documents"] = " UNION ALL ".join(
+    [f"SELECT o_custkey, sha256('{exports.table_header(False)}' || chr(13) || chr(10) || string_agg(name || ',' || {_TC} || ',' || {_AR} || ',,' || coalesce(album, '') || ',' || coalesce(number::VARCHAR, '') || ',,,' || year(o_orderdate) || ',,,,,,,', chr(13) || chr(10) ORDER BY k) || chr(13) || chr(10)) AS content, 'csv-basic' AS template FROM {_T} GROUP BY 1"]
+    + [_report(n, line.replace("{ti}", _XML.format("ti")).replace("{a}", _XML.format("a"))) for n, line in _LINES.items()]
+)
+ORACLE["manifest_totals"] = f"""SELECT o_custkey, '{{"generator":"florile","exported":"2020-01-01","totals":{{"files":' || count(*) || ',"albums":' || count(DISTINCT album) || ',"artists":' || (count(DISTINCT CASE WHEN artist IS NOT NULL THEN o_orderstatus END) + CASE WHEN bool_or(artist IS NOT NULL) THEN 1 ELSE 0 END) || ',"bytes":' || sum(size)::BIGINT || '}},"tracks":[' || string_agg('{{"key":' || k || '}}', ',' ORDER BY k) || ']}}' AS content FROM {_T} GROUP BY 1"""

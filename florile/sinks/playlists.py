@@ -1,9 +1,11 @@
 """Playlists: M3U, PLS and XSPF lines of rows, and the documents made of them."""
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import half_up, xml_escape
+from ..functions.text import half_up, stem_of, trim, xml_escape
 from ..operators.stats import numbered
 from .exports import joined
 
@@ -52,3 +54,76 @@ def xspf(rows: DataFrame, by: list[str], order: list[Column], title: Column, sec
     body = joined(rows, by, order, entry, "\n", "body")
     head = '<?xml version="1.0" encoding="UTF-8"?>\n<playlist version="1" xmlns="http://xspf.org/ns/0/">\n<trackList>\n'
     return body.select(*by, F.concat(F.lit(head), F.col("body"), F.lit("\n</trackList>\n</playlist>\n")).alias("content"))
+
+
+@dataclass(frozen=True)
+class Track:
+    """Columns of a row that lists say something about: artists is an array, the others are single values, any of them null where absent."""
+
+    folder: Column
+    name: Column
+    artists: Column
+    title: Column
+    album: Column
+    number: Column
+    seconds: Column
+    size: Column
+
+
+def list_path(t: Track, absolute: bool = True, base: str = "") -> Column:
+    """/folder/name; relative: folder/name or, with a base folder, base/name."""
+    full = F.regexp_replace(F.concat(t.folder, F.lit("/"), t.name), "^/+", "")
+    if absolute:
+        return F.concat(F.lit("/"), full)
+    return F.concat(F.lit(base.rstrip("/") + "/"), t.name) if base.rstrip("/") else full
+
+
+def one_line(c: Column) -> Column:
+    return trim(F.regexp_replace(c, r"\r?\n", " "))
+
+
+def list_title(t: Track) -> Column:
+    """artists - title, with a stand-in for either: "Unknown Artist" and the name without its extension."""
+    return one_line(F.concat(F.coalesce(F.array_join(t.artists, ", "), F.lit("Unknown Artist")), F.lit(" - "), F.coalesce(t.title, stem_of(t.name))))
+
+
+def _with_first(rows: DataFrame, by: list[str], order: list[Column], t: Track, body: DataFrame) -> DataFrame:
+    """body with the artists and the album of each list's first row. The smallest row of a group is kept, so no group is sorted or gathered for it."""
+    first = rows.groupBy(*by).agg(F.min_by(F.struct(F.array_join(t.artists, ", ").alias("artist"), t.album.alias("album")), F.struct(*order)).alias("first"))
+    return body.join(first, by)
+
+
+def m3u_list(rows: DataFrame, by: list[str], order: list[Column], t: Track, absolute: bool = True, base: str = "", extended: bool = True) -> DataFrame:
+    """M3U lists. extended: with a header that names the first row's artist and album, and each row's length, title, album, number and size."""
+    tag = lambda name, c: F.concat(F.lit(f"#{name}:"), c.cast("string"))
+    length = F.coalesce(half_up(t.seconds).cast("string"), F.lit("-1"))
+    about = [F.concat(F.lit("#EXTINF:"), length, F.lit(","), list_title(t)), F.when(t.album != "", tag("EXTALB", one_line(t.album))), tag("EXTTRACK", t.number), F.when(t.seconds.isNotNull(), tag("EXTBYT", t.size))]
+    body = joined(rows, by, order, F.concat_ws("\n", *(about if extended else []), list_path(t, absolute, base)), "\n", "body")
+    if not extended:
+        return body.select(*by, F.concat(F.col("body"), F.lit("\n")).alias("content"))
+    album = F.when(F.col("first.album") != "", F.concat(F.lit(" — "), F.col("first.album"))).otherwise("")
+    head = F.when(F.col("first.artist") != "", tag("PLAYLIST", one_line(F.concat(F.col("first.artist"), album))))
+    return _with_first(rows, by, order, t, body).select(*by, F.concat(F.concat_ws("\n", F.lit("#EXTM3U"), head, F.col("body")), F.lit("\n")).alias("content"))
+
+
+def pls_list(rows: DataFrame, by: list[str], order: list[Column], t: Track, absolute: bool = True, base: str = "") -> DataFrame:
+    """PLS lists; a row without a length has no line for it."""
+    own = numbered(rows.withColumns({"_title": list_title(t), "_seconds": half_up(t.seconds).cast("string"), "_path": list_path(t, absolute, base)}), by, order, "_n")
+    line = lambda name, c: F.concat(F.lit(name), F.col("_n").cast("string"), F.lit("="), F.col(c))
+    body = joined(own, by, [F.col("_n")], F.concat_ws("\n", line("File", "_path"), line("Title", "_title"), line("Length", "_seconds")), "\n", "body")
+    counts = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    return body.join(counts, by).select(*by, F.concat(F.lit("[playlist]\n"), F.col("body"), F.lit("\nNumberOfEntries="), F.col("n").cast("string"), F.lit("\nVersion=2\n")).alias("content"))
+
+
+def xspf_document(rows: DataFrame, by: list[str], order: list[Column], t: Track, absolute: bool = True, base: str = "") -> DataFrame:
+    """XSPF lists, titled after the first row's album and artists; of a row, what is there."""
+    element = lambda name, c, some: F.when(some, F.concat(F.lit(f"      <{name}>"), c, F.lit(f"</{name}>")))
+    creator = trim(F.array_join(t.artists, ", "))
+    parts = [
+        F.lit("    <track>"), F.concat(F.lit("      <location>"), xml_escape(list_path(t, absolute, base)), F.lit("</location>")), element("title", xml_escape(t.title), t.title != ""), element("creator", xml_escape(creator), creator != ""),
+        element("album", xml_escape(t.album), t.album != ""), element("trackNum", t.number.cast("string"), t.number.isNotNull()), element("duration", half_up(t.seconds * 1000).cast("string"), t.seconds.isNotNull()), F.lit("    </track>"),
+    ]
+    body = joined(rows, by, order, F.concat_ws("\n", *parts), "\n", "body")
+    own = lambda c: xml_escape(F.coalesce(F.col(c), F.lit("Playlist")))
+    head = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<playlist version="1" xmlns="http://xspf.org/ns/0/">\n  <title>'), own("first.album"), F.lit("</title>\n  <creator>"), own("first.artist"), F.lit("</creator>\n  <trackList>\n"))
+    return _with_first(rows, by, order, t, body).select(*by, F.concat(head, F.col("body"), F.lit("\n  </trackList>\n</playlist>\n")).alias("content"))
