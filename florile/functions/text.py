@@ -232,3 +232,50 @@ def stem_of(name: Column) -> Column:
 def title_split(c: Column) -> tuple[Column, Column]:
     """"Artist - Title" at the last " - "; without one, no artist."""
     return F.nullif(F.regexp_extract(c, r"^(.*) - (.*)$", 1), F.lit("")), F.when(c.rlike(" - "), F.regexp_extract(c, r"^(.*) - (.*)$", 2)).otherwise(c)
+
+
+#: Names of statuses; a status of none of them is clean, or for export alone where the record can't be written.
+STATUS = {"dirty": "Unsaved", "error": "Error", "unsaved": "Unwritten"}
+
+
+def status_label(status: Column, writable: Column) -> Column:
+    out = F.when(F.coalesce(writable, F.lit(False)), "Clean").otherwise("Export")
+    for k, v in STATUS.items():
+        out = F.when(status == k, v).otherwise(out)
+    return out
+
+
+def show_time(millis: Column) -> Column:
+    """Milliseconds since 1970 as YYYY-MM-DD HH:MM:SS, in the session's time zone (UTC in this library)."""
+    return F.date_format(F.timestamp_millis(millis.cast("long")), "yyyy-MM-dd HH:mm:ss")
+
+
+def stable_id(prefix: str, *parts: Column) -> Column:
+    """An identifier that is the same whenever it is made from the same parts."""
+    return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, 16))
+
+
+def cover_urls(base: str, release: Column, sizes: tuple[int, ...] = (500, 1200)) -> Column:
+    """Addresses of a release's front cover in several sizes."""
+    return F.array(*[F.concat(F.lit(base.rstrip("/") + "/"), release, F.lit(f"/front-{n}")) for n in sizes])
+
+
+#: The genres that ID3v1 numbers from 0.
+ID3_GENRES = (
+    "Blues", "Classic Rock", "Country", "Dance", "Disco", "Funk", "Grunge", "Hip-Hop", "Jazz", "Metal", "New Age", "Oldies", "Other", "Pop", "R&B", "Rap", "Reggae", "Rock", "Techno", "Industrial", "Alternative", "Ska",
+    "Death Metal", "Pranks", "Soundtrack", "Euro-Techno", "Ambient", "Trip-Hop", "Vocal", "Jazz+Funk", "Fusion", "Trance", "Classical", "Instrumental", "Acid", "House", "Game", "Sound Clip", "Gospel", "Noise",
+    "Alternative Rock", "Bass", "Soul", "Punk", "Space", "Meditative", "Instrumental Pop", "Instrumental Rock", "Ethnic", "Gothic", "Darkwave", "Techno-Industrial", "Electronic", "Pop-Folk", "Eurodance", "Dream",
+    "Southern Rock", "Comedy", "Cult", "Gangsta", "Top 40", "Christian Rap", "Pop/Funk", "Jungle", "Native American", "Cabaret", "New Wave", "Psychedelic", "Rave", "Showtunes", "Trailer", "Lo-Fi", "Tribal", "Acid Punk",
+    "Acid Jazz", "Polka", "Retro", "Musical", "Rock & Roll", "Hard Rock",
+)
+
+
+def id3_genre(c: Column, genres: tuple[str, ...] = ID3_GENRES) -> Column:
+    """"(17)" and "17" by number, "(17)Own" as Own; numbers beyond the table and names stay, trimmed."""
+    def of(t: Column) -> Column:
+        rest = trim(F.regexp_extract(t, r"(?s)^\(\d+\)(.*)$", 1))
+        n = F.regexp_extract(t, r"^\(?(\d+)\)?$", 1).try_cast("int")
+        plain = t.rlike(r"^(?:\d+|\(\d+\))$")
+        return F.when(rest != "", rest).when(plain, F.coalesce(F.get(F.array(*map(F.lit, genres)), n), t)).otherwise(t)
+
+    return once(trim(c), of)

@@ -27,6 +27,34 @@ def undo_last(log: DataFrame, n: int, id: str = "id", op: str = "seq") -> DataFr
     return log.withColumn("_back", F.row_number().over(w)).where(F.col("_back") > n).drop("_back")
 
 
+def discard(log: DataFrame, ids: DataFrame | None = None, id: str = "id") -> DataFrame:
+    """The log without the pending edits of ids (column id); without ids, no edit stays. Records then show what is stored."""
+    return log.limit(0) if ids is None else log.join(ids.select(F.col("id").alias(id)).distinct(), id, "left_anti")
+
+
+def rename_rows(plan: DataFrame, id: str, before: str, after: str, op: str, first_seq: int = 0) -> DataFrame:
+    """A rename plan as log rows of the field "filename", in one operation: those whose name changes."""
+    changed = plan.where(~F.col(before).eqNullSafe(F.col(after)) & F.col(after).isNotNull())
+    return changed.select(F.col(id).alias("id"), F.lit(op).alias("op"), F.lit("filename").alias("field"), F.col(before).alias("before"), F.col(after).alias("value"), (F.lit(first_seq) + F.col(id)).alias("seq"))
+
+
+#: The stages at which writing a record can fail, in their order.
+STAGES = ("validate", "serialise", "verify", "backup", "commit", "rename")
+
+
+def with_error(rows: DataFrame, checks: list[tuple[str, str, Column]]) -> DataFrame:
+    """rows with error and error_stage, of the first check (stage, reason, condition) that holds; both null where none does. Bad rows stay, as data."""
+    for stage, _, _ in checks:
+        if stage not in STAGES:
+            raise ValueError(f"{stage} is no stage")
+    order = sorted(checks, key=lambda c: STAGES.index(c[0]))
+    error, at = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for stage, reason, holds in reversed(order):
+        bad = F.coalesce(holds, F.lit(False))
+        error, at = F.when(bad, reason).otherwise(error), F.when(bad, stage).otherwise(at)
+    return rows.withColumns({"error": error, "error_stage": at})
+
+
 def overlay(records: DataFrame, log: DataFrame, id: str, fields: list[str]) -> DataFrame:
     """records with the pending values in place, and dirty. A touched field takes the edit's value, be it null or empty."""
     last = latest(log, "id", "field", "seq", "value").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct(F.col("value").alias("v"))))).alias("pending"))

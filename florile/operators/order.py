@@ -55,3 +55,29 @@ def newest(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataF
     if not by:
         return rows.orderBy(*order).limit(n)
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
+
+
+def between(catalog: Catalog, sort: list[tuple[str, str]], anchor, to) -> DataFrame:
+    """The rows from one id to the other in the order, whichever comes first; to alone if either is not there.
+
+    The two rows' keys are looked up (one row comes to the driver), so the range is a filter on the keys and nothing is numbered.
+    """
+    order = [(sort_key(catalog, n), way) for n, way in sort if n in catalog] + [(F.col(catalog.name), "asc"), (F.col(catalog.seq), "asc")]
+    ends = {r[catalog.id]: r for r in catalog.rows.where(F.col(catalog.id).isin(anchor, to)).select(catalog.id, *[k.alias(f"_k{i}") for i, (k, _) in enumerate(order)]).limit(2).collect()}
+    if anchor not in ends or to not in ends:
+        return catalog.rows.where(F.col(catalog.id) == to)
+
+    def after(end) -> Column:
+        """The row stands at or after the end."""
+        out = F.lit(True)
+        for i in range(len(order) - 1, -1, -1):
+            k, way = order[i]
+            v = F.lit(end[f"_k{i}"])
+            beyond = k > v if way == "asc" else k < v
+            out = F.when(beyond, True).when(k.eqNullSafe(v), out).otherwise(False)
+        return out
+
+    a, b = ends[anchor], ends[to]
+    one = after(a) & (~after(b) | (F.col(catalog.id) == to))
+    other = after(b) & (~after(a) | (F.col(catalog.id) == anchor))
+    return catalog.rows.where(one | other)

@@ -14,6 +14,17 @@ PADDED, SLASHED = frozenset({"track", "disc"}), frozenset({"genre"})
 ILLEGAL = r"""[\x00-\x1f<>:"/\\|?*]"""
 
 
+#: Ready templates for names, and patterns to take names apart, by label.
+RENAME_TEMPLATES = {
+    "Artist - Title": "%artist% - %title%", "Track - Title": "%track% - %title%", "Disc-Track - Title": "%disc%-%track% - %title%", "Track. Title": "%track%. %title%", "Album / Track - Title": "%album%/%track% - %title%",
+    "Album artist / Year - Album / Track - Title": "%albumartist%/%year% - %album%/%disc%-%track% - %title%",
+}
+PARSE_PATTERNS = {
+    "Track - Artist - Title": "%track% - %artist% - %title%", "Artist - Title": "%artist% - %title%", "Track - Title": "%track% - %title%", "Track. Title": "%track%. %title%",
+    "Artist - Album - Track - Title": "%artist% - %album% - %track% - %title%",
+}
+
+
 @dataclass(frozen=True)
 class Part:
     text: str
@@ -87,7 +98,7 @@ def parse(name: Column, template: str, loose: bool = False) -> dict[str, Column]
     own = parts(template)
     while loose and own and own[0].token is False:
         own = own[1:]
-    body = "".join("(.*?)" if p.token else "".join("\\" + c if c in r"\.[]{}()*+-?^$|/" else c for c in p.text) for p in own)
+    body = "".join("(.+?)" if p.token else "".join("\\" + c if c in r"\.[]{}()*+-?^$|/" else c for c in p.text) for p in own)
     regex = f"(?i)^{body}$"
     hit = stem.rlike(regex)
     values: dict[str, Column] = {}
@@ -100,6 +111,28 @@ def parse(name: Column, template: str, loose: bool = False) -> dict[str, Column]
     return values | {"matched": hit, "coverage": coverage}
 
 
+def parse_greedy(name: Column, template: str) -> dict[str, Column]:
+    """As parse; where the whole template doesn't fit, the part of it from its first literal to its last may, with a coverage of 1."""
+    own = parts(template)
+    at = [i for i, p in enumerate(own) if not p.token]
+    whole = parse(name, template)
+    if not at or (at[0] == 0 and at[-1] == len(own) - 1):
+        return whole
+    mid = "".join(f"%{p.text}%" if p.token else re.sub(r"([\\%])", r"\\\1", p.text) for p in own[at[0] : at[-1] + 1])
+    inner = parse(name, mid)
+    fits = ~whole["matched"] & inner["matched"]
+    out = {k: F.when(fits, inner[k]).otherwise(v) if k in inner else v for k, v in whole.items()}
+    return out | {"matched": whole["matched"] | inner["matched"], "coverage": F.when(fits, 1.0).otherwise(whole["coverage"])}
+
+
+def parse_first(name: Column, templates: list[str] | None = None) -> Column:
+    """The first of the templates (else of the ready patterns) that fits the name; null if none does."""
+    out = F.lit(None).cast("string")
+    for t in reversed(list(PARSE_PATTERNS.values()) if templates is None else templates):
+        out = F.when(parse(name, t)["matched"], F.lit(t)).otherwise(out)
+    return out
+
+
 def guess(name: Column) -> Column:
     """A template that fits: leading digits are a track number, parts between " - " artist and title."""
     stem = stem_of(name)
@@ -107,15 +140,25 @@ def guess(name: Column) -> Column:
 
 
 def without_collisions(rows: DataFrame, folder: list[str], target: str, seq: str, mode: str = "rename") -> DataFrame:
-    """Names that collide (ignoring case) within a folder: the first keeps its name, later ones get " (2)", " (3)", ...
+    """Names that collide (ignoring case) within a folder: the first keeps its name, later ones get " (2)", " (3)", ..., leaving out numbers that a row's
+    own name has already, so made names are unique.
 
-    mode "skip" marks them instead. A made name can collide with a later name of the same form; run it again until clashes is 0.
+    mode "skip" gives those that collide no name; "cancel" leaves names as they are and marks those that collide, so that the caller can stop.
     """
     w = Window.partitionBy(*folder, F.lower(target)).orderBy(seq)
-    n = F.row_number().over(w)
-    dot = F.regexp_extract(target, r"^.+(\.[^.]*)$", 1)
-    named = F.concat(stem_of(F.col(target)), F.lit(" ("), n.cast("string"), F.lit(")"), dot)
-    out = rows.withColumn("clash", n > 1)
+    out = rows.withColumn("_r", F.row_number().over(w)).withColumn("clash", F.col("_r") > 1)
     if mode == "skip":
-        return out.withColumn("new_name", F.when(~F.col("clash"), F.col(target)))
-    return out.withColumn("new_name", F.when(n == 1, F.col(target)).otherwise(named))
+        return out.withColumn("new_name", F.when(~F.col("clash"), F.col(target))).drop("_r")
+    if mode == "cancel":
+        return out.withColumn("new_name", F.col(target)).drop("_r")
+    dotted = lambda c: F.regexp_extract(c, r"^.+(\.[^.]*)$", 1)
+    form = r"^(.*) \(([0-9]{1,9})\)$"
+    low = F.lower(F.col(target))
+    own = rows.select(*folder, stem_of(low).alias("_stem"), dotted(low).alias("_dot")).where(F.col("_stem").rlike(form))
+    own = own.select(*folder, F.concat(F.regexp_extract("_stem", form, 1), "_dot").alias("_low"), F.regexp_extract("_stem", form, 2).cast("int").alias("_k"))
+    used = own.groupBy(*folder, "_low").agg(F.array_sort(F.collect_set("_k")).alias("_used"))
+    out = out.withColumn("_low", low).join(used, [*folder, "_low"], "left")
+    # The r-th free number: one more for each used number up to it.
+    n = F.aggregate(F.coalesce("_used", F.array().cast("array<int>")), F.col("_r"), lambda m, k: F.when((k >= 2) & (k <= m), m + 1).otherwise(m))
+    named = F.concat(stem_of(F.col(target)), F.lit(" ("), n.cast("string"), F.lit(")"), dotted(F.col(target)))
+    return out.withColumn("new_name", F.when(F.col("clash"), named).otherwise(F.col(target))).select(*rows.columns, "clash", "new_name")

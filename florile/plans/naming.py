@@ -50,6 +50,34 @@ def rename_skip(spark, sf_dir):
     return templates.without_collisions(p, ["p_brand"], "target", "p_partkey", "skip").select("p_partkey", "new_name")
 
 
+def rename_numbered(spark, sf_dir):
+    """Names that collide, some of which have a number already."""
+    p = tables.read(spark, sf_dir, "part").withColumn("target", F.concat(F.substring_index("p_name", " ", 1), F.when(F.col("p_partkey") % 9 == 0, " (3)").otherwise(""), F.lit(".mp3")))
+    return templates.without_collisions(p, ["p_brand"], "target", "p_partkey").select("p_partkey", "new_name", "clash")
+
+
+def rename_cancel(spark, sf_dir):
+    p = tables.read(spark, sf_dir, "part").withColumn("target", F.upper("p_name"))
+    return templates.without_collisions(p, ["p_brand"], "target", "p_partkey", "cancel").select("p_partkey", "new_name", "clash")
+
+
+def name_parse_greedy(spark, sf_dir):
+    """Names that a template fits as a whole, from its first to its last literal, or not at all."""
+    c = tables.read(spark, sf_dir, "customer")
+    raw = F.element_at(F.array(F.concat(F.col("c_mktsegment"), F.lit("["), F.col("c_custkey"), F.lit("]x.mp3")), F.concat(F.lit("["), F.col("c_custkey"), F.lit("].mp3")), F.lit("none.mp3")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    v = templates.parse_greedy(raw, "%kind%[%num%]%rest%")
+    return c.select("c_custkey", v["kind"].alias("kind"), v["num"].alias("num"), v["rest"].alias("rest"), v["matched"].alias("matched"), F.round(v["coverage"], 6).alias("coverage"))
+
+
+def name_presets(spark, sf_dir):
+    """The first ready pattern that fits, and the guessed one, for names of every form."""
+    c = tables.read(spark, sf_dir, "customer")
+    k = F.col("c_custkey").cast("string")
+    names = F.array(F.concat(k, F.lit(" - a - b")), F.concat(F.lit("art - t"), k), F.concat(k, F.lit(". song")), F.concat(k, F.lit(" song")), F.concat(F.lit("song"), k))
+    raw = F.concat(F.element_at(names, (F.col("c_custkey") % 5 + 1).cast("int")), F.lit(".mp3"))
+    return c.select("c_custkey", templates.parse_first(raw).alias("preset"), templates.guess(raw).alias("guess"))
+
+
 def missing_tokens(spark, sf_dir):
     """Tokens without a value anywhere in a group of rows."""
     rows = tables.labelled(spark, sf_dir)
@@ -59,7 +87,7 @@ def missing_tokens(spark, sf_dir):
     return flat.groupBy("lang").agg(F.array_join(F.array_sort(F.collect_list("token")), ",").alias("tokens"))
 
 
-QUERIES = {f.__name__: f for f in (name_generate, name_generate_raw, name_title_case, name_parse, name_sanitize, name_guess, rename_collisions, rename_skip, missing_tokens)}
+QUERIES = {f.__name__: f for f in (name_generate, name_generate_raw, name_title_case, name_parse, name_sanitize, name_guess, rename_collisions, rename_numbered, rename_skip, rename_cancel, name_parse_greedy, name_presets, missing_tokens)}
 
 _CLEAN = r"""regexp_replace(trim(regexp_replace(regexp_replace({}, '[\x00-\x1f<>:"/\\|?*]', ' ', 'g'), '\s+', ' ', 'g')), '[. ]+$', '')"""
 
@@ -80,3 +108,15 @@ ORACLE = {
     "rename_skip": "SELECT p_partkey, CASE WHEN r = 1 THEN upper(p_name) END AS new_name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, lower(p_name) ORDER BY p_partkey) AS r FROM part)",
     "missing_tokens": "SELECT lang, concat_ws(',', 'composer', CASE WHEN bool_or(toxic IS NULL) THEN 'disc' END, CASE WHEN bool_or(coalesce(text, '') = '') THEN 'title' END, CASE WHEN bool_or(quality IS NULL) THEN 'track' END) AS tokens FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
 }
+ORACLE["rename_cancel"] = "SELECT p_partkey, upper(p_name) AS new_name, row_number() OVER (PARTITION BY p_brand, lower(p_name) ORDER BY p_partkey) > 1 AS clash FROM part"
+ORACLE["rename_numbered"] = """
+WITH t AS (SELECT *, split_part(p_name, ' ', 1) AS w, p_partkey % 9 = 0 AS has FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, lower(w), has ORDER BY p_partkey) AS r, bool_or(has) OVER (PARTITION BY p_brand, lower(w)) AS used FROM t)
+SELECT p_partkey, w || CASE WHEN has THEN ' (3)' ELSE '' END || CASE WHEN r = 1 THEN '' ELSE ' (' || (r + CASE WHEN NOT has AND used AND r >= 3 THEN 1 ELSE 0 END) || ')' END || '.mp3' AS new_name, r > 1 AS clash FROM r"""
+ORACLE["name_parse_greedy"] = """
+SELECT c_custkey, CASE WHEN k = 0 THEN c_mktsegment END AS kind, CASE WHEN k < 2 THEN c_custkey::VARCHAR END AS num, CASE WHEN k = 0 THEN 'x' END AS rest, k < 2 AS matched,
+  CASE k WHEN 0 THEN round((length(c_mktsegment) + length(c_custkey::VARCHAR) + 1) / (length(c_mktsegment) + length(c_custkey::VARCHAR) + 3), 6) WHEN 1 THEN 1.0 ELSE 0.0 END AS coverage
+FROM (SELECT *, c_custkey % 3 AS k FROM customer)"""
+ORACLE["name_presets"] = """
+SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '%track% - %artist% - %title%' WHEN 1 THEN '%artist% - %title%' WHEN 2 THEN '%track%. %title%' END AS preset,
+  CASE c_custkey % 5 WHEN 0 THEN '%track% - %artist% - %title%' WHEN 1 THEN '%artist% - %title%' WHEN 2 THEN '%track% %title%' WHEN 3 THEN '%track% %title%' ELSE '%title%' END AS guess FROM customer"""

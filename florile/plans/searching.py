@@ -80,6 +80,37 @@ def view_recent(spark, sf_dir):
     return rules.view(c, "recent", 1706572800000).rows.select("event_id")
 
 
+def view_all(spark, sf_dir):
+    """Every named view over parts that have some of the fields, as flags."""
+    from ..catalog import bind
+
+    p = tables.read(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    some = lambda n, c: F.when(k % n > 0, c)
+    c = bind(
+        p, "p_partkey", text={"title": some(2, F.col("p_name")), "album": some(3, F.col("p_brand")), "label": some(5, F.col("p_type")), "publisher": some(7, F.col("p_type")), "folder": some(11, F.lit("f")), "error": some(13, F.lit(""))},
+        multi={"artist": some(3, F.array("p_brand")), "genre": F.filter(F.split("p_name", " "), lambda w: w == "red")}, number={"added": k * 1000, "modified": k * 3000, "year": some(4, F.col("p_size"))}, flag={"writable": k % 2 == 0, "hasartwork": k % 3 == 0, "modifiedflag": some(5, k % 5 == 1), "lossless": k % 4 == 0},
+    )
+    own = rules.views(c, rules.WEEK_MS + 1_500_000)
+    return c.rows.select("p_partkey", *[v.alias(n.replace("-", "_")) for n, v in own.items()])
+
+
+def select_range(spark, sf_dir):
+    """The parts between two of them, by brand falling and name."""
+    return order.between(tables.parts(spark, sf_dir), [("album", "desc"), ("title", "asc")], 100, 30).select("p_partkey", "p_brand", "p_name")
+
+
+def sort_collated(spark, sf_dir):
+    """Regions and nations in the order people use: case and accents count last."""
+    n = tables.read(spark, sf_dir, "nation")
+    word = F.concat(F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name")).otherwise(F.col("n_name")))
+    from ..catalog import bind
+
+    c = bind(n.withColumn("word", word), "n_nationkey", text={"title": "word"})
+    first = order.ordered(c, [("title", "asc")], "UNICODE").limit(10)
+    return first.select("n_nationkey", "word")
+
+
 def sort_null_rules_topk(spark, sf_dir):
     c = tables.labelled(spark, sf_dir)
     return order.top(c, [("track", "desc"), ("year", "asc"), ("size", "desc")], 40).select("doc_id", "quality", "toxic")
@@ -105,7 +136,7 @@ def select_toggle(spark, sf_dir):
     return order.toggled(c, o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")), o.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id")))
 
 
-QUERIES = {f.__name__: f for f in (search_basic, search_text_terms, search_negated_field, search_negated_word, search_numeric_ops, search_numeric_contains, search_flags, search_multi_any, smart_multi_none, smart_all, smart_any, smart_none, view_flags, view_recent, sort_null_rules_topk, sort_slice, select_semi, select_toggle)}
+QUERIES = {f.__name__: f for f in (search_basic, search_text_terms, search_negated_field, search_negated_word, search_numeric_ops, search_numeric_contains, search_flags, search_multi_any, smart_multi_none, smart_all, smart_any, smart_none, view_flags, view_recent, view_all, select_range, sort_collated, sort_null_rules_topk, sort_slice, select_semi, select_toggle)}
 
 ORACLE = {
     "search_basic": "SELECT doc_id, lang, n_chars FROM documents WHERE lower(lang) = 'en' AND n_chars >= 1000 AND lower(coalesce(text, '')) <> 'the' ORDER BY n_chars DESC, doc_id LIMIT 50",
@@ -127,3 +158,11 @@ ORACLE = {
     "select_semi": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
     "select_toggle": "WITH a AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderpriority = '1-URGENT') (SELECT id FROM a EXCEPT SELECT id FROM b) UNION ALL (SELECT id FROM b EXCEPT SELECT id FROM a)",
 }
+ORACLE["view_all"] = """
+SELECT p_partkey, true AS all, 604800000 + 1500000 - k * 1000 < 604800000 AS recent, 604800000 + 1500000 - k * 3000 < 604800000 AS modified, k % 2 = 0 AS favorites, k % 2 = 0 AS writable, k % 3 <> 0 AS missing_artwork, k % 2 = 0 OR k % 3 = 0 AS missing_metadata,
+  false AS errors, k % 5 = 1 AS dirty, k % 4 = 0 AS lossless, k % 4 <> 0 AS lossy, k % 3 > 0 AS artists, k % 3 > 0 AS albums, list_contains(string_split(p_name, ' '), 'red') AS genres, k % 4 > 0 AS years, k % 5 > 0 OR k % 7 > 0 AS labels, k % 11 > 0 AS folders
+FROM (SELECT *, p_partkey AS k FROM part)"""
+ORACLE["select_range"] = """
+WITH r AS (SELECT *, row_number() OVER (ORDER BY p_brand DESC, p_name, p_partkey) AS i FROM part)
+SELECT p_partkey, p_brand, p_name FROM r WHERE i BETWEEN (SELECT min(i) FROM r WHERE p_partkey IN (30, 100)) AND (SELECT max(i) FROM r WHERE p_partkey IN (30, 100))"""
+ORACLE["sort_collated"] = "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE n_name END AS word FROM nation ORDER BY lower(n_name), n_nationkey LIMIT 10"
