@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import text as _text
 from ..operators import edits
 from ..streaming import edit_log
 from . import tables
@@ -69,11 +70,18 @@ def json_props(spark, sf_dir):
 
 
 def _places(spark, name):
+    """A folder of its own in the shared one, which goes when the driver ends. Where spark.checkpoint.dir is unset, a local one in local mode (tests)."""
     from uuid import uuid4
     from tempfile import mkdtemp
 
-    place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or mkdtemp(prefix="florile-")
-    return f"{place.rstrip('/')}/florile/{name}-{uuid4().hex}"
+    sc = spark.sparkContext
+    place = sc.getConf().get("spark.checkpoint.dir")
+    if not place and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    place = f"{(place or mkdtemp(prefix='florile-')).rstrip('/')}/florile/{name}-{uuid4().hex}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return place
 
 
 def _stream(spark, sf_dir):
@@ -95,17 +103,54 @@ def stream_filter(spark, sf_dir):
     return _drained(spark, s, "filtered")
 
 
-def stream_undo(spark, sf_dir):
-    """A stream of edits with undo (error events), folded by state. The last update of each id is its state."""
-    s = _stream(spark, sf_dir).select(F.col("user_id").alias("id"), F.when(F.col("event_type") == "error", "undo").otherwise("edit").alias("action"), F.col("event_id").alias("seq"), F.coalesce("value", F.lit(0.0)).alias("value"))
-    place = _places(spark, "undo")
+def _folded(spark, sf_dir, action, name):
+    s = _stream(spark, sf_dir).select(F.col("user_id").alias("id"), action.alias("action"), F.col("event_id").alias("seq"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    place = _places(spark, name)
     q = edit_log.undoable(s).writeStream.outputMode("update").foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{place}/rows")).option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start()
     q.awaitTermination()
     last = spark.read.parquet(f"{place}/rows").groupBy("id").agg(F.max_by(F.struct("n_edits", "n_undone", "value"), "batch").alias("s"))
     return last.select("id", "s.n_edits", "s.n_undone", "s.value")
 
 
-QUERIES = {f.__name__: f for f in (edit_latest, edit_overlay, edit_diff, edit_undo_n, edit_undone, edit_history_cap, edit_history, edit_upsert, read_back, json_props, stream_filter, stream_undo)}
+def stream_undo(spark, sf_dir):
+    """A stream of edits with undo (error events), folded by state. The last update of each id is its state."""
+    return _folded(spark, sf_dir, F.when(F.col("event_type") == "error", "undo").otherwise("edit"), "undo")
+
+
+def stream_redo(spark, sf_dir):
+    """The same with redo (signup events)."""
+    return _folded(spark, sf_dir, F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("edit"), "redo")
+
+
+def edit_discard(spark, sf_dir):
+    """The pending edits of users without errors: those of the others are given up."""
+    e = tables.read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("field"), "value", F.col("event_id").alias("seq"))
+    return edits.latest(edits.discard(e, e.where("field = 'error'"))).select("id", "field", "value")
+
+
+def rename_queue(spark, sf_dir):
+    """Customers' names shortened, as one operation of the log."""
+    c = tables.read(spark, sf_dir, "customer").withColumn("to", F.regexp_replace("c_name", "#0*", "-"))
+    return edits.rename_rows(c, "c_custkey", "c_name", "to", "op-1", 1000)
+
+
+def write_errors(spark, sf_dir):
+    """Documents that can't be written, with the stage that says so; all rows stay."""
+    d = tables.read(spark, sf_dir, "documents")
+    checks = [("commit", "too long", F.length("text") > 5000), ("validate", "no text", F.coalesce(F.trim("text"), F.lit("")) == ""), ("serialise", "control characters", F.col("text").rlike("[\\x00-\\x08]")), ("rename", "no source", F.col("source").isNull())]
+    return edits.with_error(d, checks).select("doc_id", "error", "error_stage")
+
+
+def record_labels(spark, sf_dir):
+    """Status, time, identifier, cover addresses and numbered genre of parts."""
+    p = tables.read(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    status = F.element_at(F.array(*map(F.lit, ["dirty", "error", "unsaved", "clean"])), (k % 4 + 1).cast("int"))
+    genre = F.element_at(F.array(F.concat(F.lit("("), k % 100, F.lit(")")), F.concat(F.lit(" "), k % 100), F.lit("(3) Own"), F.col("p_type")), (k % 4 + 1).cast("int"))
+    return p.select("p_partkey", _text.status_label(status, k % 3 == 0).alias("status"), _text.show_time(k * 86_400_123).alias("at"), _text.stable_id("part", k.cast("string"), F.col("p_brand")).alias("stable"), F.array_join(_text.cover_urls("https://example.org/release/", k.cast("string")), " ").alias("covers"), _text.id3_genre(genre).alias("genre"))
+
+
+QUERIES = {f.__name__: f for f in (edit_latest, edit_overlay, edit_diff, edit_undo_n, edit_undone, edit_history_cap, edit_history, edit_upsert, read_back, json_props, stream_filter, stream_undo, stream_redo, edit_discard, rename_queue, write_errors, record_labels)}
 
 ORACLE = {
     "edit_latest": "SELECT user_id AS id, event_type AS field, arg_max(value, event_id) AS value, max(event_id) AS seq FROM events GROUP BY 1, 2",
@@ -120,3 +165,33 @@ ORACLE = {
     "json_props": """SELECT event_id, (props->>'k')::BIGINT AS k, '{"event_id":' || event_id || ',"type":"' || event_type || '"}' AS json FROM events""",
     "stream_filter": "SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase' AND value > 50",
 }
+
+
+def _folding(kind: str) -> str:
+    """SQL of the fold of edits by user: a recursion over each user's events in their order, on two lists of values."""
+    return f"""
+WITH RECURSIVE e AS (SELECT user_id AS id, coalesce(value, 0.0) AS v, {kind} AS a, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (
+  SELECT DISTINCT id, 0::BIGINT AS i, []::DOUBLE[] AS stands, []::DOUBLE[] AS back, 0::BIGINT AS undone FROM e
+  UNION ALL
+  SELECT f.id, e.i, CASE a WHEN 'undo' THEN stands[:-2] WHEN 'redo' THEN CASE WHEN len(back) > 0 THEN list_append(stands, back[-1]) ELSE stands END ELSE list_append(stands, v)[-100:] END,
+    CASE a WHEN 'undo' THEN CASE WHEN len(stands) > 0 THEN list_append(back, stands[-1]) ELSE back END WHEN 'redo' THEN back[:-2] ELSE []::DOUBLE[] END,
+    undone + CASE WHEN a = 'undo' AND len(stands) > 0 THEN 1 WHEN a = 'redo' AND len(back) > 0 THEN -1 ELSE 0 END
+  FROM f JOIN e ON e.id = f.id AND e.i = f.i + 1
+)
+SELECT id, len(stands)::BIGINT AS n_edits, undone AS n_undone, stands[-1] AS value FROM f WHERE i = (SELECT max(i) FROM e WHERE e.id = f.id)"""
+
+
+ORACLE["stream_undo"] = _folding("CASE WHEN event_type = 'error' THEN 'undo' ELSE 'edit' END")
+ORACLE["stream_redo"] = _folding("CASE WHEN event_type = 'error' THEN 'undo' WHEN event_type = 'signup' THEN 'redo' ELSE 'edit' END")
+ORACLE["edit_discard"] = "SELECT user_id AS id, event_type AS field, arg_max(value, event_id) AS value FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error') GROUP BY 1, 2"
+ORACLE["rename_queue"] = "SELECT c_custkey AS id, 'op-1' AS op, 'filename' AS field, c_name AS before, regexp_replace(c_name, '#0*', '-') AS value, 1000 + c_custkey AS seq FROM customer WHERE c_name <> regexp_replace(c_name, '#0*', '-')"
+ORACLE["write_errors"] = """
+SELECT doc_id, CASE s WHEN 'validate' THEN 'no text' WHEN 'serialise' THEN 'control characters' WHEN 'commit' THEN 'too long' WHEN 'rename' THEN 'no source' END AS error, s AS error_stage
+FROM (SELECT doc_id, CASE WHEN coalesce(trim(text), '') = '' THEN 'validate' WHEN regexp_matches(text, '[\\x00-\\x08]') THEN 'serialise' WHEN length(text) > 5000 THEN 'commit' WHEN source IS NULL THEN 'rename' END AS s FROM documents)"""
+_GENRES = "[" + ", ".join("'" + g + "'" for g in _text.ID3_GENRES) + "]"
+ORACLE["record_labels"] = f"""
+SELECT p_partkey, CASE k % 4 WHEN 0 THEN 'Unsaved' WHEN 1 THEN 'Error' WHEN 2 THEN 'Unwritten' ELSE CASE WHEN k % 3 = 0 THEN 'Clean' ELSE 'Export' END END AS status, strftime(make_timestamp(k * 86400123000), '%Y-%m-%d %H:%M:%S') AS at,
+  'part-' || left(sha256(k || chr(31) || p_brand), 16) AS stable, 'https://example.org/release/' || k || '/front-500 https://example.org/release/' || k || '/front-1200' AS covers,
+  CASE k % 4 WHEN 0 THEN coalesce({_GENRES}[k % 100 + 1], '(' || k % 100 || ')') WHEN 1 THEN coalesce({_GENRES}[k % 100 + 1], (k % 100)::VARCHAR) WHEN 2 THEN 'Own' ELSE p_type END AS genre
+FROM (SELECT *, p_partkey AS k FROM part)"""
