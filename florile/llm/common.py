@@ -161,6 +161,14 @@ def join_hot(rows: DataFrame, table: DataFrame, on: list[str], n: str, total: in
     return rows.join(few, on).unionByName(rows.join(few.select(*on), on, "left_anti").join(table.where(~is_hot), on))
 
 
+def lean(batches):
+    """The batches, one by one; Arrow gives back what it holds of those before. Its pool would else keep it for the life of the worker."""
+    for b in batches:
+        yield b
+        del b
+        pa.default_memory_pool().release_unused()
+
+
 def slices(b: pa.RecordBatch, column: str, most: int):
     """The batch in slices whose texts, or lists, in the column take about most bytes or elements (a longer one stands alone)."""
     c = b.column(b.schema.get_field_index(column))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import lean
+
 THRESHOLD = 0.8
 #: Bytes of templates, at most.
 TEMPLATE_BYTES = 32 << 20
@@ -342,7 +344,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, ins
 
     def run(batches):
         known = Templates(templates, threshold)
-        for b in batches:
+        for b in lean(batches):
             rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 text = t.as_py() or ""

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import lean, scratch
 from .cuckoo import CuckooFilter, Full
 
 MIN_CHARS = 10
@@ -47,7 +47,7 @@ def line_refs(docs: DataFrame) -> DataFrame:
     """The references of docs: key, doc_id, n."""
 
     def run(batches):
-        for b in batches:
+        for b in lean(batches):
             ids, keys, counts = [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 own: dict[bytes, int] = {}

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LINKS, by_group, candidate_groups, components, join_hot, linked, mix, scratch, shingles, word_hashes
+from .common import LINKS, by_group, candidate_groups, components, join_hot, lean, linked, mix, scratch, shingles, word_hashes
 
 SIZE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, WIDTH, STEP = 32, 4, 16
@@ -56,7 +56,7 @@ def least_equal(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> l
 
 def _prepare(size: int):
     def run(batches):
-        for b in batches:
+        for b in lean(batches):
             keys, counts, sigs = [], [], []
             for t in b.column(2):
                 s = shingles(word_hashes(t.as_py()), size)

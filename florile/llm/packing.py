@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, slices
+from .common import Kept, lean, slices
 
 SIZE, END = 4096, 2
 #: Characters of a group, and groups of a task: tasks grow in number with the input, not in size.
@@ -182,7 +182,7 @@ def _cut(vocabulary: str, size: int, end: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(vocabulary)
-        for b in batches:
+        for b in lean(batches):
             for part in slices(b, "text", BYTES_AT_ONCE):
                 rows = []
                 for doc, raw in zip(part.column(0).to_pylist(), words.encode([t or "" for t in part.column(1).to_pylist()])):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, slices
+from .common import Kept, lean, slices
 
 MARK = "▁"
 #: Longest word that is relaxed in rounds; bytes of words and ids that a process keeps (twice as many at most); bytes of texts, and
@@ -255,7 +255,7 @@ def _with_columns(df: DataFrame, by: str, *added) -> DataFrame:
     """df with columns more (name, type, function of a batch), made one after the other within one pass over slices of bounded texts in by."""
 
     def go(batches):
-        for whole in batches:
+        for whole in lean(batches):
             for b in slices(whole, by, BATCH_BYTES):
                 for name, _, run in added:
                     b = pa.RecordBatch.from_arrays([*b.columns, run(b)], [*b.schema.names, name])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, mix, scratch, span_hashes, word_spans
+from .common import BASE, lean, mix, scratch, span_hashes, word_spans
 
 BITS = 18
 #: Labelled rows of each class that the linear model is fitted to, at most, and bytes of their features (4 each): a bound of the number of
@@ -88,7 +88,7 @@ def _counts(labelled: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches):
         own = np.zeros((2, 1 << bits), np.int64)
-        for b in batches:
+        for b in lean(batches):
             for t, y in zip(b.column(0), b.column(1).to_pylist()):
                 own[y, features(t.as_py())] += 1
         blocks = [k for k in range(0, 1 << bits, BLOCK) if own[:, k : k + BLOCK].any()]
@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
     chosen = first(0).unionByName(first(1))
 
     def pick(batches):
-        for b in batches:
+        for b in lean(batches):
             cells = pa.array([features(t.as_py()).astype(np.int32).tobytes() for t in b.column(0)], pa.binary())
             yield pa.RecordBatch.from_arrays([cells, *b.columns[1:]], ["f", "label", "doc_id", "h"])
 
