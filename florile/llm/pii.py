@@ -141,8 +141,8 @@ def _most(n: int, n_both: Column, n_key: Column) -> Column:
     return (n_both + PRIOR * n_key / max(n, 1)) * F.pow(F.lit(float(n)) / n_key, F.lit(1 - DISCLOSES)) * (1 + 1e-9) - PRIOR
 
 
-def find_spans(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, own_id, digest, base (as base_spans) and extra, an array of (s, e, removed) of disclosing terms."""
+def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row for each row of docs (doc_id, own_id, digest, base as of base_spans), and one for each digest with disclosing terms (digest, extra: an array of (s, e, removed))."""
     d = _row_key(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     found = d.withColumn("base", base_spans(F.col("text")))
     found = scratch(found.select("doc_id", "own_id", "digest", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "pii")
@@ -176,9 +176,22 @@ def find_spans(docs: DataFrame) -> DataFrame:
     extra = places(texts).join(hidden, ["digest", "term"])
     extra = extra.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("s", "e", (F.col("share") >= REVEALS).alias("removed")))).alias("extra"))
     # As a table, the one row of each text with terms is not yet dealt out by digest, so that Spark can split the rows of a text with many copies.
-    extra = scratch(extra, "pii-extra")
-    none = F.array().cast("array<struct<s:int,e:int,removed:boolean>>")
-    return found.drop("text").join(extra, "digest", "left").select("doc_id", "own_id", "digest", "base", "extra").withColumn("extra", F.coalesce("extra", none))
+    return found.drop("text"), scratch(extra, "pii-extra")
+
+
+NONE = "array<struct<s:int,e:int,removed:boolean>>"
+
+
+def _with_extra(rows: DataFrame, extra: DataFrame) -> DataFrame:
+    """rows (digest, base) with extra. Rows without an entity have no terms to hide, so they are not dealt out; there are many, and many alike."""
+    none = F.array().cast(NONE)
+    some = rows.where("size(base) > 0").join(extra, "digest", "left").withColumn("extra", F.coalesce("extra", none))
+    return some.unionByName(rows.where("size(base) = 0").withColumn("extra", none))
+
+
+def find_spans(docs: DataFrame) -> DataFrame:
+    """One row for each row of docs: doc_id, own_id, digest, base (as base_spans) and extra, an array of (s, e, removed) of disclosing terms."""
+    return _with_extra(*_spans(docs)).select("doc_id", "own_id", "digest", "base", "extra")
 
 
 def shown(spans: Column) -> Column:
@@ -197,11 +210,11 @@ def summary(docs: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with entities replaced by their kind in brackets, disclosing terms by [TERM] or nothing, and n_chars to match."""
-    f = find_spans(docs).groupBy("own_id", "digest").agg(F.min_by(F.struct("base", "extra"), F.lit(0)).alias("f")).select(F.col("own_id").alias("f_id"), F.col("digest").alias("f_digest"), "f")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("old"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("own_id")).withColumn("digest", F.xxhash64("old"))
-    both = rows.join(f, (F.col("own_id") == F.col("f_id")) & (F.col("digest") == F.col("f_digest")), "left")
+    _, extra = _spans(docs)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("old"))
+    both = _with_extra(rows.withColumns({"digest": F.xxhash64("old"), "base": base_spans(F.col("old"))}), extra)
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    spans = F.array_sort(F.concat(F.transform("f.base", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.get(marks, x["k"]).alias("mark"))), F.transform("f.extra", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["removed"], "").otherwise("[TERM]").alias("mark")))))
+    spans = F.array_sort(F.concat(F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.get(marks, x["k"]).alias("mark"))), F.transform("extra", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["removed"], "").otherwise("[TERM]").alias("mark")))))
     old = F.col("old")
 
     def written(text: Column, xs: Column, at: Column) -> Column:
