@@ -37,16 +37,16 @@ def similar_names(spark, sf_dir):
 
 def similarity_form(spark, sf_dir):
     d = tables.read(spark, sf_dir, "documents")
-    return d.select("doc_id", F.sha2(similar_form(F.regexp_replace("text", r"[^\x00-\x7f]", " ")), 256).alias("form"))
+    return d.select("doc_id", F.sha2(similar_form(F.col("text")), 256).alias("form"))
 
 
 def benchmark_best(spark, sf_dir):
-    """Sentences blocked by a benchmark item's first four words, scored on how the sentence begins."""
+    """Sentences blocked by a benchmark item's first four words, scored as a whole."""
     head = lambda c: F.array_join(F.slice(F.split(F.lower(c), r"\s+"), 1, 4), " ")
     b = tables.read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
     d = tables.read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"\n|\. ")).alias("line"))
     both = d.withColumn("block", head(F.col("line"))).join(b.withColumn("block", head(F.col("item"))), "block")
-    s = similarity(F.substring("line", 1, 60), F.substring("item", 1, 60))
+    s = similarity(F.col("line"), F.col("item"))
     return both.groupBy("item_id").agg(F.count("*").alias("n"), F.round(F.max(s), 6).alias("best"))
 
 
@@ -169,7 +169,6 @@ def _form(c: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(lower({c}), '\b(?:the|a|an|and|of|in|on)\b', ' ', 'g'), '[^a-z0-9\x{{0400}}-\x{{04FF}}\x{{4E00}}-\x{{9FFF}}]+', ' ', 'g'))"
 
 
-_ASCII = r"regexp_replace(text, '[^\x00-\x7f]', ' ', 'g')"
 _HEAD = r"array_to_string(list_slice(string_split_regex(lower({}), '[ \t\n\x0B\f\r]+'), 1, 4), ' ')"
 _SCORED = """
 WITH b AS (
@@ -186,8 +185,8 @@ WITH b AS (
 """
 ORACLE = {
     "similarity_pairs": f"WITH p AS (SELECT *, {_form('p_name')} AS f FROM part), q AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.f AS x, b.f AS y FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey), r AS (SELECT *, {_J} AS j FROM q) SELECT * FROM (SELECT a, b, round(({_SIM})::DOUBLE, 6) AS score FROM r) WHERE score >= 0.4",
-    "similarity_form": f"SELECT doc_id, sha256({_form(_ASCII)}) AS form FROM documents",
-    "benchmark_best": rf"WITH d AS (SELECT unnest(string_split_regex(text, '\n|\. ')) AS line FROM documents), m AS (SELECT item_id, {_form('left(line, 60)')} AS x, {_form('left(b.text, 60)')} AS y FROM d JOIN benchmark b ON {_HEAD.format('line')} = {_HEAD.format('b.text')}), r AS (SELECT *, {_J} AS j FROM m) SELECT item_id, count(*) AS n, round(max(({_SIM})::DOUBLE), 6) AS best FROM r GROUP BY 1",
+    "similarity_form": f"SELECT doc_id, sha256({_form('text')}) AS form FROM documents",
+    "benchmark_best": rf"WITH d AS (SELECT unnest(string_split_regex(text, '\n|\. ')) AS line FROM documents), m AS (SELECT item_id, {_form('line')} AS x, {_form('b.text')} AS y FROM d JOIN benchmark b ON {_HEAD.format('line')} = {_HEAD.format('b.text')}), r AS (SELECT *, {_J} AS j FROM m) SELECT item_id, count(*) AS n, round(max(({_SIM})::DOUBLE), 6) AS best FROM r GROUP BY 1",
     "match_confidence": _SCORED + """SELECT o_orderkey, confidence, blocked, CASE WHEN c >= 92 THEN 'certain' WHEN c >= 80 THEN 'likely' WHEN c >= 60 THEN 'possible' ELSE 'unlikely' END AS verdict,
  CASE WHEN sb > 0 THEN 'barcode' WHEN sy >= greatest(sd, st) THEN 'year' WHEN sd >= st AND has THEN 'duration' ELSE 'trackCount' END AS strongest FROM (SELECT *, CASE WHEN blocked THEN least(confidence, 91) ELSE confidence END AS c FROM s)""",
     "album_rollup": _SCORED + "SELECT c_nationkey, floor(avg(confidence) + 0.5)::INT AS confidence, max(confidence) AS best, CASE WHEN bool_or(blocked) THEN 'barcode' ELSE '' END AS blockers FROM s GROUP BY 1",

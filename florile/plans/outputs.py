@@ -54,7 +54,7 @@ def json_manifest(spark, sf_dir):
 def m3u_block(spark, sf_dir):
     c = _turns(spark, sf_dir)
     path = playlists.track_path(F.col("role"), F.concat(F.col("turn").cast("string"), F.lit(".mp3")))
-    entry = playlists.m3u_entry(playlists.shown_title(F.col("role"), F.substring("text", 1, 20), F.lit("?")), F.length("text") / 10.0, path)
+    entry = playlists.m3u_entry(playlists.shown_title(F.col("role"), F.col("text"), F.lit("?")), F.length("text") / 10.0, path)
     return playlists.m3u(c, ["conv_id"], [F.col("turn"), F.col("role"), F.col("text")], entry).select("conv_id", F.sha2("content", 256).alias("content"))
 
 
@@ -66,7 +66,7 @@ def pls_index(spark, sf_dir):
 
 def xspf_list(spark, sf_dir):
     c = _turns(spark, sf_dir)
-    out = playlists.xspf(c, ["conv_id"], [F.col("turn"), F.col("role"), F.col("text")], F.substring("text", 1, 30), F.lit(2.5), F.concat(F.lit("/"), F.col("role")))
+    out = playlists.xspf(c, ["conv_id"], [F.col("turn"), F.col("role"), F.col("text")], F.col("text"), F.lit(2.5), F.concat(F.lit("/"), F.col("role")))
     return out.select("conv_id", F.sha2("content", 256).alias("content"))
 
 
@@ -211,9 +211,9 @@ ORACLE = {
     "template_rows": f"SELECT p_partkey, '<b>' || {_XML.format(_NAME)} || '</b> ' || p_brand || ' none of ' || p_size AS text FROM part",
     "template_document": "SELECT o_orderpriority, o_orderstatus, sha256('# list' || chr(10) || string_agg('- ' || o_orderkey || ': ' || floor(o_totalprice)::BIGINT || chr(10), '' ORDER BY o_orderkey) || 'end') AS content FROM orders GROUP BY 1, 2",
     "json_manifest": f"""SELECT conv_id, '{{"files":' || count(*) || ',"tracks":[' || string_agg('{{"turn":' || turn || ',"role":"' || role || '"}}', ',' ORDER BY turn, role) || ']}}' AS content FROM {_C} GROUP BY 1""",
-    "m3u_block": rf"SELECT conv_id, sha256('#EXTM3U' || chr(10) || string_agg('#EXTINF:' || floor(length(text) / 10.0 + 0.5)::BIGINT || ',' || regexp_replace(role || ' - ' || left(text, 20), '[\r\n]+', ' ', 'g') || chr(10) || '/' || role || '/' || turn || '.mp3', chr(10) ORDER BY turn, role, text) || chr(10)) AS content FROM {_C} GROUP BY 1",
+    "m3u_block": rf"SELECT conv_id, sha256('#EXTM3U' || chr(10) || string_agg('#EXTINF:' || floor(length(text) / 10.0 + 0.5)::BIGINT || ',' || regexp_replace(role || ' - ' || text, '[\r\n]+', ' ', 'g') || chr(10) || '/' || role || '/' || turn || '.mp3', chr(10) ORDER BY turn, role, text) || chr(10)) AS content FROM {_C} GROUP BY 1",
     "pls_index": f"SELECT conv_id, sha256('[playlist]' || chr(10) || string_agg('File' || n || '=/' || role || chr(10) || 'Title' || n || '=' || role || chr(10) || 'Length' || n || '=-1', chr(10) ORDER BY n) || chr(10) || 'NumberOfEntries=' || count(*) || chr(10) || 'Version=2' || chr(10)) AS content FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM {_C}) GROUP BY 1",
-    "xspf_list": f"""SELECT conv_id, sha256('<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<playlist version="1" xmlns="http://xspf.org/ns/0/">' || chr(10) || '<trackList>' || chr(10) || string_agg('<track><location>/' || role || '</location><title>' || {_XML.format('left(text, 30)')} || '</title><duration>2500</duration></track>', chr(10) ORDER BY turn, role, text) || chr(10) || '</trackList>' || chr(10) || '</playlist>' || chr(10)) AS content FROM {_C} GROUP BY 1""",
+    "xspf_list": f"""SELECT conv_id, sha256('<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<playlist version="1" xmlns="http://xspf.org/ns/0/">' || chr(10) || '<trackList>' || chr(10) || string_agg('<track><location>/' || role || '</location><title>' || {_XML.format('text')} || '</title><duration>2500</duration></track>', chr(10) ORDER BY turn, role, text) || chr(10) || '</trackList>' || chr(10) || '</playlist>' || chr(10)) AS content FROM {_C} GROUP BY 1""",
     "row_index": "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS index FROM orders",
     "sniff_bytes": "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'flac' WHEN 1 THEN 'mp3' WHEN 2 THEN 'wav' WHEN 3 THEN 'ogg' WHEN 4 THEN 'm4a' WHEN 6 THEN 'aac' ELSE CASE WHEN doc_id % 2 = 0 THEN 'wma' END END AS format FROM documents",
     "trailer_tags": "SELECT p_partkey, CASE WHEN t THEN trim(left(p_name, 30)) END AS title, CASE WHEN t THEN p_brand END AS artist, CASE WHEN t THEN p_type END AS album, CASE WHEN t THEN '1999' END AS year, CASE WHEN t THEN 'note' END AS comment, CASE WHEN t THEN p_size::BIGINT END AS track FROM (SELECT *, p_partkey % 3 > 0 AS t FROM part)",
