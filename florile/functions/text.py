@@ -104,11 +104,11 @@ def whole_number(c: Column) -> Column:
 def normal_date(c: Column, style: str = "auto") -> Column:
     """YYYY-MM-DD, YYYY-MM or YYYY of the first date that a text holds, year first; one year amid noise becomes the year; else the trimmed text. Months aren't checked."""
     sep = f"[-/.{SPACE}]"
-    two = lambda x: F.lpad(x, 2, "0")
 
     def written(m: Column, most: int) -> Column:
-        keep = {"year": 1, "year-month": 2}.get(style, most)
-        return once(F.split(m, sep), lambda p: F.concat_ws("-", F.get(p, 0), *(two(F.get(p, i)) for i in range(1, min(keep, most)))))
+        """The date's parts with two digits each, parted by hyphens, as far as the style goes."""
+        whole = F.regexp_replace(F.regexp_replace(m, rf"{sep}(\d)(?!\d)", "-0$1"), rf"{sep}(\d\d)", "-$1")
+        return F.substring(whole, 1, {"year": 4, "year-month": 7}.get(style, 4 + 3 * (most - 1)))
 
     def of(t: Column) -> Column:
         year = F.regexp_extract(t, r"^\D*+(\d{4})\D*+$", 1) if style != "full" else F.lit("")

@@ -69,7 +69,7 @@ def diff(before: DataFrame, after: DataFrame, id: str, fields: list[str]) -> Dat
     b, a = before.alias("b"), after.alias("a")
     both = b.join(a, F.col(f"b.{id}") == F.col(f"a.{id}"))
     each = [F.when(~F.col(f"b.{f}").eqNullSafe(F.col(f"a.{f}")), F.struct(F.lit(f).alias("field"), F.col(f"b.{f}").cast("string").alias("before"), F.col(f"a.{f}").cast("string").alias("after"))) for f in fields]
-    return both.select(F.col(f"b.{id}").alias(id), F.explode(F.array_compact(F.array(*each))).alias("c")).select(id, "c.*")
+    return both.select(F.col(f"b.{id}").alias(id), F.explode_outer(F.array_compact(F.array(*each))).alias("c")).where("c IS NOT NULL").select(id, "c.*")
 
 
 def history(log: DataFrame, by: list[str], order: list[Column], n: int = 300) -> DataFrame:
@@ -89,4 +89,4 @@ def mismatches(expected: DataFrame, found: DataFrame, id: str, fields: list[str]
     e, f = expected.alias("e"), found.alias("f")
     both = e.join(f, F.col(f"e.{id}") == F.col(f"f.{id}"), "full_outer")
     each = [F.when(~F.col(f"e.{c}").eqNullSafe(F.col(f"f.{c}")), F.struct(F.lit(c).alias("field"), F.col(f"e.{c}").cast("string").alias("before"), F.col(f"f.{c}").cast("string").alias("after"))) for c in fields]
-    return both.select(F.coalesce(f"e.{id}", f"f.{id}").alias(id), F.explode(F.array_compact(F.array(*each))).alias("c")).select(id, "c.*")
+    return both.select(F.coalesce(f"e.{id}", f"f.{id}").alias(id), F.explode_outer(F.array_compact(F.array(*each))).alias("c")).where("c IS NOT NULL").select(id, "c.*")

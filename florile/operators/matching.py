@@ -135,8 +135,9 @@ def release_track(tracks: Column, number: Column, title: Column, least: float =
     """The first track at the position, else the first whose title is more similar than least. Select it as one column and take its fields from that, so that it is found once."""
     wanted = similar_form(title)
     by_number = F.filter(tracks, lambda t: t["position"] == number)
-    by_title = lambda: F.filter(tracks, lambda t: similarity(similar_form(t["title"]), wanted, normal=True) > least)
-    return F.get(F.when(F.size(by_number) > 0, by_number).otherwise(by_title()), F.lit(0))
+    formed = F.transform(tracks, lambda t: F.struct(t.alias("t"), similar_form(t["title"]).alias("form")))
+    by_title = F.transform(F.filter(formed, lambda x: similarity(x["form"], wanted, normal=True) > least), lambda x: x["t"])
+    return F.get(F.when(F.size(by_number) > 0, by_number).otherwise(by_title), F.lit(0))
 
 
 def album_match(scored: DataFrame, by: list[str]) -> DataFrame:

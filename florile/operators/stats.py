@@ -57,7 +57,7 @@ def with_dimension(rows: DataFrame, key: str, dimension: DataFrame, dimension_ke
 def issues(rows: DataFrame, id: str, rules: dict[str, tuple[str, Column]]) -> DataFrame:
     """One row for each issue: id, message and severity. rules: message to (severity, condition). The rule list is ours."""
     each = [F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(m).alias("message"), F.lit(s).alias("severity"))) for m, (s, c) in rules.items()]
-    return rows.select(F.col(id), F.explode(F.array_compact(F.array(*each))).alias("i")).select(id, "i.*")
+    return rows.select(F.col(id), F.explode_outer(F.array_compact(F.array(*each))).alias("i")).where("i IS NOT NULL").select(id, "i.*")
 
 
 def issue_histogram(found: DataFrame, n: int = 14) -> DataFrame:
