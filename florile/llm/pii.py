@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import scratch
 
 PRIOR, DISCLOSES, REVEALS = 2.0, 0.8, 0.95
-#: Matches that are folded together.
-BLOCK = 256
+#: Matches that are folded together, and spans of a text that each of its terms is held against.
+BLOCK, FEW = 256, 64
 #: Terms (8 bytes each) up to which candidates are broadcast to the count of terms; beyond, they are joined by a shuffle.
 BROADCAST_TERMS = 500_000
 
@@ -115,21 +115,31 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(F.lower(w))))
 
 
-def places(texts: DataFrame) -> DataFrame:
-    """(digest, term, s, e) of each term of texts (digest, text), outside the spans of base. Rows, so that long texts take linear time."""
+def _all_places(texts: DataFrame, more: list[str]) -> DataFrame:
+    """(digest, term, s, e, more) of each term of texts, by a sum over the terms before it. Rows, so that long texts take linear time."""
     hits, gaps = F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.split("text", TERM, -1)
     steps = F.zip_with(gaps, hits, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("len"), F.xxhash64(F.lower(m)).alias("term")))
-    rows = texts.select("digest", F.posexplode(steps).alias("i", "x")).where("x.len IS NOT NULL")
+    rows = texts.select("digest", *more, F.posexplode(steps).alias("i", "x")).where("x.len IS NOT NULL")
     before = Window.partitionBy("digest").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("e", F.sum(F.col("x.gap") + F.col("x.len")).over(before).cast("int"))
-    rows = rows.select("digest", "x.term", (F.col("e") - F.col("x.len")).alias("s"), "e", F.lit(1).alias("kind"))
-    spans = texts.select("digest", F.explode("base").alias("z")).select("digest", F.lit(None).cast("long").alias("term"), "z.s", "z.e", F.lit(0).alias("kind"))
+    return rows.select("digest", *more, "x.term", (F.col("e") - F.col("x.len")).alias("s"), "e")
+
+
+def places(texts: DataFrame, few: int = FEW) -> DataFrame:
+    """(digest, term, s, e) of each term of texts (digest, text, base), outside the spans of base.
+
+    Terms of texts with few spans are held against each of them; those of texts with more meet the spans in the order of their places.
+    """
+    usual = _all_places(texts.where(F.size("base") <= few), ["base"]).where(~F.exists("base", lambda z: (F.col("s") < z["e"]) & (z["s"] < F.col("e")))).drop("base")
+    large = texts.where(F.size("base") > few)
+    rows = _all_places(large, []).withColumn("kind", F.lit(1))
+    spans = large.select("digest", F.explode("base").alias("z")).select("digest", F.lit(None).cast("long").alias("term"), "z.s", "z.e", F.lit(0).alias("kind"))
     # Terms don't overlap each other, so one that reaches into a span that starts later has it as the next row.
     place = Window.partitionBy("digest").orderBy("s", "kind", "e")
     until = F.max(F.when(F.col("kind") == 0, F.col("e"))).over(place.rowsBetween(Window.unboundedPreceding, -1))
     after = F.lead(F.when(F.col("kind") == 0, F.col("s"))).over(place)
     rows = rows.unionByName(spans).withColumns({"until": until, "after": after})
-    return rows.where("kind = 1 AND (until IS NULL OR until <= s) AND (after IS NULL OR after >= e)").select("digest", "term", "s", "e")
+    return usual.unionByName(rows.where("kind = 1 AND (until IS NULL OR until <= s) AND (after IS NULL OR after >= e)").select("digest", "term", "s", "e"))
 
 
 def _row_key(df: DataFrame) -> DataFrame:

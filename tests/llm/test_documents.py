@@ -275,6 +275,18 @@ def test_pii_counts_copies_once(spark):
     assert all(r["spans"] == once[1000] for r in copies if r["doc_id"] >= 5000)
 
 
+def test_pii_places(spark):
+    """Terms and where they stand, outside spans, whether held against each span or met in order."""
+    rng = random.Random(3)
+    t = "".join(rng.choice(["word ", "été", "a@b.org ", "x", "12.1.1.1", "café@x.de,", " ", "über+49 30 1234567"]) for _ in range(300))
+    d = documents(spark, [(1, t)]).select(F.xxhash64("text").alias("digest"), "text", pii.base_spans(F.col("text")).alias("base"))
+    spans = [(s, e) for s, _, e in pii_model(t)]
+    want = sorted((m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", t) if not any(m.start() < e and s < m.end() for s, e in spans))
+    assert len(want) > 20
+    for few in (0, 1000):
+        assert sorted((r["s"], r["e"]) for r in pii.places(d, few).collect()) == want
+
+
 def test_pii_many_matches(spark):
     """More matches than are folded together, and texts of many matches in linear time."""
     rng = random.Random(2)
