@@ -50,6 +50,22 @@ def test_embeddings(spark, monkeypatch, block):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (links[i], part[i], part[i] == i), i
 
 
+@pytest.mark.parametrize("dims", [64, 128])
+@pytest.mark.parametrize("words", [16, 256, 4096])
+def test_pairs_at_the_threshold_share_a_direction(dims, words):
+    """Recall of the filters for pairs whose cosine is exactly the threshold, with codebooks of small and large tables."""
+    rng = np.random.default_rng(5)
+    a = rng.standard_normal((300, dims))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((300, dims))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    t = embedding_dedup.THRESHOLD
+    b = t * a + (1 - t * t) ** 0.5 * b
+    shared = [len(np.intersect1d(x, y)) > 0 for x, y in zip(embedding_dedup.decode(a, words), embedding_dedup.decode(b, words))]
+    assert np.mean(shared) >= 0.97
+
+
 def test_embeddings_empty(spark):
     assert embedding_dedup.near_vectors(vectors(spark, [])).count() == 0
     r = embedding_dedup.near_vectors(vectors(spark, [(None, [1.0, 2.0], 1), (3, [1.0, 2.0], 1), (3, [1.0, 2.0], 1)])).collect()
