@@ -41,24 +41,28 @@ class Catalog:
     seq: str = ""
     name: str = ""
     haystack: tuple[str, ...] = field(default=())
+    custom: Column | None = None
 
     def __getitem__(self, name: str) -> Field:
+        """A field; custom.KEY is the text of that key (in its own case) in the map of custom fields."""
+        if self.custom is not None and name.lower().startswith("custom."):
+            return Field(name, TEXT, F.try_element_at(self.custom, F.lit(name[len("custom.") :])))
         return self.fields[name.lower()]
 
     def __contains__(self, name: str) -> bool:
-        return name.lower() in self.fields
+        return name.lower() in self.fields or (self.custom is not None and name.lower().startswith("custom."))
 
     def where(self, condition: Column) -> "Catalog":
-        return Catalog(self.rows.where(condition), self.id, self.fields, self.seq, self.name, self.haystack)
+        return Catalog(self.rows.where(condition), self.id, self.fields, self.seq, self.name, self.haystack, self.custom)
 
 
-def bind(rows: DataFrame, id: str, text: Mapping[str, str] | None = None, multi: Mapping[str, Column | str] | None = None, number: Mapping[str, str] | None = None, flag: Mapping[str, str] | None = None, seq: str = "", name: str = "", haystack: tuple[str, ...] = ()) -> Catalog:
-    """Bind logical names to columns (or expressions over them), by kind."""
+def bind(rows: DataFrame, id: str, text: Mapping[str, str] | None = None, multi: Mapping[str, Column | str] | None = None, number: Mapping[str, str] | None = None, flag: Mapping[str, str] | None = None, seq: str = "", name: str = "", haystack: tuple[str, ...] = (), custom: Column | str | None = None) -> Catalog:
+    """Bind logical names to columns (or expressions over them), by kind. custom: a map from text to text, whose keys are fields custom.KEY."""
     fields: dict[str, Field] = {}
     for kind, own in ((TEXT, text), (MULTI, multi), (NUMBER, number), (FLAG, flag)):
         for k, c in (own or {}).items():
             fields[k.lower()] = Field(k.lower(), kind, F.col(c) if isinstance(c, str) else c)
-    return Catalog(rows, id, fields, seq or id, name or id, haystack or tuple(k for k, f in fields.items() if f.kind in (TEXT, MULTI)))
+    return Catalog(rows, id, fields, seq or id, name or id, haystack or tuple(k for k, f in fields.items() if f.kind in (TEXT, MULTI)), F.col(custom) if isinstance(custom, str) else custom)
 
 
 def twin(many: Column, one: Column) -> Column:

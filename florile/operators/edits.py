@@ -38,6 +38,18 @@ def rename_rows(plan: DataFrame, id: str, before: str, after: str, op: str, firs
     return changed.select(F.col(id).alias("id"), F.lit(op).alias("op"), F.lit("filename").alias("field"), F.col(before).alias("before"), F.col(after).alias("value"), (F.lit(first_seq) + F.col(id)).alias("seq"))
 
 
+def copied(records: DataFrame, id: str, source, fields: list[str]) -> dict[str, str | None]:
+    """The values of some fields of one record, as text. One row comes to the driver."""
+    row = records.where(F.col(id) == source).select(*[F.col(f).cast("string").alias(f) for f in fields]).first()
+    return row.asDict() if row else {}
+
+
+def paste(targets: DataFrame, id: str, values: dict[str, str | None], op: str, first_seq: int = 0) -> DataFrame:
+    """Copied values as log rows for each target, in one operation: (id, op, field, value, seq). Absent values are left out, so they overwrite nothing."""
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(v).alias("value")) for f, v in values.items() if v is not None]) if any(v is not None for v in values.values()) else F.array().cast("array<struct<field:string,value:string>>")
+    return targets.select(F.col(id).alias("id"), F.explode(rows).alias("x")).select("id", F.lit(op).alias("op"), "x.field", "x.value", (F.lit(first_seq) + F.col("id")).alias("seq"))
+
+
 #: The stages at which writing a record can fail, in their order.
 STAGES = ("validate", "serialise", "verify", "backup", "commit", "rename")
 

@@ -128,6 +128,13 @@ def edit_discard(spark, sf_dir):
     return edits.latest(edits.discard(e, e.where("field = 'error'"))).select("id", "field", "value")
 
 
+def edit_paste(spark, sf_dir):
+    """Two fields of the first customer, pasted to the customers of its nation."""
+    c = tables.read(spark, sf_dir, "customer")
+    values = edits.copied(c, "c_custkey", 1, ["c_mktsegment", "c_nationkey"])
+    return edits.paste(c.where(F.col("c_nationkey") == int(values["c_nationkey"])), "c_custkey", values, "paste-1", 500)
+
+
 def rename_queue(spark, sf_dir):
     """Customers' names shortened, as one operation of the log."""
     c = tables.read(spark, sf_dir, "customer").withColumn("to", F.regexp_replace("c_name", "#0*", "-"))
@@ -150,7 +157,7 @@ def record_labels(spark, sf_dir):
     return p.select("p_partkey", _text.status_label(status, k % 3 == 0).alias("status"), _text.show_time(k * 86_400_123).alias("at"), _text.stable_id("part", k.cast("string"), F.col("p_brand")).alias("stable"), F.array_join(_text.cover_urls("https://example.org/release/", k.cast("string")), " ").alias("covers"), _text.id3_genre(genre).alias("genre"))
 
 
-QUERIES = {f.__name__: f for f in (edit_latest, edit_overlay, edit_diff, edit_undo_n, edit_undone, edit_history_cap, edit_history, edit_upsert, read_back, json_props, stream_filter, stream_undo, stream_redo, edit_discard, rename_queue, write_errors, record_labels)}
+QUERIES = {f.__name__: f for f in (edit_latest, edit_overlay, edit_diff, edit_undo_n, edit_undone, edit_history_cap, edit_history, edit_upsert, read_back, json_props, stream_filter, stream_undo, stream_redo, edit_discard, edit_paste, rename_queue, write_errors, record_labels)}
 
 ORACLE = {
     "edit_latest": "SELECT user_id AS id, event_type AS field, arg_max(value, event_id) AS value, max(event_id) AS seq FROM events GROUP BY 1, 2",
@@ -185,6 +192,7 @@ SELECT id, len(stands)::BIGINT AS n_edits, undone AS n_undone, stands[-1] AS val
 ORACLE["stream_undo"] = _folding("CASE WHEN event_type = 'error' THEN 'undo' ELSE 'edit' END")
 ORACLE["stream_redo"] = _folding("CASE WHEN event_type = 'error' THEN 'undo' WHEN event_type = 'signup' THEN 'redo' ELSE 'edit' END")
 ORACLE["edit_discard"] = "SELECT user_id AS id, event_type AS field, arg_max(value, event_id) AS value FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error') GROUP BY 1, 2"
+ORACLE["edit_paste"] = "WITH s AS (SELECT c_mktsegment AS m, c_nationkey AS n FROM customer WHERE c_custkey = 1), t AS (SELECT c_custkey AS id, m, n FROM customer JOIN s ON c_nationkey = n) SELECT id, 'paste-1' AS op, 'c_mktsegment' AS field, m AS value, 500 + id AS seq FROM t UNION ALL SELECT id, 'paste-1', 'c_nationkey', n::VARCHAR, 500 + id FROM t"
 ORACLE["rename_queue"] = "SELECT c_custkey AS id, 'op-1' AS op, 'filename' AS field, c_name AS before, regexp_replace(c_name, '#0*', '-') AS value, 1000 + c_custkey AS seq FROM customer WHERE c_name <> regexp_replace(c_name, '#0*', '-')"
 ORACLE["write_errors"] = """
 SELECT doc_id, CASE s WHEN 'validate' THEN 'no text' WHEN 'serialise' THEN 'control characters' WHEN 'commit' THEN 'too long' WHEN 'rename' THEN 'no source' END AS error, s AS error_stage

@@ -34,6 +34,14 @@ def search_numeric_contains(spark, sf_dir):
     return search.search(tables.parts(spark, sf_dir), "size:4").select("p_partkey", "p_size")
 
 
+def search_custom(spark, sf_dir):
+    """Keys of a map of custom fields."""
+    from ..catalog import bind
+
+    p = tables.read(spark, sf_dir, "part").withColumn("own", F.create_map(F.lit("Mood"), F.col("p_type"), F.lit("brand"), F.col("p_brand")))
+    return search.search(bind(p, "p_partkey", text={"title": "p_name"}, custom="own"), "custom.Mood:eco -custom.brand:=Brand#11 -custom.none:x").select("p_partkey")
+
+
 def search_flags(spark, sf_dir):
     return search.search(tables.labelled(spark, sf_dir), "lossless:true modifiedflag:no").select("doc_id")
 
@@ -136,7 +144,7 @@ def select_toggle(spark, sf_dir):
     return order.toggled(c, o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")), o.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id")))
 
 
-QUERIES = {f.__name__: f for f in (search_basic, search_text_terms, search_negated_field, search_negated_word, search_numeric_ops, search_numeric_contains, search_flags, search_multi_any, smart_multi_none, smart_all, smart_any, smart_none, view_flags, view_recent, view_all, select_range, sort_collated, sort_null_rules_topk, sort_slice, select_semi, select_toggle)}
+QUERIES = {f.__name__: f for f in (search_basic, search_text_terms, search_negated_field, search_negated_word, search_numeric_ops, search_numeric_contains, search_custom, search_flags, search_multi_any, smart_multi_none, smart_all, smart_any, smart_none, view_flags, view_recent, view_all, select_range, sort_collated, sort_null_rules_topk, sort_slice, select_semi, select_toggle)}
 
 ORACLE = {
     "search_basic": "SELECT doc_id, lang, n_chars FROM documents WHERE lower(lang) = 'en' AND n_chars >= 1000 AND lower(coalesce(text, '')) <> 'the' ORDER BY n_chars DESC, doc_id LIMIT 50",
@@ -166,3 +174,4 @@ ORACLE["select_range"] = """
 WITH r AS (SELECT *, row_number() OVER (ORDER BY p_brand DESC, p_name, p_partkey) AS i FROM part)
 SELECT p_partkey, p_brand, p_name FROM r WHERE i BETWEEN (SELECT min(i) FROM r WHERE p_partkey IN (30, 100)) AND (SELECT max(i) FROM r WHERE p_partkey IN (30, 100))"""
 ORACLE["sort_collated"] = "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE n_name END AS word FROM nation ORDER BY lower(n_name), n_nationkey LIMIT 10"
+ORACLE["search_custom"] = "SELECT p_partkey FROM part WHERE contains(lower(p_type), 'eco') AND lower(p_brand) <> 'brand#11'"
