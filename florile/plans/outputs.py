@@ -169,6 +169,42 @@ def media_numbers(spark, sf_dir):
     return p.select("p_partkey", f["sample_rate"].alias("rate"), f["channels"].cast("long").alias("channels"), f["bits"].cast("long").alias("bits"), f["seconds"].alias("seconds"), size["width"].alias("width"), size["height"].alias("height"), w.alias("thumb_w"), h.alias("thumb_h"), files.storable(size["mime"], F.lit("mp4")).alias("storable"))
 
 
+def image_sizes(spark, sf_dir):
+    """Sizes of GIF, BMP, WebP (of three kinds) and JPEG headers made from part sizes, whether they can be stored in MP4 and elsewhere; and none."""
+    p = tables.read(spark, sf_dir, "part")
+    w, h = F.col("p_size"), (F.col("p_partkey") % 5000 + 1).cast("int")
+    big = lambda c, n: F.lpad(F.hex(c), n, "0")
+    little = lambda c, n: F.concat(*[F.substring(big(c, n), 2 * i + 1, 2) for i in range(n // 2 - 1, -1, -1)])
+    riff = lambda kind: F.concat(F.lit("52494646000000005745425056503820"[:24]), F.hex(F.lit(kind)), F.lit("00000000"))
+    packed = w.cast("long") - 1 + F.shiftleft(h.cast("long") - 1, 14)
+    made = [
+        F.concat(F.lit("474946383961"), little(w, 4), little(h, 4)), F.concat(F.lit("424D" + "00" * 16), little(w, 8), little(h, 8)), F.concat(riff("VP8X"), F.lit("00000000"), little(w - 1, 6), little(h - 1, 6)),
+        F.concat(riff("VP8L"), F.lit("2F"), little(packed, 8)), F.concat(riff("VP8 "), F.lit("0000009D012A"), little(w, 4), little(h, 4)), F.concat(F.lit("FFD8FFE00010" + "00" * 14 + "FFDB0004AAAAFFC2001108"), big(h, 4), big(w, 4), F.lit("03")),
+        F.concat(F.lit("FFD8FFE00010" + "00" * 14 + "FFDA0002"), big(h, 4)), F.lit("00"),
+    ]
+    size = files.image_size(F.unhex(F.element_at(F.array(*made), (F.col("p_partkey") % 8 + 1).cast("int"))))
+    out = p.select("p_partkey", size.alias("s")).select("p_partkey", "s.mime", "s.width", "s.height")
+    return out.withColumns({"in_mp4": files.storable(F.col("mime"), F.lit("m4a")), "elsewhere": files.storable(F.col("mime"), F.lit("flac"))})
+
+
+def wav_numbers(spark, sf_dir):
+    """Stream properties of WAV headers made from part sizes."""
+    p = tables.read(spark, sf_dir, "part")
+    little = lambda c, n: F.concat(*[F.substring(F.lpad(F.hex(c), n, "0"), 2 * i + 1, 2) for i in range(n // 2 - 1, -1, -1)])
+    head = F.concat(F.lit("52494646" + "00" * 4 + "57415645666D742010000000" + "0100"), little(F.col("p_size") % 8 + 1, 4), little(F.col("p_partkey") * 10, 8), F.lit("00" * 6), little(F.col("p_size") % 4 * 8 + 8, 4))
+    own = files.wav_properties(F.unhex(F.when(F.col("p_partkey") % 5 > 0, head).otherwise("00")))
+    return p.select("p_partkey", *[v.alias(k) for k, v in own.items()])
+
+
+def release_union(spark, sf_dir):
+    """Releases of two services, one of which lacks columns, with credits joined by their phrases."""
+    c, s = tables.read(spark, sf_dir, "customer"), tables.read(spark, sf_dir, "supplier")
+    name = lambda n, j: F.struct(n.alias("name"), j.alias("joinphrase"))
+    one = c.select(F.concat(F.lit("c"), "c_custkey").alias("id"), releases.credit(F.array(name(F.col("c_name"), F.lit(" feat. ")), name(F.col("c_mktsegment"), F.lit(None).cast("string")))).alias("artist"), F.col("c_nationkey").alias("year"))
+    two = s.select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("artist"))
+    return releases.union([one, two])
+
+
 def format_matrix(spark, sf_dir):
     """Every format with the count of pages' names that have its extension, given by page number."""
     known = files.formats(spark)
@@ -196,7 +232,7 @@ def search_texts(spark, sf_dir):
     return p.select("p_partkey", releases.search_text({"artist": F.col("p_brand"), "release": F.concat("p_name", F.lit(" (x)")), "barcode": code}).alias("query"))
 
 
-QUERIES = {f.__name__: f for f in (csv_line, export_flat, export_totals, xml_text, template_rows, template_document, json_manifest, m3u_block, m3u_lists, m3u_plain, pls_index, pls_lists, xspf_list, xspf_lists, table_export, export_documents, manifest_totals, row_index, sniff_bytes, trailer_tags, media_numbers, format_matrix, release_json, search_texts)}
+QUERIES = {f.__name__: f for f in (csv_line, export_flat, export_totals, xml_text, template_rows, template_document, json_manifest, m3u_block, m3u_lists, m3u_plain, pls_index, pls_lists, xspf_list, xspf_lists, table_export, export_documents, manifest_totals, row_index, sniff_bytes, trailer_tags, media_numbers, image_sizes, wav_numbers, release_union, format_matrix, release_json, search_texts)}
 
 _CELL = "CASE WHEN regexp_matches({0}, '[,\"\\n]') THEN '\"' || replace({0}, '\"', '\"\"') || '\"' ELSE {0} END"
 _XML = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
@@ -260,3 +296,8 @@ ORACLE["export_documents"] = " UNION ALL ".join(
     + [_report(n, line.replace("{ti}", _XML.format("ti")).replace("{a}", _XML.format("a"))) for n, line in _LINES.items()]
 )
 ORACLE["manifest_totals"] = f"""SELECT o_custkey, '{{"generator":"florile","exported":"2020-01-01","totals":{{"files":' || count(*) || ',"albums":' || count(DISTINCT album) || ',"artists":' || (count(DISTINCT CASE WHEN artist IS NOT NULL THEN o_orderstatus END) + CASE WHEN bool_or(artist IS NOT NULL) THEN 1 ELSE 0 END) || ',"bytes":' || sum(size)::BIGINT || '}},"tracks":[' || string_agg('{{"key":' || k || '}}', ',' ORDER BY k) || ']}}' AS content FROM {_T} GROUP BY 1"""
+ORACLE["image_sizes"] = """
+SELECT p_partkey, mime, CASE WHEN k < 6 THEN p_size::BIGINT END AS width, CASE WHEN k < 6 THEN p_partkey % 5000 + 1 END AS height, mime = 'image/jpeg' AS in_mp4, mime IN ('image/jpeg', 'image/webp') AS elsewhere
+FROM (SELECT *, p_partkey % 8 AS k, CASE WHEN p_partkey % 8 = 0 THEN 'image/gif' WHEN p_partkey % 8 = 1 THEN 'image/bmp' WHEN p_partkey % 8 < 5 THEN 'image/webp' WHEN p_partkey % 8 < 7 THEN 'image/jpeg' END AS mime FROM part)"""
+ORACLE["wav_numbers"] = "SELECT p_partkey, CASE WHEN t THEN p_size::BIGINT % 8 + 1 END AS channels, CASE WHEN t THEN p_partkey * 10 END AS sample_rate, CASE WHEN t THEN p_size::BIGINT % 4 * 8 + 8 END AS bits FROM (SELECT *, p_partkey % 5 > 0 AS t FROM part)"
+ORACLE["release_union"] = "SELECT 'c' || c_custkey AS id, c_name || ' feat. ' || c_mktsegment AS artist, c_nationkey AS year FROM customer UNION ALL SELECT 's' || s_suppkey, s_name, NULL FROM supplier"

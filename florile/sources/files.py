@@ -7,7 +7,7 @@ into the scan. Bytes that don't fit a layout give nulls, never an error.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import extension_of, folder_of, name_of
+from ..functions.text import extension_of, folder_of, name_of, once
 
 #: Containers, and whether tags can be read and written, images, chapters, lyrics and several values of a field be
 #: stored, and the codec loses nothing.
@@ -93,9 +93,9 @@ def sniff(content: Column, name: Column) -> Column:
     )
 
 
-def number(c: Column, at: int, size: int, little: bool = False) -> Column:
+def number(c: Column, at: int | Column, size: int, little: bool = False) -> Column:
     """An unsigned whole number of the bytes at a place; null past the end."""
-    raw = F.substring(c, at + 1, size)
+    raw = F.substring(c, at + 1, size) if isinstance(at, int) else F.substring(c, at + 1, F.lit(size))
     hexed = F.hex(raw)
     if little:
         hexed = F.concat(*[F.substring(F.hex(raw), 2 * i + 1, 2) for i in range(size - 1, -1, -1)])
@@ -126,11 +126,47 @@ def wav_properties(content: Column) -> dict[str, Column]:
     return {"channels": F.when(there, number(content, 22, 2, True)), "sample_rate": F.when(there, number(content, 24, 4, True)), "bits": F.when(there, number(content, 34, 2, True))}
 
 
+#: JPEG markers of frames, which say the size: C0 to CF but those of tables (C4, C8, CC).
+FRAMES = [0xFFC0 + k for k in range(16) if k not in (4, 8, 12)]
+#: Segments of a JPEG that are looked through for the frame.
+SEGMENTS = 64
+
+
+def jpeg_size(content: Column) -> Column:
+    """(width, height) of the first frame among the first SEGMENTS segments; null without one."""
+    none = F.lit(None).cast("long")
+    start = F.struct(F.lit(2).alias("at"), none.alias("width"), none.alias("height"))
+
+    def step(acc: Column, _: Column) -> Column:
+        at = acc["at"]
+        length = F.coalesce(number(content, at + 2, 2), F.lit(0)).cast("int")
+        found = F.struct(at.alias("at"), number(content, at + 7, 2).alias("width"), number(content, at + 5, 2).alias("height"))
+        on = once(length, lambda n: F.struct(F.when(n >= 2, at + 2 + n).otherwise(F.lit(-1)).alias("at"), none.alias("width"), none.alias("height")))
+        return F.when(acc["width"].isNotNull() | (at < 0), acc).when(number(content, at, 2).isin(FRAMES), found).otherwise(on)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SEGMENTS)), start, step, lambda acc: F.struct(acc["width"].alias("width"), acc["height"].alias("height")))
+
+
+def webp_size(content: Column) -> tuple[Column, Column]:
+    """Width and height of the three kinds of WebP: extended, lossless and lossy."""
+    kind = F.decode(F.substring(content, 13, 4), "ISO-8859-1")
+    bits = number(content, 21, 4, True)
+    low = lambda c, n: c.bitwiseAND(F.lit((1 << n) - 1))
+    width = F.when(kind == "VP8X", number(content, 24, 3, True) + 1).when(kind == "VP8L", low(bits, 14) + 1).when(kind == "VP8 ", low(number(content, 26, 2, True), 14))
+    height = F.when(kind == "VP8X", number(content, 27, 3, True) + 1).when(kind == "VP8L", low(F.shiftrightunsigned(bits, 14), 14) + 1).when(kind == "VP8 ", low(number(content, 28, 2, True), 14))
+    return width, height
+
+
 def image_size(content: Column) -> Column:
-    """(mime, width, height) of PNG, GIF and BMP bytes; null for others."""
-    png, gif, bmp = _starts(content, b"\x89PNG\r\n\x1a\n"), _starts(content, b"GIF8"), _starts(content, b"BM")
+    """(mime, width, height) of PNG, GIF, BMP, WebP and JPEG bytes; null for others."""
     row = lambda m, w, h: F.struct(F.lit(m).alias("mime"), w.alias("width"), h.alias("height"))
-    return F.when(png, row("image/png", number(content, 16, 4), number(content, 20, 4))).when(gif, row("image/gif", number(content, 6, 2, True), number(content, 8, 2, True))).when(bmp, row("image/bmp", number(content, 18, 4, True), number(content, 22, 4, True)))
+
+    def of(c: Column) -> Column:
+        out = F.when(_starts(c, b"\x89PNG\r\n\x1a\n"), row("image/png", number(c, 16, 4), number(c, 20, 4))).when(_starts(c, b"GIF8"), row("image/gif", number(c, 6, 2, True), number(c, 8, 2, True)))
+        out = out.when(_starts(c, b"BM"), row("image/bmp", number(c, 18, 4, True), number(c, 22, 4, True))).when(_starts(c, b"RIFF") & _starts(c, b"WEBP", 8), row("image/webp", *webp_size(c)))
+        return out.when(_starts(c, b"\xff\xd8\xff"), once(jpeg_size(c), lambda f: row("image/jpeg", f["width"], f["height"])))
+
+    return once(content, of)
 
 
 def content_hash(content: Column) -> Column:
