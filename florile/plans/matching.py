@@ -215,3 +215,19 @@ p AS (
 s AS ({_RELEASED}),
 c AS (SELECT file_id, release_id, floor(100 * sum(s * w) / sum(w) + 0.5)::INT AS confidence, count(*)::INT AS n_signals, string_agg(signal, ',' ORDER BY s * w DESC, i) AS signals FROM s GROUP BY 1, 2)
 SELECT file_id, release_id, confidence, coalesce(f_barcode <> r_barcode, false) AS blocked, CASE WHEN confidence >= 92 THEN 'certain' WHEN confidence >= 80 THEN 'likely' WHEN confidence >= 60 THEN 'possible' ELSE 'unlikely' END AS verdict, n_signals, signals FROM c JOIN b USING (file_id, release_id)"""
+
+ORACLE["similar_names"] = f"""
+WITH p AS (SELECT p_partkey, p_brand, {_form('p_name')} AS f FROM part), n AS (SELECT DISTINCT p_brand, f FROM p WHERE f <> ''),
+q AS (SELECT a.p_brand, a.f AS x, b.f AS y FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.f < b.f), r AS (SELECT *, {_J} AS j FROM q),
+s AS (SELECT * FROM (SELECT p_brand, x AS a, y AS b, round(({_SIM})::DOUBLE, 6) AS score FROM r) WHERE score >= 0.4)
+SELECT s.p_brand, a, b, score, f AS form, p_partkey FROM s JOIN p ON p.p_brand = s.p_brand AND f IN (a, b)
+UNION ALL SELECT p_brand, f, NULL, 1.0, f, p_partkey FROM (SELECT *, count(*) OVER (PARTITION BY p_brand, f) AS k FROM p WHERE f <> '') WHERE k > 1"""
+_RUNS = "SELECT {0}, i, array_to_string(w[i : i + {1} - 1], ' ') AS run FROM (SELECT {0}, w, unnest(generate_series(1, len(w) - {1} + 1)) AS i FROM {2} WHERE len(w) >= {1}{3})"
+_HITS = " UNION ".join(
+    f"SELECT doc_id, item_id, x.i - y.i AS start FROM ({_RUNS.format('doc_id', k, 'd', '')}) x JOIN ({_RUNS.format('item_id', k, 'b', '' if k == SHINGLE else f' AND len(w) = {k}')}) y USING (run)" for k in range(1, SHINGLE + 1)
+)
+ORACLE["benchmark_passages"] = f"""
+WITH b AS (SELECT item_id, item, string_split(item, ' ') AS w FROM (SELECT item_id, {_form('text')} AS item FROM benchmark) WHERE item <> ''), d AS (SELECT doc_id, string_split({_form('text')}, ' ') AS w FROM documents),
+hits AS ({_HITS}),
+m AS (SELECT doc_id, item_id, item AS y, array_to_string(d.w[greatest(start, 0) + 1 : start + len(b.w)], ' ') AS x FROM hits JOIN b USING (item_id) JOIN d USING (doc_id)), r AS (SELECT *, {_J} AS j FROM m)
+SELECT doc_id, item_id, max(round(({_SIM})::DOUBLE, 6)) AS best, bool_or(contains(x, y)) AS whole FROM r GROUP BY 1, 2"""
