@@ -234,6 +234,11 @@ def title_split(c: Column) -> tuple[Column, Column]:
     return F.nullif(F.regexp_extract(c, r"^(.*) - (.*)$", 1), F.lit("")), F.when(c.rlike(" - "), F.regexp_extract(c, r"^(.*) - (.*)$", 2)).otherwise(c)
 
 
+def base64_text(c: Column) -> Column:
+    """Bytes as base64 on one line, whatever the session says about breaking it."""
+    return F.translate(F.base64(c), "\r\n", "")
+
+
 #: Names of statuses; a status of none of them is clean, or for export alone where the record can't be written.
 STATUS = {"dirty": "Unsaved", "error": "Error", "unsaved": "Unwritten"}
 

@@ -149,6 +149,18 @@ def action_steps(spark, sf_dir):
     return o.select("o_orderkey", text.first_year(day).alias("year"), replace.date_in_style(day, "day").alias("date"), replace.strip_featured(F.concat("o_orderpriority", F.lit(" (feat. x)"))).alias("artist"), replace.track_from_name(F.col("o_orderpriority")).alias("track"))
 
 
+def sweep_empty(spark, sf_dir):
+    """Fields that hold blanks only."""
+    d = tables.read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\S", "").alias("blanks"), "lang", F.when(F.col("doc_id") % 3 == 0, " \t").otherwise(F.col("source")).alias("source"))
+    return d.select("doc_id", F.array_join(replace.empty_fields(["blanks", "lang", "source"]), ",").alias("fields"))
+
+
+def bytes_text(spark, sf_dir):
+    """Texts as base64 and hexadecimal of their bytes, and back."""
+    d = tables.read(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("raw"))
+    return d.select("doc_id", F.sha2(text.base64_text(F.col("raw")), 256).alias("base64"), F.sha2(F.hex("raw"), 256).alias("hex"), F.sha2(F.decode(F.unbase64(text.base64_text(F.col("raw"))), "UTF-8"), 256).alias("back"), F.octet_length("raw").cast("long").alias("n"))
+
+
 def path_split(spark, sf_dir):
     p = tables.read(spark, sf_dir, "pages")
     path = F.regexp_replace(F.regexp_replace("url", "^https?:/", ""), "[?#].*$", "")
@@ -175,7 +187,7 @@ def title_parts(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (clean_whitespace, clean_quotes, clean_prefix, clean_separators, clean_featuring, clean_case, clean_html_named, clean_unicode, clean_empty, clean_distinct_values, clean_genre, clean_genre_names, clean_title_case, clean_defaults, clean_pipeline, normalize_date, normalize_date_text, number_prefix, duration_parse, replace_literal, replace_regex_groups, replace_hits, split_multi_edit, action_steps, path_split, format_values, content_hash, title_parts)
+    for f in (clean_whitespace, clean_quotes, clean_prefix, clean_separators, clean_featuring, clean_case, clean_html_named, clean_unicode, clean_empty, clean_distinct_values, clean_genre, clean_genre_names, clean_title_case, clean_defaults, clean_pipeline, normalize_date, normalize_date_text, number_prefix, duration_parse, replace_literal, replace_regex_groups, replace_hits, split_multi_edit, action_steps, sweep_empty, bytes_text, path_split, format_values, content_hash, title_parts)
 }
 
 _SPACE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -230,3 +242,5 @@ SELECT doc_id,
   CASE WHEN c > 0 THEN floor(c * 10 / 1000 + 0.5)::BIGINT || ' kbps' ELSE '—' END AS bitrate,
   CASE WHEN c = 0 THEN '—' WHEN c * 100 % 1000 = 0 THEN c * 100 // 1000 || ' kHz' ELSE printf('%.1f', floor((c * 100 / 1000) * 10 + 0.5) / 10) || ' kHz' END AS rate
 FROM (SELECT doc_id, n_chars AS c, n_chars * n_chars AS n FROM documents)"""
+ORACLE["sweep_empty"] = f"SELECT doc_id, concat_ws(',', CASE WHEN text IS NOT NULL THEN 'blanks' END, CASE WHEN regexp_matches(lang, '^[{_SPACE}]*$') THEN 'lang' END, CASE WHEN doc_id % 3 = 0 OR regexp_matches(source, '^[{_SPACE}]*$') THEN 'source' END) AS fields FROM documents"
+ORACLE["bytes_text"] = "SELECT doc_id, sha256(base64(encode(text))) AS base64, sha256(upper(hex(encode(text)))) AS hex, sha256(text) AS back, strlen(text)::BIGINT AS n FROM documents"
