@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, html_extract, licenses, line_dedup, near_dedup, packing, pieces, pii, quality
+from . import embedding_dedup, exact_dedup, fim, html_extract, language, licenses, line_dedup, near_dedup, negatives, packing, pieces, pii, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +63,23 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.by_document(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_pii, op3_line_dedup, op4_packing, op5_quality_classifier, op6_sentencepiece, op7_embedding_dedup, op8_exact_dedup, op9_html_extraction, op10_license_scan)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text transformed, and restored from its output and form."""
+    out = fim.restored(fim.transform(_read(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(_read(spark, sf_dir, "embeddings"), negatives.moved_label(), F.col("vec_id") % negatives.EVERY == 0)
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = language.learn(docs.where(~language.held_out("doc_id")))
+    return language.identify(docs.select("doc_id", "text"), profiles).select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_pii, op3_line_dedup, op4_packing, op5_quality_classifier, op6_sentencepiece, op7_embedding_dedup, op8_exact_dedup, op9_html_extraction, op10_license_scan, op11_fill_in_middle, op12_hard_negatives, op13_language_id)}
 
 ORACLE = {
     "op3_line_dedup": r"""
@@ -119,3 +135,48 @@ WITH lines AS (
 templates AS (SELECT name, {_GRAMS} AS t FROM (SELECT name, {_WORDS.format('body')} AS w FROM (VALUES {_TEMPLATES}) AS v(name, body))),
 found AS (SELECT doc_id, i, name, max(2.0::DOUBLE * len(list_intersect(b, t)) / (len(b) + len(t))) AS dice FROM sets JOIN templates ON len(b) BETWEEN 0.666 * len(t) AND 1.501 * len(t) GROUP BY doc_id, i, name, b)
 SELECT doc_id, name AS license_id, count(*) AS n_units, round(max(dice), 9) AS best_dice, arg_min(i, (-dice, i))::BIGINT AS best_line FROM found WHERE dice >= 0.8 GROUP BY 1, 2"""
+
+ORACLE["op11_fill_in_middle"] = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), drawn AS (
+  SELECT doc_id, t, u, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS b, ('0x' || h[25:32])::BIGINT % 100 < 50 AS spm,
+         t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') AS plain
+  FROM cut
+), parts AS (
+  SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:], '') AS s FROM drawn
+)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT plain THEN length(p) END AS prefix_chars, CASE WHEN NOT plain THEN length(m) END AS middle_chars,
+       sha256(CASE WHEN plain THEN t WHEN spm THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts"""
+
+ORACLE["op12_hard_negatives"] = """
+WITH own AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), met AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM own a JOIN own b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), positive AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM met WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN met USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 3"""
+
+_CRC = """xor(list_reduce(flatten(list_prepend([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)"""
+ORACLE["op13_language_id"] = f"""
+WITH docs AS (SELECT doc_id, lang, coalesce({_CRC} % 4 = 2, false) AS held_out, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+'), ' ') || ' ' AS t FROM documents),
+grams AS (
+  SELECT doc_id, lang, held_out, g, count(*) AS n
+  FROM (SELECT doc_id, lang, held_out, unnest(flatten(list_transform(generate_series(1, length(t)), lambda i: list_distinct([t[i:i], t[i:i + 1], t[i:i + 2]])))) AS g FROM docs)
+  WHERE g <> ' ' AND g <> '' AND g[2:2] <> ' ' OR length(g) = 2 AND g[1:1] <> ' ' GROUP BY ALL
+), own AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, g) - 1 AS r FROM grams QUALIFY r < 400),
+learned AS (
+  SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, g) - 1 AS r FROM grams WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, g QUALIFY r < 400
+), far AS (
+  SELECT doc_id, l.lang, sum(CASE WHEN p.r IS NULL THEN 400 ELSE abs(p.r - own.r) END) AS d, count(*) AS m
+  FROM own CROSS JOIN (SELECT DISTINCT lang FROM learned) l LEFT JOIN learned p ON p.lang = l.lang AND p.g = own.g GROUP BY ALL
+), best AS (SELECT doc_id, arg_min(lang, (d, lang)) AS lang_pred, 1 - min(d) / (400 * any_value(m))::DOUBLE AS score FROM far GROUP BY doc_id)
+SELECT docs.doc_id, held_out, coalesce(lang_pred, 'und') AS lang_pred, coalesce(score, 0)::DOUBLE AS score FROM docs LEFT JOIN best USING (doc_id)"""
