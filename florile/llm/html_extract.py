@@ -46,8 +46,11 @@ NAMES = re.compile(
 )
 #: Names of layouts that say what stands beside the article, not what the element is.
 LAYOUT = re.compile(r"(?:has|with|no|without)[_-][\w-]+")
-#: Quoted values and their number are bounded, so a stray quote doesn't search the page again at each tag.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,8192}+\"|'[^']{0,8192}+'){0,256}+|[^>]*+)>", re.S)
+#: What begins markup: a tag with its name, a comment, a section or a declaration. The latter three may end with the page, a tag may not.
+START = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)|[!?])")
+OPEN_END = re.compile("<([!?])()")
+#: The end of a tag, or a quote that begins a value.
+VALUE = re.compile(r">|=\s*+([\"'])")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 HIDE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Words that make up a name of page furniture together with one that is furniture itself.
@@ -90,6 +93,37 @@ def attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)}
 
 
+def tag_end(page: str, at: int, known: dict[int, int]) -> int:
+    """Where the tag ends whose attributes begin at at: at the first > outside quoted values, or at the first of all if a value isn't closed.
+
+    known has, for each quote that began a value, what was found from there on, so that no part of the page is searched again and again.
+    """
+    met, i = [], at
+    while True:
+        m = VALUE.search(page, i)
+        if m is None or m[1] is None:
+            end = m.start() if m else -1
+            break
+        quote = m.end() - 1
+        if quote in known:
+            end = known[quote]
+            break
+        met.append(quote)
+        i = page.find(m[1], quote + 1) + 1
+        if not i:
+            end = -1
+            break
+    known.update(dict.fromkeys(met, end))
+    return end if end >= 0 else page.find(">", at)
+
+
+def open_end(page: str, at: int) -> int:
+    """Behind the comment, section or declaration that begins at at."""
+    what, skip = ("-->", 2) if page.startswith("<!--", at) else ("]]>", 9) if page.startswith("<![CDATA[", at) else (">", 2)
+    end = page.find(what, at + skip)
+    return end + len(what) if end >= 0 else len(page)
+
+
 def furniture(names: str) -> bool:
     """Whether one of the names consists of furniture words and neutral ones alone, and not of one that has other meanings."""
     for name in names.split():
@@ -149,12 +183,16 @@ def blocks(page: str) -> list[Block]:
         open_.subtract(x.name for x in stack[k:])
         del stack[k:]
 
-    at, lower, last = 0, None, page.rfind(">") + 1
-    while (m := TOKEN.search(page, at, last) or TOKEN.search(page, max(at, last))) is not None:
+    at, lower, last, known = 0, None, page.rfind(">"), {}
+    while (m := START.search(page, at)) is not None:
+        if m[2] is not None and m.start() > last and (m := OPEN_END.search(page, m.start())) is None:
+            break
         say(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        if not m[2]:
+            at = open_end(page, m.start())
             continue
+        end_ = tag_end(page, m.end(), known)
+        raw, at = page[m.end() : end_], end_ + 1
         name = m[2].lower()
         if m[1]:
             if open_[name] > 0:
@@ -183,9 +221,9 @@ def blocks(page: str) -> list[Block]:
             end()
         elif name == "br":
             parts.append(" ")
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or raw.endswith("/"):
             continue
-        own = enter(name, m[3], stack[-1] if stack else None)
+        own = enter(name, raw, stack[-1] if stack else None)
         stack.append(own)
         open_[name] += 1
         own.block = len(stack) if name in BLOCKS else own.block  # 1 more than its place; 0 is none

@@ -114,22 +114,39 @@ BODY = "<h1>The  title</h1><p>The text of the page is this and it is of a good l
         ('<article><p>A short one.</p><div class="comment-list"><p>A reader says that this is the best of all of it.</p></div></article><div id="comments"><article class="comment"><p>The other reader says so too, and that is that.</p></article></div>', "A short one."),
         ("<nav>меню</nav><div><p>" + "Довольно длинный абзац на другом языке. " * 8 + "</p></div>", ("Довольно длинный абзац на другом языке. " * 8).strip()),
         ("<article><p title='a > b'>x</p><p title=\"unclosed>y</p></article>", "x\ny"),
+        ('<article><p data-x="' + "a>" * 9000 + '">One</p><p ' + "".join(f'a{k}="v>" ' for k in range(500)) + 'title="a > b">two</p></article>', "One\ntwo"),
+        ("<article><p title=it's>it's</p><p \"x>here</p><p title = 'a > b'>there</p></article>", "it's\nhere\nthere"),
+        ("<article><p>One</p><!--><p>two</p><!-- <p> --><![CDATA[<p>x</p>]]><?x <p>?>three</article><!-- open", "One\ntwo\n?>three"),
+        ("<article><p>a < b and <3 of <b", "a < b and <3 of <b"),
     ],
 )
 def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
-@pytest.mark.parametrize("piece", ["<div>", "<b>", "<p><b>", "<li>", '<a "', '<a ">', "</x>", "<div><p>"])
-def test_deep_markup(piece):
+@pytest.mark.parametrize("end", ["deep", "deep>", "'deep\">"])
+@pytest.mark.parametrize("piece", ["<div>", "<b>", "<p><b>", "<li>", '<a "', '<a ">', "</x>", "<div><p>", '<a x=">" ', '<a x="', "<a x='\"", "<a ", "<a x=' y=\">", "<!--", "<![CDATA[", "<!", "<script>", "</", '<p class="a', "&amp", "<a x=\"'\" y='>' <b"])
+def test_deep_markup(piece, end):
     """Deep and broken markup takes time in proportion to its length."""
 
     def took(n):
+        page = piece * (n // len(piece)) + end
         began = time.process_time()
-        html_extract.main_text(piece * n + "deep")
+        html_extract.main_text(page)
         return time.process_time() - began
 
-    assert min(took(40_000) for _ in range(2)) < 3 * max(took(20_000), 0.2)
+    assert min(took(400_000) for _ in range(2)) < 3 * max(took(200_000), 0.2)
+
+
+@pytest.mark.parametrize("piece", ['<a "', '<a x=">" ', "<a x='\"", '<p class="a', "<a x=' y=\">"])
+def test_megabytes_of_broken_tags(piece):
+    def took(n):
+        page = piece * (n // len(piece)) + "'"
+        began = time.process_time()
+        html_extract.main_text(page)
+        return time.process_time() - began
+
+    assert took(2_000_000) < 3 * max(took(1_000_000), 0.2)
 
 
 class Plain(HTMLParser):
