@@ -1,5 +1,6 @@
 """What several operators of this package share: scratch tables, hashing of words, connected components."""
 
+import string
 import tempfile
 import uuid
 
@@ -18,6 +19,9 @@ BYTE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64
 #: Bytes that part words: ASCII white space and control characters.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[:33] = True
+#: ASCII signs.
+IS_SIGN = np.zeros(256, bool)
+IS_SIGN[list(string.punctuation.encode())] = True
 
 #: Bytes of a text that are hashed at once. Tables of powers have this length, whatever the length of a text.
 PART = 1 << 16
@@ -96,10 +100,22 @@ def span_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix(out + (end - start).astype(np.uint64))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash for each word of the lower-cased text, in order."""
+def bare_spans(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end without the ASCII signs at their ends. Words of signs alone are none."""
+    start, end = word_spans(b)
+    own = np.flatnonzero(~IS_SIGN[b])
+    first = np.searchsorted(own, start)
+    some = first < len(own)
+    start, end, first = start[some], end[some], first[some]
+    last = np.searchsorted(own, end) - 1
+    some = first <= last
+    return own[first[some]], own[last[some]] + 1
+
+
+def word_hashes(text: str | None, signs: bool = False) -> np.ndarray:
+    """A 64-bit hash for each word of the lower-cased text, in order. signs: signs at the ends of words are part of them."""
     b = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
-    return span_hashes(b, *word_spans(b)) if len(b) else np.empty(0, np.uint64)
+    return span_hashes(b, *(word_spans if signs else bare_spans)(b)) if len(b) else np.empty(0, np.uint64)
 
 
 def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
@@ -204,21 +220,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return nodes.unionByName(nodes.select(F.col("component").alias("id"), "component").distinct())
 
 
-def candidate_groups(entries: DataFrame, bucket: list[str], block: int, load: int, total: int) -> DataFrame:
-    """What to compare with what, from entries (the columns of bucket, of which the first is its rank; member; load), total in number.
+def candidate_groups(entries: DataFrame, bucket: list[str], block: int, load: int, total: int, member: tuple[str, ...] = ("member",)) -> DataFrame:
+    """What to compare with what, from entries (the columns of bucket, of which the first is its rank; member's columns; load), total in number.
 
     Two members are to be compared in the lowest-ranked bucket that they share. Buckets of one member go; of buckets with the same
     members only the lowest stays. A bucket of over block members, or over load in sum, is dealt into blocks, and each pair of
-    blocks (p, q) is a group of its own, so that no group is large. Returns the bucket, p, q, member and side (0 in block p, else 1).
+    blocks (p, q) is a group of its own, so that no group is large. Returns the bucket, p, q, member's columns and side (0 in block p, else 1).
     """
-    code = F.xxhash64("member")
-    sizes = entries.groupBy(*bucket).agg(F.count("*").alias("n"), F.sum("load").alias("all"), F.bit_xor(code).alias("x"), F.bit_xor(F.xxhash64(code, F.lit(1))).alias("y"), F.min("member").alias("low")).where("n > 1")
+    code = F.xxhash64(*member)
+    sizes = entries.groupBy(*bucket).agg(F.count("*").alias("n"), F.sum("load").alias("all"), F.bit_xor(code).alias("x"), F.bit_xor(F.xxhash64(code, F.lit(1))).alias("y"), F.min(F.struct(*member)).alias("low")).where("n > 1")
     chosen = sizes.groupBy("n", "x", "y", "low").agg(F.min(F.struct(*bucket)).alias("b"), F.max("all").alias("all"))
     blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("all") / load)).cast("int")
     chosen = scratch(chosen.select("b.*", "n", blocks.alias("blocks")), "buckets")
-    rows = join_hot(entries, chosen, bucket, "n", total).withColumn("own", F.pmod(F.xxhash64("member", F.lit(5)), F.col("blocks")).cast("int"))
+    rows = join_hot(entries, chosen, bucket, "n", total).withColumn("own", F.pmod(F.xxhash64(*member, F.lit(5)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select(*bucket, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "member", (F.col("own") > F.col("other")).cast("int").alias("side"))
+    return rows.select(*bucket, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), *member, (F.col("own") > F.col("other")).cast("int").alias("side"))
 
 
 def by_group(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
@@ -250,8 +266,8 @@ def by_group(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
 LINKS = "id long, n_links long, root long"
 
 
-def linked(ids: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
-    """Rows of LINKS for the pairs (a, b) of positions: how many rows each id links to here, and the smallest id it reaches here."""
+def linked(ids: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray, digest: np.ndarray | None = None) -> pa.Table:
+    """Rows of LINKS for the pairs (a, b) of positions: how many rows each id links to here, and the smallest id it reaches here. digest: tells apart those with the same id."""
     n = np.zeros(len(ids), np.int64)
     np.add.at(n, a, copies[b])
     np.add.at(n, b, copies[a])
@@ -265,4 +281,5 @@ def linked(ids: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray) ->
             break
         root = new
     on = n > 0
-    return pa.Table.from_arrays([pa.array(ids[on]), pa.array(n[on]), pa.array(root[on])], names=["id", "n_links", "root"])
+    more = {} if digest is None else {"digest": digest[on]}
+    return pa.table({"id": ids[on], "n_links": n[on], "root": root[on]} | more)

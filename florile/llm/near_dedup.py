@@ -8,9 +8,11 @@ threshold falls below TOLERANCE. What remains is verified exactly on the shingle
 Texts with equal shingle sets are collapsed into one before, so copies are never paired. Large buckets are dealt into blocks that
 are compared block by block within tasks, which return how many links each document has and whom it reaches, never the pairs.
 
-Defined results: words are what stands between ASCII white space and control characters, lower-cased; a text of one to four words
-has one shingle, and one without words (null, empty) has none and links with nothing; rows of the same doc_id are one document in
-classes; a null doc_id counts as the smallest; other columns are ignored; an empty table gives an empty result.
+Defined results: words are what stands between ASCII white space and control characters, lower-cased, without the ASCII signs at their ends
+(with signs=True they are part of the words); a text of one to four words has one shingle, and one without words (null, empty, signs alone) has
+none and links with nothing; links are counted between rows, whatever their doc_ids; a class has the smallest doc_id of its rows, and texts whose
+smallest doc_id is the same are in one class; a null doc_id counts as the smallest of all; other columns are ignored; an empty table gives an empty
+result.
 """
 
 from math import comb
@@ -28,6 +30,8 @@ BANDS, WIDTH, STEP = 32, 4, 16
 #: Members of a block, and shingles of all of them together.
 BLOCK, LOAD = 1024, 1 << 19
 NO_ID = -(1 << 63)
+#: Texts that are candidates (16 bytes each) up to which they are broadcast to the texts, so that only candidates' texts are shuffled; beyond, they are joined by a shuffle.
+BROADCAST_TEXTS = 500_000
 
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, (2, BANDS * WIDTH), dtype=np.uint64)
 _MUL, _ADD = _SEEDS[0] | np.uint64(1), _SEEDS[1]
@@ -54,12 +58,12 @@ def least_equal(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> l
     return out
 
 
-def _prepare(size: int):
+def _prepare(size: int, signs: bool):
     def run(batches):
         for b in lean(batches):
             keys, counts, sigs = [], [], []
             for t in b.column(2):
-                s = shingles(word_hashes(t.as_py()), size)
+                s = shingles(word_hashes(t.as_py(), signs), size)
                 counts.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(signature(s) if len(s) else None)
@@ -87,7 +91,7 @@ def _intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.n
     return total[a, b].astype(np.int64)
 
 
-def _compare(size: int, threshold: float, tolerance: float):
+def _compare(size: int, threshold: float, tolerance: float, signs: bool):
     need = least_equal(threshold, tolerance)
 
     def run(t: pa.Table) -> pa.Table:
@@ -106,7 +110,7 @@ def _compare(size: int, threshold: float, tolerance: float):
                 stay = equal >= least
                 earlier = band - k * STEP // WIDTH
                 if earlier > 0:  # pairs that agree in an earlier band are compared there
-                    stay &= ~same.reshape(len(j), -1, WIDTH).all(2)[:, :earlier].any(1)
+                    stay &= ~same.reshape(len(j), STEP // WIDTH, WIDTH).all(2)[:, :earlier].any(1)
                 if not stay.all():
                     j, equal = j[stay], equal[stay]
                 if not len(j):
@@ -117,32 +121,37 @@ def _compare(size: int, threshold: float, tolerance: float):
         if len(a):
             used = np.unique(np.concatenate([a, b]))
             texts = t.column("text")
-            sets = [shingles(word_hashes(texts[int(i)].as_py()), size) for i in used]
+            sets = [shingles(word_hashes(texts[int(i)].as_py(), signs), size) for i in used]
             sizes = np.array([len(x) for x in sets])
             x, y = np.searchsorted(used, a), np.searchsorted(used, b)
             both = _intersections(sets, x, y)
             good = both >= threshold * (sizes[x] + sizes[y] - both) - 1e-9
             a, b = a[good], b[good]
-        return linked(ids, copies, a, b)
+        return linked(ids, copies, a, b, t.column("digest").to_numpy())
 
     return run
 
 
-def near_groups(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+def near_groups(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, signs: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (the smallest doc_id reached by links), n_links (other rows linked directly), kept."""
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
-    all_ = scratch(d.mapInArrow(_prepare(size), "doc_id long, digest long, key binary, n long, sig array<long>"), "signatures")
+    all_ = scratch(d.mapInArrow(_prepare(size, signs), "doc_id long, digest long, key binary, n long, sig array<long>"), "signatures")
     reps = all_.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "digest")).alias("r"), F.count("*").alias("m"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"))
-    reps = scratch(reps.select("key", F.col("r.doc_id").alias("rep"), F.col("r.digest").alias("digest"), "m", "n", "sig"), "shingle-sets")
-    entries = reps.select(F.posexplode("sig").alias("band", "h"), F.col("rep").alias("member"), F.col("n").alias("load"))
-    groups = candidate_groups(entries, ["band", "h"], BLOCK, LOAD, BANDS * reps.count())
-    groups = groups.join(reps.select(F.col("rep").alias("member"), "digest", "m", "sig"), "member")
-    groups = groups.join(d.select(F.col("doc_id").alias("member"), "digest", "text").dropDuplicates(["member", "digest"]), ["member", "digest"])
-    links = scratch(by_group(groups.select("band", "h", "p", "q", "side", "member", "m", "sig", "text"), ["band", "h", "p", "q"], _compare(size, threshold, tolerance), LINKS), "links")
-    classes = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    counts = links.groupBy("id").agg(F.sum("n_links").alias("n_links"))
-    known = reps.select("key", "rep", "m").join(counts, F.col("rep") == F.col("id"), "left").drop("id").join(classes, F.col("rep") == F.col("id"), "left")
-    known = scratch(known.select("key", "m", F.coalesce("component", "rep").alias("class_id"), (F.col("m") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links")), "classes")
+    reps = scratch(reps.select("key", F.col("r.doc_id").alias("member"), F.col("r.digest").alias("digest"), "m", "n", "sig"), "shingle-sets")
+    # Different sets may have the same doc_id, or none, so doc_id and digest together say which one is meant.
+    member = ("member", "digest")
+    entries = reps.select(F.posexplode("sig").alias("band", "h"), *member, F.col("n").alias("load"))
+    groups = scratch(candidate_groups(entries, ["band", "h"], BLOCK, LOAD, BANDS * reps.count(), member), "candidates")
+    wanted = scratch(groups.select(*member).distinct(), "candidate-texts")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
+    texts = d.withColumnRenamed("doc_id", "member").join(wanted, [*member], "left_semi").dropDuplicates([*member])
+    groups = groups.join(reps.select(*member, "m", "sig"), [*member]).join(texts, [*member])
+    run = _compare(size, threshold, tolerance, signs)
+    links = scratch(by_group(groups.select("band", "h", "p", "q", "side", *member, "m", "sig", "text"), ["band", "h", "p", "q"], run, f"{LINKS}, digest long"), "links")
+    classes = components(links.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "member")
+    counts = links.groupBy(F.col("id").alias("member"), "digest").agg(F.sum("n_links").alias("n_links"))
+    known = reps.select("key", *member, "m").join(counts, [*member], "left").join(classes, "member", "left")
+    known = scratch(known.select("key", "m", F.coalesce("component", "member").alias("class_id"), (F.col("m") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links")), "classes")
     alone = all_.where("key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).alias("n_links"))
     out = join_hot(all_.where("key IS NOT NULL").select("doc_id", "key"), known, ["key"], "m", all_.count()).select("doc_id", "class_id", "n_links").unionByName(alone)
     named = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)

@@ -103,7 +103,7 @@ part AS (SELECT a AS id, min(b) AS low FROM reach GROUP BY 1), degree AS (SELECT
 
 ORACLE["op1_ngram_jaccard_join"] = f"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x00-\\x20]+'), lambda w: w <> '') AS w FROM documents
+  SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '[\\x00-\\x20]+'), lambda w: regexp_replace(w, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')), lambda w: w <> '') AS w FROM documents
 ), shingles AS (
   SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, greatest(1, len(w) - 4)), lambda i: hash(w[i : i + 4]))) AS s FROM words WHERE len(w) > 0
 ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -161,21 +162,52 @@ def test_cuckoo():
 # N-gram Jaccard join
 
 
-def test_near(spark, monkeypatch):
-    for block in (near_dedup.BLOCK, 2):  # also dealt into blocks of two
-        monkeypatch.setattr(near_dedup, "BLOCK", block)
-        rows = texts()
-        sets = [set(shingles(word_hashes(t)).tolist()) for _, t in rows]
-        links, pairs = Counter(), []
-        for i in range(len(rows)):
-            for j in range(i):
-                if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                    links[i] += 1
-                    links[j] += 1
-                    pairs.append((low(rows[i][0]), low(rows[j][0])))
-        part = components({low(i) for i, _ in rows}, pairs)
-        got = near_dedup.near_groups(documents(spark)).collect()
-        assert sorted((low(r["doc_id"]), low(r["class_id"]), r["n_links"], r["kept"]) for r in got) == sorted((low(i), part[low(i)], links[k], part[low(i)] == low(i)) for k, (i, _) in enumerate(rows))
+def word_set(t, signs):
+    """Shingles of a text as tuples of words."""
+    words = [w if signs else w.strip(string.punctuation) for w in re.split("[\\x00-\\x20]+", (t or "").lower())]
+    words = [w for w in words if w]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def near_model(rows, signs=False):
+    """Of each row: links, and the class of its doc_id."""
+    sets = [frozenset(word_set(t, signs)) for _, t in rows]
+    links, pairs = Counter(), []
+    first = {x: min(low(i) for (i, _), y in zip(rows, sets) if x == y) for x in sets if x}
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                links[i] += 1
+                links[j] += 1
+                pairs.append((first[sets[i]], first[sets[j]]))
+    part = components({low(i) for i, _ in rows}, pairs)
+    of = [part[first[x]] if x else low(i) for (i, _), x in zip(rows, sets)]
+    return sorted((low(i), of[k], links[k], of[k] == low(i)) for k, (i, _) in enumerate(rows))
+
+
+def near_rows(got):
+    return sorted((low(r["doc_id"]), low(r["class_id"]), r["n_links"], r["kept"]) for r in got.collect())
+
+
+@pytest.mark.parametrize("block, few, signs", [(near_dedup.BLOCK, near_dedup.BROADCAST_TEXTS, False), (2, 0, False), (near_dedup.BLOCK, 0, True)])
+def test_near(spark, monkeypatch, block, few, signs):
+    """Also dealt into blocks of two, with candidates shuffled, and with signs as parts of words."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BROADCAST_TEXTS", few)
+    rng = random.Random(4)
+    own = prose(rng, 100).split()
+    rows = texts() + [(80, "(One) two-three, 'four'! -- five; six..."), (81, "one two-three four five six"), (82, "... !?"), (83, " ".join(w.strip(",.") for w in own)), (84, " ".join(own))]
+    assert near_rows(near_dedup.near_groups(documents(spark, rows), signs=signs)) == near_model(rows, signs)
+
+
+@pytest.mark.parametrize("name", [lambda i: None, lambda i: 7, lambda i: i // 2 or None])
+def test_near_without_own_ids(spark, name):
+    """Near copies, each different, whose doc_ids are null or repeat: links are those of rows with ids, and rows to compare are as many."""
+    rng = random.Random(10)
+    words = prose(rng, 100).split()
+    rows = [(name(i), " ".join(f"w{i}" if k == rng.randrange(100) or k == i else w for k, w in enumerate(words))) for i in range(40)] + [(name(50), prose(rng, 90)), (None, rows_of_one := prose(rng, 60)), (3, rows_of_one)]
+    want = near_model(rows)
+    assert near_rows(near_dedup.near_groups(documents(spark, rows))) == want and max(r[2] for r in want) > 5
 
 
 def test_near_stage(spark):
