@@ -7,7 +7,12 @@ corpus, the pointwise mutual information of a term and a value, log(P(value | te
 log(N / n(value)) bits that single the value out the term gives away. P(value | term) is smoothed: PRIOR more texts with the
 term are assumed that hold the value as often as all texts do. Terms that give away DISCLOSES of the bits or more are generalised
 wherever they stand in a text with the value, those from REVEALS on are removed. All counts are of different texts: copies of a
-text are evidence once.
+text are evidence once, and a term that meets a value in fewer than EVIDENCE texts gives nothing away, as every word of a text that
+stands nowhere else would.
+
+Terms and values of a text are not all paired. Of values that stand in the same texts, one counts for all. A pair that matters stands
+in two texts or more, so each term is paired with the values of its texts but the one of most values, which is looked up for the
+pairs found elsewhere. A text of many values, however long, thus makes no pairs by itself.
 
 Positions are code points. Each kind is matched leftmost and without overlaps; a match that fails its test is dropped. The patterns
 are written so that each start of a run is tried once and runs are not given back, so very long runs take linear time; the
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch
 
-PRIOR, DISCLOSES, REVEALS = 2.0, 0.8, 0.95
+PRIOR, DISCLOSES, REVEALS, EVIDENCE = 2.0, 0.8, 0.95, 2
 #: Matches that are folded together, and spans of a text that each of its terms is held against.
 BLOCK, FEW = 256, 64
 #: Terms (8 bytes each) up to which candidates are broadcast to the count of terms; beyond, they are joined by a shuffle.
@@ -110,9 +115,10 @@ def levels(entity: Column) -> Column:
     return F.transform(F.concat(F.array(entity), coarse), lambda x: F.xxhash64(x))
 
 
-def terms_of(text: Column) -> Column:
-    """Hashes of the different terms of a text."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(F.lower(w))))
+def terms_of(texts: DataFrame) -> DataFrame:
+    """(digest, term) of each term of texts, as often as it comes."""
+    words = texts.select("digest", F.explode(F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).alias("word"))
+    return words.select("digest", F.xxhash64(F.lower("word")).alias("term"))
 
 
 def _all_places(texts: DataFrame, more: list[str]) -> DataFrame:
@@ -142,8 +148,13 @@ def places(texts: DataFrame, few: int = FEW) -> DataFrame:
     return usual.unionByName(rows.where("kind = 1 AND (until IS NULL OR until <= s) AND (after IS NULL OR after >= e)").select("digest", "term", "s", "e"))
 
 
+def digest_of(text: Column | str) -> Column:
+    """128 bits that tell texts apart."""
+    return F.unhex(F.md5(text))
+
+
 def _row_key(df: DataFrame) -> DataFrame:
-    return df.withColumns({"own_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "digest": F.xxhash64("text")})
+    return df.withColumns({"own_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "digest": digest_of("text")})
 
 
 def _most(n: int, n_both: Column, n_key: Column) -> Column:
@@ -160,28 +171,34 @@ def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = found.select("digest").distinct().count()
     held = scratch(found.where("size(base) > 0").groupBy("digest").agg(F.first(F.struct("text", "base")).alias("x")).select("digest", "x.*"), "pii-texts")
     keys = held.select("digest", F.explode(F.array_distinct(F.flatten(F.transform("base.entity", levels)))).alias("key"))
-    keys = keys.join(keys.groupBy("key").agg(F.count("*").alias("n_key")), "key")
-    keys = scratch(keys.withColumn("most", _most(n, F.col("n_key"), F.col("n_key"))), "pii-keys")
+    code = F.xxhash64("digest")
+    values = keys.groupBy("key").agg(F.count("*").alias("n_key"), F.bit_xor(code).alias("x"), F.bit_xor(F.xxhash64(code, F.lit(1))).alias("y")).where(F.col("n_key") >= EVIDENCE)
+    values = values.groupBy("n_key", "x", "y").agg(F.min("key").alias("key")).select("key", "n_key", _most(n, F.col("n_key"), F.col("n_key")).alias("most"))
+    keys = scratch(keys.join(values, "key"), "pii-keys")
+    of_text = keys.groupBy("digest").agg(F.count("*").alias("n_keys"), F.max("most").alias("most"))
     # A term reaches DISCLOSES only if few enough texts hold it. The texts with entities that hold it are a lower bound of their number,
     # which rules out common terms before they meet values, and before the corpus is searched for the others.
-    most = keys.agg(F.max("most")).first()[0] or 0.0
-    context = places(held).select("digest", "term").distinct()
-    least = context.groupBy("term").agg(F.count("*").alias("least")).where(F.col("least") <= most)
-    pairs = context.join(least, "term").join(keys, "digest").where("least <= most").select("digest", "term", "key", "n_key", "least")
-    pairs = scratch(pairs, "pii-pairs")
-    seen = pairs.groupBy("key", "term").agg(F.count("*").alias("n_both"), F.first("n_key").alias("n_key"), F.first("least").alias("least"))
-    seen = scratch(seen.where(F.col("least") <= _most(n, F.col("n_both"), F.col("n_key"))), "pii-seen")
+    context = places(held.join(of_text.select("digest"), "digest", "left_semi")).select("digest", "term").distinct()
+    context = scratch(context.join(of_text, "digest"), "pii-context")
+    least = context.groupBy("term").agg(F.count("*").alias("least"), F.max("most").alias("top"), F.max(F.struct("n_keys", "digest")).alias("heavy"))
+    least = least.where((F.col("least") >= EVIDENCE) & (F.col("least") <= F.col("top"))).select("term", "least", F.col("heavy.digest").alias("heavy"))
+    light = context.join(least, "term").where("digest <> heavy AND least <= most").drop("most")
+    pairs = scratch(light.join(keys, "digest").where("least <= most").select("digest", "term", "key", "n_key", "least", "heavy"), "pii-pairs")
+    seen = pairs.groupBy("key", "term").agg(F.count("*").alias("n_light"), *(F.any_value(c).alias(c) for c in ("n_key", "least", "heavy")))
+    seen = seen.join(keys.select(F.col("digest").alias("heavy"), "key", F.lit(1).alias("also")), ["heavy", "key"], "left").withColumn("n_both", F.col("n_light") + F.coalesce("also", F.lit(0)))
+    seen = scratch(seen.where((F.col("n_both") >= EVIDENCE) & (F.col("least") <= _most(n, F.col("n_both"), F.col("n_key")))), "pii-seen")
     terms = seen.select("term").distinct()
     n_terms = terms.count()
-    disclosing = seen.select("key", "term", F.lit(0.0).alias("share")).limit(0)
+    disclosing = seen.select("key", "term", "heavy", "also", F.lit(0.0).alias("share")).limit(0)
     if n_terms:
         terms = F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms
-        words = d.select("digest", F.explode(terms_of(F.col("text"))).alias("term"))
-        n_term = words.join(terms, "term", "left_semi").groupBy("term", "digest").agg(F.count("*")).groupBy("term").agg(F.count("*").alias("n_term"))
+        n_term = terms_of(d).join(terms, "term", "left_semi").groupBy("term", "digest").agg(F.count("*")).groupBy("term").agg(F.count("*").alias("n_term"))
         given = (F.col("n_both") + PRIOR * F.col("n_key") / n) / (F.col("n_term") + PRIOR)
         share = F.try_divide(F.log2(given * n / F.col("n_key")), F.log2(F.lit(float(n)) / F.col("n_key")))
-        disclosing = seen.join(n_term, "term").select("key", "term", share.alias("share")).where(f"share >= {DISCLOSES}")
-    hidden = pairs.join(disclosing, ["key", "term"]).groupBy("digest", "term").agg(F.max("share").alias("share"))
+        disclosing = scratch(seen.join(n_term, "term").select("key", "term", "heavy", "also", share.alias("share")).where(f"share >= {DISCLOSES}"), "pii-disclosing")
+    hidden = pairs.join(disclosing.select("key", "term", "share"), ["key", "term"]).select("digest", "term", "share")
+    hidden = hidden.unionByName(disclosing.where("also = 1").select(F.col("heavy").alias("digest"), "term", "share"))
+    hidden = hidden.groupBy("digest", "term").agg(F.max("share").alias("share"))
     texts = held.join(hidden.select("digest").distinct(), "digest", "left_semi")
     extra = places(texts).join(hidden, ["digest", "term"])
     extra = extra.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("s", "e", (F.col("share") >= REVEALS).alias("removed")))).alias("extra"))
@@ -222,7 +239,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """docs with entities replaced by their kind in brackets, disclosing terms by [TERM] or nothing, and n_chars to match."""
     _, extra = _spans(docs)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("old"))
-    both = _with_extra(rows.withColumns({"digest": F.xxhash64("old"), "base": base_spans(F.col("old"))}), extra)
+    both = _with_extra(rows.withColumns({"digest": digest_of("old"), "base": base_spans(F.col("old"))}), extra)
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     spans = F.array_sort(F.concat(F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.get(marks, x["k"]).alias("mark"))), F.transform("extra", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["removed"], "").otherwise("[TERM]").alias("mark")))))
     old = F.col("old")

@@ -307,11 +307,94 @@ def test_pii_counts_copies_once(spark):
     assert all(r["spans"] == once[1000] for r in copies if r["doc_id"] >= 5000)
 
 
+def levels_model(kind, value):
+    value = value.lower() if kind == "email" else value if kind == "ip" else re.sub("[^0-9]", "", value)
+    own = f"{kind}:{value}"
+    if kind == "email":
+        return {own, "domain:" + value.rsplit("@", 1)[1], "local:" + value.split("@")[0]}
+    if kind == "ip":
+        return {own, "net3:" + ".".join(value.split(".")[:3]), "net2:" + ".".join(value.split(".")[:2])}
+    return {own, f"{kind}4:{value[:4]}", f"{kind}6:{value[:6]}"}
+
+
+def disclosing_model(rows):
+    """(doc_id, place) of each term that gives a value away, by counts over all different texts and all pairs."""
+    texts = sorted({t or "" for _, t in rows})
+    n, n_key, n_both, n_term, of = len(texts), Counter(), Counter(), Counter(), {}
+    for t in texts:
+        spans = pii_model(t)
+        keys = set().union(*(levels_model(pii.KINDS[k], t[s:e]) for s, k, e in spans))
+        found = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", t)]
+        own = [x for x in found if not any(x[1] < e and s < x[2] for s, _, e in spans)]
+        of[t] = keys, own
+        n_term.update({w for w, _, _ in found})
+        n_key.update(keys)
+        n_both.update((w, k) for w in {w for w, _, _ in own} for k in keys)
+
+    def share(w, k):
+        given = (n_both[w, k] + pii.PRIOR * n_key[k] / n) / (n_term[w] + pii.PRIOR)
+        return np.log2(given * n / n_key[k]) / np.log2(n / n_key[k]) if n_both[w, k] >= pii.EVIDENCE and n > n_key[k] else 0
+
+    return sorted((i, s, e) for i, t in rows for w, s, e in of[t or ""][1] if any(share(w, k) >= pii.DISCLOSES for k in of[t or ""][0]))
+
+
+def disclosed(rows, got):
+    return sorted((r["doc_id"], *map(int, x.split(":")[1:])) for r in got for x in r["spans"].split(",") if x.startswith("term"))
+
+
+def test_pii_against_brute_force(spark):
+    """Counts, shares and places of terms against all pairs: values that share texts, values of many texts, heavy texts, copies."""
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 20)) for i in range(400)]
+    names = [f"Name{chr(97 + k)}{chr(97 + j)}xyz" for k in range(8) for j in range(6)]
+    for i in range(120):
+        c = rng.randrange(8)
+        values = [rng.choice([f"p{rng.randrange(9)}@host{c}.org", f"10.{c}.{rng.randrange(3)}.{rng.randrange(200)}", f"+49 30 {c}{rng.randrange(10**6, 10**7)}"]) for _ in range(1 + rng.randrange(3))]
+        rows.append((1000 + i, f"{prose(rng, 5)} {rng.choice(names[6 * c : 6 * c + 6])} {' and '.join(values)}. {rng.choice(names)} {prose(rng, 5)}".replace("xyz", "")))
+    rows += [(2000 + i, " ".join(f"p{k}@host{k % 11}.org {names[k % 40][:-3]}" for k in range(i, 60 + i))) for i in range(3)]
+    rows += [(3000, rows[450][1]), (3001, rows[450][1]), (3002, None)]
+    want = disclosing_model(rows)
+    assert disclosed(rows, pii.summary(documents(spark, rows)).collect()) == want and len(want) > 50
+
+
+def test_pii_finds_what_is_planted(spark):
+    """Of words that stand in texts with one of 20 hosts alone, all are found; of rare words of texts with addresses, and of words met with many hosts, none."""
+    rng = random.Random(13)
+    rows = [(i, prose(rng, 30)) for i in range(1500)]
+    word = lambda k: "".join(chr(97 + int(c)) for c in f"{k:05}")
+    for k in range(100):
+        host, telling = f"u{k}@h{k % 20}.example", f"secret{word(k % 20)}"
+        rows.append((5000 + k, f"{prose(rng, 10)} {telling} {prose(rng, 10)} {host} once{word(k)} {prose(rng, 5)} often{word(k % 3)}"))
+    dt = dict(rows)
+    found = Counter(re.match("[a-z]*?(?=[a-j]{5}$)", dt[i][s:e])[0] for i, s, e in disclosed(rows, pii.summary(documents(spark, rows)).collect()))
+    assert found == {"secret": 100}
+
+
+def test_pii_heavy_text(spark, monkeypatch):
+    """One text of many addresses and words, which stand in others too, pairs no more than the others do: rows are linear in its length."""
+    made = []
+    old = pii.scratch
+    monkeypatch.setattr(pii, "scratch", lambda df, name: made.append((name, out := old(df, name))) or out)
+    rng = random.Random(14)
+    word = lambda k: "".join(chr(97 + int(c)) for c in f"{k:06}")
+
+    def pairs(n):
+        made.clear()
+        rows = [(i, f"{prose(rng, 5)} u{i}@h{i}.example {word(i)} {word(i + 1)}") for i in range(n)]
+        rows.append((10**6, " ".join(f"u{i}@h{i}.example {word(i)} {word(i + 7)} {word(i + n)}" for i in range(n))))
+        rows += [(10**7 + i, " ".join(f"v{k}@k{k}.example w{word(k)} w{word(k + n)}" for k in range(n)) + f" end{i}") for i in range(2)]
+        pii.summary(documents(spark, rows)).write.format("noop").mode("overwrite").save()
+        return dict(made)["pii-pairs"].count()
+
+    small, large = pairs(400), pairs(1200)
+    assert 400 < small and large < 4 * small
+
+
 def test_pii_places(spark):
     """Terms and where they stand, outside spans, whether held against each span or met in order."""
     rng = random.Random(3)
     t = "".join(rng.choice(["word ", "été", "a@b.org ", "x", "12.1.1.1", "café@x.de,", " ", "über+49 30 1234567"]) for _ in range(300))
-    d = documents(spark, [(1, t)]).select(F.xxhash64("text").alias("digest"), "text", pii.base_spans(F.col("text")).alias("base"))
+    d = documents(spark, [(1, t)]).select(pii.digest_of("text").alias("digest"), "text", pii.base_spans(F.col("text")).alias("base"))
     spans = [(s, e) for s, _, e in pii_model(t)]
     want = sorted((m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", t) if not any(m.start() < e and s < m.end() for s, e in spans))
     assert len(want) > 20
