@@ -7,7 +7,10 @@ into the scan. Bytes that don't fit a layout give nulls, never an error.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.binary import number
+from ..functions.binary import starts as _starts
 from ..functions.text import extension_of, folder_of, name_of, once
+from . import chunks
 
 #: Containers, and whether tags can be read and written, images, chapters, lyrics and several values of a field be
 #: stored, and the codec loses nothing.
@@ -61,10 +64,6 @@ def described(files: DataFrame) -> DataFrame:
     return files.select("path", folder_of(F.col("path")).alias("folder"), name.alias("name"), extension_of(name).alias("extension"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified_ms"), "content")
 
 
-def _starts(c: Column, text: bytes, at: int = 0) -> Column:
-    return F.substring(c, at + 1, len(text)) == F.lit(bytearray(text))
-
-
 def sniff(content: Column, name: Column) -> Column:
     """The container by its leading bytes, in the order that tells them apart; else by extension; else null."""
     ext = extension_of(name)
@@ -93,15 +92,6 @@ def sniff(content: Column, name: Column) -> Column:
     )
 
 
-def number(c: Column, at: int | Column, size: int, little: bool = False) -> Column:
-    """An unsigned whole number of the bytes at a place; null past the end."""
-    raw = F.substring(c, at + 1, size) if isinstance(at, int) else F.substring(c, at + 1, F.lit(size))
-    hexed = F.hex(raw)
-    if little:
-        hexed = F.concat(*[F.substring(F.hex(raw), 2 * i + 1, 2) for i in range(size - 1, -1, -1)])
-    return F.when(F.octet_length(raw) == size, F.conv(hexed, 16, 10).try_cast("long"))
-
-
 def id3v1(content: Column) -> dict[str, Column]:
     """title, artist, album, year, comment and track of the 128 bytes at the end; nulls without them."""
     size = F.octet_length(content)
@@ -121,30 +111,23 @@ def flac_properties(content: Column) -> dict[str, Column]:
 
 
 def wav_properties(content: Column) -> dict[str, Column]:
-    """Channels, sample rate and bits of a WAV file whose format chunk comes first."""
-    there = _starts(content, b"RIFF") & _starts(content, b"WAVEfmt ", 8)
-    return {"channels": F.when(there, number(content, 22, 2, True)), "sample_rate": F.when(there, number(content, 24, 4, True)), "bits": F.when(there, number(content, 34, 2, True))}
+    """Channels, sample rate and bits of a WAV file, whatever the order of its chunks."""
+    own = chunks.wav_format(content)
+    return {k: own[k] for k in ("channels", "sample_rate", "bits")}
 
 
 #: JPEG markers of frames, which say the size: C0 to CF but those of tables (C4, C8, CC).
 FRAMES = [0xFFC0 + k for k in range(16) if k not in (4, 8, 12)]
-#: Segments of a JPEG that are looked through for the frame.
-SEGMENTS = 64
 
 
 def jpeg_size(content: Column) -> Column:
-    """(width, height) of the first frame among the first SEGMENTS segments; null without one."""
-    none = F.lit(None).cast("long")
-    start = F.struct(F.lit(2).alias("at"), none.alias("width"), none.alias("height"))
-
-    def step(acc: Column, _: Column) -> Column:
-        at = acc["at"]
-        length = F.coalesce(number(content, at + 2, 2), F.lit(0)).cast("int")
-        found = F.struct(at.alias("at"), number(content, at + 7, 2).alias("width"), number(content, at + 5, 2).alias("height"))
-        on = once(length, lambda n: F.struct(F.when(n >= 2, at + 2 + n).otherwise(F.lit(-1)).alias("at"), none.alias("width"), none.alias("height")))
-        return F.when(acc["width"].isNotNull() | (at < 0), acc).when(number(content, at, 2).isin(FRAMES), found).otherwise(on)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(SEGMENTS)), start, step, lambda acc: F.struct(acc["width"].alias("width"), acc["height"].alias("height")))
+    """(width, height) of the first frame, however many segments stand before it; null without one."""
+
+    def of(c: Column) -> Column:
+        frame = F.get(F.filter(chunks.walk(c, 2, F.octet_length(c), chunks.segment), lambda x: x["id"].isin([str(k) for k in FRAMES])), 0)
+        return once(frame, lambda x: F.struct(number(c, x["start"] + 3, 2).alias("width"), number(c, x["start"] + 1, 2).alias("height")))
+
+    return once(content, of)
 
 
 def webp_size(content: Column) -> tuple[Column, Column]:
