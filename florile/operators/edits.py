@@ -32,10 +32,14 @@ def discard(log: DataFrame, ids: DataFrame | None = None, id: str = "id") -> Dat
     return log.limit(0) if ids is None else log.join(ids.select(F.col("id").alias(id)).distinct(), id, "left_anti")
 
 
-def rename_rows(plan: DataFrame, id: str, before: str, after: str, op: str, first_seq: int = 0) -> DataFrame:
-    """A rename plan as log rows of the field "filename", in one operation: those whose name changes."""
+def rename_rows(plan: DataFrame, id: str, before: str, after: str, op: str, first_seq: int = 0, seq: str | None = None) -> DataFrame:
+    """A rename plan as log rows of the field "filename", in one operation: those whose name changes. seq: a column that orders the rows of the log; else first_seq and a whole-number id."""
     changed = plan.where(~F.col(before).eqNullSafe(F.col(after)) & F.col(after).isNotNull())
-    return changed.select(F.col(id).alias("id"), F.lit(op).alias("op"), F.lit("filename").alias("field"), F.col(before).alias("before"), F.col(after).alias("value"), (F.lit(first_seq) + F.col(id)).alias("seq"))
+    return changed.select(F.col(id).alias("id"), F.lit(op).alias("op"), F.lit("filename").alias("field"), F.col(before).alias("before"), F.col(after).alias("value"), _seq(first_seq, id, seq))
+
+
+def _seq(first: int, id: str, seq: str | None) -> Column:
+    return (F.lit(first) + F.col(seq or id)).alias("seq")
 
 
 def copied(records: DataFrame, id: str, source, fields: list[str]) -> dict[str, str | None]:
@@ -50,6 +54,17 @@ def paste(targets: DataFrame, id: str, values: dict[str, str | None], op: str, f
     return targets.select(F.col(id).alias("id"), F.explode(rows).alias("x")).select("id", F.lit(op).alias("op"), "x.field", "x.value", (F.lit(first_seq) + F.col("id")).alias("seq"))
 
 
+def pasted(targets: DataFrame, source: DataFrame, id: str, fields: list[str], op: str, first_seq: int = 0, seq: str | None = None) -> DataFrame:
+    """The values of fields of the one row of source as log rows for each target, in one operation: (id, op, field, value, seq). Without a source row there are none.
+
+    Nothing comes to the driver: of source, one row is joined with the targets.
+    """
+    rows = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"))) for f in fields]))
+    one = source.select(F.lit(1).alias("_one"), rows.alias("_rows")).limit(1)
+    own = targets.select(F.col(id).alias("id"), _seq(first_seq, id, seq), F.lit(1).alias("_one")).join(F.broadcast(one), "_one")
+    return own.select("id", "seq", F.explode("_rows").alias("x")).select("id", F.lit(op).alias("op"), "x.field", "x.value", "seq")
+
+
 #: The stages at which writing a record can fail, in their order.
 STAGES = ("validate", "serialise", "verify", "backup", "commit", "rename")
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as _text
 from ..operators import edits
+from ..session import shared_place
 from ..streaming import edit_log
 from . import tables
 
@@ -69,21 +70,6 @@ def json_props(spark, sf_dir):
     return e.select("event_id", F.try_element_at("m", F.lit("k")).try_cast("long").alias("k"), F.to_json(F.struct("event_id", F.col("event_type").alias("type"))).alias("json"))
 
 
-def _places(spark, name):
-    """A folder of its own in the shared one, which goes when the driver ends. Where spark.checkpoint.dir is unset, a local one in local mode (tests)."""
-    from uuid import uuid4
-    from tempfile import mkdtemp
-
-    sc = spark.sparkContext
-    place = sc.getConf().get("spark.checkpoint.dir")
-    if not place and not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    place = f"{(place or mkdtemp(prefix='florile-')).rstrip('/')}/florile/{name}-{uuid4().hex}"
-    path = sc._jvm.org.apache.hadoop.fs.Path(place)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return place
-
-
 def _stream(spark, sf_dir):
     schema = tables.read(spark, sf_dir, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
@@ -91,7 +77,7 @@ def _stream(spark, sf_dir):
 
 def _drained(spark, stream, name, mode="append"):
     """The rows that a stream wrote by the time it had read all there is."""
-    place = _places(spark, name)
+    place = shared_place(spark, name)
     q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start(f"{place}/rows") if mode == "append" else edit_log.publish(stream, lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{place}/rows"), f"{place}/log")
     q.awaitTermination()
     return spark.read.parquet(f"{place}/rows")
@@ -105,7 +91,7 @@ def stream_filter(spark, sf_dir):
 
 def _folded(spark, sf_dir, action, name):
     s = _stream(spark, sf_dir).select(F.col("user_id").alias("id"), action.alias("action"), F.col("event_id").alias("seq"), F.coalesce("value", F.lit(0.0)).alias("value"))
-    place = _places(spark, name)
+    place = shared_place(spark, name)
     q = edit_log.undoable(s).writeStream.outputMode("update").foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{place}/rows")).option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start()
     q.awaitTermination()
     last = spark.read.parquet(f"{place}/rows").groupBy("id").agg(F.max_by(F.struct("n_edits", "n_undone", "value"), "batch").alias("s"))
@@ -131,8 +117,9 @@ def edit_discard(spark, sf_dir):
 def edit_paste(spark, sf_dir):
     """Two fields of the first customer, pasted to the customers of its nation."""
     c = tables.read(spark, sf_dir, "customer")
-    values = edits.copied(c, "c_custkey", 1, ["c_mktsegment", "c_nationkey"])
-    return edits.paste(c.where(F.col("c_nationkey") == int(values["c_nationkey"])), "c_custkey", values, "paste-1", 500)
+    source = c.where("c_custkey = 1")
+    targets = c.join(source.select("c_nationkey"), "c_nationkey", "left_semi")
+    return edits.pasted(targets, source, "c_custkey", ["c_mktsegment", "c_nationkey"], "paste-1", 500)
 
 
 def rename_queue(spark, sf_dir):

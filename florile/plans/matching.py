@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.text import similar_form, similarity
-from ..operators import matching
+from ..operators import matching, nearby
 from ..operators.matching import Signal
 from . import tables
 
@@ -20,21 +20,50 @@ def similarity_pairs(spark, sf_dir):
 def similar_names(spark, sf_dir):
     """Pairs of different names in comparison form within a brand, of any type and size, with a score of 0.4 or more, and the parts that have them.
 
-    One row for each pair of names (a, b), or name alone (b is null) that several parts have, and part: name a or b has it. A score of 0.4 needs
-    a word in common, as it is at most 0.3 without, so names are blocked on words, and a pair is scored in the first word that it shares.
+    One row for each pair of names (a, b), or name alone (b is null) that several parts have, and part: name a or b has it. A score is at most 0.3
+    without the words' coefficient and 0.7 of that, so pairs come from a join of sets of words with a seventh or more in common.
     """
     p = tables.read(spark, sf_dir, "part").select("p_partkey", "p_brand", similar_form(F.col("p_name")).alias("form"))
-    names = p.select("p_brand", "form").distinct().where("form <> ''").withColumn("words", F.array_sort(F.array_distinct(F.split("form", " "))))
-    blocks = names.withColumn("word", F.explode("words"))
-    a, b = blocks.alias("a"), blocks.alias("b")
-    met = a.join(b, ["p_brand", "word"]).where("a.form < b.form").where(F.array_min(F.array_intersect("a.words", "b.words")) == F.col("word"))
-    s = F.round(similarity(F.col("a.form"), F.col("b.form"), normal=True), 6)
-    pairs = met.select("p_brand", F.col("a.form").alias("a"), F.col("b.form").alias("b"), s.alias("score")).where("score >= 0.4")
-    same = p.where("form <> ''").groupBy("p_brand", "form").agg(F.count("*").alias("n")).where("n > 1").select("p_brand", F.col("form").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(1.0).alias("score"))
+    names = p.where("form <> ''").groupBy("p_brand", "form").agg(F.min("p_partkey").alias("id"), F.count("*").alias("n"))
+    met = nearby.similar_sets(names, None, "id", F.split("form", " "), (0.4 - 0.3) / 0.7, ["p_brand"])
+    side = lambda id, name: names.select(F.col("id").alias(id), F.col("form").alias(name), *(["p_brand"] if name == "x" else []))
+    met = met.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b")
+    s = F.round(similarity(F.col("x"), F.col("y"), normal=True), 6)
+    pairs = met.select("p_brand", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), s.alias("score")).where("score >= 0.4")
+    same = names.where("n > 1").select("p_brand", F.col("form").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(1.0).alias("score"))
     sides = pairs.withColumn("form", F.explode(F.array("a", "b"))).unionByName(same.withColumn("form", F.col("a")))
     return sides.join(p, ["p_brand", "form"]).select("p_brand", "a", "b", "score", "form", "p_partkey")
 
 
+def _titles(spark, sf_dir):
+    """Different titles of parts: their words, the smallest key, and how many parts have them."""
+    p = tables.read(spark, sf_dir, "part").withColumn("words", F.array_sort(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type", (F.col("p_size") % 10).cast("string"))), " "))))
+    return p.groupBy("words").agg(F.min("p_partkey").alias("id"), F.count("*").alias("n"))
+
+
+def set_join(spark, sf_dir):
+    """Titles whose sets of words have 0.6 or more in common, each pair of different ones once, with no key to block on."""
+    t = _titles(spark, sf_dir)
+    return nearby.similar_sets(t, None, "id", F.col("words"), 0.6).select("a", "b", "common", F.round("score", 9).alias("score"))
+
+
+def release_join(spark, sf_dir):
+    """For each title of odd keys (files) the titles of even keys (releases) with half of the words or more in common: how many, and the best."""
+    t = _titles(spark, sf_dir)
+    met = nearby.similar_sets(t.where("id % 2 = 1"), t.where("id % 2 = 0"), "id", F.col("words"), 0.5)
+    best = F.min_by("b", F.struct((-F.col("score")).alias("s"), "b"))
+    return met.groupBy("a").agg(F.count("*").alias("n_found"), best.alias("best"), F.round(F.max("score"), 9).alias("score"))
+
+
+def tolerance_pairs(spark, sf_dir):
+    """Customers and suppliers of one nation whose balances lie within 300 of each other, and nations one apart within 40 (a tolerance beside a tolerance)."""
+    c = tables.read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").alias("nation"))
+    s = tables.read(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").alias("nation"))
+    same = nearby.band_join(c, s, "c_acctbal", "s_acctbal", 300, ["c_custkey"], ["nation"]).select("c_custkey", "s_suppkey", F.lit("same").alias("how"))
+    near = nearby.band_join(c, s.withColumnRenamed("nation", "other"), "c_acctbal", "s_acctbal", 40, ["c_custkey"]).where("abs(nation - other) = 1")
+    return same.unionByName(near.select("c_custkey", "s_suppkey", F.lit("near").alias("how")))
+
+
 def similarity_form(spark, sf_dir):
     d = tables.read(spark, sf_dir, "documents")
     return d.select("doc_id", F.sha2(similar_form(F.col("text")), 256).alias("form"))
@@ -51,6 +80,8 @@ def benchmark_best(spark, sf_dir):
 
 
 SHINGLE = 5
+#: Items up to which they are broadcast to the documents; beyond, they are joined by a shuffle.
+BROADCAST_ITEMS = 50_000
 
 
 def benchmark_passages(spark, sf_dir):
@@ -69,13 +100,15 @@ def benchmark_passages(spark, sf_dir):
     b = tables.read(spark, sf_dir, "benchmark").select("item_id", similar_form(F.col("text")).alias("item")).where("item <> ''").withColumn("w", F.split("item", " "))
     d = tables.read(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("w"))
     found = None
-    for k in range(1, SHINGLE + 1):  # an item of fewer words is one run of all of them
+    small = lambda df: F.broadcast(df) if n_items <= BROADCAST_ITEMS else df
+    n_items, lengths = b.count(), {r[0] for r in b.select(F.least(F.size("w"), F.lit(SHINGLE)).alias("k")).distinct().collect()}
+    for k in sorted(lengths):  # an item of fewer words is one run of all of them
         own = runs(b if k == SHINGLE else b.where(F.size("w") == k), "item_id", k).withColumnRenamed("i", "j")
-        if k < SHINGLE and own.isEmpty():
-            continue
-        hits = runs(d, "doc_id", k).join(F.broadcast(own), "run").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("start")).distinct()
+        hits = runs(d, "doc_id", k).join(small(own), "run").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("start")).distinct()
         found = hits if found is None else found.unionByName(hits)
-    both = found.join(F.broadcast(b.select("item_id", "item", F.size("w").alias("n"))), "item_id").join(d, "doc_id")
+    if found is None:
+        found = d.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start")).limit(0)
+    both = found.join(small(b.select("item_id", "item", F.size("w").alias("n"))), "item_id").join(d, "doc_id")
     low = F.greatest("start", F.lit(0))
     passage = F.array_join(F.slice("w", low + 1, F.col("start") + F.col("n") - low), " ")
     scored = both.select("doc_id", "item_id", F.contains(passage, F.col("item")).alias("whole"), F.round(similarity(passage, F.col("item"), normal=True), 6).alias("score"))
@@ -151,7 +184,7 @@ def match_release(spark, sf_dir):
     return out.select("file_id", "release_id", "confidence", F.coalesce("blocked", F.lit(False)).alias("blocked"), matching.verdict(F.col("confidence")).alias("verdict"), F.size("why").alias("n_signals"), F.array_join("why.signal", ",").alias("signals"))
 
 
-QUERIES = {f.__name__: f for f in (similarity_pairs, similar_names, similarity_form, benchmark_best, benchmark_passages, match_confidence, match_release, album_rollup, match_candidates, release_track_lookup)}
+QUERIES = {f.__name__: f for f in (set_join, release_join, tolerance_pairs, similarity_pairs, similar_names, similarity_form, benchmark_best, benchmark_passages, match_confidence, match_release, album_rollup, match_candidates, release_track_lookup)}
 
 
 def _sim(x: str = "x", y: str = "y", j: str = "j") -> str:
@@ -216,6 +249,14 @@ s AS ({_RELEASED}),
 c AS (SELECT file_id, release_id, floor(100 * sum(s * w) / sum(w) + 0.5)::INT AS confidence, count(*)::INT AS n_signals, string_agg(signal, ',' ORDER BY s * w DESC, i) AS signals FROM s GROUP BY 1, 2)
 SELECT file_id, release_id, confidence, coalesce(f_barcode <> r_barcode, false) AS blocked, CASE WHEN confidence >= 92 THEN 'certain' WHEN confidence >= 80 THEN 'likely' WHEN confidence >= 60 THEN 'possible' ELSE 'unlikely' END AS verdict, n_signals, signals FROM c JOIN b USING (file_id, release_id)"""
 
+_TITLES = "t AS (SELECT list_sort(list_distinct(string_split(lower(p_name || ' ' || p_brand || ' ' || p_type || ' ' || (p_size % 10)), ' '))) AS w, min(p_partkey) AS id FROM part GROUP BY 1)"
+_MET = "met AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) AS common, len(a.w) + len(b.w) AS n FROM t a JOIN t b ON {})"
+ORACLE["set_join"] = f"WITH {_TITLES}, {_MET.format('a.id < b.id')} SELECT a, b, common, round(common / (n - common)::DOUBLE, 9) AS score FROM met WHERE common >= 0.6 * (n - common)"
+ORACLE["release_join"] = f"""WITH {_TITLES}, {_MET.format('a.id % 2 = 1 AND b.id % 2 = 0')}, s AS (SELECT a, b, common / (n - common)::DOUBLE AS score FROM met WHERE 2 * common >= n - common)
+SELECT a, count(*) AS n_found, arg_min(b, (-score, b)) AS best, round(max(score), 9) AS score FROM s GROUP BY 1"""
+ORACLE["tolerance_pairs"] = """
+SELECT c_custkey, s_suppkey, 'same' AS how FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal BETWEEN s_acctbal - 300 AND s_acctbal + 300
+UNION ALL SELECT c_custkey, s_suppkey, 'near' FROM customer JOIN supplier ON abs(c_nationkey - s_nationkey) = 1 AND c_acctbal BETWEEN s_acctbal - 40 AND s_acctbal + 40"""
 ORACLE["similar_names"] = f"""
 WITH p AS (SELECT p_partkey, p_brand, {_form('p_name')} AS f FROM part), n AS (SELECT DISTINCT p_brand, f FROM p WHERE f <> ''),
 q AS (SELECT a.p_brand, a.f AS x, b.f AS y FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.f < b.f), r AS (SELECT *, {_J} AS j FROM q),

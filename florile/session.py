@@ -1,6 +1,8 @@
 """Session helper for tests, benches and examples."""
 
 import os
+from tempfile import mkdtemp
+from uuid import uuid4
 
 from pyspark.sql import SparkSession
 
@@ -18,3 +20,15 @@ def session(cpus: int | None = None, memory: str = "8g", shuffle: int | None = N
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_place(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the one that spark.checkpoint.dir gives, which goes when the driver ends. Where that is unset, a local one in local mode (tests); a cluster has to set it."""
+    sc = spark.sparkContext
+    place = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not place and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    place = f"{(place or mkdtemp(prefix='florile-')).rstrip('/')}/florile/{name}-{uuid4().hex}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return place
