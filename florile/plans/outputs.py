@@ -119,10 +119,10 @@ def table_export(spark, sf_dir):
 
 
 def export_documents(spark, sf_dir):
-    """Every built-in template over the orders of each customer."""
+    """Every built-in template, tables and the manifest among them, over the orders of each customer."""
     o, t = _orders(spark, sf_dir)
     out = None
-    for name in ("csv-basic", *exports.TEMPLATES):
+    for name in ("csv-basic", "json-manifest", *exports.TEMPLATES):
         own = _hashed(exports.export(o, ["o_custkey"], [F.col("o_orderkey")], _fields(t), name, "2020-01-01 00:00:00", technical=False)).withColumn("template", F.lit(name))
         out = own if out is None else out.unionByName(own)
     return out
@@ -278,22 +278,39 @@ ORACLE["table_export"] = f"""SELECT o_orderkey, name || ',' || {_TC} || ',' || {
 _D = "o_custkey, count(*) AS n, {} AS body FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY k) AS i, replace(coalesce(artist, ''), ', ', '; ') AS a, coalesce(title, '') AS ti, coalesce(album, '') AS al, coalesce(number::VARCHAR, '') AS nu, coalesce(floor(seconds + 0.5)::BIGINT::VARCHAR, '') AS du FROM " + _T + ") GROUP BY 1"
 
 
-def _report(name: str, line: str) -> str:
-    """SQL of a built-in report: its template's head and tail with the count and the time put in, and the lines between."""
-    head, _, tail = (x.replace("'", "''").replace("{{exported}}", "2020-01-01 00:00:00").replace("{{count}}", "' || n || '") for x in exports.block_template(exports.TEMPLATES[name][1]))
-    return f"SELECT o_custkey, sha256('{head}' || body || '{tail}') AS content, '{name}' AS template FROM (SELECT {_D.format(line)})"
-
-
-_LINES = {
-    "xml-manifest": "string_agg('    <track>' || chr(10) || '      <title>' || {ti} || '</title>' || chr(10) || '      <artist>' || {a} || '</artist>' || chr(10) || '      <album>' || al || '</album>' || chr(10) || '      <track>' || nu || '</track>' || chr(10) || '      <year>' || year(o_orderdate) || '</year>' || chr(10) || '      <genre></genre>' || chr(10) || '      <duration>' || du || '</duration>' || chr(10) || '      <format>mp3</format>' || chr(10) || '    </track>' || chr(10), '' ORDER BY k)",
-    "html-report": "string_agg('<tr><td>' || i || '</td><td>' || {ti} || '</td><td>' || {a} || '</td><td>' || al || '</td><td>' || du || '</td><td>mp3</td></tr>' || chr(10), '' ORDER BY k)",
-    "markdown-report": "string_agg('| ' || i || ' | ' || ti || ' | ' || a || ' | ' || al || ' | ' || du || ' | mp3 |' || chr(10), '' ORDER BY k)",
-    "rtf-report": "string_agg(i || '. ' || a || ' — ' || ti || ' (' || du || ')\\par' || chr(10), '' ORDER BY k)",
-    "txt-report": "string_agg(a || ' — ' || ti || chr(10), '' ORDER BY k)",
-}
+def _report(name: str, head: str, line: str, tail: str) -> str:
+    """SQL of a built-in report: what stands before the lines, each line, and what stands behind them. n is the count, i counts the lines."""
+    own = line.replace("{ti}", _XML.format("ti")).replace("{a}", _XML.format("a"))
+    return f"SELECT o_custkey, sha256({head} || body || {tail}) AS content, '{name}' AS template FROM (SELECT {_D.format(f'string_agg({own}, {chr(39) * 2} ORDER BY k)')})"
+
+
+_NL = "chr(10)"
+_REPORTS = [
+    _report(
+        "xml-manifest",
+        f"""'<?xml version="1.0" encoding="UTF-8"?>' || {_NL} || '<catalog entries="' || n || '" written="2020-01-01 00:00:00">' || {_NL}""",
+        f"""'  <entry number="' || i || '" seconds="' || du || '" container="mp3">' || {_NL} || '    <name>' || {{ti}} || '</name>' || {_NL} || '    <by>' || {{a}} || '</by>' || {_NL} || '    <from position="' || nu || '" released="' || year(o_orderdate) || '" kind="">' || al || '</from>' || {_NL} || '  </entry>' || {_NL}""",
+        f"'</catalog>' || {_NL}",
+    ),
+    _report(
+        "html-report",
+        f"""'<!doctype html>' || {_NL} || '<meta charset="utf-8">' || {_NL} || '<title>' || n || ' recordings</title>' || {_NL} || '<h1>' || n || ' recordings</h1>' || {_NL} || '<ol>' || {_NL}""",
+        f"'<li><cite>' || {{ti}} || '</cite> by ' || {{a}} || ', on <em>' || al || '</em> <small>' || du || ' s, mp3</small></li>' || {_NL}",
+        f"'</ol>' || {_NL} || '<footer>written 2020-01-01 00:00:00</footer>' || {_NL}",
+    ),
+    _report("markdown-report", f"'# ' || n || ' recordings' || {_NL} || {_NL}", f"i || '. **' || ti || '** by ' || a || ', on *' || al || '* (' || du || ' s, mp3)' || {_NL}", f"{_NL} || 'Written 2020-01-01 00:00:00.' || {_NL}"),
+    _report("rtf-report", f"'{{\\rtf1\\ansi{{\\fonttbl{{\\f0 Georgia;}}}}\\f0\\fs24 ' || n || ' recordings, written 2020-01-01 00:00:00\\par' || {_NL}", f"i || '\\tab ' || ti || ' / ' || a || ' / ' || du || ' s\\par' || {_NL}", "'}'"),
+    _report("txt-report", "''", f"i || '. ' || ti || ' by ' || a || ' (' || al || ')' || {_NL}", "''"),
+]
+_JSON = "coalesce('\"{}\":' || {} || ',', '')"
+_TRACK = " || ".join(
+    [_JSON.format("title", "'\"' || replace(title, chr(10), '\\n') || '\"'"), _JSON.format("artist", "'\"' || replace(artist, ', ', '; ') || '\"'"), _JSON.format("album", "'\"' || album || '\"'"), _JSON.format("track", "number"), "'\"year\":' || year(o_orderdate) || ',\"format\":\"mp3\",'", _JSON.format("duration", _S), "'\"size\":' || size"]
+)
+_ALL = f"""SELECT o_custkey, sha256('{{"generator":"florile","exported":"2020-01-01 00:00:00","totals":{{"files":' || count(*) || ',"albums":' || count(DISTINCT album) || ',"artists":' || (count(DISTINCT CASE WHEN artist IS NOT NULL THEN o_orderstatus END) + CASE WHEN bool_or(artist IS NOT NULL) THEN 1 ELSE 0 END)
+  || ',"bytes":' || sum(size)::BIGINT || '}},"tracks":[' || string_agg('{{"filename":"' || name || '",' || {_TRACK} || ',"folder":"' || folder || '"}}', ',' ORDER BY k) || ']}}') AS content, 'json-manifest' AS template FROM {_T} GROUP BY 1"""
+_HEADER = "Filename,Title,Artist,Album Artist,Album,Track,Track Total,Disc,Year,Genre,Composer,BPM,Key,Comment,Format,Duration"
 ORACLE["export_documents"] = " UNION ALL ".join(
-    [f"SELECT o_custkey, sha256('{exports.table_header(False)}' || chr(13) || chr(10) || string_agg(name || ',' || {_TC} || ',' || {_AR} || ',,' || coalesce(album, '') || ',' || coalesce(number::VARCHAR, '') || ',,,' || year(o_orderdate) || ',,,,,,,', chr(13) || chr(10) ORDER BY k) || chr(13) || chr(10)) AS content, 'csv-basic' AS template FROM {_T} GROUP BY 1"]
-    + [_report(n, line.replace("{ti}", _XML.format("ti")).replace("{a}", _XML.format("a"))) for n, line in _LINES.items()]
+    [f"SELECT o_custkey, sha256('{_HEADER}' || chr(13) || chr(10) || string_agg(name || ',' || {_TC} || ',' || {_AR} || ',,' || coalesce(album, '') || ',' || coalesce(number::VARCHAR, '') || ',,,' || year(o_orderdate) || ',,,,,,,', chr(13) || chr(10) ORDER BY k) || chr(13) || chr(10)) AS content, 'csv-basic' AS template FROM {_T} GROUP BY 1", _ALL, *_REPORTS]
 )
 ORACLE["manifest_totals"] = f"""SELECT o_custkey, '{{"generator":"florile","exported":"2020-01-01","totals":{{"files":' || count(*) || ',"albums":' || count(DISTINCT album) || ',"artists":' || (count(DISTINCT CASE WHEN artist IS NOT NULL THEN o_orderstatus END) + CASE WHEN bool_or(artist IS NOT NULL) THEN 1 ELSE 0 END) || ',"bytes":' || sum(size)::BIGINT || '}},"tracks":[' || string_agg('{{"key":' || k || '}}', ',' ORDER BY k) || ']}}' AS content FROM {_T} GROUP BY 1"""
 ORACLE["image_sizes"] = """

@@ -1,5 +1,7 @@
 """Playlists, exports, names, ranges and errors as data, on small tables."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,9 +63,16 @@ def test_exports(tracks):
     assert lines[0].startswith('1.mp3," One\nmore ",A; B,,Al<bum,1,') and lines[0].count(",") == len(exports.COLUMNS) - 1
     assert exports.table_header().count(",") == 26 and exports.table_header(False).count(",") == 15
     got = contents(exports.export(tracks, ["list"], [F.col("id")], fields, "html-report", "now"))
-    assert "2 files · exported now" in got[1] and "<td>Al&lt;bum</td>" in got[1] and got[1].count("<tr>") == 3
-    own = contents(exports.export(tracks, ["list"], [F.col("id")], fields, "{{count}}:{{#tracks}}{{index}}{{delimiter}}{{/tracks}}", "now", delimiter="|"))
+    assert "<h1>2 recordings</h1>" in got[1] and "written now" in got[1] and "<em>Al&lt;bum</em>" in got[1] and got[1].count("<li>") == 2
+    own = contents(exports.export(tracks, ["list"], [F.col("id")], fields, None, "now", delimiter="|", text="{{count}}:{{#tracks}}{{index}}{{delimiter}}{{/tracks}}"))
     assert own == {1: "2:1|2|", 2: "1:1|"}
+    whole = json.loads(contents(exports.export(tracks, ["list"], [F.col("id")], fields, "json-manifest", "now"))[1])
+    assert whole["exported"] == "now" and whole["totals"]["files"] == 2 and whole["totals"]["artists"] == 2 and [t["track"] for t in whole["tracks"]][0] == 1
+    for name in exports.TEMPLATES:
+        assert contents(exports.export(tracks, ["list"], [F.col("id")], fields, name, "now")).keys() == {1, 2}
+    for template, text in (("html-reprot", None), ("json", None), (None, None), ("txt-report", "x")):
+        with pytest.raises(ValueError):
+            exports.export(tracks, ["list"], [F.col("id")], fields, template, "now", text=text)
 
 
 @pytest.mark.parametrize("names", [["a.x", "a.x", "a (2).x", "A.x", "a (2).x", "a (3).x"], ["b", "b (2)", "b", "b (2) (2)", "b (2)"], ["c"] * 5])
