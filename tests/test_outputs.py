@@ -67,7 +67,7 @@ def test_exports(tracks):
     own = contents(exports.export(tracks, ["list"], [F.col("id")], fields, None, "now", delimiter="|", text="{{count}}:{{#tracks}}{{index}}{{delimiter}}{{/tracks}}"))
     assert own == {1: "2:1|2|", 2: "1:1|"}
     whole = json.loads(contents(exports.export(tracks, ["list"], [F.col("id")], fields, "json-manifest", "now"))[1])
-    assert whole["exported"] == "now" and whole["totals"]["files"] == 2 and whole["totals"]["artists"] == 2 and [t["track"] for t in whole["tracks"]][0] == 1
+    assert whole["exported"] == "now" and whole["totals"]["files"] == 2 and whole["totals"]["artists"] == 2 and whole["tracks"][0]["filename"] == "1.mp3"
     for name in exports.TEMPLATES:
         assert contents(exports.export(tracks, ["list"], [F.col("id")], fields, name, "now")).keys() == {1, 2}
     for template, text in (("html-reprot", None), ("json", None), (None, None), ("txt-report", "x")):
