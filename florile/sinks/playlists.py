@@ -87,23 +87,32 @@ def list_title(t: Track) -> Column:
     return one_line(F.concat(F.coalesce(F.array_join(t.artists, ", "), F.lit("Unknown Artist")), F.lit(" - "), F.coalesce(t.title, stem_of(t.name))))
 
 
+def first_row(t: Track, order: list[Column]) -> Column:
+    """The artists and the album of a list's first row, an aggregate named first. The smallest row of a group is kept, so no group is sorted or gathered for it."""
+    return F.min_by(F.struct(F.array_join(t.artists, ", ").alias("artist"), t.album.alias("album")), F.struct(*order)).alias("first")
+
+
 def _with_first(rows: DataFrame, by: list[str], order: list[Column], t: Track, body: DataFrame) -> DataFrame:
-    """body with the artists and the album of each list's first row. The smallest row of a group is kept, so no group is sorted or gathered for it."""
-    first = rows.groupBy(*by).agg(F.min_by(F.struct(F.array_join(t.artists, ", ").alias("artist"), t.album.alias("album")), F.struct(*order)).alias("first"))
-    return body.join(first, by)
+    return body.join(rows.groupBy(*by).agg(first_row(t, order)), by)
 
 
-def m3u_list(rows: DataFrame, by: list[str], order: list[Column], t: Track, absolute: bool = True, base: str = "", extended: bool = True) -> DataFrame:
-    """M3U lists. extended: with a header that names the first row's artist and album, and each row's length, title, album, number and size."""
+def m3u_parts(t: Track, absolute: bool = True, base: str = "", extended: bool = True) -> tuple[Column, Column]:
+    """What stands before an extended list, of first, and what each row has."""
     tag = lambda name, c: F.concat(F.lit(f"#{name}:"), c.cast("string"))
     length = F.coalesce(half_up(t.seconds).cast("string"), F.lit("-1"))
     about = [F.concat(F.lit("#EXTINF:"), length, F.lit(","), list_title(t)), F.when(t.album != "", tag("EXTALB", one_line(t.album))), tag("EXTTRACK", t.number), F.when(t.seconds.isNotNull(), tag("EXTBYT", t.size))]
-    body = joined(rows, by, order, F.concat_ws("\n", *(about if extended else []), list_path(t, absolute, base)), "\n", "body")
-    if not extended:
-        return body.select(*by, F.concat(F.col("body"), F.lit("\n")).alias("content"))
     album = F.when(F.col("first.album") != "", F.concat(F.lit(" — "), F.col("first.album"))).otherwise("")
     head = F.when(F.col("first.artist") != "", tag("PLAYLIST", one_line(F.concat(F.col("first.artist"), album))))
-    return _with_first(rows, by, order, t, body).select(*by, F.concat(F.concat_ws("\n", F.lit("#EXTM3U"), head, F.col("body")), F.lit("\n")).alias("content"))
+    return F.concat_ws("\n", F.lit("#EXTM3U"), head), F.concat_ws("\n", *(about if extended else []), list_path(t, absolute, base))
+
+
+def m3u_list(rows: DataFrame, by: list[str], order: list[Column], t: Track, absolute: bool = True, base: str = "", extended: bool = True) -> DataFrame:
+    """M3U lists. extended: with a header that names the first row's artist and album, and each row's length, title, album, number and size."""
+    head, line = m3u_parts(t, absolute, base, extended)
+    body = joined(rows, by, order, line, "\n", "body")
+    if not extended:
+        return body.select(*by, F.concat(F.col("body"), F.lit("\n")).alias("content"))
+    return _with_first(rows, by, order, t, body).select(*by, F.concat(F.concat_ws("\n", head, F.col("body")), F.lit("\n")).alias("content"))
 
 
 def pls_list(rows: DataFrame, by: list[str], order: list[Column], t: Track, absolute: bool = True, base: str = "") -> DataFrame:
@@ -115,15 +124,21 @@ def pls_list(rows: DataFrame, by: list[str], order: list[Column], t: Track, abso
     return body.join(counts, by).select(*by, F.concat(F.lit("[playlist]\n"), F.col("body"), F.lit("\nNumberOfEntries="), F.col("n").cast("string"), F.lit("\nVersion=2\n")).alias("content"))
 
 
-def xspf_document(rows: DataFrame, by: list[str], order: list[Column], t: Track, absolute: bool = True, base: str = "") -> DataFrame:
-    """XSPF lists, titled after the first row's album and artists; of a row, what is there."""
+def xspf_parts(t: Track, absolute: bool = True, base: str = "") -> tuple[Column, Column, str]:
+    """What stands before a list, of first, what each row has, and what stands after it."""
     element = lambda name, c, some: F.when(some, F.concat(F.lit(f"      <{name}>"), c, F.lit(f"</{name}>")))
     creator = trim(F.array_join(t.artists, ", "))
     parts = [
         F.lit("    <track>"), F.concat(F.lit("      <location>"), xml_escape(list_path(t, absolute, base)), F.lit("</location>")), element("title", xml_escape(t.title), t.title != ""), element("creator", xml_escape(creator), creator != ""),
         element("album", xml_escape(t.album), t.album != ""), element("trackNum", t.number.cast("string"), t.number.isNotNull()), element("duration", half_up(t.seconds * 1000).cast("string"), t.seconds.isNotNull()), F.lit("    </track>"),
     ]
-    body = joined(rows, by, order, F.concat_ws("\n", *parts), "\n", "body")
     own = lambda c: xml_escape(F.coalesce(F.col(c), F.lit("Playlist")))
-    head = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<playlist version="1" xmlns="http://xspf.org/ns/0/">\n  <title>'), own("first.album"), F.lit("</title>\n  <creator>"), own("first.artist"), F.lit("</creator>\n  <trackList>\n"))
-    return _with_first(rows, by, order, t, body).select(*by, F.concat(head, F.col("body"), F.lit("\n  </trackList>\n</playlist>\n")).alias("content"))
+    head = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<playlist version="1" xmlns="http://xspf.org/ns/0/">\n  <title>'), own("first.album"), F.lit("</title>\n  <creator>"), own("first.artist"), F.lit("</creator>\n  <trackList>"))
+    return head, F.concat_ws("\n", *parts), "  </trackList>\n</playlist>"
+
+
+def xspf_document(rows: DataFrame, by: list[str], order: list[Column], t: Track, absolute: bool = True, base: str = "") -> DataFrame:
+    """XSPF lists, titled after the first row's album and artists; of a row, what is there."""
+    head, line, tail = xspf_parts(t, absolute, base)
+    body = joined(rows, by, order, line, "\n", "body")
+    return _with_first(rows, by, order, t, body).select(*by, F.concat(head, F.lit("\n"), F.col("body"), F.lit("\n" + tail + "\n")).alias("content"))

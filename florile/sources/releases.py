@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import first_year, seconds
+from .records import checked
 
 #: Schema of a stored release: what the two shapes that services use have in common, and what sets them apart.
 SCHEMA = """id string, title string, date string, year string, barcode string, country string, status string,
@@ -22,8 +23,8 @@ def credit(names: Column) -> Column:
     return F.array_join(F.transform(names, lambda n: F.concat(n["name"], F.coalesce(n["joinphrase"], F.lit("")))), "")
 
 
-def releases(raw: DataFrame) -> DataFrame:
-    """id, title, artists, year, barcode, catalog_number, label, disc_count, track_count and tracks (position, title, seconds).
+def releases(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """id, title, artists, year, barcode, catalog_number, label, disc_count, track_count and tracks (position, title, seconds), after the columns to keep.
 
     Lengths of the first shape are milliseconds, those of the second m:ss texts; both become seconds.
     """
@@ -33,7 +34,7 @@ def releases(raw: DataFrame) -> DataFrame:
     tracks = F.coalesce(from_media, from_list, F.array().cast("array<struct<position:int,title:string,seconds:double>>"))
     names = F.coalesce(F.transform("artist-credit", lambda a: a["name"]), F.transform("artists", lambda a: F.regexp_replace(a["name"], r" \(\d+\)$", "")), F.array().cast("array<string>"))
     info, label = F.get(F.col("label-info"), F.lit(0)), F.get(F.col("labels"), F.lit(0))
-    out = raw.select("id", "title", names.alias("artists"), F.coalesce(first_year(F.col("date")), first_year(F.col("year"))).alias("year"), "barcode", F.coalesce(info["catalog-number"], label["catno"]).alias("catalog_number"), F.coalesce(info["label"]["name"], label["name"]).alias("label"), discs.alias("disc_count"), tracks.alias("tracks"))
+    out = raw.select(*(keep or []), "id", "title", names.alias("artists"), F.coalesce(first_year(F.col("date")), first_year(F.col("year"))).alias("year"), "barcode", F.coalesce(info["catalog-number"], label["catno"]).alias("catalog_number"), F.coalesce(info["label"]["name"], label["name"]).alias("label"), discs.alias("disc_count"), tracks.alias("tracks"))
     return out.withColumn("track_count", F.size("tracks"))
 
 
@@ -52,3 +53,16 @@ def search_text(fields: dict[str, Column]) -> Column:
     strong = [some[k] for k in ("barcode", "catno", "id") if k in some]
     rest = [some[k] for k in some if k not in ("barcode", "catno", "id")]
     return F.coalesce(*strong, F.concat_ws(" AND ", *rest) if rest else F.lit(""))
+
+
+def fan_out(answers: dict[str, DataFrame], column: str = "value") -> DataFrame:
+    """All services' answers, a JSON text each, as rows: service, text, record (id and title) and errors. A service that gives broken answers takes nothing from the others."""
+    own = [checked(a.select(F.lit(name).alias("service"), F.col(column).alias("text")), "text", {"id": "string", "title": "string"}) for name, a in answers.items()]
+    return union(own)
+
+
+def hits(answers: DataFrame) -> DataFrame:
+    """Releases, with their service, of the answers of fan_out that have no errors."""
+    good = answers.where(F.size("errors") == 0)
+    raw = good.select("service", F.from_json("text", SCHEMA).alias("r")).select("service", "r.*")
+    return releases(raw, ["service"])
