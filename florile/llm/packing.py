@@ -1,7 +1,8 @@
 """Packing of documents into token sequences: first-fit decreasing with a tournament tree, in randomised groups of documents.
 
 Each document is tokenised (then the end id) and cut into full sequences and a rest. The rests are dealt at random into groups of
-about GROUP_CHARS characters, so groups grow in number with the input, not in size, and no key is hot. Within a group, rests go by
+about GROUP_CHARS characters, so groups grow in number with the input, not in size, and no key is hot: rows that are equal in all, doc_id
+included, are told apart by their task and a number there, so they are dealt out like others. Within a group, rests go by
 falling length into the first open sequence with room, which a tournament tree over the sequences' room finds in logarithmic time.
 Then the emptiest sequences are taken apart to fill the gaps of the fullest, and what remains (under one sequence a group) is
 cut at powers of two, whose sequences need no padding.
@@ -15,12 +16,14 @@ import os
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,17 +184,21 @@ def _cut(vocabulary: str, size: int, end: int):
     """Rows of full sequences (without ids) and of rests (with them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(vocabulary)
+        words, copies, task = words_of(vocabulary), Counter(), TaskContext.get().partitionId() << 40
         for b in lean(batches):
             for part in slices(b, "text", BYTES_AT_ONCE):
                 rows = []
                 for doc, raw in zip(part.column(0).to_pylist(), words.encode([t or "" for t in part.column(1).to_pylist()])):
                     own = np.append(np.frombuffer(raw, words.kind), words.kind(end))
                     full = len(own) // size * size
-                    rows += [(doc, s, size, crc(own[s : s + size]), len(own), None) for s in range(0, full, size)]
+                    # Equal rows of a task are numbered, which is the same whatever order they come in.
+                    same = hash((-1 if doc is None else doc, len(own), zlib.crc32(raw)))
+                    copy = task + copies[same]
+                    copies[same] += 1
+                    rows += [(doc, s, size, crc(own[s : s + size]), len(own), None, copy) for s in range(0, full, size)]
                     if full < len(own):
-                        rows.append((doc, full, len(own) - full, 0, len(own), own[full:].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+                        rows.append((doc, full, len(own) - full, 0, len(own), own[full:].tobytes(), copy))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "copy"])
 
     return run
 
@@ -225,7 +232,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chars = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, round(chars / group_chars))
-    pieces = d.mapInArrow(_cut(vocabulary, size, end), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "doc_tokens", "ids"), F.lit(groups)))
+    pieces = d.mapInArrow(_cut(vocabulary, size, end), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, copy long")
+    dealt = pieces.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "doc_tokens", "ids", "copy"), F.lit(groups))).drop("copy")
     tasks = max(-(-groups // GROUPS_A_TASK), min(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return dealt.repartition(tasks, "g").groupBy("g").applyInArrow(_group(size), OUT)

@@ -468,6 +468,18 @@ def test_packing(spark):
     assert packing.pack_documents(documents(spark, []), vocabulary()).count() == 0
 
 
+def test_packing_deals_equal_rows_out(spark):
+    """A hundred thousand rows that are equal in all and have no doc_id, beside some of one doc_id: no group gets more than its part."""
+    same = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("two words and some more").alias("text"))
+    rows = same.unionByName(spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("another text").alias("text")))
+    out = packing.pack_documents(rows, vocabulary(), group_chars=50_000)
+    own = out.groupBy(F.shiftright("sequence_id", 32).alias("g")).agg(F.count("*").alias("n"), F.sum("length").alias("t")).collect()
+    assert len(own) > 40 and max(r["n"] for r in own) < 2 * sum(r["n"] for r in own) / len(own)
+    totals = {r["doc_id"]: (r["d"], r["t"]) for r in out.groupBy("doc_id").agg(F.count_if(F.col("start") == 0).alias("d"), F.sum("length").alias("t")).collect()}
+    tokens = {r["doc_id"]: r["doc_tokens"] for r in out.select("doc_id", "doc_tokens").distinct().collect()}
+    assert totals == {None: (100_000, 100_000 * tokens[None]), 7: (20_000, 20_000 * tokens[7])}
+
+
 def test_split_word():
     for w in ["(river,", "river", "...", "'song'", "it's", "a-b", "x1.", "“quoted”", "été!!", "--a--b", "$5", "_a_", "o'clock."]:
         assert packing.split_word(w) == packing.WORD.findall(w)
