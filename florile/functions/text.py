@@ -103,22 +103,36 @@ def whole_number(c: Column) -> Column:
 
 def normal_date(c: Column, style: str = "auto") -> Column:
     """YYYY-MM-DD, YYYY-MM or YYYY of the first date that a text holds, year first; one year amid noise becomes the year; else the trimmed text. Months aren't checked."""
+    return once(_found_date(c), lambda d: _shown_date(d, style))
+
+
+def normal_dates(c: Column, styles: dict[str, str]) -> Column:
+    """A struct of normal_date in several styles, by name; the date is looked for once."""
+    return once(_found_date(c), lambda d: F.struct(*[_shown_date(d, style).alias(name) for name, style in styles.items()]))
+
+
+def _found_date(c: Column) -> Column:
+    """The trimmed text, its first whole date, else its first month, and the year that stands alone in it."""
     sep = f"[-/.{SPACE}]"
 
-    def written(m: Column, most: int) -> Column:
-        """The date's parts with two digits each, parted by hyphens, as far as the style goes."""
-        whole = F.regexp_replace(F.regexp_replace(m, rf"{sep}(\d)(?!\d)", "-0$1"), rf"{sep}(\d\d)", "-$1")
-        return F.substring(whole, 1, {"year": 4, "year-month": 7}.get(style, 4 + 3 * (most - 1)))
+    def written(m: Column) -> Column:
+        """The date's parts with two digits each, parted by hyphens."""
+        return F.when(m != "", F.regexp_replace(F.regexp_replace(m, rf"{sep}(\d)(?!\d)", "-0$1"), rf"{sep}(\d\d)", "-$1"))
 
     def of(t: Column) -> Column:
-        year = F.regexp_extract(t, r"^\D*+(\d{4})\D*+$", 1) if style != "full" else F.lit("")
-        alone = F.when(year != "", year).otherwise(t)
-        month = once(F.regexp_extract(t, rf"\d{{4}}{sep}\d{{1,2}}(?!\d)", 0), lambda m: F.when(m != "", written(m, 2)).otherwise(alone))
-        return once(F.regexp_extract(t, rf"\d{{4}}{sep}\d{{1,2}}{sep}\d{{1,2}}", 0), lambda m: F.when(m != "", written(m, 3)).otherwise(month))
+        day, month = F.regexp_extract(t, rf"\d{{4}}{sep}\d{{1,2}}{sep}\d{{1,2}}", 0), F.regexp_extract(t, rf"\d{{4}}{sep}\d{{1,2}}(?!\d)", 0)
+        best = once(F.coalesce(F.nullif(day, F.lit("")), month), written)
+        return F.struct(t.alias("text"), best.alias("date"), F.nullif(F.regexp_extract(t, r"^\D*+(\d{4})\D*+$", 1), F.lit("")).alias("year"))
 
     return once(trim(c), of)
 
 
+def _shown_date(d: Column, style: str) -> Column:
+    short = {"year": 4, "year-month": 7}.get(style)
+    date = F.substring(d["date"], 1, short) if short else d["date"]
+    return F.coalesce(date, d["text"] if style == "full" else F.coalesce(d["year"], d["text"]))
+
+
 def first_year(c: Column) -> Column:
     return F.regexp_extract(c, r"(\d{4})", 1).try_cast("int")
 

@@ -21,6 +21,14 @@ def tag_signature(parts: list[Column], least: int = 3) -> Column:
     return F.when(there >= least, F.concat_ws("|", *own))
 
 
+def loose_signature(artist: Column, album: Column, seconds: Column, step: float = 2.0) -> Column:
+    """Artist, album and the length in whole steps: nearly the same recording, whatever its title. Null without an artist and without an album.
+
+    Lengths on either side of a step's edge differ; nearby.band_join has no edges."""
+    own = [F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in (artist, album)]
+    return F.when((own[0] != "") | (own[1] != ""), F.concat_ws("|", *own, F.coalesce(F.floor(seconds / step + 0.5).cast("string"), F.lit(""))))
+
+
 def members(rows: DataFrame, id: str, signals: Mapping[str, Column], keep: list[Column], size: Column) -> DataFrame:
     """(kind, key, id, is_keeper, n, total_bytes, reclaimable): every row of every group of two or more that wasn't collapsed.
 

@@ -136,6 +136,24 @@ def search(catalog: Catalog, text: str, sort: list[tuple[str, str]] | None = Non
     return out.limit(limit) if limit is not None else out
 
 
+def described(c: Clause) -> str:
+    """A clause as people read it: "field: value" where it is held within, "field op value" else, with "not" in front where it is negated."""
+    shown = _shown(c.value) if isinstance(c.value, float) else str(c.value).lower() if isinstance(c.value, bool) else str(c.value)
+    return ("not " if c.negated else "") + (f"{c.field}: {shown}" if c.op == "~" else f"{c.field} {c.op} {shown}")
+
+
+def clause_counts(catalog: Catalog, text: str, compat: bool = False) -> DataFrame:
+    """Which part of a query lets how many rows through: place, clause and n for each clause and word, and for the query as a whole, in one pass."""
+    q = parse(text, catalog)
+    each = [(described(c), clause_condition(catalog[c.field], c, compat)) for c in q.clauses]
+    hay = haystack(catalog) if q.words else None
+    each += [(("without " if minus and not compat else "with ") + w.lower(), ~F.contains(hay, F.lit(w.lower())) if minus and not compat else F.contains(hay, F.lit(w.lower()))) for w, minus in q.words]
+    each.append(("all", condition(catalog, text, compat)))
+    sums = catalog.rows.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(f"_{i}") for i, (_, c) in enumerate(each)])
+    rows = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(name).alias("clause"), F.col(f"_{i}").alias("n")) for i, (name, _) in enumerate(each)])
+    return sums.select(F.explode(rows).alias("x")).select("x.*")
+
+
 def any_or_all(conditions: list[Column], how: str = "all") -> Column:
     """A group of conditions; an empty group holds."""
     if not conditions:

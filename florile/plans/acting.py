@@ -2,8 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import actions
-from ..sources import files
+from ..operators import actions, duplicates, edits, search, stats, templates
+from ..session import shared_place
+from ..sinks import exports
+from ..sources import files, releases
+from ..streaming import edit_log
 from . import tables
 
 
@@ -60,7 +63,68 @@ def release_applied(spark, sf_dir):
     return actions.apply_release(records, releases).select("l_orderkey", "l_linenumber", "l_partkey", "title", "album", "album_artist", "year")
 
 
-QUERIES = {f.__name__: f for f in (action_plan, action_split, replace_scopes, tag_mapping, write_checks, release_applied)}
+def action_artist(spark, sf_dir):
+    """Artists from album artists, then texts cleaned: white space, characters of two code points, ones without width."""
+    p = tables.read(spark, sf_dir, "part")
+    r = p.select("p_partkey", F.col("p_brand").alias("artist"), F.array("p_brand").alias("artists"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("album_artist"), F.when(F.col("p_size") % 2 == 0, F.array("p_type", "p_brand")).alias("album_artists"), F.concat(F.lit("  e\u0301\u200b "), "p_name", F.lit("   x ")).alias("comment"))
+    out = actions.apply(r, [actions.STEPS["artist-from-albumartist"](), actions.STEPS["cleanup-text"](["comment"])])
+    return out.select("p_partkey", "artist", F.array_join("artists", "|").alias("artists"), "comment", F.array_join(F.array_sort("changes.field"), ",").alias("changed"))
+
+
+def capability_totals(spark, sf_dir):
+    """How many parts are in formats that can be read, be written, and lose nothing."""
+    p = tables.read(spark, sf_dir, "part")
+    known = F.array(*[F.lit(f[0]) for f in files.FORMATS])
+    r = p.select("p_size", F.element_at(known, (F.col("p_partkey") % len(files.FORMATS) + 1).cast("int")).alias("format")).join(F.broadcast(files.formats(spark)), "format")  # 28 rows
+    return stats.totals(r, F.col("p_size"), {k: F.col(k) for k in ("readable", "writable", "lossless")})
+
+
+def clause_counts(spark, sf_dir):
+    """What each part of a search lets through."""
+    return search.clause_counts(tables.documents(spark, sf_dir), 'format:=en size:>=1000 -folder:web the -"zzz"')
+
+
+def rename_presets(spark, sf_dir):
+    """Parts' names by every ready template."""
+    c = tables.parts(spark, sf_dir)
+    made = F.array(*[F.struct(F.lit(label).alias("label"), path.alias("path"), F.array_join(missing, ",").alias("missing")) for label, t in templates.RENAME_TEMPLATES.items() for path, missing in [templates.generate(c, t)]])
+    return c.rows.select("p_partkey", F.explode(made).alias("x")).select("p_partkey", "x.*")
+
+
+def stream_latest(spark, sf_dir):
+    """The running last value of each user and type, of events that come as a stream; the last update of each counts."""
+    events = tables.read(spark, sf_dir, "events")
+    s = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    log = s.select(F.col("user_id").alias("id"), F.col("event_type").alias("field"), "value", F.col("event_id").alias("seq"))
+    place = shared_place(spark, "latest")
+    q = edit_log.latest_values(log).writeStream.outputMode("update").foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{place}/rows/n={i}")).option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return edits.latest(spark.read.parquet(f"{place}/rows")).select("id", "field", "value", "seq")
+
+
+def dup_loose(spark, sf_dir):
+    """Orders of one customer and status whose totals are near, as if artist, album and length."""
+    o = tables.read(spark, sf_dir, "orders")
+    signal = duplicates.loose_signature(F.col("o_custkey").cast("string"), F.col("o_orderstatus"), F.col("o_totalprice") / 1000, 50.0)
+    return duplicates.members(o, "o_orderkey", {"loose": signal}, [F.col("o_totalprice")], F.lit(1)).select("key", F.col("id").alias("o_orderkey"), "is_keeper", "n")
+
+
+def write_preview(spark, sf_dir):
+    """Bytes of customers' lines before and after a change of some segments, with some new and some gone."""
+    c = tables.read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    k = F.col("c_custkey")
+    after = c.where(k % 9 != 4).withColumn("c_mktsegment", F.when(k % 3 == 0, F.lit('a, "b"')).otherwise(F.col("c_mktsegment")))
+    return exports.write_preview(c.where(k % 9 != 5), after, "c_custkey")
+
+
+def artwork_placeholders(spark, sf_dir):
+    p = tables.read(spark, sf_dir, "part")
+    one = lambda kind, width: F.struct(F.concat(F.lit(f"{kind}-"), "p_partkey").alias("id"), F.concat(F.lit("https://example.org/"), "p_partkey").alias("url"), F.lit(kind).alias("type"), width.alias("width"), F.lit(None).cast("int").alias("height"))
+    made = releases.placeholders(F.array(one("Front", F.col("p_size")), one("Medium", F.when(F.col("p_size") > 25, F.col("p_size")))))
+    return p.select("p_partkey", F.explode(made).alias("a")).select("p_partkey", "a.*")
+
+
+QUERIES = {f.__name__: f for f in (action_plan, action_split, replace_scopes, tag_mapping, write_checks, release_applied, action_artist, capability_totals, clause_counts, rename_presets, stream_latest, dup_loose, write_preview, artwork_placeholders)}
 
 _F = ", ".join("('{}', {}, {}, {}, {}, {})".format(f[0], i, *(str(f[k]).lower() for k in (2, 3, 5, 6))) for i, f in enumerate(files.FORMATS))
 ORACLE = {
@@ -76,3 +140,30 @@ UNION ALL SELECT p_partkey, 'lyrics', 'warning' FROM r WHERE p_size > 25 AND NOT
 }
 ORACLE["action_split"] = """SELECT p_partkey, CASE WHEN contains(p_name, ' ') THEN split_part(p_name, ' ', 1) ELSE p_name END AS artist,
 regexp_replace(p_brand || ' feat. ' || p_type || '|' || p_type, '(?i)e', '_', 'g') AS artists, regexp_replace(p_name, '(?i)e', '_', 'g') AS comment FROM part"""
+
+_NFC = "chr(233)"
+ORACLE["action_artist"] = f"""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_brand END AS artist, CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_brand END AS artists, {_NFC} || ' ' || p_name || ' x' AS comment,
+CASE WHEN p_size % 2 = 0 THEN 'artist,artists,comment' ELSE 'comment' END AS changed FROM part"""
+_ABLE = ", ".join("({}, {}, {}, {})".format(i, *(str(f[k]).lower() for k in (1, 2, 7))) for i, f in enumerate(files.FORMATS))
+ORACLE["capability_totals"] = f"SELECT count(*) AS n_rows, sum(p_size)::BIGINT AS bytes, count_if(r)::BIGINT AS readable, count_if(w)::BIGINT AS writable, count_if(l)::BIGINT AS lossless FROM part JOIN (VALUES {_ABLE}) AS f(i, r, w, l) ON p_partkey % {len(files.FORMATS)} = i"
+ORACLE["clause_counts"] = """
+WITH d AS (SELECT coalesce(lower(lang) = 'en', false) AS a, coalesce(n_chars >= 1000, false) AS b, coalesce(NOT contains(lower(source), 'web'), true) AS c, lower(concat_ws(' ', text, lang, source)) AS h FROM documents),
+e AS (SELECT a, b, c, contains(h, 'the') AS w, NOT contains(h, 'zzz') AS z FROM d)
+SELECT 0 AS place, 'format = en' AS clause, count_if(a)::BIGINT AS n FROM e UNION ALL SELECT 1, 'size >= 1000', count_if(b) FROM e UNION ALL SELECT 2, 'not folder != web', count_if(c) FROM e
+UNION ALL SELECT 3, 'with the', count_if(w) FROM e UNION ALL SELECT 4, 'without zzz', count_if(z) FROM e UNION ALL SELECT 5, 'all', count_if(a AND b AND c AND w AND z) FROM e"""
+ORACLE["rename_presets"] = r"""
+WITH p AS (SELECT p_partkey, lpad(p_size::VARCHAR, 2, '0') AS track, trim(regexp_replace(p_brand || ' & ' || p_type || ' - ' || p_name, '[\s]+', ' ', 'g')) AS pair, p_name AS t, p_brand AS album FROM part)
+SELECT p_partkey, 'Artist - Title' AS label, pair AS path, '' AS missing FROM p UNION ALL SELECT p_partkey, 'Track - Title', track || ' - ' || t, '' FROM p
+UNION ALL SELECT p_partkey, 'Disc-Track - Title', '-' || track || ' - ' || t, 'disc' FROM p UNION ALL SELECT p_partkey, 'Track. Title', track || '. ' || t, '' FROM p
+UNION ALL SELECT p_partkey, 'Album / Track - Title', album || '/' || track || ' - ' || t, '' FROM p
+UNION ALL SELECT p_partkey, 'Album artist / Year - Album / Track - Title', 'Unknown/- ' || album || '/-' || track || ' - ' || t, 'albumartist,year,disc' FROM p"""
+ORACLE["stream_latest"] = "SELECT user_id AS id, event_type AS field, arg_max(value, event_id) AS value, max(event_id) AS seq FROM events GROUP BY 1, 2"
+ORACLE["dup_loose"] = """
+WITH o AS (SELECT *, o_custkey || '|' || lower(o_orderstatus) || '|' || floor(o_totalprice / 1000 / 50 + 0.5)::BIGINT AS key FROM orders)
+SELECT key, o_orderkey, row_number() OVER (PARTITION BY key ORDER BY o_totalprice DESC, o_orderkey) = 1 AS is_keeper, count(*) OVER (PARTITION BY key) AS n FROM o QUALIFY count(*) OVER (PARTITION BY key) > 1"""
+ORACLE["write_preview"] = """
+WITH c AS (SELECT c_custkey, c_custkey % 9 AS w, c_custkey % 3 = 0 AS moved, strlen(c_custkey || ',' || c_name || ',') AS base, strlen(c_mktsegment) AS seg FROM customer)
+SELECT c_custkey, CASE WHEN w <> 5 THEN base + seg END::INTEGER AS bytes_before, CASE WHEN w <> 4 THEN base + CASE WHEN moved THEN 10 ELSE seg END END::INTEGER AS bytes_after FROM c WHERE w IN (4, 5) OR moved"""
+ORACLE["artwork_placeholders"] = """
+SELECT p_partkey, k || '-' || p_partkey AS id, 'https://example.org/' || p_partkey AS url, 'front' AS role, k AS description, 'image/jpeg' AS mime, CASE WHEN k = 'Front' OR p_size > 25 THEN p_size ELSE 0 END AS width, 0 AS height, 0 AS bytes
+FROM part, (VALUES ('Front'), ('Medium')) AS v(k)"""

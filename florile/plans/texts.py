@@ -74,7 +74,7 @@ def normalize_date(spark, sf_dir):
     o = tables.read(spark, sf_dir, "orders")
     slashed = F.date_format("o_orderdate", "yyyy/M/d")
     noisy = F.concat(F.lit("c. "), F.year("o_orderdate").cast("string"), F.lit(" (remastered)"))
-    return o.select("o_orderkey", text.normal_date(slashed).alias("iso"), text.normal_date(slashed, "year").alias("y"), text.normal_date(slashed, "year-month").alias("ym"), text.normal_date(noisy).alias("noisy"), text.first_year(noisy).alias("year"))
+    return o.select("o_orderkey", text.normal_dates(slashed, {"iso": "auto", "y": "year", "ym": "year-month"}).alias("d"), text.normal_date(noisy).alias("noisy"), text.first_year(noisy).alias("year")).select("o_orderkey", "d.*", "noisy", "year")
 
 
 def clean_title_case(spark, sf_dir):
@@ -105,7 +105,7 @@ def normalize_date_text(spark, sf_dir):
     slashed = F.date_format("o_orderdate", "yyyy/M/d")
     texts = [F.concat(F.lit("Released "), slashed, F.lit(" (x)")), F.concat(F.lit(" in "), F.date_format("o_orderdate", "yyyy.M"), F.lit(" ")), F.concat(F.lit("about "), F.year("o_orderdate").cast("string")), F.concat(F.year("o_orderdate").cast("string"), F.lit(" or 2001")), F.lit("  nothing "), F.lit(None).cast("string")]
     raw = F.element_at(F.array(*texts), (F.col("o_orderkey") % 6 + 1).cast("int"))
-    return o.select("o_orderkey", text.normal_date(raw).alias("auto"), text.normal_date(raw, "year").alias("y"), text.normal_date(raw, "full").alias("whole"))
+    return o.select("o_orderkey", text.normal_dates(raw, {"auto": "auto", "y": "year", "whole": "full"}).alias("d")).select("o_orderkey", "d.*")
 
 
 def number_prefix(spark, sf_dir):

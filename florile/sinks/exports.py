@@ -38,6 +38,15 @@ def write_csv(rows: DataFrame, path: str, delimiter: str = ",", mode: str = "err
     flat(rows).write.mode(mode).option("header", True).option("sep", delimiter).option("lineSep", "\r\n").option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 
+def write_preview(before: DataFrame, after: DataFrame, id: str, delimiter: str = ",") -> DataFrame:
+    """What a write of after over before would change, without writing: id, the line's bytes before and after (null where there is none). Rows that stay the same are left out."""
+    line = lambda d, name: flat(d).select(F.col(id), csv_line([F.col(f"`{c}`") for c in d.columns], delimiter).alias(name))
+    # Ids keep their type: flat makes texts of the others alone.
+    own = [line(d, name).withColumn(id, F.col(id).cast(d.schema[id].dataType)) for d, name in ((before, "_was"), (after, "_is"))]
+    met = own[0].join(own[1], id, "full").where(~F.col("_was").eqNullSafe(F.col("_is")))
+    return met.select(id, F.octet_length("_was").alias("bytes_before"), F.octet_length("_is").alias("bytes_after"))
+
+
 def write_lines(lines: DataFrame, column: str, order: list[Column], path: str, header: str | None = None, mode: str = "errorifexists") -> None:
     """A sorted text file in parts, in the order of their names; the header is a row before all others."""
     body = lines.select(F.col(column).alias("value"), F.lit(1).alias("_part"), *[o.alias(f"_k{i}") for i, o in enumerate(order)])

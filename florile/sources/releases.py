@@ -46,6 +46,12 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def placeholders(candidates: Column) -> Column:
+    """Artwork that isn't read yet, for an array of candidates (id, url, type, width, height): front covers of no bytes, with what is known of their size."""
+    size = lambda c: F.coalesce(c, F.lit(0))
+    return F.transform(candidates, lambda a: F.struct(a["id"].alias("id"), a["url"].alias("url"), F.lit("front").alias("role"), a["type"].alias("description"), F.lit("image/jpeg").alias("mime"), size(a["width"]).alias("width"), size(a["height"]).alias("height"), F.lit(0).alias("bytes")))
+
+
 def search_text(fields: dict[str, Column]) -> Column:
     """A query for a service's search: the strongest identifier alone, else what is there joined by AND. Signs are escaped."""
     clean = {k: F.regexp_replace(c, r'([+\-!(){}\[\]^"~*?:\\/]|&&|\|\|)', r"\\$1") for k, c in fields.items()}

@@ -51,3 +51,44 @@ def test_guess(spark):
     names = ["01 - A - B.mp3", "01 x.mp3", "A - B.mp3", "x.mp3"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
     assert [r[0] for r in df.select(templates.guess(F.col("n"))).collect()] == ["%track% - %artist% - %title%", "%track% %title%", "%artist% - %title%", "%title%"]
+
+
+def test_clauses_are_described_and_counted(spark):
+    from florile.catalog import bind
+    from florile.operators import search
+
+    d = spark.createDataFrame([(1, "en", 5.0), (2, "de", None), (3, None, 10.0)], "id int, lang string, n double")
+    c = bind(d, "id", text={"format": "lang"}, number={"size": "n"}, haystack=("format",))
+    rows = search.clause_counts(c, "format:e size:>=7.5 -de").orderBy("place").collect()
+    assert [(r["clause"], r["n"]) for r in rows] == [("format: e", 2), ("size >= 7.5", 1), ("without de", 2), ("all", 0)]
+    assert [(r["clause"], r["n"]) for r in search.clause_counts(c, "").collect()] == [("all", 3)]
+    assert search.described(search.Clause("flag", "=", True, True)) == "not flag = true"
+
+
+def test_loose_signatures(spark):
+    from florile.operators.duplicates import loose_signature
+
+    d = spark.createDataFrame([("A ", "b", 3.0), ("a", "B", 4.9), ("a", "b", 5.0), (None, None, 1.0), ("", " ", 1.0), ("x", None, None)], "a string, b string, s double")
+    assert [r[0] for r in d.select(loose_signature(F.col("a"), F.col("b"), F.col("s"))).collect()] == ["a|b|2", "a|b|2", "a|b|3", None, None, "x||"]
+
+
+def test_write_preview(spark):
+    from florile.sinks.exports import write_preview
+
+    was = spark.createDataFrame([(1, "a"), (2, "é"), (3, None), (4, "gone")], "id long, t string")
+    now = spark.createDataFrame([(1, "a"), (2, "e,"), (3, ""), (5, "new")], "id long, t string")
+    found = write_preview(was, now, "id")
+    assert found.schema["id"].dataType == was.schema["id"].dataType
+    assert sorted(map(tuple, found.collect())) == [(2, 4, 6), (4, 6, None), (5, None, 5)]
+    assert write_preview(was.limit(0), was.limit(0), "id").count() == 0
+
+
+def test_dates_in_several_styles_at_once(spark):
+    from florile.functions import text
+
+    d = spark.createDataFrame([(t,) for t in ("1992/4/2 x", "in 1992.11", "c. 1992", "1992 or 1993", "none", "", " 1992-4-31 1993-1-1", None)], "t string")
+    styles = ["auto", "year", "year-month", "full"]
+    rows = d.select(text.normal_dates(F.col("t"), {s: s for s in styles}).alias("all"), *[text.normal_date(F.col("t"), s).alias(f"one_{s}") for s in styles]).collect()
+    assert all(r["all"][s] == r[f"one_{s}"] for r in rows for s in styles)
+    assert [r["all"]["year-month"] for r in rows] == ["1992-04", "1992-11", "1992", "1992 or 1993", "none", "", "1992-04", None]
+    assert rows[2]["all"]["full"] == "c. 1992"
