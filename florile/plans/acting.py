@@ -126,14 +126,13 @@ def artwork_placeholders(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (action_plan, action_split, replace_scopes, tag_mapping, write_checks, release_applied, action_artist, capability_totals, clause_counts, rename_presets, stream_latest, dup_loose, write_preview, artwork_placeholders)}
 
-_F = ", ".join("('{}', {}, {}, {}, {}, {})".format(f[0], i, *(str(f[k]).lower() for k in (2, 3, 5, 6))) for i, f in enumerate(files.FORMATS))
 ORACLE = {
     "action_plan": """SELECT p_partkey, p_brand AS artist, p_brand || '|' || p_type AS artists, p_brand || ' feat. ' || p_type AS album_artist,
 CASE WHEN p_size % 2 = 0 THEN (1950 + p_size) || '-07-01' WHEN p_size % 3 = 0 THEN (1950 + p_size) || '-01-01' END AS date, CASE WHEN p_size % 2 = 0 OR p_size % 3 = 0 THEN 1950 + p_size END AS year, p_size AS track, true AS compilation, '' AS comment,
 concat_ws(',', 'album_artists', 'album_artist', 'artists', 'artist', CASE WHEN p_size % 2 = 0 AND p_size % 3 > 0 THEN 'year' END, CASE WHEN p_size % 2 = 1 AND p_size % 3 = 0 THEN 'date' END, 'track', 'compilation', CASE WHEN p_name <> '' THEN 'comment' END) AS changed FROM part""",
     "replace_scopes": "SELECT p_partkey, regexp_replace(p_size || ' ' || p_name, '(?i)standard', 'std', 'g') AS name, regexp_replace(p_brand || ' feat. ' || p_type || '|' || p_type, '(?i)standard', 'std', 'g') AS artists, regexp_replace(p_name, '(?i)standard', 'std', 'g') AS mood, len(regexp_extract_all(p_name || p_name || p_type || p_type || p_brand, '(?i)standard'))::BIGINT AS hits, len(regexp_extract_all(p_name || p_name || p_type || p_type || p_brand, '(?i)standard'))::BIGINT AS n_changes FROM part",
     "tag_mapping": "SELECT o_orderkey, 'artist' AS field, o_custkey || ' / ' || o_orderstatus || ' & ' || o_orderpriority AS value FROM orders UNION ALL SELECT o_orderkey, 'title', 't' FROM orders",
-    "write_checks": f"""WITH r AS (SELECT * FROM part JOIN (VALUES {_F}) AS f(format, i, writable, artwork, lyrics, multi) ON p_partkey % {len(files.FORMATS)} = i)
+    "write_checks": f"""WITH r AS (SELECT * FROM part JOIN {tables.FORMATS_SQL} ON p_partkey % 28 = i)
 SELECT p_partkey, 'format' AS field, 'error' AS severity FROM r WHERE NOT writable UNION ALL SELECT p_partkey, 'artwork', 'error' FROM r WHERE p_size % 2 = 1 AND NOT artwork
 UNION ALL SELECT p_partkey, 'lyrics', 'warning' FROM r WHERE p_size > 25 AND NOT lyrics UNION ALL SELECT p_partkey, 'genres', 'warning' FROM r WHERE contains(p_name, ' ') AND NOT multi UNION ALL SELECT p_partkey, 'control-characters', 'warning' FROM r WHERE p_size = 7""",
     "release_applied": "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN o_orderkey IS NOT NULL AND l_linenumber <> 2 THEN 'Track ' || l_linenumber ELSE 'own' END AS title, coalesce(o_orderpriority, 'own album') AS album, CASE WHEN o_orderkey IS NOT NULL THEN 'A & F' END AS album_artist, year(o_orderdate)::INT AS year FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey AND o_orderstatus = 'F'",
@@ -144,8 +143,7 @@ regexp_replace(p_brand || ' feat. ' || p_type || '|' || p_type, '(?i)e', '_', 'g
 _NFC = "chr(233)"
 ORACLE["action_artist"] = f"""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_brand END AS artist, CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_brand END AS artists, {_NFC} || ' ' || p_name || ' x' AS comment,
 CASE WHEN p_size % 2 = 0 THEN 'artist,artists,comment' ELSE 'comment' END AS changed FROM part"""
-_ABLE = ", ".join("({}, {}, {}, {})".format(i, *(str(f[k]).lower() for k in (1, 2, 7))) for i, f in enumerate(files.FORMATS))
-ORACLE["capability_totals"] = f"SELECT count(*) AS n_rows, sum(p_size)::BIGINT AS bytes, count_if(r)::BIGINT AS readable, count_if(w)::BIGINT AS writable, count_if(l)::BIGINT AS lossless FROM part JOIN (VALUES {_ABLE}) AS f(i, r, w, l) ON p_partkey % {len(files.FORMATS)} = i"
+ORACLE["capability_totals"] = f"SELECT count(*) AS n_rows, sum(p_size)::BIGINT AS bytes, count_if(readable)::BIGINT AS readable, count_if(writable)::BIGINT AS writable, count_if(lossless)::BIGINT AS lossless FROM part JOIN {tables.FORMATS_SQL} ON p_partkey % 28 = i"
 ORACLE["clause_counts"] = """
 WITH d AS (SELECT coalesce(lower(lang) = 'en', false) AS a, coalesce(n_chars >= 1000, false) AS b, coalesce(NOT contains(lower(source), 'web'), true) AS c, lower(concat_ws(' ', text, lang, source)) AS h FROM documents),
 e AS (SELECT a, b, c, contains(h, 'the') AS w, NOT contains(h, 'zzz') AS z FROM d)

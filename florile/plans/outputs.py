@@ -238,7 +238,6 @@ _CELL = "CASE WHEN regexp_matches({0}, '[,\"\\n]') THEN '\"' || replace({0}, '\"
 _XML = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 _NAME = "p_name || ' <&>'"
 _C = "(SELECT * FROM conversations WHERE conv_id IS NOT NULL)"
-_FORMATS = ", ".join(f"('{f[0]}', {str(f[7]).lower()}, {str(f[2]).lower()}, {i})" for i, f in enumerate(files.FORMATS))
 ORACLE = {
     "csv_line": f"SELECT conv_id, turn, sha256(conv_id || ',' || {_CELL.format('role')} || ',' || {_CELL.format('text')}) AS line FROM {_C}",
     "export_flat": "SELECT p_partkey::VARCHAR AS p_partkey, replace(p_name, ' ', '; ') AS words, CASE WHEN p_size > 20 THEN '1' ELSE '' END AS large, p_brand AS custom_brand, '' AS custom_other FROM part",
@@ -254,7 +253,7 @@ ORACLE = {
     "sniff_bytes": "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'flac' WHEN 1 THEN 'mp3' WHEN 2 THEN 'wav' WHEN 3 THEN 'ogg' WHEN 4 THEN 'm4a' WHEN 6 THEN 'aac' ELSE CASE WHEN doc_id % 2 = 0 THEN 'wma' END END AS format FROM documents",
     "trailer_tags": "SELECT p_partkey, CASE WHEN t THEN trim(left(p_name, 30)) END AS title, CASE WHEN t THEN p_brand END AS artist, CASE WHEN t THEN p_type END AS album, CASE WHEN t THEN '1999' END AS year, CASE WHEN t THEN 'note' END AS comment, CASE WHEN t THEN p_size::BIGINT END AS track FROM (SELECT *, p_partkey % 3 > 0 AS t FROM part)",
     "media_numbers": "SELECT p_partkey, 44100::BIGINT AS rate, 2::BIGINT AS channels, 16::BIGINT AS bits, p_partkey::DOUBLE AS seconds, p_size::BIGINT AS width, p_partkey AS height, greatest(floor(p_size * r + 0.5), 1)::INT AS thumb_w, greatest(floor(p_partkey * r + 0.5), 1)::INT AS thumb_h, true AS storable FROM (SELECT *, least(1.0::DOUBLE, 100::DOUBLE / greatest(p_size, p_partkey)) AS r FROM part)",
-    "format_matrix": f"SELECT format, lossless, writable, count(page_id) AS n_rows FROM (VALUES {_FORMATS}) AS f(format, lossless, writable, i) LEFT JOIN pages ON page_id % 7 = i GROUP BY 1, 2, 3",
+    "format_matrix": f"SELECT format, lossless, writable, count(page_id) AS n_rows FROM {tables.FORMATS_SQL} LEFT JOIN pages ON page_id % 7 = i GROUP BY 1, 2, 3",
     "release_json": "SELECT l_orderkey::VARCHAR AS id, CASE WHEN l_orderkey % 2 = 0 THEN 'A & B' ELSE 'C' END AS artists, CASE WHEN l_orderkey % 2 = 0 THEN 1998 ELSE 2001 END AS year, count(*) AS track_count, round(CASE WHEN l_orderkey % 2 = 0 THEN sum(l_quantity) ELSE sum(60 + l_linenumber) END, 3) AS seconds FROM lineitem GROUP BY l_orderkey",
     "search_texts": r"""SELECT p_partkey, CASE WHEN p_size > 25 THEN 'barcode:"' || p_partkey || '"' ELSE 'artist:"' || p_brand || '" AND release:"' || p_name || ' \(x\)"' END AS query FROM part""",
 }

@@ -28,3 +28,11 @@ def parts(spark: SparkSession, sf_dir: str) -> Catalog:
 
 def orders(spark: SparkSession, sf_dir: str) -> Catalog:
     return bind(read(spark, sf_dir, "orders"), "o_orderkey", text={"comment": "o_orderstatus", "label": "o_orderpriority"}, number={"size": "o_totalprice", "artist": "o_custkey", "year": F.year("o_orderdate")})
+
+
+#: SQL for the formats, as they have to be: name, place from 0, and what each can do.
+FORMATS_SQL = """(SELECT format, i - 1 AS i, format NOT IN ('mkv', 'mka', 'webm') AS readable, format NOT IN ('aiff', 'aif', 'aifc', 'wma', 'tak', 'mkv', 'mka', 'webm', 'dsf', 'dff') AS writable,
+  format NOT IN ('aac', 'wav', 'aiff', 'aif', 'aifc', 'mkv', 'mka', 'webm', 'dsf', 'dff') AS artwork, format IN ('mp3', 'aac', 'm4a', 'm4b', 'mp4', 'ogg', 'opus', 'flac', 'alac') AS lyrics,
+  format IN ('mp3', 'm4a', 'm4b', 'mp4', 'ogg', 'opus', 'spx', 'flac', 'alac', 'mpc', 'wv', 'tta', 'ofr', 'ofs', 'wvp') AS multi,
+  format IN ('flac', 'alac', 'wav', 'aiff', 'aif', 'aifc', 'ape', 'wv', 'tta', 'tak', 'ofr', 'ofs', 'wvp', 'dsf', 'dff') AS lossless
+  FROM (SELECT unnest(x) AS format, generate_subscripts(x, 1) AS i FROM (SELECT ['mp3', 'aac', 'm4a', 'm4b', 'mp4', 'ogg', 'opus', 'spx', 'flac', 'alac', 'wav', 'aiff', 'aif', 'aifc', 'ape', 'wma', 'mpc', 'wv', 'tta', 'tak', 'ofr', 'ofs', 'wvp', 'mkv', 'mka', 'webm', 'dsf', 'dff'] AS x))) AS f"""
