@@ -104,6 +104,15 @@ def open_keys(spark, sf_dir):
     return keys.widened(rows, "props", keys.frequent_keys(rows, "props", SHARE))
 
 
+def long_pls(spark, sf_dir):
+    """PLS lists of line items by their number within the order, in three lists: numbers run on over all parts of a list."""
+    lines, place = tables.read(spark, sf_dir, "lineitem").withColumn("part", F.col("l_linenumber") % 3), shared_place(spark, "pls")
+    name = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    t = Track(F.lit("items"), F.concat(name, F.lit(".mp3")), F.array(F.lit("A")), name, F.lit(""), F.lit(None).cast("int"), F.when(F.col("l_orderkey") % 3 > 0, F.col("l_orderkey")), F.lit(None).cast("long"))
+    ordered.write_pls(lines, "part", [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")], t, f"{place}/lists", f"{place}/sorted")
+    return ordered.read_lists(spark, f"{place}/lists")
+
+
 def _orders(spark, sf_dir):
     return tables.read(spark, sf_dir, "orders")
 
@@ -123,7 +132,7 @@ def long_manifests(spark, sf_dir):
     return ordered.read_lists(spark, place)
 
 
-QUERIES = {f.__name__: f for f in (late_pages, late_texts, artwork_late, props_checked, props_parted, fan_out_hits, fan_out_errors, frequent_words, open_keys, long_lists, long_manifests)}
+QUERIES = {f.__name__: f for f in (late_pages, late_texts, artwork_late, props_checked, props_parted, fan_out_hits, fan_out_errors, frequent_words, open_keys, long_lists, long_manifests, long_pls)}
 
 _PROPS = """
 WITH p AS (SELECT event_id, event_type, (props->>'k')::BIGINT AS v, event_id % 16 AS w FROM events),
@@ -155,3 +164,10 @@ WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_or
 SELECT o_orderstatus AS list, r + 1 AS number, '{"id":' || o_orderkey || ',"label":"' || o_orderpriority || '"}' || CASE WHEN r < n THEN ',' ELSE '' END AS value FROM o
 UNION ALL SELECT DISTINCT o_orderstatus, 1, '{"files":' || n || ',"tracks":[' FROM o UNION ALL SELECT DISTINCT o_orderstatus, n + 2, ']}' FROM o""",
 }
+ORACLE["long_pls"] = """
+WITH l AS (SELECT (l_linenumber % 3)::VARCHAR AS list, l_orderkey AS o, l_orderkey || '-' || l_linenumber AS name, row_number() OVER (PARTITION BY l_linenumber % 3 ORDER BY l_orderkey, l_linenumber, l_partkey) AS r FROM lineitem),
+u AS (
+  SELECT list, r, unnest(x) AS value, generate_subscripts(x, 1) AS i
+  FROM (SELECT list, r, CASE WHEN o % 3 > 0 THEN ['File' || r || '=/items/' || name || '.mp3', 'Title' || r || '=A - ' || name, 'Length' || r || '=' || o] ELSE ['File' || r || '=/items/' || name || '.mp3', 'Title' || r || '=A - ' || name] END AS x FROM l)
+  UNION ALL SELECT DISTINCT list, 0, '[playlist]', 1 FROM l UNION ALL SELECT list, max(r) + 1, 'NumberOfEntries=' || count(*), 1 FROM l GROUP BY list UNION ALL SELECT list, max(r) + 1, 'Version=2', 2 FROM l GROUP BY list)
+SELECT list, row_number() OVER (PARTITION BY list ORDER BY r, i) AS number, value FROM u"""

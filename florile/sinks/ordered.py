@@ -46,12 +46,33 @@ def read_lists(spark: SparkSession, path: str) -> DataFrame:
     return own.join(begins, block).select("list", (F.col("_begin") + F.col("_at")).alias("number"), "value")
 
 
+def numbered(rows: DataFrame, by: str, order: list[Column], place: str, name: str = "number") -> DataFrame:
+    """rows with a number from 1 within each value of by, however many rows that has. They are sorted into ranges and written to place, and a
+    row's number is its place in its file, after the rows of its group in earlier files. order has to tell a group's rows apart."""
+    keys = {f"_k{i}": o for i, o in enumerate(order)}
+    rows.withColumns(keys).orderBy(by, *keys).drop(*keys).write.mode("overwrite").parquet(place)
+    back = rows.sparkSession.read.schema(rows.schema).parquet(place).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    before = Window.partitionBy("_g").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    begins = back.groupBy(F.col(by).alias("_g"), F.col("_file").alias("_f")).agg(F.count("*").alias("_n"), F.min("_row").alias("_first")).withColumnRenamed("_f", "_file")
+    begins = begins.select("_g", F.col("_file").alias("_f"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_begin"))
+    met = back.join(begins, F.col(by).eqNullSafe(F.col("_g")) & (F.col("_file") == F.col("_f")))
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("_begin") + F.col("_row")).alias(name))
+
+
 def write_m3u(rows: DataFrame, by: str, order: list[Column], t: playlists.Track, path: str, absolute: bool = True, base: str = "", extended: bool = True, mode: str = "errorifexists") -> None:
     """The lists of playlists.m3u_list, of any length."""
     head, line = playlists.m3u_parts(t, absolute, base, extended)
     write_lists(rows, by, order, line, path, head if extended else None, None, [playlists.first_row(t, order)] if extended else None, mode=mode)
 
 
+def write_pls(rows: DataFrame, by: str, order: list[Column], t: playlists.Track, path: str, place: str, absolute: bool = True, base: str = "", mode: str = "errorifexists") -> None:
+    """The lists of playlists.pls_list, of any length. place: a folder for the sorted rows, which the caller may delete."""
+    own = rows.select(F.coalesce(F.nullif(F.col(by).cast("string"), F.lit("")), F.lit(NAMELESS)).alias("_list"), *[c.alias(k) for k, c in playlists.pls_columns(t, absolute, base).items()], *[o.alias(f"_o{i}") for i, o in enumerate(order)])
+    own = numbered(own, "_list", [F.col(f"_o{i}") for i in range(len(order))], place, "_n")
+    tail = F.concat(F.lit("NumberOfEntries="), F.col("_count").cast("string"), F.lit("\nVersion=2"))
+    write_lists(own, "_list", [F.col("_n")], playlists.pls_lines(F.col("_n"), F.col("_title"), F.col("_seconds"), F.col("_path")), path, F.lit("[playlist]"), tail, [F.count("*").alias("_count")], mode=mode)
+
+
 def write_xspf(rows: DataFrame, by: str, order: list[Column], t: playlists.Track, path: str, absolute: bool = True, base: str = "", mode: str = "errorifexists") -> None:
     """The lists of playlists.xspf_document, of any length."""
     head, line, tail = playlists.xspf_parts(t, absolute, base)

@@ -115,11 +115,20 @@ def m3u_list(rows: DataFrame, by: list[str], order: list[Column], t: Track, abso
     return _with_first(rows, by, order, t, body).select(*by, F.concat(F.concat_ws("\n", head, F.col("body")), F.lit("\n")).alias("content"))
 
 
+def pls_lines(number: Column, title: Column, seconds: Column, path: Column) -> Column:
+    """What a row of a list has; a row without a length has no line for it."""
+    line = lambda name, c: F.concat(F.lit(name), number.cast("string"), F.lit("="), c)
+    return F.concat_ws("\n", line("File", path), line("Title", title), line("Length", seconds))
+
+
+def pls_columns(t: Track, absolute: bool = True, base: str = "") -> dict[str, Column]:
+    return {"_title": list_title(t), "_seconds": half_up(t.seconds).cast("string"), "_path": list_path(t, absolute, base)}
+
+
 def pls_list(rows: DataFrame, by: list[str], order: list[Column], t: Track, absolute: bool = True, base: str = "") -> DataFrame:
     """PLS lists; a row without a length has no line for it."""
-    own = numbered(rows.withColumns({"_title": list_title(t), "_seconds": half_up(t.seconds).cast("string"), "_path": list_path(t, absolute, base)}), by, order, "_n")
-    line = lambda name, c: F.concat(F.lit(name), F.col("_n").cast("string"), F.lit("="), F.col(c))
-    body = joined(own, by, [F.col("_n")], F.concat_ws("\n", line("File", "_path"), line("Title", "_title"), line("Length", "_seconds")), "\n", "body")
+    own = numbered(rows.withColumns(pls_columns(t, absolute, base)), by, order, "_n")
+    body = joined(own, by, [F.col("_n")], pls_lines(F.col("_n"), F.col("_title"), F.col("_seconds"), F.col("_path")), "\n", "body")
     counts = rows.groupBy(*by).agg(F.count("*").alias("n"))
     return body.join(counts, by).select(*by, F.concat(F.lit("[playlist]\n"), F.col("body"), F.lit("\nNumberOfEntries="), F.col("n").cast("string"), F.lit("\nVersion=2\n")).alias("content"))
 

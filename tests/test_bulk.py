@@ -124,7 +124,11 @@ def _track():
     return playlists.Track(F.lit("f"), F.concat("id", F.lit(".mp3")), some(F.array("artist")), some(F.concat(F.lit("t\n"), "id")), some(F.lit("Al<bum")), some(F.col("id") % 12), some(F.col("id") / 7), some(F.col("id")))
 
 
-@pytest.mark.parametrize("write, small", [(ordered.write_m3u, playlists.m3u_list), (ordered.write_xspf, playlists.xspf_document)])
+def _write_pls(rows, by, order, t, place):
+    ordered.write_pls(rows, by, order, t, place, place + "-sorted")
+
+
+@pytest.mark.parametrize("write, small", [(ordered.write_m3u, playlists.m3u_list), (ordered.write_xspf, playlists.xspf_document), (_write_pls, playlists.pls_list)])
 def test_lists_in_parts_have_the_bytes_of_small_ones(spark, tracks, tmp_path, write, small):
     place = str(tmp_path / "lists")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with more lines than a task is to have
