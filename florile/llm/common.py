@@ -3,6 +3,7 @@
 import string
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -150,7 +151,7 @@ class Kept(dict):
             self.clear()
             self.size = 0
 
-    def unknown(self, keys: set) -> set:
+    def unknown(self, keys: Iterable) -> set:
         """The keys that are neither here nor in the one before. Those of the one before are here afterwards."""
         new = {k for k in keys if k not in self}
         again = [k for k in new if k in self.old]

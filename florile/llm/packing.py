@@ -33,27 +33,78 @@ SIZE, END = 4096, 2
 #: Characters of a group, and groups of a task: tasks grow in number with the input, not in size.
 GROUP_CHARS, GROUPS_A_TASK = 4_000_000, 32
 #: Bytes of words and ids that a process keeps (twice as many at most); bytes of texts and new words that are taken at once.
-KEPT_BYTES, BYTES_AT_ONCE, NEW_AT_ONCE = 48 << 20, 1 << 20, 4096
+KEPT_BYTES, BYTES_AT_ONCE, NEW_AT_ONCE = 48 << 20, 4 << 20, 4096
+#: Characters of a long text that are taken at once, or of one that the tokenizer itself reads, which takes some 100 bytes for each.
+STRETCH = 1 << 18
 
 #: Fixed value: the split pattern of the public vocabulary file word_bpe_49k.json, for text in lower case.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: Signs of which the pattern takes a run in one piece, wherever they stand around a word (the apostrophe, which begins some, is not among them).
-SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Texts with anything else go through the tokenizer whole: special tokens, control characters, rare white space, other scripts.
+#: Where texts may be cut.
+GAP = re.compile(r"[ \t\n\r]")
+#: Stretches with anything else go through the tokenizer itself: special tokens, control characters, rare white space, other scripts.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-Ɂ‐-‧‰-⁞€]*")
+#: What WORD makes of each character that a plain text can have in lower case.
+SPACE, LETTER, NUMBER, SIGN = range(4)
+KIND = np.array([SPACE if chr(i).isspace() else {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(i))[0], SIGN) for i in range(0x3000)], np.uint8)
+
+
+def split_words(c: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Where the pieces that WORD finds in UTF-16 code units start, and those pieces. The last unit is a space."""
+    kind = KIND[c]
+    new = kind == NUMBER
+    new[0] |= kind[0] != SPACE
+    new[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] != SPACE)
+    # A lone apostrophe takes the ending after it.
+    at = np.flatnonzero(c == ord("'"))
+    at = at[new[at] & (kind[at + 1] == LETTER)]
+    one, two = c[at + 1], c[np.minimum(at + 2, len(c) - 1)]
+    pair = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    some = pair | np.isin(one, [ord(x) for x in "stmd"])
+    new[at[some] + 1] = False
+    after = at[some] + np.where(pair[some], 3, 2)
+    new[after] |= kind[after] == LETTER
+    own = kind != SPACE
+    offsets = np.append(np.flatnonzero(new[own]), np.count_nonzero(own)).astype(np.int32) * c.itemsize
+    return np.flatnonzero(new), pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(c[own])])
+
+
+def units(texts: list[str]) -> np.ndarray:
+    """The UTF-16 code units of texts in a row, a space after each."""
+    return np.frombuffer("".join(x for t in texts for x in (t, " ")).encode("utf-16-le"), "<u2")
+
+
+def values(a: pa.Array) -> list[bytes]:
+    """The values of a binary array without nulls; to_pylist() takes several times as long."""
+    if not len(a):
+        return []
+    at = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1].tolist()
+    return list(map(a.buffers()[2].to_pybytes().__getitem__, map(slice, at, at[1:])))
 
 
 def split_word(w: str) -> list[str]:
-    """The pieces that WORD cuts a word into, without asking it where signs only surround letters."""
-    core = w.strip(SIGNS)
-    if not core.isalpha():
-        return WORD.findall(w)
-    i = w.index(core)
-    return [x for x in (w[:i], core, w[i + len(core) :]) if x]
+    """The pieces that WORD cuts a plain text into."""
+    return [x.decode("utf-16-le") for x in values(split_words(units([w]))[1])]
+
+
+def is_plain(t: str) -> bool:
+    return "<|" not in t and PLAIN.fullmatch(t) is not None
+
+
+def lowered(t: str) -> str:
+    return (t if unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)).lower()
+
+
+def stretches(t: str) -> Iterator[str]:
+    """A text in parts of about STRETCH characters, each of which has the ids that it has in the text: no piece or special token holds white space."""
+    i = 0
+    while i < len(t):
+        j = gap.start() if (gap := GAP.search(t, i + STRETCH)) else len(t)
+        yield t[i:j]
+        i = j
 
 
 class Words:
-    """Ids of texts. The vocabulary splits at white space, so ids of each stretch between white space are looked up or made once."""
+    """Ids of texts. Pieces that the vocabulary splits a text into are found and told apart by column, so ids of each different one are looked up or made once."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,32 +121,43 @@ class Words:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # each word has one piece, its last, that says so
         self.ends[[i for p, i in vocab.items() if p.endswith("</w>")]] = True
 
-    def _learn(self, new: set[str]) -> None:
-        mixed = [(w, split_word(w)) for w in new if not w.isalpha()]
-        flat = list(self.known.unknown({p for _, x in mixed for p in x}).union(filter(str.isalpha, new)))
-        for i in range(0, len(flat), NEW_AT_ONCE):
-            part = flat[i : i + NEW_AT_ONCE]
-            ids = np.array(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+    def _learn(self, new: list[bytes]) -> None:
+        for i in range(0, len(new), NEW_AT_ONCE):
+            part = new[i : i + NEW_AT_ONCE]
+            ids = np.array(self.words.encode_batch_fast([b" \0".join(part).decode("utf-16-le")], add_special_tokens=False)[0].ids, self.kind)
             at = (ids.itemsize * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             ids = ids.tobytes()
-            self.known.put(part, list(map(ids.__getitem__, map(slice, [0, *at], at))))  # a word without its signs is met again with others
-        get = self.known.__getitem__
-        self.known.put([w for w, _ in mixed], [b"".join(map(get, x)) for _, x in mixed])
+            self.known.put(part, list(map(ids.__getitem__, map(slice, [0, *at], at))))
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """The ids of plain texts in lower case."""
+        starts, pieces = split_words(units(texts))
+        coded = pieces.dictionary_encode()
+        code, own = coded.indices.to_numpy(), values(coded.dictionary)
+        self.known.turn()
+        if new := self.known.unknown(own):
+            self._learn(list(new))
+        own = list(map(self.known.__getitem__, own))
+        ids, n = np.frombuffer(b"".join(own), self.kind), np.fromiter(map(len, own), np.int64, len(own)) // np.dtype(self.kind).itemsize
+        first, n = (np.cumsum(n) - n)[code], n[code]
+        to = np.append(0, np.cumsum(n))
+        ids = ids[np.repeat(first - to[:-1], n) + np.arange(to[-1])]
+        cuts = to[np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))].tolist()
+        return [ids[i:j].tobytes() for i, j in zip([0, *cuts], cuts)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian numbers of self.kind."""
-        split: list[list[str] | None] = []
-        for t in texts:
-            if "<|" in t or not PLAIN.fullmatch(t):
-                split.append(None)
-                continue
-            split.append((t if unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)).lower().split())
-        self.known.turn()
-        asked = set().union(*(x for x in split if x))
-        if new := self.known.unknown(asked):
-            self._learn(new)
-        get = self.known.__getitem__
-        return [np.array(self.t.encode(t, add_special_tokens=False).ids, self.kind).tobytes() if x is None else b"".join(map(get, x)) for t, x in zip(texts, split)]
+        out: list[bytes | None] = [None] * len(texts)
+        short: dict[int, str] = {}
+        for i, t in enumerate(texts):
+            if len(t) <= BYTES_AT_ONCE and is_plain(t):
+                short[i] = lowered(t)
+            else:
+                out[i] = b"".join(self._plain([lowered(x)])[0] if is_plain(x) else np.array(self.t.encode(x, add_special_tokens=False).ids, self.kind).tobytes() for x in stretches(t))
+        if short:
+            for i, ids in zip(short, self._plain(list(short.values()))):
+                out[i] = ids
+        return out
 
 
 _words: dict[str, Words] = {}

@@ -5,8 +5,10 @@ import random
 import re
 import string
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -485,6 +487,42 @@ def test_split_word():
         assert packing.split_word(w) == packing.WORD.findall(w)
 
 
+def test_words_of_odd_texts():
+    """Apostrophes, digits, signs, letters whose lower case is two characters, combining signs, other scripts, special tokens: ids are those of the tokenizer, also of texts that are cut."""
+    rng = random.Random(5)
+    plain = ["'", "'", " ", "\n", "\t", *"stredvmlaST12!-.", "'s", "'LL", "word", "\u0130", "\u023a", "\u00df", "\u00b2", "\u00aa", "\u2013", "\u20ac"]
+    other = [" ", " ", "\r", "a", "'s", "e\u0301", " \u0301", "\u03a3", "\u4e2d", "\u00a0", "\u0085", "\u2028", "\x00", "\x1f", "\x0b", "\U0001f600", "<|", "|>", "<|endoftext|>", "<|startoftext|>"]
+    odd = ["".join(rng.choice(some) for _ in range(n)) for some in (plain, plain + other, other) for n in (0, 1, 2, 5, 20, 300) for _ in range(100)] + ["", " ", "''s", "'s's", "it's 'sam'", "'"]
+    words = packing.words_of(vocabulary())
+    want = [words.t.encode(t, add_special_tokens=False).ids for t in odd]
+    for most, stretch in ((packing.BYTES_AT_ONCE, packing.STRETCH), (packing.BYTES_AT_ONCE, 9), (40, 9), (2, 1)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(packing, "BYTES_AT_ONCE", most)
+            m.setattr(packing, "STRETCH", stretch)
+            assert [np.frombuffer(x, words.kind).tolist() for x in words.encode(odd)] == want
+
+
+def test_memory_of_a_long_text():
+    """A text takes memory for a few copies of itself, not for an object for each word; where the tokenizer itself reads it, for a stretch at a time."""
+    words, text = packing.words_of(vocabulary()), " ".join(["some", "words", "it's", "x1."] * 300_000)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(packing, "BYTES_AT_ONCE", 1 << 17)
+        m.setattr(packing, "STRETCH", 1 << 16)
+        words.encode([text[:1000]])
+        tracemalloc.start()
+        try:
+            ids = words.encode([text])[0]
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert peak < 6 * len(text)
+        assert len(ids) == 300_000 * len(words.encode(["some words it's x1."])[0])
+        asked = []
+        m.setattr(words, "t", SimpleNamespace(encode=lambda x, t=words.t, **own: asked.append(len(x)) or t.encode(x, **own)))
+        assert words.encode([text + " \u4e2d"])[0][: len(ids)] == ids
+        assert asked and max(asked) < 1 << 17
+
+
 def test_first_fit():
     rng = random.Random(0)
     for n in (1, 2, 7, 500):
