@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, lean, slices
+from .common import Kept, lean, slices, values
 
 SIZE, END = 4096, 2
 #: Characters of a group, and groups of a task: tasks grow in number with the input, not in size.
@@ -73,14 +73,6 @@ def units(texts: list[str]) -> np.ndarray:
     return np.frombuffer("".join(x for t in texts for x in (t, " ")).encode("utf-16-le"), "<u2")
 
 
-def values(a: pa.Array) -> list[bytes]:
-    """The values of a binary array without nulls; to_pylist() takes several times as long."""
-    if not len(a):
-        return []
-    at = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1].tolist()
-    return list(map(a.buffers()[2].to_pybytes().__getitem__, map(slice, at, at[1:])))
-
-
 def split_word(w: str) -> list[str]:
     """The pieces that WORD cuts a plain text into."""
     return [x.decode("utf-16-le") for x in values(split_words(units([w]))[1])]

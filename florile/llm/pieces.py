@@ -1,46 +1,57 @@
 """SentencePiece encoding and decoding by suffix-array matching, for BPE models with byte fallback.
 
-The distinct words of a batch of texts are joined into one text, whose suffixes are sorted (as deep as the longest piece). A binary
-search for every piece of the vocabulary gives the range of suffixes that begin with it: all its occurrences. Sorted by position,
-these occurrences are the edges of a lattice over the text. Relaxing it the BPE way joins, in every word at once and round by round,
-the two neighbouring symbols whose union is the edge of the best score, the leftmost of equals, until no edge joins two symbols.
-Characters that end up in no piece become bytes.
+Texts are cut between any two characters that stand side by side in no piece, as no piece reaches over such a place: what stands
+between cuts, a unit, has the same pieces wherever it stands. Units are found and told apart by column, and their pieces kept.
 
-A word is a run of spaces and what follows up to the next space; pieces never reach over its end, so words can be encoded apart and
-their pieces kept. Words over LONG characters are relaxed with a heap over the same edges instead of in rounds.
+The new units of a batch of texts are joined into one text, whose suffixes are sorted (as deep as the longest piece). A binary
+search for every piece of the vocabulary gives the range of suffixes that begin with it: all its occurrences. These are the edges of
+a lattice over the text, a table of places and lengths. Relaxing it the BPE way joins, in every unit at once and round by round,
+the two neighbouring symbols whose union is the edge of the best score, the leftmost of equals, until no edge joins two symbols.
+Characters that end up in no piece become bytes. Units over LONG characters are relaxed with a heap over the same edges instead of in
+rounds.
 
 Defined results: null and empty texts have no pieces and decode to an empty text; texts with the space mark U+2581 decode it to a
 space, as the format has it; invalid byte sequences decode to U+FFFD; other columns stay; an empty table gives an empty result.
 """
 
 import heapq
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, lean, slices
+from .common import Kept, lean, slices, values
 
 MARK = "▁"
-#: Longest word that is relaxed in rounds; bytes of words and ids that a process keeps (twice as many at most); bytes of texts, and
-#: characters of new words, that are encoded at once.
-LONG, KEPT_BYTES, BATCH_BYTES, BATCH_CHARS = 48, 24 << 20, 1 << 20, 500_000
-WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-NONE = np.int64(1 << 40)
-
-
-def suffixes(code: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of letters in the order of what follows them (depth symbols; 0, which parts words, is below all), and those keys as byte strings."""
-    wide = code.dtype.itemsize
-    padded = np.concatenate([code, np.zeros(depth, code.dtype)])
+#: Longest unit that is relaxed in rounds; bytes of units and ids that a process keeps (twice as many at most); bytes of texts that are
+#: encoded at once, and cells (characters by lengths of pieces) of the edges of new units.
+LONG, KEPT_BYTES, BATCH_BYTES, CELLS = 48, 48 << 20, 2 << 20, 8_000_000
+#: Units up to so many characters are relaxed side by side.
+WIDTHS = (4, 6, 8, 10, 12, 16, 24, LONG)
+#: Letters that are told apart where texts are cut. Those beyond count as one, which makes fewer cuts.
+LETTERS = 4096
+NONE = np.int32((1 << 31) - 1)
+
+
+def suffixes(code: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of letters in the order of what follows them (depth symbols; 0, which parts units, is below all, and what follows it
+    doesn't count); their first 8 bytes as numbers, and the places of those that go on beyond them."""
+    per = 8 // code.dtype.itemsize
+    column = np.concatenate([code, np.zeros(depth, code.dtype)]).astype(np.uint64)
+    n = 1
+    while n < per:
+        column[:-n] = column[:-n] << np.uint64(8 * n * code.dtype.itemsize) | column[n:]
+        n *= 2
     at = np.flatnonzero(code)
-    keys = np.lib.stride_tricks.sliding_window_view(padded, depth)[at]
-    # Big-endian words sort like the bytes they are made of.
-    raw = keys.astype(f">u{wide}").view(np.uint8).reshape(len(at), wide * depth)
-    order = np.lexsort(raw.view(">u8").astype(np.uint64).T[::-1])
-    return at[order], raw[order].view(f"S{wide * depth}").ravel()
+    order = at[np.argsort(column[at])]
+    first = column[order]
+    on = np.flatnonzero(first & np.uint64(256**code.dtype.itemsize - 1))
+    same = first[1:] == first[:-1]
+    tied = on[(np.append(same, False) | np.append(False, same))[on]]
+    deep = order[tied]
+    order[tied] = deep[np.lexsort([column[deep + k] for k in range(depth - per, -1, -per)])]
+    return order, first, on
 
 
 class Pieces:
@@ -49,120 +60,143 @@ class Pieces:
 
         m = sentencepiece.SentencePieceProcessor(model_file=model_file)
         n = m.get_piece_size()
-        self.names = [m.id_to_piece(i) for i in range(n)]
-        self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.names) if m.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.byte.items()}
-        self.control = {i for i in range(n) if m.is_control(i)}
-        self.is_byte = np.array([m.is_byte(i) for i in range(n)])
-        self.shown = ["" if i in self.control or self.is_byte[i] else p.replace(MARK, " ") for i, p in enumerate(self.names)]
+        names = [m.id_to_piece(i) for i in range(n)]
+        self.kind = np.uint16 if n + 1 < 1 << 16 else np.uint32
+        self.byte = {int(p[3:5], 16): i for i, p in enumerate(names) if m.is_byte(i)}
+        byte_of = {i: b for b, i in self.byte.items()}
+        shown = [bytes([byte_of[i]]) if i in byte_of else b"" if m.is_control(i) else p.replace(MARK, " ").encode() for i, p in enumerate(names)]
+        self.size = n
+        #: What each id stands for, and what it stands for at the head of a text.
+        self.shown = pa.array(shown + [p[1:] if p[:1] == b" " else p for p in shown], pa.binary())
+        self.seen = np.array([len(p) > 0 for p in shown])
         self.unknown = m.unk_id()
-        usual = [i for i in range(n) if not (m.is_byte(i) or i in self.control or m.is_unknown(i) or m.is_unused(i))]
-        self.ids, self.lens = np.array(usual), np.array([len(self.names[i]) for i in usual])
+        usual = [i for i in range(n) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
+        usual.sort(key=names.__getitem__)  # so that a search finds its neighbours' places warm
+        self.ids, self.lens = np.array(usual), np.array([len(names[i]) for i in usual])
         self.starts = np.cumsum(self.lens) - self.lens
-        self.points = np.frombuffer("".join(self.names[i] for i in usual).encode("utf-32-le"), np.uint32)
+        self.points = np.frombuffer("".join(names[i] for i in usual).encode("utf-32-le"), np.uint32)
         self.depth = -(-int(self.lens.max()) // 8) * 8
-        self.step = int(self.lens.max()) + 1  # of an edge's key, between places
+        self.step = int(self.lens.max()) + 1  # of an edge's cell, between places
         scores = np.array([m.get_score(i) for i in usual])
-        self.rank_of = np.zeros(n, np.int64)
-        self.rank_of[self.ids] = np.unique(-scores, return_inverse=True)[1]
+        #: By id and 1; 0 is no piece.
+        self.rank_of = np.full(n + 1, NONE, np.int32)
+        self.rank_of[self.ids + 1] = np.unique(-scores, return_inverse=True)[1]
+        # Which characters stand side by side in a piece.
+        inner = np.ones(len(self.points), bool)
+        inner[self.starts] = False
+        right = np.flatnonzero(inner)
+        letters = np.unique(np.concatenate([self.points[right - 1], self.points[right]]))
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[letters] = np.minimum(np.arange(1, len(letters) + 1), LETTERS - 1)
+        self.letters = int(self.letter.max()) + 1
+        self.joined = np.zeros(self.letters**2, bool)
+        self.joined[self.letter[self.points[right - 1]] * self.letters + self.letter[self.points[right]]] = True
         self.known = Kept(KEPT_BYTES)
 
-    def _edges(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Keys (position * step + length) of all occurrences of pieces, rising, and the pieces' ids."""
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    def _edges(self, points: np.ndarray) -> np.ndarray:
+        """The id, and 1, of the piece at each place of each length (place * step + length); 0 where there is none."""
+        cells = np.zeros(len(points) * self.step, self.kind)
         letters = np.unique(points[points != 0])
         wide = 1 if len(letters) < 255 else 2 if len(letters) < 65_535 else 4
         table = np.zeros(int(letters[-1]) + 1 if len(letters) else 1, f"u{wide}")
         table[letters] = np.arange(1, len(letters) + 1)
-        code = table[points]
         own = np.where(self.points < len(table), table[np.minimum(self.points, len(table) - 1)], 0)
         fits = np.minimum.reduceat(own, self.starts) > 0
         if not fits.any():
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        order, keys = suffixes(code, self.depth)
+            return cells
+        code = table[points]
+        order, first, on = suffixes(code, self.depth)
         lens, ids = self.lens[fits], self.ids[fits]
         low = np.zeros((len(lens), self.depth), f">u{wide}")
         high = np.full((len(lens), self.depth), 256**wide - 1, f">u{wide}")
         r = np.repeat(np.arange(len(lens)), lens)
         c = np.arange(len(r)) - np.repeat(np.cumsum(lens) - lens, lens)
         low[r, c] = high[r, c] = own[np.repeat(fits, self.lens)]
-        kind = f"S{wide * self.depth}"
-        first, last = np.searchsorted(keys, low.view(kind).ravel(), "left"), np.searchsorted(keys, high.view(kind).ravel(), "right")
-        n = last - first
-        which = np.repeat(np.arange(len(lens)), n)
-        at = order[np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        key = at * self.step + lens[which]
-        rise = np.argsort(key)  # no two edges have the same place and length
-        return key[rise], ids[which[rise]]
-
-    def _learn(self, new: list[str]) -> None:
-        text = "\0".join(new) + "\0"
-        keys, ids = self._edges(text)
-        sizes = np.array([len(w) for w in new])
+        per = 8 // wide
+        begin, end = np.searchsorted(first, low.view(">u8")[:, 0].astype(np.uint64), "left"), np.searchsorted(first, high.view(">u8")[:, 0].astype(np.uint64), "right")
+        if len(deep := np.flatnonzero(lens > per)):  # pieces longer than 8 bytes, among the suffixes that are
+            kind = f"S{wide * self.depth}"
+            padded = np.concatenate([code, np.zeros(self.depth, code.dtype)])
+            keys = np.lib.stride_tricks.sliding_window_view(padded, self.depth)[order[on]].astype(f">u{wide}").view(kind).ravel()
+            on = np.append(on, len(order))
+            begin[deep] = on[np.searchsorted(keys, low[deep].view(kind).ravel(), "left")]
+            n = np.searchsorted(keys, high[deep].view(kind).ravel(), "right") - np.searchsorted(keys, low[deep].view(kind).ravel(), "left")
+            end[deep] = begin[deep] + n  # those that begin with the same 8 bytes stand side by side
+        n = end - begin
+        at = order[np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        cells[at * self.step + np.repeat(lens, n)] = np.repeat(ids + 1, n)
+        return cells
+
+    def _learn(self, new: list[bytes]) -> None:
+        points = np.frombuffer(b"\0\0\0\0".join([*new, b""]), "<u4")
+        sizes = np.fromiter(map(len, new), np.int64, len(new)) // 4
         start = np.cumsum(sizes + 1) - sizes - 1
-
-        def look(at: np.ndarray, length: np.ndarray) -> np.ndarray:
-            want = at * self.step + np.minimum(length, self.step - 1)
-            k = np.minimum(np.searchsorted(keys, want), max(0, len(keys) - 1))
-            return np.where((keys[k] == want) & (length < self.step), ids[k], -1) if len(keys) else np.full(len(at), -1)
-
-        begins = np.zeros(len(text) + 1, bool)
-        chars = np.repeat(start, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        begins[chars] = True
-        owner = np.full(len(text) + 1, -1, np.int64)
-        owner[chars] = np.repeat(np.arange(len(new)), sizes)
-        short = sizes <= LONG
-        active = chars[short[owner[chars]]]
-        while len(active) > 1:
-            s = active[begins[active]]
-            o = owner[s]
-            pair = np.flatnonzero(o[:-1] == o[1:])
-            if not len(pair):
-                break
-            after = np.append(s[1:], 0)
-            stop = np.where(np.append(o[1:] == o[:-1], False), after, 0)
-            ends = start[o] + sizes[o]
-            second_end = np.where(stop[pair + 1] > 0, stop[pair + 1], ends[pair + 1])
-            found = look(s[pair], second_end - s[pair])
-            score = np.where(found >= 0, self.rank_of[found], NONE)
-            by = o[pair]
-            cut = np.flatnonzero(np.r_[True, by[1:] != by[:-1]])
-            best = np.minimum.reduceat(score, cut)
-            group = np.cumsum(np.r_[True, by[1:] != by[:-1]]) - 1
-            is_best = (score == best[group]) & (score < NONE)
-            pick = np.flatnonzero(is_best)
-            if not len(pick):
-                break
-            pick = pick[np.r_[True, group[pick][1:] != group[pick][:-1]]]
-            begins[s[pair[pick] + 1]] = False
-            going = np.zeros(len(new), bool)
-            going[by[pick]] = True
-            active = s[going[o]]
-            active = active[begins[active]]
-        for w in np.flatnonzero(~short):
-            self._heap(int(start[w]), int(sizes[w]), begins, look)
+        cells = self._edges(points)
+        begins = np.ones(len(points), bool)
+        begins[start + sizes] = False
+        least = 1
+        for most in WIDTHS:
+            own = start[(sizes > least) & (sizes <= most)]
+            if len(own):
+                self._rounds(own, sizes[(sizes > least) & (sizes <= most)], most, begins, cells)
+            least = most
+        for w in np.flatnonzero(sizes > LONG):
+            self._heap(int(start[w]), int(sizes[w]), begins, cells)
         s = np.flatnonzero(begins)
-        own = owner[s]
-        end = np.where(np.append(own[1:] == own[:-1], False), np.append(s[1:], 0), start[own] + sizes[own])
-        got = look(s, end - s)
+        unit = np.searchsorted(start, s, "right") - 1
+        end = np.append(s[1:], 0)
+        last = np.append(unit[1:] != unit[:-1], True)
+        end[last] = (start + sizes)[unit[last]]
+        got = cells[s * self.step + end - s].astype(np.int64) - 1
         size = np.ones(len(got), np.int64)
         odd = np.flatnonzero(got < 0)  # characters of no piece become bytes
-        spelt = [[self.byte.get(x, self.unknown) for x in text[s[i] : end[i]].encode("utf-8", "surrogatepass")] for i in odd]
+        spelt = [[self.byte.get(x, self.unknown) for x in chr(c).encode("utf-8", "surrogatepass")] for c in points[s[odd]].tolist()]
         size[odd] = [len(x) for x in spelt]
-        flat = np.repeat(got, size).astype(np.int32)
-        for i, x in zip((np.cumsum(size) - size)[odd], spelt):
+        flat = np.repeat(got, size).astype(self.kind)
+        for i, x in zip((np.cumsum(size) - size)[odd].tolist(), spelt):
             flat[i : i + len(x)] = x
-        cut = (4 * np.cumsum(np.bincount(own, size, len(new)).astype(np.int64))).tolist()
+        cut = (flat.itemsize * np.cumsum(np.bincount(unit, size, len(new)).astype(np.int64))).tolist()
         self.known.put(new, list(map(flat.tobytes().__getitem__, map(slice, [0, *cut], cut))))
 
-    def _heap(self, start: int, size: int, begins: np.ndarray, look) -> None:
-        """The same relaxation for one long word."""
+    def _rounds(self, start: np.ndarray, sizes: np.ndarray, wide: int, begins: np.ndarray, cells: np.ndarray) -> None:
+        """Relax units of wide characters at most. In each, symbol i goes on to after[i], before[i] is the symbol before it (-1: none), and score[i] is of its union with the next.
+        As no edge reaches over the 0 that ends a unit, unions that would are of no score."""
+        after, before = np.tile(np.arange(1, wide + 2), (len(start), 1)), np.tile(np.arange(-1, wide), (len(start), 1))
+        at = start[:, None] + np.arange(wide)
+        score = np.where(np.arange(wide) < sizes[:, None] - 1, self.rank_of[cells[np.minimum(at * self.step + 2, len(cells) - 1)]], NONE) if self.step > 2 else np.full(at.shape, NONE)
+
+        def union(place: np.ndarray, length: np.ndarray) -> np.ndarray:
+            return self.rank_of[cells[place * self.step + np.where(length < self.step, length, 0)]]
+
+        while len(start):
+            i = score.argmin(1)
+            r = np.flatnonzero(score[np.arange(len(start)), i] < NONE)
+            if len(r) < 0.8 * len(start):
+                start, i, score, after, before = start[r], i[r], score[r], after[r], before[r]
+                r = np.arange(len(start))
+            else:
+                i = i[r]
+            s, a, b = r * wide, r * (wide + 1), start[r]
+            flat_score, flat_after, flat_before = score.reshape(-1), after.reshape(-1), before.reshape(-1)
+            j = flat_after[a + i]
+            k = flat_after[a + j]
+            begins[b + j] = False
+            flat_after[a + i] = k
+            flat_before[a + k] = i
+            flat_score[s + j] = NONE
+            flat_score[s + i] = union(b + i, flat_after[a + k] - i)
+            h = flat_before[a + i]
+            flat_score[s + np.where(h < 0, i, h)] = np.where(h < 0, flat_score[s + i], union(b + h, k - h))
+
+    def _heap(self, start: int, size: int, begins: np.ndarray, cells: np.ndarray) -> None:
+        """The same relaxation for one long unit."""
         end = list(range(1, size + 1))
         before = list(range(-1, size - 1))
         alive = [True] * size
-        firsts = start + np.arange(size - 1)
-        found = look(firsts, np.full(size - 1, 2))
-        heap = [(int(self.rank_of[f]), i, 2) for i, f in enumerate(found) if f >= 0]
+        rank, step = self.rank_of, self.step
+        found = rank[cells[(start + np.arange(size - 1)) * step + 2]] if step > 2 else np.full(size - 1, NONE)
+        some = np.flatnonzero(found < NONE)
+        heap = [(f, i, 2) for f, i in zip(found[some].tolist(), some.tolist())]
         heapq.heapify(heap)
         while heap:
             _, i, n = heapq.heappop(heap)
@@ -177,57 +211,76 @@ class Pieces:
             for a in (before[i], i):
                 if a >= 0 and end[a] < size:
                     m = end[end[a]] - a
-                    f = int(look(np.array([start + a]), np.array([m]))[0])
-                    if f >= 0:
-                        heapq.heappush(heap, (int(self.rank_of[f]), a, m))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        words = []
-        for t in texts:
-            if not t:
-                words.append([])
-            elif MARK in t or "\0" in t or "  " in t or t[:1] == " " or t[-1:] == " ":
-                words.append(WORD.findall(MARK + t.replace(" ", MARK)))
-            else:
-                words.append([MARK + w for w in t.split(" ")])
+                    if m < step and (f := cells.item((start + a) * step + m)):
+                        heapq.heappush(heap, (rank.item(f), a, m))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's end (0 first)."""
+        sizes = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        points = np.frombuffer("".join(x for t in texts if t for x in (MARK, t)).replace(" ", MARK).encode("utf-32-le", "surrogatepass"), "<u4")
+        if not len(points):
+            return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        letter = self.letter[points]
+        new = np.ones(len(points), bool)
+        np.logical_not(self.joined[letter[:-1] * self.letters + letter[1:]], out=new[1:])
+        del letter
+        ends = np.cumsum(sizes)
+        new[(ends - sizes)[sizes > 0]] = True
+        starts = np.flatnonzero(new)
+        del new
+        offsets = np.append(starts, len(points)) * 4
+        kind, offset = (pa.binary(), np.int32) if offsets[-1] < 1 << 31 else (pa.large_binary(), np.int64)
+        coded = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(offsets.astype(offset)), pa.py_buffer(points)]).dictionary_encode()
+        code, own = coded.indices.to_numpy(), values(coded.dictionary)
+        del coded, offsets
         self.known.turn()
-        asked = self.known.unknown(set().union(*words))
-        for w in [w for w in asked if "\0" in w]:
-            self._with_zero(w)
-            asked.remove(w)
         part, size = [], 0
-        for w in asked:
+        for w in self.known.unknown(own):
             part.append(w)
-            size += len(w) + 1
-            if size > BATCH_CHARS:
+            size += len(w) // 4 + 1
+            if size * self.step > CELLS:
                 self._learn(part)
                 part, size = [], 0
         if part:
             self._learn(part)
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, w)), np.int32) for w in words]
-
-    def _with_zero(self, word: str) -> None:
-        """No piece holds U+0000, so what it parts is encoded apart."""
-        parts = word.split("\0")
-        self._learn([p for p in parts if p])
-        zero = np.array([self.byte.get(0, self.unknown)], np.int32).tobytes()
-        self.known.put([word], [zero.join(self.known[p] if p else b"" for p in parts)])
-
-    def decode(self, ids: np.ndarray) -> str:
-        shown = list(map(self.shown.__getitem__, ids.tolist()))
-        at = np.flatnonzero(self.is_byte[ids])
-        for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else ():  # bytes in a row are one text
-            shown[run[0]] = bytes(self.byte_of[i] for i in ids[run].tolist()).decode("utf-8", "replace")
-        text = "".join(shown)
-        return text[1:] if text[:1] == " " else text
+        own = list(map(self.known.__getitem__, own))
+        n = np.fromiter(map(len, own), np.int64, len(own)) // np.dtype(self.kind).itemsize
+        ids = np.frombuffer(b"".join(own), self.kind)
+        first, n = (np.cumsum(n) - n)[code], n[code]
+        to = np.append(0, np.cumsum(n))
+        ids = ids[np.repeat(first - to[:-1], n) + np.arange(to[-1])].astype(np.int32)
+        return ids, to[np.append(0, np.searchsorted(starts, ends))]
+
+    def decode(self, ids: np.ndarray, cuts: np.ndarray) -> pa.Array:
+        """The texts that the ids between cuts stand for."""
+        ids = ids.astype(np.int64)
+        if len(ids) and not 0 <= ids.min() <= ids.max() < self.size:
+            raise IndexError("no such id")
+        seen = np.append(np.flatnonzero(self.seen[ids]), len(ids))
+        head = seen[np.searchsorted(seen, cuts[:-1])]
+        ids[head[head < cuts[1:]]] += self.size
+        shown = self.shown.take(pa.array(ids))
+        at = np.frombuffer(shown.buffers()[1], np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+
+        def between(cuts: np.ndarray) -> pa.Array:
+            return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(at[cuts]), shown.buffers()[2] or pa.py_buffer(b"")])
+
+        if len(seen) > len(ids):
+            try:
+                return between(cuts).cast(pa.string())
+            except pa.ArrowInvalid:  # not UTF-8
+                pass
+        # Bytes are one text where they stand in a row, so what is not shown parts them.
+        parts = np.union1d(cuts, np.flatnonzero(~self.seen[ids % self.size]))
+        texts, own = [t.decode("utf-8", "replace") for t in values(between(parts))], np.searchsorted(parts, cuts).tolist()
+        return pa.array(["".join(texts[i:j]) for i, j in zip(own, own[1:])], pa.string())
 
 
 _pieces: dict[str, Pieces] = {}
 
 
 def pieces_of(model_file: str) -> Pieces:
-    """One for each worker process, so that tasks find the words of those before them."""
+    """One for each worker process, so that tasks find the units of those before them."""
     if model_file not in _pieces:
         _pieces[model_file] = Pieces(model_file)
     return _pieces[model_file]
@@ -235,18 +288,17 @@ def pieces_of(model_file: str) -> Pieces:
 
 def _encoded(model_file: str, text: str):
     def run(b: pa.RecordBatch) -> pa.Array:
-        own = pieces_of(model_file).encode(b.column(b.schema.get_field_index(text)).to_pylist())
-        ends = np.cumsum([0, *map(len, own)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *own])))
+        ids, cuts = pieces_of(model_file).encode(b.column(b.schema.get_field_index(text)).to_pylist())
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids))
 
     return run
 
 
 def _decoded(model_file: str, ids: str):
     def run(b: pa.RecordBatch) -> pa.Array:
-        own, lists = pieces_of(model_file), b.column(b.schema.get_field_index(ids))
-        values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-        return pa.array([own.decode(values[i:j]) for i, j in zip(offsets, offsets[1:])], pa.string())
+        lists = b.column(b.schema.get_field_index(ids))
+        cuts = lists.offsets.to_numpy()
+        return pieces_of(model_file).decode(lists.values.to_numpy()[cuts[0] : cuts[-1]], cuts - cuts[0])
 
     return run
 

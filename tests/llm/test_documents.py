@@ -656,6 +656,52 @@ def test_pieces(spark):
     assert pieces.encode(documents(spark, []), file).count() == 0
 
 
+def test_pieces_learned_once():
+    """What no piece reaches over parts words, so a word is learned once, whatever signs and line ends follow it."""
+    p, rng = pieces.Pieces(vocabulary("piece_bpe_32k.model")), random.Random(4)
+    stems = ["".join(rng.choice("abctheinrso") for _ in range(9)) for _ in range(300)]
+    p.encode([" ".join(w + end for w in stems for end in ("", ",", ".", "!", "?\n", ".\n", ";\n", ",\n\n", "\n", "!\n"))])
+    assert len(p.known) < 2 * len(stems)
+
+
+def test_pieces_hard(monkeypatch):
+    """Units of each length, of any script, over LONG characters, and parted by U+0000; a few at once, and forgotten again."""
+    import sentencepiece
+
+    file = vocabulary("piece_bpe_32k.model")
+    ref = sentencepiece.SentencePieceProcessor(model_file=file)
+    rng = random.Random(5)
+    names = [ref.id_to_piece(i) for i in range(300, ref.get_piece_size())]
+    signs = ["thing ation", "(){}[];:'\"+-*/=<>_ \n    return self if", "".join(map(chr, range(0x20, 0x300))), "".join(map(chr, range(0x4E00, 0x5600))), "a😀\U0010ffff \t\r"]
+    rows = ["".join(rng.choice(s) for _ in range(rng.randint(1, 200))) for s in signs for _ in range(60)]
+    rows += ["".join(rng.choice(names) for _ in range(rng.randint(1, 30))).replace(pieces.MARK, " ") for _ in range(200)] + ["ab" * 3000, "the" * 17 + " " * 50]
+    monkeypatch.setattr(pieces, "CELLS", 4000)
+    monkeypatch.setattr(pieces, "KEPT_BYTES", 20_000)
+    p = pieces.Pieces(file)
+    for k in range(0, len(rows), 50):
+        own = [None, "", *rows[k : k + 50]]
+        ids, cuts = p.encode(own)
+        assert [ids[i:j].tolist() for i, j in zip(cuts, cuts[1:])] == [ref.encode(t or "") for t in own]
+        assert p.decode(ids, cuts).to_pylist() == [t or "" for t in own]
+    ids, cuts = p.encode(["a\0b", "\0\0"])
+    assert ids.tolist() == [*ref.encode("a"), p.byte[0], ref.piece_to_id("b"), ref.piece_to_id(pieces.MARK), p.byte[0], p.byte[0]]
+
+
+def test_pieces_odd_ids():
+    """Bytes that are no UTF-8, bytes parted by ids that show nothing, and spaces after such ids."""
+    import sentencepiece
+
+    file = vocabulary("piece_bpe_32k.model")
+    ref, p = sentencepiece.SentencePieceProcessor(model_file=file), pieces.Pieces(file)
+    b, hidden, space = p.byte, next(i for i in range(ref.get_piece_size()) if ref.is_control(i)), ref.piece_to_id(pieces.MARK)
+    rows = {(b[0xC3], b[0xA9]): "é", (b[0xC3], hidden, b[0xA9]): "\ufffd\ufffd", (b[0xC3], b[0x41]): "\ufffdA", (b[0xE6], b[0xBC]): "\ufffd", (hidden, space, b[0x41]): "A", (hidden,): "", (): "", (b[0x20], space): " "}
+    for some in (list(rows), [(), (b[0xC3], b[0xA9])], [()]):
+        ids = np.array([i for r in some for i in r], np.int32)
+        assert p.decode(ids, np.cumsum([0, *map(len, some)])).to_pylist() == [rows[r] for r in some]
+    with pytest.raises(IndexError):
+        p.decode(np.array([-1], np.int32), np.array([0, 1]))
+
+
 # Licences
 
 
