@@ -5,7 +5,7 @@ rare ones first. Two sets that are similar enough share a word among the first f
 rows meet on those alone; sizes and places in the order rule out more before sets are held against each other. No pair is lost.
 
 band_join finds every pair of rows whose numbers lie within a width of each other. Each left row has one bucket of that width, each right
-row its own and both neighbours, so a pair meets once.
+row its own and both neighbours, so a pair meets once. What lies between rounded bounds, as in SQL, is found too.
 
 A word or bucket that many rows have is dealt into parts: its left rows by a hash, its right rows to all of them.
 """
@@ -59,16 +59,26 @@ def similar_sets(left: DataFrame, right: DataFrame | None, id: str, words: Colum
     return met.select("a", "b", F.size("shared").alias("common"), score.alias("score")).where(F.col("score") >= threshold - 1e-12)
 
 
-def band_join(left: DataFrame, right: DataFrame, a: str, b: str, width: float, by: list[str], on: list[str] | None = None) -> DataFrame:
+def band_join(left: DataFrame, right: DataFrame, a: str, b: str, width: float, by: list[str], on: list[str] | None = None, between: bool = False) -> DataFrame:
     """Pairs of rows with |a - b| <= width and equal columns on: all columns of both, which have to have different names but for on. by: columns of left that tell its rows apart.
 
     Null and NaN values are in no pair; infinite ones neither, as their distances aren't numbers.
+    between: pairs with a BETWEEN b - width AND b + width instead, as SQL has it. Of numbers at the very edge, a rounded bound lets in others than
+    a rounded distance does (300.1 - 300 is over 0.1, and 300.1 - 0.1 is 300); NaN is equal to NaN, and infinite values to themselves.
     """
     if width < 0:
         raise ValueError("width is under 0")
     on = on or []
     # A little more than the width, so that rounding doesn't part a pair by two buckets.
     step = width * (1 + 1e-9) if width else 1.0
+    if between:
+        # Rounding keeps order, so what lies between the bounds has a bucket from that of one to that of the other.
+        low, high = F.col(b).cast("double") - width, F.col(b).cast("double") + width
+        place = lambda c: F.floor(c / step)
+        one = left.where(F.col(a).isNotNull()).withColumn("_bucket", place(F.col(a).cast("double")))
+        two = right.where(F.col(b).isNotNull()).withColumn("_bucket", F.explode(F.sequence(place(low), place(high))))
+        one, two = dealt(one, two, [*on, "_bucket"], by)
+        return one.join(two, [*on, "_bucket", "part"]).where(F.col(a).cast("double").between(low, high)).drop("_bucket", "part")
     good = lambda c: F.abs(F.col(c).cast("double")) < F.lit(float("inf"))
     bucket = lambda c: F.floor(F.col(c).cast("double") / step).cast("decimal(38,0)")
     one = left.where(good(a)).withColumn("_bucket", bucket(a))

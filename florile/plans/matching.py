@@ -59,8 +59,8 @@ def tolerance_pairs(spark, sf_dir):
     """Customers and suppliers of one nation whose balances lie within 300 of each other, and nations one apart within 40 (a tolerance beside a tolerance)."""
     c = tables.read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").alias("nation"))
     s = tables.read(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").alias("nation"))
-    same = nearby.band_join(c, s, "c_acctbal", "s_acctbal", 300, ["c_custkey"], ["nation"]).select("c_custkey", "s_suppkey", F.lit("same").alias("how"))
-    near = nearby.band_join(c, s.withColumnRenamed("nation", "other"), "c_acctbal", "s_acctbal", 40, ["c_custkey"]).where("abs(nation - other) = 1")
+    same = nearby.band_join(c, s, "c_acctbal", "s_acctbal", 300, ["c_custkey"], ["nation"], between=True).select("c_custkey", "s_suppkey", F.lit("same").alias("how"))
+    near = nearby.band_join(c, s.withColumnRenamed("nation", "other"), "c_acctbal", "s_acctbal", 40, ["c_custkey"], between=True).where("abs(nation - other) = 1")
     return same.unionByName(near.select("c_custkey", "s_suppkey", F.lit("near").alias("how")))
 
 

@@ -2,9 +2,11 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from florile import plans
 from florile.operators import nearby
 
 
@@ -59,6 +61,36 @@ def test_band_join(spark, monkeypatch, part, width):
         nearby.band_join(a, b, "x", "y", -1, ["i"])
 
 
+@pytest.mark.parametrize("width", [0, 0.1, 40, 300, 1e6])
+def test_band_between(spark, width):
+    """What stands between bounds as SQL rounds them: numbers at the very edge, infinite ones and NaN, large ones that a bound jumps over, nulls."""
+    rng = random.Random(11)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 0.1, 300.1, 1e15, 2**53 + 2.0, 1e17, 1e17 + 48, 1e18, 1e18 + 384, 1e300, -1e300]
+    near = [round(v + d, 2) for v in (rng.uniform(-999, 9999) for _ in range(150)) for d in (0, width, -width)]
+    left, right = [(i, v) for i, v in enumerate([*odd, *near])], [(i, v) for i, v in enumerate([*odd, *near[::3]])]
+    a, b = spark.createDataFrame(left, "i int, x double"), spark.createDataFrame(right, "j int, y double")
+    con = duckdb.connect()
+    for name, df in (("a", a), ("b", b)):
+        con.register(name, df.toArrow())
+    want = con.execute(f"SELECT i, j FROM a JOIN b ON x BETWEEN y - {width}::DOUBLE AND y + {width}::DOUBLE ORDER BY ALL").fetchall()
+    got = nearby.band_join(a, b, "x", "y", width, ["i"], between=True)
+    assert not any(x in plan(got) for x in ("NestedLoop", "Cartesian"))
+    assert sorted((r["i"], r["j"]) for r in got.collect()) == want
+
+
+def test_tolerance_at_the_edge(spark, tmp_path):
+    """tolerance_pairs and its SQL agree on balances that are just as far apart as the tolerance."""
+    rng, con = random.Random(4), duckdb.connect()
+    balance = [round(rng.uniform(-999, 9999), 2) for _ in range(300)]
+    customer = [(3 * i + k, i % 5, round(v + d, 2)) for i, v in enumerate(balance) for k, d in enumerate((300, -300, 40))]
+    supplier = [(i, i % 5 + i % 2, v) for i, v in enumerate(balance)]
+    for name, key, rows in (("customer", "cust", customer), ("supplier", "supp", supplier)):
+        spark.createDataFrame(rows, f"{name[0]}_{key}key long, {name[0]}_nationkey int, {name[0]}_acctbal double").write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(map(tuple, plans.QUERIES["tolerance_pairs"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(plans.ORACLE["tolerance_pairs"]).fetchall())
+
+
 def test_hot_keys_are_dealt(spark, monkeypatch):
     """No task gets more than a part of a key's left rows."""
     monkeypatch.setattr(nearby, "PART", 50)
