@@ -35,7 +35,7 @@ def clean_featuring(spark, sf_dir):
 
 def clean_case(spark, sf_dir):
     d = tables.read(spark, sf_dir, "documents")
-    return d.select("doc_id", F.sha2(text.sentence_case(F.col("text")), 256).alias("sentence"), F.sha2(F.upper("source"), 256).alias("upper"))
+    return d.select("doc_id", F.sha2(text.sentence_case(F.col("text"), by_letter=True), 256).alias("sentence"), F.sha2(text.upper_by_letter(F.col("source")), 256).alias("upper"))
 
 
 def clean_html_named(spark, sf_dir):

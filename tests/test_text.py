@@ -2,13 +2,30 @@ import random
 import re
 import unicodedata
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from florile import plans
 from florile.functions import arrow, text
 from florile.operators import cleanup, replace
 
 
+def test_case_by_letter(spark, tmp_path):
+    """clean_case and its SQL agree on texts that begin with, hold and end in any letter or sign."""
+    con, every = duckdb.connect(), [chr(k) for k in range(1, 0x110000) if not 0xD800 <= k < 0xE000]
+    rows = [(i, f"{x}a {x.upper()} \u039f\u0394\u039f\u03a3", f"s{x}") for i, x in enumerate(every)] + [(-1, "", ""), (-2, None, None), (-3, "\u00dfheit", "Stra\u00dfe"), (-4, "a\u03a3", "\u0130")]
+    con.register("documents", pa.table(dict(zip(("doc_id", "text", "source"), map(list, zip(*rows))))))
+    spark.createDataFrame(con.table("documents").to_arrow_table()).write.parquet(f"{tmp_path}/documents.parquet")
+    con.register("mine", plans.QUERIES["clean_case"](spark, str(tmp_path)).toArrow())
+    con.execute(f"CREATE TABLE theirs AS {plans.ORACLE['clean_case']}")
+    other = "m.sentence IS DISTINCT FROM t.sentence OR m.upper IS DISTINCT FROM t.upper"
+    assert con.execute(f"SELECT doc_id, text, source FROM mine m FULL JOIN theirs t USING (doc_id) JOIN documents USING (doc_id) WHERE {other} ORDER BY 1").fetchall() == []
+    assert con.execute("SELECT count(*) FROM mine").fetchall() == [(len(rows),)]
+    assert [one(spark, f, "\u00dfheit") for f in (text.sentence_case, lambda c: text.sentence_case(c, by_letter=True))] == ["SSheit", "\u1e9eheit"]
+
+
 def one(spark, fn, value):
     return spark.createDataFrame([(value,)], "x string").select(fn(F.col("x"))).first()[0]
 
