@@ -19,6 +19,25 @@ def jaccard(x, y):
     return len(x & y) / len(x | y) if x or y else 0
 
 
+@pytest.mark.parametrize("most", [nearby.MOST, 5])
+@pytest.mark.parametrize("threshold", [0.15, 0.5, 0.8, 1.0])
+def test_similar_sets_together(spark, monkeypatch, threshold, most):
+    """The same where sets meet on several words together, as far as the choices of words allow, and on one beyond that."""
+    monkeypatch.setattr(nearby, "CROWD", 0)
+    monkeypatch.setattr(nearby, "MOST", most)
+    monkeypatch.setattr(nearby, "LONGEST", 7)
+    test_similar_sets(spark, monkeypatch, nearby.PART if most > 5 else 3, threshold)
+
+
+def test_crowded_sets(spark):
+    """Sets of few words that all are frequent: they meet on several words together, and on single ones not at all."""
+    words = F.array(*[F.concat(F.lit("abcd"[k]), F.floor(F.col("i") / 8**k) % 8) for k in range(4)])
+    got = nearby.similar_sets(spark.range(8**4).withColumnRenamed("id", "i"), None, "i", words, 0.6)
+    assert got.count() == 8**4 * 28 // 2
+    own = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "first#" in own and "at_a#" not in own
+
+
 @pytest.mark.parametrize("part", [nearby.PART, 3])
 @pytest.mark.parametrize("threshold", [0.15, 0.5, 0.8, 1.0])
 def test_similar_sets(spark, monkeypatch, part, threshold):
