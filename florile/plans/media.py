@@ -106,8 +106,8 @@ def jpeg_segments(spark, sf_dir):
     many = F.unhex(F.repeat(F.hex(other), (F.col("p_partkey") % 501).cast("int")))
     frame = raw(b"\xff\xc0\x00\x11\x08", big(F.col("p_size"), 2), big(F.col("p_partkey") % 5000 + 1, 2), b"\x03" + b"\0" * 9)
     content = raw(b"\xff\xd8", b"\xff\xe0\x00\x04ab", many, F.when(F.col("p_partkey") % 7 > 0, frame).otherwise(F.lit(bytearray())), b"\xff\xda\x00\x02", frame)
-    own = files.image_size(content)
-    return p.select("p_partkey", own.alias("s")).select("p_partkey", "s.mime", "s.width", "s.height")
+    own = files.image_size(F.col("content"))
+    return p.select("p_partkey", content.alias("content")).select("p_partkey", own.alias("s")).select("p_partkey", "s.mime", "s.width", "s.height")
 
 
 QUERIES = {f.__name__: f for f in (wav_chunks, flac_comments, ogg_comments, mp4_items, id3_texts, jpeg_segments)}

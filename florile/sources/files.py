@@ -1,12 +1,13 @@
 """Files as rows: a recursive scan with binaryFile, format by leading bytes, the ID3v1 trailer, image sizes and content hashes.
 
-All of it is Column expressions over the bytes, so that what isn't asked for isn't computed. Path, size and time filters are pushed
-into the scan. Bytes that don't fit a layout give nulls, never an error.
+All of it is Column expressions over the bytes, so that what isn't asked for isn't computed, but for the walk along a JPEG's segments, which
+goes through Arrow. Path, size and time filters are pushed into the scan. Bytes that don't fit a layout give nulls, never an error.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import arrow
 from ..functions.binary import number
 from ..functions.binary import starts as _starts
 from ..functions.text import extension_of, folder_of, name_of, once
@@ -120,8 +121,13 @@ def wav_properties(content: Column) -> dict[str, Column]:
 FRAMES = [0xFFC0 + k for k in range(16) if k not in (4, 8, 12)]
 
 
-def jpeg_size(content: Column) -> Column:
-    """(width, height) of the first frame, however many segments stand before it; null without one."""
+def jpeg_size(content: Column, plain: bool = False) -> Column:
+    """(width, height) of the first frame, however many segments stand before it; nulls without one.
+
+    Segments are followed by batches of rows. plain: by expressions alone, which may stand in a lambda function, and take hundreds of times as long where segments are many.
+    """
+    if not plain:
+        return arrow.frame_size(content, FRAMES)
 
     def of(c: Column) -> Column:
         frame = F.get(F.filter(chunks.walk(c, 2, F.octet_length(c), chunks.segment), lambda x: x["id"].isin([str(k) for k in FRAMES])), 0)
@@ -140,16 +146,18 @@ def webp_size(content: Column) -> tuple[Column, Column]:
     return width, height
 
 
-def image_size(content: Column) -> Column:
-    """(mime, width, height) of PNG, GIF, BMP, WebP and JPEG bytes; null for others."""
+def image_size(content: Column, plain: bool = False) -> Column:
+    """(mime, width, height) of PNG, GIF, BMP, WebP and JPEG bytes; null for others. plain: as in jpeg_size."""
     row = lambda m, w, h: F.struct(F.lit(m).alias("mime"), w.alias("width"), h.alias("height"))
+    jpeg = _starts(content, b"\xff\xd8\xff")
+    frame = jpeg_size(F.when(jpeg, content), plain)
 
     def of(c: Column) -> Column:
         out = F.when(_starts(c, b"\x89PNG\r\n\x1a\n"), row("image/png", number(c, 16, 4), number(c, 20, 4))).when(_starts(c, b"GIF8"), row("image/gif", number(c, 6, 2, True), number(c, 8, 2, True)))
-        out = out.when(_starts(c, b"BM"), row("image/bmp", number(c, 18, 4, True), number(c, 22, 4, True))).when(_starts(c, b"RIFF") & _starts(c, b"WEBP", 8), row("image/webp", *webp_size(c)))
-        return out.when(_starts(c, b"\xff\xd8\xff"), once(jpeg_size(c), lambda f: row("image/jpeg", f["width"], f["height"])))
+        return out.when(_starts(c, b"BM"), row("image/bmp", number(c, 18, 4, True), number(c, 22, 4, True))).when(_starts(c, b"RIFF") & _starts(c, b"WEBP", 8), row("image/webp", *webp_size(c)))
 
-    return once(content, of)
+    # All but JPEG say their size in the first 30 bytes.
+    return F.when(jpeg, row("image/jpeg", frame["width"], frame["height"])).otherwise(once(F.substring(content, 1, 30), of))
 
 
 def content_hash(content: Column) -> Column:

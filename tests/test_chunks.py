@@ -1,11 +1,15 @@
 """Walks along lengths in bytes: broken and long inputs."""
 
+import random
 import struct
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from florile.functions import arrow
 from florile.sources import chunks, files
 
 
@@ -62,3 +66,30 @@ def test_linear(spark):
     assert took(40_000) < 3.5 * max(took(20_000), 0.5)
     jpeg = b"\xff\xd8" + b"\xff\xe2\x00\x03x" * 3000 + b"\xff\xc2\x00\x11\x08\x00\x09\x00\x07\x03"
     assert of(spark, [jpeg, jpeg[:-8]], lambda c: files.image_size(c)["width"]) == [7, None]
+
+
+def test_segments_by_batches(spark):
+    """Sizes of JPEG from batches equal those by expressions: broken ones, nulls, frames cut short, few and many rows, also where a batch begins inside a buffer."""
+    rng = random.Random(2)
+    part = lambda: rng.choice([b"\xff\xe0\x00\x02", b"\xff\xe1\x00\x05abc", b"\xff\xc4\x00\x03x", b"\xff\xff\x00\x04ab", b"\xff\xfe\x01\x00" + b"z" * 254])
+    last = lambda: rng.choice([b"", b"\xff\xda\x00\x02", b"\xff\xe0\x00\x01", b"\xfe\xe0\x00\x09", b"\xff\xe0\xff\xff", b"\xff\xd9"]) + b"\xff" + bytes([rng.choice([0xC0, 0xC2, 0xCF, 0xC8])]) + b"\x00\x11\x08\x01\x09\x02\x07\x03"[: rng.choice([1, 2, 4, 6, 8])]
+    rows = [None, b"", b"\xff\xd8\xff", b"\xff\xd8", b"GIF89a\x07\x00\x09\x00"] + [b"\xff\xd8\xff\xe0\x00\x02" + b"".join(part() for _ in range(rng.randrange(12))) + last() for _ in range(400)]
+    for own in (rows, rows[:30], rows[:1] * 3):
+        plain = of(spark, own, lambda c: files.image_size(c, plain=True))
+        assert of(spark, own, files.image_size) == plain
+    assert {r["width"] for r in of(spark, rows, files.image_size) if r is not None} == {None, 7, 0x207}
+    few = pa.array([bytes(b) if b is not None else None for b in rows[4:]])
+    kinds = frozenset(k & 0xFF for k in files.FRAMES)
+    whole = pa.concat_arrays([pa.array([b"before"]), few])[1:]
+    shift = np.where(arrow._frames(few, kinds) < 0, 0, 6)
+    assert (arrow._frames(whole, kinds) - shift == arrow._frames(few, kinds)).all()
+
+
+def test_many_segments(spark):
+    """Some ten million segments in a few seconds, in many rows and in one."""
+    other = b"\xff\xe2\x00\x03x"
+    frame = b"\xff\xc2\x00\x11\x08\x00\x09\x00\x07\x03"
+    df = spark.range(8000).select(F.concat(F.lit(bytearray(b"\xff\xd8")), F.unhex(F.repeat(F.lit(other.hex()), F.when(F.col("id") == 0, 2_000_000).otherwise(1000))), F.lit(bytearray(frame))).alias("content"))
+    began = time.time()
+    assert [tuple(r) for r in df.repartition(4).select(files.image_size(F.col("content")).alias("s")).groupBy("s.mime", "s.width", "s.height").count().collect()] == [("image/jpeg", 7, 9, 8000)]
+    assert time.time() - began < 60
