@@ -5,16 +5,26 @@ from pyspark.sql import functions as F
 from ..functions.text import similar_form, similarity
 from ..operators import matching, nearby
 from ..operators.matching import Signal
+from ..session import shared_place
 from . import tables
 
 
 def similarity_pairs(spark, sf_dir):
-    """Parts of a brand, type and size whose names are similar; the names' comparison form is made once for each part."""
-    p = tables.read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size", similar_form(F.col("p_name")).alias("form"))
-    a, b = p.alias("a"), p.alias("b")
-    both = a.join(b, ["p_brand", "p_type", "p_size"]).where("a.p_partkey < b.p_partkey")
-    s = similarity(F.col("a.form"), F.col("b.form"), normal=True)
-    return both.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.round(s, 6).alias("score")).where("score >= 0.4")
+    """Parts of a brand, type and size whose names are similar. A name's comparison form is made once for each part, and two forms are scored once, however many parts and blocks have them."""
+    block, place = ["p_brand", "p_type", "p_size"], shared_place(spark, "parts")
+    p = tables.read(spark, sf_dir, "part").select("p_partkey", *block, similar_form(F.col("p_name")).alias("form"))
+    p.where("form <> ''").write.parquet(place)
+    p = spark.read.parquet(place)
+    names = p.groupBy(*block, "form").agg(F.count("*").alias("n"))
+    met = names.withColumnRenamed("form", "x").join(names.select(*block, F.col("form").alias("y")), block).where("x < y OR x = y AND n > 1").drop("n")
+    s = similarity(F.col("x"), F.col("y"), normal=True)
+    # The number keeps the optimizer from scoring before the pairs of forms are told apart.
+    forms = met.select("x", "y").distinct().withColumn("i", F.monotonically_increasing_id())
+    scores = forms.select("x", "y", "i", F.round(s, 6).alias("score")).where("score >= 0.4 AND i >= 0").drop("i")
+    near = met.join(scores, ["x", "y"])
+    side = lambda key, form: p.select(F.col("p_partkey").alias(key), *block, F.col("form").alias(form))
+    both = near.join(side("k", "x"), [*block, "x"]).join(side("m", "y"), [*block, "y"]).where(F.when(F.col("x") == F.col("y"), F.col("k") < F.col("m")).otherwise(F.col("k") != F.col("m")))
+    return both.select(F.least("k", "m").alias("a"), F.greatest("k", "m").alias("b"), "score")
 
 
 def similar_names(spark, sf_dir):

@@ -118,3 +118,18 @@ def test_hot_keys_are_dealt(spark, monkeypatch):
     sizes = {(r["k"], r["part"]): r["count"] for r in one.groupBy("k", "part").count().collect()}
     assert max(sizes.values()) < 100 and sum(sizes.values()) == 1000
     assert one.join(two, ["k", "part"]).count() == 901 and two.count() == 19
+
+
+def test_pairs_of_names_are_scored_once(spark, tmp_path):
+    """similarity_pairs and its SQL agree on many parts of few names and on odd ones, and scores are made of different pairs of names, not of parts."""
+    rng, con = random.Random(9), duckdb.connect()
+    names = ["red bolt", "the red bolt", "Red Bolts", "blue bolt", "old  rod", "old rod", "rod old", "a", "the", "", None, "gear", "red red bolt", "bolt bolt"]
+    rows = [(k, rng.choice(names), rng.choice(["B1", "B1", "B1", "B2", None]), rng.choice(["t", "t", "u"]), 7) for k in range(1500)] + [(1, "red bolt", "B1", "t", 7), (None, "red bolt", "B1", "t", 7), (9999, "red bolt", "B1", "t", None)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    got = plans.QUERIES["similarity_pairs"](spark, str(tmp_path))
+    lines = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    scored = [x for x in lines if "levenshtein" in x]
+    assert scored and not any("Join" in x or "Aggregate" in x for x in scored)
+    mine = sorted(tuple(r) for r in got.collect())
+    assert mine == sorted(con.execute(plans.ORACLE["similarity_pairs"]).fetchall()) and len(mine) > 50_000
